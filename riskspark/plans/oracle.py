@@ -310,3 +310,207 @@ def _rewrite_round6(sql: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {k: _rewrite_round6(v) for k, v in Q.items()}
+
+
+# ============================================================================= loans, prompts, steps
+
+def lit(s: str) -> str:
+    """A Python string as a DuckDB expression (quotes doubled, newlines as chr(10))."""
+    parts = s.split("\n")
+    q = [("'" + p.replace("'", "''") + "'") for p in parts]
+    return "(" + " || chr(10) || ".join(q) + ")"
+
+
+LOANS = """
+loans AS (
+  SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id,
+    l_quantity * 10 AS installment, p_brand AS purpose, l_linestatus AS application_type,
+    CAST(round(l_discount * 100) AS DOUBLE) AS int_rate, CAST(round(l_tax * 1000) AS DOUBLE) AS last_pymnt_amnt,
+    l_extendedprice AS loan_amnt, o_totalprice AS revol_bal, CAST(l_linenumber - 1 AS DOUBLE) AS delinq_2yrs,
+    CAST(l_partkey % 7 AS DOUBLE) AS inq_last_6mths, CAST(c_nationkey % 4 AS DOUBLE) AS mort_acc,
+    substr(o_orderpriority, 1, 1) AS grade, CAST(p_size AS DOUBLE) AS open_acc, CAST(l_partkey % 1000 AS DOUBLE) / 10 AS revol_util,
+    l_quantity AS total_acc, CAST(600 + l_suppkey % 200 AS DOUBLE) AS fico_range_low, CAST(604 + l_suppkey % 200 AS DOUBLE) AS fico_range_high,
+    n_name AS addr_state, CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(p_size % 10 AS VARCHAR) || ' years' END AS emp_length,
+    c_mktsegment AS home_ownership, o_orderstatus AS verification_status, CAST(round(c_acctbal * 100) AS DOUBLE) / 10 AS annual_inc,
+    CASE l_returnflag WHEN 'A' THEN 'Fully Paid' WHEN 'R' THEN 'Charged Off' ELSE 'Current' END AS loan_status
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+       JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
+final AS (SELECT * FROM loans WHERE loan_status IN ('Fully Paid', 'Charged Off'))"""
+
+RAW = ["installment", "purpose", "application_type", "int_rate", "last_pymnt_amnt", "loan_amnt", "revol_bal",
+       "delinq_2yrs", "inq_last_6mths", "mort_acc", "grade", "open_acc", "revol_util", "total_acc",
+       "fico_range_low", "fico_range_high", "addr_state", "emp_length", "home_ownership", "verification_status",
+       "annual_inc", "loan_status"]
+DISPLAY = ["Installment", "Loan Purpose", "Loan Application Type", "Interest Rate", "Last Payment Amount",
+           "Loan Amount", "Revolving Balance", "Delinquency In 2 years", "Inquiries In 6 Months", "Mortgage Accounts",
+           "Grade", "Open Accounts", "Revolving Utilization Rate", "Total Accounts", "Fico Range Low", "Fico Range High",
+           "Address State", "Employment Length", "Home Ownership", "Verification Status", "Annual Income", "Loan Status"]
+DISPLAY_SELECT = ", ".join(f'{r} AS "{d}"' for r, d in zip(RAW, DISPLAY))
+FEATURES = f"""{LOANS},
+features AS (SELECT id, {DISPLAY_SELECT} FROM final WHERE COLUMNS(*) IS NOT NULL)"""
+
+SPLIT = f"""{LOANS},
+r_split AS (SELECT id, row_number() OVER (ORDER BY md5(id || ':10086'), id) - 1 AS rk, count(*) OVER () AS n FROM final),
+split AS (SELECT id, CASE WHEN rk < floor(n * 0.7e0) THEN 'train' WHEN rk < floor(n * 0.7e0) + floor(n * 0.1e0) THEN 'dev' ELSE 'test' END AS split FROM r_split)"""
+
+Q["loan_features"] = f"""WITH {FEATURES} SELECT * FROM features"""
+
+Q["loan_split"] = f"""WITH {SPLIT} SELECT id, split FROM split"""
+
+Q["loan_stratified"] = f"""WITH {LOANS},
+r AS (SELECT id, loan_status, row_number() OVER (PARTITION BY loan_status ORDER BY md5(id || ':10086'), id) - 1 AS rk,
+             count(*) OVER (PARTITION BY loan_status) AS n FROM loans)
+SELECT id, loan_status FROM r WHERE rk < round(n * 0.01e0)"""
+
+Q["loan_balanced_test"] = f"""WITH {LOANS},
+r AS (SELECT id, loan_status, row_number() OVER (PARTITION BY loan_status ORDER BY md5(id || ':10086'), id) - 1 AS rk,
+             count(*) OVER (PARTITION BY loan_status) AS n FROM final),
+s AS (SELECT id, loan_status FROM r WHERE rk < round(n * 0.03e0)),
+k AS (SELECT count(*) AS k FROM s WHERE loan_status = 'Charged Off'),
+neg AS (SELECT id, loan_status, row_number() OVER (ORDER BY md5(id || ':10086'), id) - 1 AS rk FROM s WHERE loan_status <> 'Charged Off')
+SELECT id, loan_status FROM s WHERE loan_status = 'Charged Off'
+UNION ALL
+SELECT id, loan_status FROM neg, k WHERE rk < greatest(1000 - k.k, 0)"""
+
+Q["loan_undersample"] = f"""WITH {LOANS},
+r AS (SELECT id, loan_status, row_number() OVER (PARTITION BY loan_status ORDER BY md5(id || ':10086'), id) - 1 AS rk FROM loans),
+m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM loans GROUP BY loan_status))
+SELECT id, loan_status FROM r, m WHERE rk < m.m"""
+
+Q["loan_few_shot"] = f"""WITH {SPLIT}
+SELECT id FROM split WHERE split = 'train' ORDER BY md5(id || ':10086') LIMIT 8"""
+
+Q["loan_holdout"] = f"""WITH {LOANS},
+r AS (SELECT id, row_number() OVER (ORDER BY md5(id || ':10086'), id) - 1 AS rk, count(*) OVER () AS n FROM final)
+SELECT id, CASE WHEN rk < ceil(n * 0.1e0) THEN 'eval' ELSE 'train' END AS split FROM r"""
+
+Q["loan_set_ops"] = f"""WITH {SPLIT}
+SELECT id, loan_status, CASE WHEN split = 'train' THEN 'train' ELSE 'test' END AS side FROM final JOIN split USING (id)"""
+
+Q["event_batches"] = """WITH
+a AS (SELECT event_id, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 64) AS BIGINT) AS batch_contiguous FROM events),
+r AS (SELECT event_id, row_number() OVER (ORDER BY md5(CAST(event_id AS VARCHAR) || ':10086'), event_id) - 1 AS rk, count(*) OVER () AS n FROM events),
+b AS (SELECT event_id, CAST(floor(rk / 64) AS BIGINT) AS batch_shuffled FROM r WHERE rk < floor(n / 64) * 64)
+SELECT event_id, batch_contiguous, batch_shuffled FROM a LEFT JOIN b USING (event_id)"""
+
+Q["order_parts"] = """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rk, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CAST(floor(rk / ceil(n / 7)) + 1 AS INTEGER) AS part_even, CAST(floor(rk / 1000) + 1 AS INTEGER) AS part_chunk FROM r"""
+
+Q["replicated_prompts"] = """SELECT o_orderkey, CAST(g AS INTEGER) AS gen, CAST(floor(g / 4) AS INTEGER) AS batch FROM orders, range(10) t(g)"""
+
+Q["verdict_spellings"] = f"""WITH {ANSWERS},
+w AS (SELECT DISTINCT expected AS word FROM answers),
+c AS (SELECT * FROM (VALUES ('lower'), ('capitalized'), ('upper')) t(c)),
+l AS (SELECT * FROM (VALUES (''), (' '), ('  ')) t(l)),
+t AS (SELECT * FROM (VALUES (''), (' '), ('  ')) t(t))
+SELECT word, l || CASE c WHEN 'lower' THEN lower(word) WHEN 'capitalized' THEN upper(substr(word, 1, 1)) || lower(substr(word, 2)) ELSE upper(word) END || t AS variant
+FROM w, c, l, t"""
+
+_CATS = ["Loan Purpose", "Loan Application Type", "Grade", "Address State", "Employment Length", "Home Ownership", "Verification Status"]
+Q["loan_cardinality"] = f"""WITH {LOANS}, d AS (SELECT {DISPLAY_SELECT} FROM final)
+""" + "\nUNION ALL\n".join(f"""SELECT '{c}' AS "column", CAST(count(DISTINCT "{c}") AS BIGINT) AS n_distinct FROM d""" for c in _CATS)
+
+Q["loan_label_map"] = f"""WITH {LOANS}, d AS (SELECT {DISPLAY_SELECT} FROM final)
+""" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", v AS value, CAST(row_number() OVER (ORDER BY v NULLS LAST) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT "{c}" AS v FROM d)"""
+    for c in ["Loan Purpose", "Address State", "Employment Length"])
+
+Q["loan_encoded"] = f"""WITH {SPLIT},
+d AS (SELECT id, {DISPLAY_SELECT}, split FROM final JOIN split USING (id) WHERE split IN ('train', 'test')),
+mp AS (SELECT v, row_number() OVER (ORDER BY v NULLS LAST) - 1 AS code FROM (SELECT DISTINCT "Loan Purpose" AS v FROM d)),
+ms AS (SELECT v, row_number() OVER (ORDER BY v NULLS LAST) - 1 AS code FROM (SELECT DISTINCT "Address State" AS v FROM d))
+SELECT id, CASE WHEN "Loan Status" = 'Fully Paid' THEN 0 ELSE 1 END AS "Loan Status",
+  CAST(mp.code AS INTEGER) AS "Loan Purpose", CAST(ms.code AS INTEGER) AS "Address State",
+  CASE WHEN "Grade" = '1' THEN 1 ELSE 0 END AS "Grade_1", CASE WHEN "Grade" = '5' THEN 1 ELSE 0 END AS "Grade_5",
+  CASE WHEN "Employment Length" = '0 years' THEN 1 ELSE 0 END AS "Employment Length_0 years",
+  CASE WHEN "Employment Length" = '9 years' THEN 1 ELSE 0 END AS "Employment Length_9 years",
+  split AS side
+FROM d JOIN mp ON d."Loan Purpose" IS NOT DISTINCT FROM mp.v JOIN ms ON d."Address State" IS NOT DISTINCT FROM ms.v"""
+
+Q["loan_standardized"] = f"""WITH {LOANS},
+st AS (SELECT avg(loan_amnt) ma, stddev_samp(loan_amnt) sa, avg(revol_util) mr, stddev_samp(revol_util) sr,
+              avg(annual_inc) mi, stddev_samp(annual_inc) si FROM final)
+SELECT id, round((loan_amnt - ma) / nullif(sa, 0), 6) AS loan_amnt_z, round((revol_util - mr) / nullif(sr, 0), 6) AS revol_util_z,
+       round((annual_inc - mi) / nullif(si, 0), 6) AS annual_inc_z FROM final, st"""
+
+
+def _v(name: str, typ: str) -> str:
+    return f"""coalesce(CAST("{name}" AS VARCHAR), 'None')"""
+
+
+_DTYPE = {d: ("s" if r in ("purpose", "application_type", "grade", "addr_state", "emp_length", "home_ownership", "verification_status", "loan_status") else "d") for r, d in zip(RAW, DISPLAY)}
+_FEATS = DISPLAY[:-1]
+
+
+def _prior_text() -> str:
+    parts = []
+    for i, f in enumerate(_FEATS):
+        pct = "%" if i in (3, 12) else ""
+        sep = "." if i == len(_FEATS) - 1 else ". "
+        parts.append(f"{lit('The ' + f + ' is ')} || {_v(f, _DTYPE[f])} || {lit(pct + sep)}")
+    return lit("The client has attributes as follows: ") + " || " + " || ".join(parts)
+
+
+PRIOR_INSTRUCTION = (
+    "Assess the client's loan status based on the following loan records from Lending Club. "
+    "Respond with only 'good' or 'bad', and do not provide any additional information. For instance, "
+    "'The client has a stable income, no previous debts, and owns a property.' "
+    "should be classified as 'good'. \nText: "
+)
+
+Q["prior_prompts"] = f"""WITH {FEATURES},
+t AS (SELECT *, {_prior_text()} AS text FROM features)
+SELECT id, text, {lit(PRIOR_INSTRUCTION + "'")} || text || {lit("' " + chr(10) + "Answer:")} AS query,
+  CASE WHEN "Loan Status" = 'Fully Paid' THEN 'good' ELSE 'bad' END AS answer,
+  CASE WHEN "Loan Status" = 'Fully Paid' THEN 0 ELSE 1 END AS gold,
+  'good,bad' AS choices,
+  CASE WHEN "Loan Status" = 'Fully Paid' THEN 'good' ELSE 'bad' END AS label_word
+FROM t"""
+
+
+def _post_text() -> str:
+    parts = []
+    for f in _FEATS:
+        if f in ("Interest Rate", "Revolving Utilization Rate"):
+            v = f"""printf('%.2f', "{f}") || '%'"""
+        else:
+            v = _v(f, _DTYPE[f])
+        parts.append(f"{lit('The ' + f + ' is ')} || {v} || '. '")
+    return " || ".join(parts)
+
+
+_REF = "As reference, the predicted probability of this client's loan status being good given by the machine learning model Random Forest is "
+POSTERIOR = f"""{FEATURES},
+pp AS (SELECT *, CAST((CAST("Fico Range Low" AS INTEGER) * 7 + CAST("Open Accounts" AS INTEGER) * 13) % 1000 AS BIGINT) AS k FROM features),
+pq AS (SELECT id, {_post_text()} AS text,
+         {lit(_REF)} || printf('%.2f', (CAST(1000 - k AS DOUBLE) / 1000) * 100) || {lit("%, and the probability of it being bad is ")}
+           || printf('%.2f', (CAST(k AS DOUBLE) / 1000) * 100) || {lit("%. " + chr(10) + "Answer:")} AS ref FROM pp),
+post AS (SELECT id, text, {lit(PRIOR_INSTRUCTION)} || text || ref AS query, 'Text: ' || text || ref AS query_cot FROM pq)"""
+
+Q["posterior_prompts"] = f"""WITH {POSTERIOR} SELECT id, text, query, query_cot FROM post"""
+
+_INTRO = "Here is the customer's credit report:\n"
+_COT_INSTR = "Please analyse the credit report step by step.\n" + _INTRO
+_COT_EXPL = "Feature notes: rates are in percent.\n"
+Q["cot_messages"] = f"""WITH {POSTERIOR},
+c AS (SELECT id, {lit(_COT_INSTR.replace(_INTRO, '') + _COT_EXPL + _INTRO)} || query_cot AS prompt FROM post)
+SELECT id, md5(prompt) AS prompt_md5, 2 AS n_messages, 'system' AS first_role, md5(prompt) AS user_md5 FROM c"""
+
+Q["conversation_records"] = """WITH
+o AS (SELECT conv_id, list(struct_pack("from" := role, value := text) ORDER BY turn) AS conv FROM conversations GROUP BY conv_id),
+t AS (SELECT conv_id, CASE WHEN conv[1]."from" <> 'user' THEN conv[2:] ELSE conv END AS conv FROM o)
+SELECT conv_id, len(conv) AS n_turns, conv[1]."from" AS first_from,
+  array_to_string(list_transform(conv, x -> CASE WHEN x."from" = 'assistant' THEN len(regexp_split_to_array(x.value, '\\s+')) ELSE -100 END), ',') AS turn_mask
+FROM t"""
+
+_WSRE = "[ \\t\\n\\r\\f\\v]+"
+Q["doc_steps"] = f"""WITH d AS (SELECT doc_id, text, strpos(text, chr(10) || 'Answer:' || chr(10)) AS p FROM documents),
+e AS (SELECT *, string_split(text, chr(10))[1] || '.' || chr(10) || chr(10) AS t0 FROM d)
+SELECT doc_id, len(string_split(text, chr(10))) AS n_steps,
+  len(list_filter(regexp_split_to_array({strip('text')}, '{_WSRE}'), w -> w <> '')) AS n_words,
+  md5(array_to_string(string_split(text, chr(10)), chr(10) || chr(10))) AS joined_md5,
+  md5(t0) AS tagged_md5,
+  md5(replace(text || chr(10), chr(10), 'ки')) AS marked_md5,
+  CASE WHEN p > 0 THEN p - 1 ELSE length(text) END AS obs_head_len,
+  CASE WHEN p > 0 THEN length(text) - p - 8 ELSE 0 END AS obs_tail_len
+FROM e"""

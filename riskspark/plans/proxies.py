@@ -109,3 +109,94 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nxt = t.select("traj_id", (F.col("step") - 1).alias("step"), F.col("v").alias("next_value"))
     return t.join(nxt, ["traj_id", "step"], "left").withColumn("next_value", F.coalesce("next_value", F.lit(0.0)))
+
+
+def _key_string() -> Column:
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in LINE_KEY[:4]], cents.cast("string"))
+
+
+def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw loan table (the reference's 22 raw columns plus a unique string id) from
+    lineitem, orders, customer, nation and part. Status: A -> Fully Paid, R -> Charged Off,
+    N -> Current. emp_length is NULL on line 7."""
+    li = load(spark, sf_dir, "lineitem")
+    o = load(spark, sf_dir, "orders")
+    c = load(spark, sf_dir, "customer")
+    n = load(spark, sf_dir, "nation")
+    p = load(spark, sf_dir, "part")
+    j = (
+        li.join(o, li.l_orderkey == o.o_orderkey)
+        .join(c, o.o_custkey == c.c_custkey)
+        .join(n, c.c_nationkey == n.n_nationkey)
+        .join(p, li.l_partkey == p.p_partkey)
+    )
+    dbl = lambda e: e.cast("double")
+    return j.select(
+        _key_string().alias("id"),
+        (F.col("l_quantity") * 10).alias("installment"),
+        F.col("p_brand").alias("purpose"),
+        F.col("l_linestatus").alias("application_type"),
+        dbl(F.round(F.col("l_discount") * 100)).alias("int_rate"),
+        dbl(F.round(F.col("l_tax") * 1000)).alias("last_pymnt_amnt"),
+        F.col("l_extendedprice").alias("loan_amnt"),
+        F.col("o_totalprice").alias("revol_bal"),
+        dbl(F.col("l_linenumber") - 1).alias("delinq_2yrs"),
+        dbl(F.col("l_partkey") % 7).alias("inq_last_6mths"),
+        dbl(F.col("c_nationkey") % 4).alias("mort_acc"),
+        F.substring("o_orderpriority", 1, 1).alias("grade"),
+        dbl(F.col("p_size")).alias("open_acc"),
+        (dbl(F.col("l_partkey") % 1000) / 10).alias("revol_util"),
+        F.col("l_quantity").alias("total_acc"),
+        dbl(600 + F.col("l_suppkey") % 200).alias("fico_range_low"),
+        dbl(604 + F.col("l_suppkey") % 200).alias("fico_range_high"),
+        F.col("n_name").alias("addr_state"),
+        F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
+        .otherwise(F.concat((F.col("p_size") % 10).cast("string"), F.lit(" years")))
+        .alias("emp_length"),
+        F.col("c_mktsegment").alias("home_ownership"),
+        F.col("o_orderstatus").alias("verification_status"),
+        (dbl(F.round(F.col("c_acctbal") * 100)) / 10).alias("annual_inc"),
+        F.when(F.col("l_returnflag") == "A", "Fully Paid").when(F.col("l_returnflag") == "R", "Charged Off").otherwise("Current").alias("loan_status"),
+    )
+
+
+def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged rollouts: question = order, rollout = line; node = position // 2 (two rollouts per
+    node); correct = returnflag 'R'. Text is built from integer columns."""
+    a = load(spark, sf_dir, "lineitem").select(*LINE_KEY, "l_returnflag")
+    a = row_index(a, LINE_KEY[1:], by=["l_orderkey"], name="pos")
+    return a.select(
+        F.col("l_orderkey").alias("question_id"),
+        F.floor(F.col("pos") / 2).cast("long").alias("node_id"),
+        F.col("pos").cast("int").alias("pos"),
+        F.concat(F.lit("Check part "), _s("l_partkey"), F.lit(" from supplier "), _s("l_suppkey"), F.lit(".")).alias("rollout"),
+        (F.col("l_returnflag") == "R").alias("correct"),
+    )
+
+
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search-tree nodes: one per (question, node) of ``rollouts``; parent = (node - 1) // 2;
+    own step text; visits = rollouts of the node; seq = node id."""
+    r = rollouts(spark, sf_dir)
+    nodes = r.groupBy("question_id", "node_id").agg(F.count(F.lit(1)).alias("visits"), F.min("rollout").alias("_first"))
+    return nodes.select(
+        "question_id",
+        "node_id",
+        F.when(F.col("node_id") == 0, F.lit(None).cast("long")).otherwise(F.floor((F.col("node_id") - 1) / 2)).cast("long").alias("parent_id"),
+        F.col("node_id").alias("seq"),
+        F.concat(F.lit("Step "), _s("node_id"), F.lit(": "), F.col("_first")).alias("text"),
+        "visits",
+    )
+
+
+def doc_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Solution prefixes from documents: question = first line, prefix = whole text, steps are
+    lines (tag '\\n'); mc = (doc_id % 9) / 8."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select(
+        "doc_id",
+        F.substring_index("text", "\n", 1).alias("question"),
+        F.col("text").alias("solution_prefix"),
+        ((F.col("doc_id") % 9) / F.lit(8.0)).alias("mc_value"),
+    )

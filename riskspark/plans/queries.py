@@ -179,3 +179,200 @@ def ppo_losses(spark: SparkSession, sf: str) -> DataFrame:
 def episode_summary(spark: SparkSession, sf: str) -> DataFrame:
     """L-21: mean step reward and mean reward of finishing steps per trajectory."""
     return r6(L.episode_stats(X.trajectories(spark, sf), by=["traj_id"]))
+
+
+# ----------------------------------------------------------------------------- loans: prep, sampling, encoding
+
+from ..operators import features as FE  # noqa: E402
+from ..operators import prep as PR  # noqa: E402
+from ..operators import sampling as M  # noqa: E402
+
+SEED = 10086
+
+
+def _final_loans(spark: SparkSession, sf: str) -> DataFrame:
+    return PR.filter_status(X.loans(spark, sf), status="loan_status")
+
+
+def loan_features(spark: SparkSession, sf: str) -> DataFrame:
+    """S-02, P-01, P-02, P-03: final-status loans with every feature present, display names."""
+    return PR.drop_incomplete(PR.select_loan_features(_final_loans(spark, sf), keep=["id"]))
+
+
+def loan_split(spark: SparkSession, sf: str) -> DataFrame:
+    """M-02 (with P-06): exact 70 / 10 / 20 split in md5 order."""
+    return M.split_three(_final_loans(spark, sf).select("id"), 0.7, 0.1, key="id", seed=SEED)
+
+
+def loan_stratified(spark: SparkSession, sf: str) -> DataFrame:
+    """M-01: 1 % per status, md5 order."""
+    return M.stratified_sample(X.loans(spark, sf).select("id", "loan_status"), "loan_status", 0.01, key="id", seed=SEED)
+
+
+def loan_balanced_test(spark: SparkSession, sf: str) -> DataFrame:
+    """M-03 (unguarded form): every 'Charged Off' row of a 3 % sample plus 'Fully Paid' rows to 1000."""
+    s = M.stratified_sample(_final_loans(spark, sf).select("id", "loan_status"), "loan_status", 0.03, key="id", seed=SEED)
+    return M.balance_to_total(s, "loan_status", "Charged Off", total=1000, key="id", seed=SEED, guard=False)
+
+
+def loan_undersample(spark: SparkSession, sf: str) -> DataFrame:
+    """M-04: every status cut to the smallest status count."""
+    return M.undersample(X.loans(spark, sf).select("id", "loan_status"), "loan_status", key="id", seed=SEED)
+
+
+def loan_few_shot(spark: SparkSession, sf: str) -> DataFrame:
+    """M-07 / M-08: 8 training examples (top-k in md5 order)."""
+    tr = loan_split(spark, sf).filter(F.col("split") == "train")
+    return M.few_shot(tr.select("id"), 8, key="id", seed=SEED)
+
+
+def loan_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    """M-09: first ceil(10 %) in md5 order is the evaluation part."""
+    return M.holdout(_final_loans(spark, sf).select("id"), "first_frac", 0.1, key="id", seed=SEED)
+
+
+def loan_set_ops(spark: SparkSession, sf: str) -> DataFrame:
+    """J-01, J-03, J-04: tagged union of train and the rest; rest = anti-join of train ids."""
+    split = loan_split(spark, sf)
+    loans = _final_loans(spark, sf).select("id", "loan_status")
+    train_ids = split.filter(F.col("split") == "train").select("id")
+    train = PR.semi_ids(loans, train_ids, "id")
+    rest = PR.except_ids(loans, train_ids, "id")
+    return PR.union_tagged(train, rest).select("id", "loan_status", F.col("_side").alias("side"))
+
+
+def event_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """M-11: contiguous mini-batches of 64 events in id order and shuffled batches (last dropped)."""
+    ev = X.load(spark, sf, "events").select("event_id")
+    a = M.minibatches(ev, 64, ["event_id"]).withColumnRenamed("batch", "batch_contiguous")
+    b = M.minibatches(ev, 64, ["event_id"], shuffled=True, key="event_id", seed=SEED).withColumnRenamed("batch", "batch_shuffled")
+    return a.join(b, "event_id", "left")
+
+
+def order_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """S-09 and S-10: 7 near-equal parts and parts of 1000 in order-key order."""
+    o = X.load(spark, sf, "orders").select("o_orderkey")
+    a = M.split_even(o, 7, ["o_orderkey"]).withColumnRenamed("part", "part_even")
+    b = M.split_chunks(o, 1000, ["o_orderkey"]).withColumnRenamed("part", "part_chunk")
+    return a.join(b, "o_orderkey")
+
+
+def replicated_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """J-07: 10 generations per prompt (order), batches of 4."""
+    return PR.replicate(X.load(spark, sf, "orders").select("o_orderkey"), 10, 4)
+
+
+def verdict_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    """J-09: 27 spellings of every verdict word found in the answers."""
+    words = X.answers(spark, sf).select(F.col("expected").alias("word")).distinct()
+    return PR.verdict_variants(words).select("word", "variant")
+
+
+def loan_cardinality(spark: SparkSession, sf: str) -> DataFrame:
+    """F-02, F-03: distinct values per category column."""
+    d = PR.select_loan_features(_final_loans(spark, sf))
+    return FE.cardinalities(d, FE.category_columns(d))
+
+
+def loan_label_map(spark: SparkSession, sf: str) -> DataFrame:
+    """F-05: value -> code tables (sorted values, NULL last)."""
+    d = PR.select_loan_features(_final_loans(spark, sf))
+    return FE.label_mapping(d, ["Loan Purpose", "Address State", "Employment Length"])
+
+
+def loan_encoded(spark: SparkSession, sf: str) -> DataFrame:
+    """F-01, F-04, F-05, F-06 (threshold 20, fitted on train and test together)."""
+    split = loan_split(spark, sf)
+    d = PR.select_loan_features(_final_loans(spark, sf), keep=["id"]).join(split, "id")
+    tr, te, _ = FE.encode_categories(d.filter("split = 'train'").drop("split"), d.filter("split = 'test'").drop("split"), threshold=20)
+    cols = ["id", "Loan Status", "Loan Purpose", "Address State", "Grade_1", "Grade_5", "Employment Length_0 years", "Employment Length_9 years"]
+    return tr.select(*cols).withColumn("side", F.lit("train")).unionByName(te.select(*cols).withColumn("side", F.lit("test")))
+
+
+def loan_standardized(spark: SparkSession, sf: str) -> DataFrame:
+    """F-08: z-scores (sample std) of three float columns."""
+    d = _final_loans(spark, sf).select("id", "loan_amnt", "revol_util", "annual_inc")
+    return r6(FE.standardize(d, ["loan_amnt", "revol_util", "annual_inc"], suffix="_z").drop("loan_amnt", "revol_util", "annual_inc"))
+
+
+# ----------------------------------------------------------------------------- prompts
+
+from ..functions import prompts as T  # noqa: E402
+from ..functions import steps as S  # noqa: E402
+
+
+def prior_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """T-01, T-02, P-07, P-08, P-09: prompt records of the complete final-status loans."""
+    d = loan_features(spark, sf)
+    feats = PR.DISPLAY_NAMES[:-1]
+    text = T.render_prior_text(d, feats)
+    g = PR.with_gold(d.select("id", "Loan Status", *[F.col(f"`{f}`") for f in feats], text.alias("text")))
+    return g.select(
+        "id",
+        "text",
+        T.render_prior_query("text").alias("query"),
+        "answer",
+        "gold",
+        F.array_join("choices", ",").alias("choices"),
+        PR.label_word("choices", "gold").alias("label_word"),
+    )
+
+
+def posterior_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """T-03, T-04: posterior prompts with a model's probabilities in percent."""
+    d = loan_features(spark, sf)
+    feats = PR.DISPLAY_NAMES[:-1]
+    k = (F.col("`Fico Range Low`").cast("int") * 7 + F.col("`Open Accounts`").cast("int") * 13) % 1000
+    d = d.withColumn("bad_prob", k / F.lit(1000.0)).withColumn("good_prob", (F.lit(1000) - k) / F.lit(1000.0))
+    text = T.render_posterior_text(d, feats)
+    q, qc = T.render_posterior_query(text, "Random Forest", "good_prob", "bad_prob")
+    return d.select("id", text.alias("text"), q.alias("query"), qc.alias("query_cot"))
+
+
+COT_INSTRUCTION = "Please analyse the credit report step by step.\n" + T.INTRO_CREDIT_REPORT
+COT_EXPLANATIONS = "Feature notes: rates are in percent.\n"
+
+
+def cot_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """T-05, T-06: CoT prompt (with feature explanations) and [system, user] messages."""
+    p = posterior_prompts(spark, sf)
+    prompt = T.cot_prompt("query_cot", COT_INSTRUCTION, COT_EXPLANATIONS)
+    m = T.chat_messages(prompt)
+    return p.select(
+        "id",
+        F.md5(prompt).alias("prompt_md5"),
+        F.size(m).alias("n_messages"),
+        m[0]["role"].alias("first_role"),
+        F.md5(m[1]["content"]).alias("user_md5"),
+    )
+
+
+def conversation_records(spark: SparkSession, sf: str) -> DataFrame:
+    """T-07, T-08, T-19: ordered conversations, leading non-user turn dropped, turn loss weights."""
+    c = T.to_conversations(X.load(spark, sf, "conversations"))
+    t = c.select("conv_id", T.trim_leading_turn("conversations").alias("conv"))
+    return t.select(
+        "conv_id",
+        F.size("conv").alias("n_turns"),
+        F.try_element_at("conv", F.lit(1))["from"].alias("first_from"),
+        F.array_join(T.turn_mask("conv"), ",").alias("turn_mask"),
+    )
+
+
+def doc_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """T-09, T-10, T-11, T-12, T-16 on whole documents (steps are lines)."""
+    from ..operators.process_reward import word_count
+
+    d = X.load(spark, sf, "documents").select("doc_id", "text")
+    first, rest = S.split_observation(F.col("text"))
+    steps = S.split_steps("text", "\n")
+    return d.select(
+        "doc_id",
+        F.size(steps).alias("n_steps"),
+        word_count("text").alias("n_words"),
+        F.md5(S.join_steps(steps, S.STEP_TAG)).alias("joined_md5"),
+        F.md5(S.ensure_step_tag(F.concat(F.substring_index("text", "\n", 1), F.lit(".\n\n")))).alias("tagged_md5"),
+        F.md5(S.mark_steps("text", "\n")).alias("marked_md5"),
+        F.length(first).alias("obs_head_len"),
+        F.length(rest).alias("obs_tail_len"),
+    )
