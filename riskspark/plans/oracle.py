@@ -500,14 +500,14 @@ Q["conversation_records"] = """WITH
 o AS (SELECT conv_id, list(struct_pack("from" := role, value := text) ORDER BY turn) AS conv FROM conversations GROUP BY conv_id),
 t AS (SELECT conv_id, CASE WHEN conv[1]."from" <> 'user' THEN conv[2:] ELSE conv END AS conv FROM o)
 SELECT conv_id, len(conv) AS n_turns, conv[1]."from" AS first_from,
-  array_to_string(list_transform(conv, x -> CASE WHEN x."from" = 'assistant' THEN len(regexp_split_to_array(x.value, '\\s+')) ELSE -100 END), ',') AS turn_mask
+  array_to_string(list_transform(conv, lambda x: CASE WHEN x."from" = 'assistant' THEN len(regexp_split_to_array(x.value, '\\s+')) ELSE -100 END), ',') AS turn_mask
 FROM t"""
 
 _WSRE = "[ \\t\\n\\r\\f\\v]+"
 Q["doc_steps"] = f"""WITH d AS (SELECT doc_id, text, strpos(text, chr(10) || 'Answer:' || chr(10)) AS p FROM documents),
 e AS (SELECT *, string_split(text, chr(10))[1] || '.' || chr(10) || chr(10) AS t0 FROM d)
 SELECT doc_id, len(string_split(text, chr(10))) AS n_steps,
-  len(list_filter(regexp_split_to_array({strip('text')}, '{_WSRE}'), w -> w <> '')) AS n_words,
+  len(list_filter(regexp_split_to_array({strip('text')}, '{_WSRE}'), lambda w: w <> '')) AS n_words,
   md5(array_to_string(string_split(text, chr(10)), chr(10) || chr(10))) AS joined_md5,
   md5(t0) AS tagged_md5,
   md5(replace(text || chr(10), chr(10), 'ки')) AS marked_md5,
