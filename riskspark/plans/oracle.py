@@ -514,3 +514,161 @@ SELECT doc_id, len(string_split(text, chr(10))) AS n_steps,
   CASE WHEN p > 0 THEN p - 1 ELSE length(text) END AS obs_head_len,
   CASE WHEN p > 0 THEN length(text) - p - 8 ELSE 0 END AS obs_tail_len
 FROM e"""
+
+
+# ============================================================================= process-reward, token arrays
+
+_RN = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1"
+TREE = f"""
+ro AS (SELECT l_orderkey AS question_id, CAST(floor(({_RN}) / 2) AS BIGINT) AS node_id, CAST({_RN} AS INTEGER) AS pos,
+              'Check part ' || l_partkey || ' from supplier ' || l_suppkey || '.' AS rollout, l_returnflag = 'R' AS correct FROM lineitem),
+nodes AS (SELECT question_id, node_id, CASE WHEN node_id = 0 THEN NULL ELSE CAST(floor((node_id - 1) / 2) AS BIGINT) END AS parent_id,
+                 node_id AS seq, 'Step ' || node_id || ': ' || min(rollout) AS text, count(*) AS visits FROM ro GROUP BY question_id, node_id),
+mc AS (SELECT question_id, node_id, count(*) AS total_rollouts, sum(CAST(correct AS INTEGER)) AS correct_rollouts,
+              coalesce(CAST(sum(CAST(correct AS INTEGER)) AS DOUBLE) / nullif(count(*), 0), 0.0) AS mc FROM ro GROUP BY question_id, node_id),
+p(question_id, node_id, path, up) AS (
+  SELECT question_id, node_id, text, parent_id FROM nodes
+  UNION ALL
+  SELECT p.question_id, p.node_id, n.text || chr(10) || chr(10) || p.path, n.parent_id
+  FROM p JOIN nodes n ON n.question_id = p.question_id AND n.node_id = p.up),
+tree AS (SELECT n.*, p.path AS prefix, mc.mc FROM nodes n JOIN p ON n.question_id = p.question_id AND n.node_id = p.node_id AND p.up IS NULL
+         JOIN mc ON mc.question_id = n.question_id AND mc.node_id = n.node_id)"""
+
+Q["question_mixed"] = f"""WITH {TREE}
+SELECT question_id FROM ro GROUP BY question_id HAVING bool_or(correct) AND bool_or(NOT correct)"""
+
+Q["node_mc"] = f"""WITH {TREE},
+inc AS (SELECT question_id, node_id, count(*) AS n_incorrect FROM (SELECT DISTINCT question_id, node_id, rollout FROM ro WHERE NOT correct) GROUP BY ALL)
+SELECT mc.question_id, mc.node_id, total_rollouts, correct_rollouts, round(mc, 6) AS mc,
+  CASE WHEN mc = 1.0 THEN 'all_correct' WHEN mc = 0.0 THEN 'all_incorrect' ELSE 'mixed' END AS mc_class, coalesce(n_incorrect, 0) AS n_incorrect
+FROM mc LEFT JOIN inc ON mc.question_id = inc.question_id AND mc.node_id = inc.node_id"""
+
+Q["tree_export"] = f"""WITH RECURSIVE {TREE},
+edges AS (SELECT c.question_id, c.node_id,
+            md5({strip("CASE WHEN pp.prefix IS NULL THEN c.prefix WHEN starts_with(c.prefix, pp.prefix) THEN substr(c.prefix, length(pp.prefix) + 1) ELSE c.prefix END")}) AS edge_md5
+          FROM tree c LEFT JOIN tree pp ON pp.question_id = c.question_id AND pp.node_id = c.parent_id),
+flat AS (SELECT question_id, count(*) AS n_prefixes,
+            md5(string_agg(prefix || '|' || CAST(CAST(round(mc * 1000) AS BIGINT) AS VARCHAR), '#' ORDER BY seq)) AS export_md5 FROM tree GROUP BY question_id)
+SELECT t.question_id, t.node_id, md5(t.prefix) AS prefix_md5, edge_md5, n_prefixes, export_md5
+FROM tree t JOIN edges e ON t.question_id = e.question_id AND t.node_id = e.node_id JOIN flat f ON f.question_id = t.question_id"""
+
+Q["expanded_children"] = f"""WITH RECURSIVE {TREE}
+SELECT t.question_id, t.node_id AS parent_id, ro.pos,
+  md5(CASE WHEN coalesce(length(t.prefix), 0) > 0 THEN {strip("t.prefix || chr(10) || chr(10) || ro.rollout")} ELSE ro.rollout END) AS prefix_md5, 1.0e0 AS mc
+FROM tree t JOIN ro ON ro.question_id = t.question_id AND ro.node_id = t.node_id
+WHERE ro.correct AND t.mc > 0 AND t.mc < 1"""
+
+_WC = f"len(list_filter(regexp_split_to_array({strip('ro.rollout')}, '{_WSRE}'), lambda w: w <> ''))"
+Q["next_selection"] = f"""WITH {TREE},
+tot AS (SELECT question_id, sum(visits) AS nt FROM nodes GROUP BY question_id),
+u AS (SELECT n.question_id, n.node_id, 0.125e0 * sqrt(CAST(CASE WHEN nt = 0 THEN 1 ELSE nt END AS DOUBLE)) / (1.0e0 + visits) AS u
+      FROM nodes n JOIN tot USING (question_id)),
+pool AS (SELECT ro.question_id, ro.node_id, ro.pos AS seq,
+           pow(0.5e0, 1.0e0 - mc.mc) * pow(0.9e0, {_WC} / 500.0e0) + u.u AS score
+         FROM ro JOIN mc ON mc.question_id = ro.question_id AND mc.node_id = ro.node_id
+                 JOIN u ON u.question_id = ro.question_id AND u.node_id = ro.node_id WHERE NOT ro.correct),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seq) AS rn FROM pool)
+SELECT question_id, node_id, seq, round(score, 6) AS score FROM r WHERE rn = 1"""
+
+Q["latest_pool"] = f"""WITH {TREE},
+r AS (SELECT question_id, node_id, rollout, pos AS seq, pos * 10 AS priority,
+             row_number() OVER (PARTITION BY question_id, node_id, rollout ORDER BY pos DESC) AS rn FROM ro)
+SELECT question_id, node_id, rollout, seq, priority FROM r WHERE rn = 1"""
+
+Q["first_error"] = f"""WITH {TREE}
+SELECT question_id AS solution_id, min(CASE WHEN mc = 0.0 THEN node_id END) AS first_error_step FROM mc GROUP BY question_id"""
+
+Q["budget_cut"] = f"""WITH {TREE},
+c AS (SELECT question_id, pos, pos % 3 + 1 AS cost FROM ro),
+s AS (SELECT *, sum(cost) OVER (PARTITION BY question_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS spent FROM c)
+SELECT question_id, pos, cost FROM s WHERE spent <= 4"""
+
+Q["step_dataset"] = f"""WITH
+dp AS (SELECT doc_id, string_split(text, chr(10))[1] || chr(10) AS q, text, CAST(doc_id % 9 AS DOUBLE) / 8.0e0 AS mc_value FROM documents),
+sel AS (SELECT *, replace(text, q, '') AS rs FROM dp WHERE mc_value <= 0.125e0 OR mc_value >= 1.0e0),
+lab AS (SELECT doc_id, mc_value, len(string_split(rs, chr(10))) AS n,
+           CASE WHEN mc_value <= 0.125e0 THEN 0 ELSE 1 END AS last_label,
+           CASE WHEN suffix(rs, chr(10)) THEN rs ELSE rs || chr(10) END AS reasoning_steps FROM sel),
+neg AS (SELECT * FROM lab WHERE mc_value <> 1.0e0),
+pos AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1 AS rk FROM lab WHERE mc_value = 1.0e0),
+need AS (SELECT greatest(300 - count(*), 0) AS k FROM neg),
+res AS (SELECT doc_id, mc_value, n, last_label, reasoning_steps FROM neg
+        UNION ALL SELECT doc_id, mc_value, n, last_label, reasoning_steps FROM pos, need WHERE rk < need.k)
+SELECT doc_id, round(mc_value, 6) AS mc_value, n AS n_labels, last_label, len(string_split(reasoning_steps, chr(10))) AS n_parts,
+       md5(reasoning_steps) AS steps_md5 FROM res"""
+
+Q["hard_subset"] = f"""WITH {CANDIDATES},
+d AS (SELECT prompt_id, pos, pred_label, label, CASE WHEN pred_label IS NULL OR pred_label = label THEN 1 ELSE 0 END AS _ok FROM candidates),
+m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM d GROUP BY _ok)),
+r AS (SELECT *, row_number() OVER (PARTITION BY _ok ORDER BY md5(CAST(prompt_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) || ':3'), prompt_id, pos) - 1 AS rk FROM d)
+SELECT prompt_id, pos, _ok, CASE WHEN pred_label IS NOT NULL AND pred_label = label THEN 1 ELSE 0 END AS strict_ok FROM r, m WHERE rk < m.m"""
+
+TOK = """
+tk AS (SELECT vec_id, label % 2 AS label, embedding,
+              list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 20) + 12 AS INTEGER)) AS tokens FROM embeddings)"""
+
+Q["embedding_tokens"] = f"""WITH {TOK}
+SELECT vec_id,
+  array_to_string(CASE WHEN len(tokens) > 16 THEN tokens[-16:] ELSE tokens END, ',') AS left16,
+  array_to_string(list_resize(tokens, 80, 12), ',') AS padded,
+  least(len(tokens), 80) AS n_attended,
+  array_to_string(list_filter(range(len(tokens)), lambda i: tokens[i + 1] = 11), ',') AS tag_positions,
+  list_filter(range(len(tokens) - 1), lambda i: tokens[i + 1] = 11 AND tokens[i + 2] = 12)[1] AS first_pair,
+  coalesce(list_max(list_filter(range(len(tokens)), lambda i: tokens[i + 1] <> 12)), -1) AS last_real,
+  coalesce(nullif(list_position(tokens, 13), 0), len(tokens)) AS eos_kept,
+  round(1.0e0 / (1.0e0 + exp(CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE))), 6) AS p_first
+FROM tk"""
+
+Q["embedding_step_labels"] = f"""WITH {TOK},
+t2 AS (SELECT *, list_filter(range(len(tokens)), lambda i: tokens[i + 1] = 11) AS tags FROM tk)
+SELECT vec_id,
+  array_to_string(list_transform(range(len(tokens)), lambda i: CASE WHEN tokens[i + 1] = 11 THEN
+      CASE WHEN (vec_id + list_position(tags, i) - 1) % 2 = 1 THEN 100 ELSE 200 END ELSE -100 END), ',') AS labels,
+  array_to_string(list_transform(tokens, lambda x: CASE WHEN x = 11 THEN 0 ELSE 1 END), ',') AS attention
+FROM t2"""
+
+Q["embedding_token_metrics"] = f"""WITH {TOK},
+src AS (SELECT 1 AS g, label, 1.0e0 / (1.0e0 + exp(-CAST(embedding[2] AS DOUBLE) * 10)) AS prob FROM tk WHERE label IN (0, 1)),
+{_curve('src', 'label', 'prob', 'g')},
+b AS (SELECT -avg(CASE WHEN label = 1 THEN ln(least(greatest(prob, 1e-15), 1 - 1e-15)) ELSE ln(1 - least(greatest(prob, 1e-15), 1 - 1e-15)) END) AS log_loss,
+             avg(CASE WHEN CAST(prob > 0.5 AS INTEGER) = label THEN 1.0e0 ELSE 0.0e0 END) AS accuracy FROM src)
+SELECT round(log_loss, 6) AS log_loss, round(accuracy, 6) AS accuracy, round(coalesce(roc_auc, 0.0), 6) AS roc_auc FROM b, cm"""
+
+TOKROWS = f"""{TOK},
+tr AS (SELECT vec_id, label, coalesce(list_max(list_filter(range(len(tokens)), lambda i: tokens[i + 1] <> 12)), -1) AS last_pos,
+              CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM tk)"""
+
+Q["sequence_logprobs"] = f"""WITH {TOKROWS}
+SELECT vec_id, round(sum(-abs(x)), 6) AS seq_logp, round(avg(x * x), 6) AS seq_entropy FROM tr WHERE pos <= last_pos GROUP BY vec_id"""
+
+Q["grpo_token_loss"] = f"""WITH {TOKROWS},
+t AS (SELECT vec_id, pos, (label * 2 - 1) * 0.5e0 AS adv, -abs(x) AS logp, -abs(x) - pos / 1000.0e0 AS ref,
+             CAST(pos <= last_pos AS INTEGER) AS m, x * x AS ent FROM tr),
+k AS (SELECT *, exp(ref - logp) - (ref - logp) - 1.0e0 AS kl, exp(logp - ref) AS w, logp - ref AS lr FROM t),
+s AS (SELECT vec_id, sum(-(adv - 0.001e0 * kl) * m) / nullif(sum(m), 0) AS loss, sum(kl * m) / nullif(sum(m), 0) AS kls,
+             sum(m) AS len, count(*) AS width FROM k GROUP BY vec_id),
+g AS (SELECT avg(loss) AS loss, avg(kls) AS kl, avg(len) AS completion_length, avg(CASE WHEN len = width THEN 1.0e0 ELSE 0.0e0 END) AS clip_ratio FROM s),
+pl AS (SELECT sum((greatest(-least(greatest(w, 0.8e0), 1.2e0) * adv, -w * adv) - 0.01e0 * ent) * m) / nullif(sum(m), 0) AS policy_loss,
+              sum(ent * m) / nullif(sum(m), 0) AS entropy, sum(((w - 1.0e0) - lr) * m) / nullif(sum(m), 0) AS approx_kl FROM k)
+SELECT round(loss, 6) AS loss, round(kl, 6) AS kl, round(completion_length, 6) AS completion_length, round(clip_ratio, 6) AS clip_ratio,
+       round(policy_loss, 6) AS policy_loss, round(entropy, 6) AS entropy, round(approx_kl, 6) AS approx_kl, approx_kl > 0.02 AS kl_stop
+FROM g, pl"""
+
+Q["token_gae"] = f"""WITH RECURSIVE {TRAJ},
+tok AS (SELECT t.traj_id, t.step, t.reward, t.done, CAST(g AS INTEGER) AS token, t.v + g / 100.0e0 AS v
+        FROM trajectories t, range(CAST(t.event_id % 3 AS BIGINT) + 1) r(g)),
+ix AS (SELECT *, row_number() OVER (PARTITION BY traj_id ORDER BY step, token) - 1 AS p FROM tok),
+j AS (SELECT a.*, b.v AS vn, b.step AS sn, max(a.p) OVER (PARTITION BY a.traj_id) AS last_p FROM ix a LEFT JOIN ix b ON a.traj_id = b.traj_id AND b.p = a.p + 1),
+d AS (SELECT *, CASE WHEN sn IS NULL OR sn <> step THEN (reward + {G}e0 * coalesce(vn, 0.0e0) * (1.0e0 - CAST(done AS DOUBLE))) - v
+                     ELSE coalesce(vn, 0.0e0) - v END AS delta,
+                CASE WHEN sn IS NULL OR sn <> step THEN {_GL}e0 * (1.0e0 - CAST(done AS DOUBLE)) ELSE {LAM}e0 END AS coef FROM j),
+rec AS (SELECT traj_id, p, delta AS adv FROM d WHERE p = last_p
+        UNION ALL SELECT d.traj_id, d.p, d.delta + d.coef * rec.adv FROM d JOIN rec ON d.traj_id = rec.traj_id AND d.p = rec.p - 1)
+SELECT d.traj_id, d.step, d.token, round(rec.adv, 6) AS advantage, round(d.v + rec.adv, 6) AS ret FROM d JOIN rec ON d.traj_id = rec.traj_id AND d.p = rec.p"""
+
+Q["batch_normalized"] = f"""WITH RECURSIVE {GAE},
+b AS (SELECT traj_id, step, advantage, CAST(floor((row_number() OVER (ORDER BY traj_id, step) - 1) / 32) AS BIGINT) AS batch FROM g),
+st AS (SELECT batch, avg(advantage) AS m, stddev_samp(advantage) AS s FROM b GROUP BY batch)
+SELECT traj_id, step, batch, round((advantage - m) / (s + 1e-8), 6) AS adv_norm FROM b JOIN st USING (batch)"""
+
+Q["continuation"] = """SELECT l_orderkey, CASE WHEN bool_and(l_returnflag = 'R') THEN 0.0e0 ELSE 1.0e0 END AS mask FROM lineitem GROUP BY l_orderkey"""

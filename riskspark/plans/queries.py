@@ -376,3 +376,198 @@ def doc_steps(spark: SparkSession, sf: str) -> DataFrame:
         F.length(first).alias("obs_head_len"),
         F.length(rest).alias("obs_tail_len"),
     )
+
+
+# ----------------------------------------------------------------------------- process-reward data
+
+from ..operators import process_reward as G  # noqa: E402
+
+
+def question_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """G-01: questions with both correct and incorrect rollouts."""
+    return G.mixed_questions(X.rollouts(spark, sf))
+
+
+def node_mc(spark: SparkSession, sf: str) -> DataFrame:
+    """G-02, G-03 (class), G-04 (distinct incorrect rollouts per node)."""
+    r = X.rollouts(spark, sf)
+    mc = G.mc_values(r)
+    inc = G.incorrect_rollouts(r).groupBy("question_id", "node_id").agg(F.count(F.lit(1)).alias("n_incorrect"))
+    return r6(mc.join(inc, ["question_id", "node_id"], "left").withColumn("n_incorrect", F.coalesce("n_incorrect", F.lit(0))))
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = X.tree_nodes(spark, sf)
+    paths = G.full_paths(nodes, max_depth=3).select("question_id", "node_id", F.col("path").alias("prefix"))
+    mc = G.mc_values(X.rollouts(spark, sf)).select("question_id", "node_id", "mc")
+    return nodes.join(paths, ["question_id", "node_id"]).join(mc, ["question_id", "node_id"])
+
+
+def tree_export(spark: SparkSession, sf: str) -> DataFrame:
+    """T-13, T-14, G-11, G-12: root-to-node prefixes, edge texts, flat per-question export."""
+    t = _tree(spark, sf)
+    edges = G.tree_edges(t).select("question_id", "node_id", F.md5("text").alias("edge_md5"))
+    flat = G.collect_prefixes(t).select(
+        "question_id",
+        F.size("reasoning_steps_text").alias("n_prefixes"),
+        F.md5(F.array_join(F.transform("reasoning_steps_text", lambda x: F.concat(x["solution_prefix"], F.lit("|"), F.round(x["mc_value"] * 1000).cast("long").cast("string"))), "#")).alias("export_md5"),
+    )
+    return t.select("question_id", "node_id", F.md5("prefix").alias("prefix_md5")).join(edges, ["question_id", "node_id"]).join(flat, "question_id")
+
+
+def expanded_children(spark: SparkSession, sf: str) -> DataFrame:
+    """G-03: correct rollouts of mixed nodes become children with MC 1."""
+    t = _tree(spark, sf)
+    r = X.rollouts(spark, sf)
+    ch = G.expand_correct(t, r, G.mc_values(r))
+    return ch.select("question_id", "parent_id", "pos", F.md5("prefix").alias("prefix_md5"), "mc")
+
+
+def next_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """T-16, G-05, G-06, G-07: Q + U score of every incorrect rollout; best per question."""
+    r = X.rollouts(spark, sf).filter(~F.col("correct"))
+    nodes = G.u_values(X.tree_nodes(spark, sf), c_puct=0.125)
+    mc = G.mc_values(X.rollouts(spark, sf)).select("question_id", "node_id", "mc")
+    pool = (
+        r.join(mc, ["question_id", "node_id"])
+        .join(nodes.select("question_id", "node_id", "u"), ["question_id", "node_id"])
+        .withColumn("score", G.q_value("mc", G.word_count("rollout"), 0.5, 0.9, 500) + F.col("u"))
+        .select("question_id", "node_id", F.col("pos").alias("seq"), "score")
+    )
+    return r6(G.select_next(pool))
+
+
+def latest_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """G-08: newest pool entry per (question, node, rollout text)."""
+    r = X.rollouts(spark, sf).select("question_id", "node_id", "rollout", F.col("pos").alias("seq"), (F.col("pos") * 10).alias("priority"))
+    return G.latest_priority(r)
+
+
+def first_error(spark: SparkSession, sf: str) -> DataFrame:
+    """G-09: first node (step) whose MC is 0 per question."""
+    mc = G.mc_values(X.rollouts(spark, sf)).select(F.col("question_id").alias("solution_id"), F.col("node_id").alias("step"), "mc")
+    return G.first_error_step(mc)
+
+
+def budget_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """G-10: rollouts kept while the per-question running cost stays within 4."""
+    r = X.rollouts(spark, sf).withColumn("cost", F.col("pos") % 3 + 1)
+    return G.within_budget(r, "cost", 4, seq="pos").select("question_id", "pos", "cost")
+
+
+def step_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """P-15, P-16, T-15, G-13, G-14: labelled, balanced step records from document prefixes."""
+    d = G.build_step_dataset(X.doc_prefixes(spark, sf), 300, key="doc_id", seed=42, tag="\n")
+    return r6(
+        d.select(
+            "doc_id",
+            "mc_value",
+            F.size("label").alias("n_labels"),
+            F.element_at("label", -1).alias("last_label"),
+            F.size(S.split_steps("reasoning_steps", "\n")).alias("n_parts"),
+            F.md5("reasoning_steps").alias("steps_md5"),
+        )
+    )
+
+
+def hard_subset(spark: SparkSession, sf: str) -> DataFrame:
+    """P-10, P-11, G-15: equal correct / incorrect candidates (miss counts as correct)."""
+    c = X.candidates(spark, sf).select("prompt_id", "pos", "pred_label", "label")
+    h = G.build_hard_subset(c, key=["prompt_id", "pos"], seed=3)
+    kept = PR.keep_correct(c).select("prompt_id", "pos").withColumn("strict_ok", F.lit(1))
+    return h.join(kept, ["prompt_id", "pos"], "left").select("prompt_id", "pos", "_ok", F.coalesce("strict_ok", F.lit(0)).alias("strict_ok"))
+
+
+# ----------------------------------------------------------------------------- token arrays (embeddings)
+
+PAD, EOS, TAG = 12, 13, 11
+
+
+def _tokens(spark: SparkSession, sf: str) -> DataFrame:
+    e = X.load(spark, sf, "embeddings")
+    toks = F.transform("embedding", lambda x: (F.floor(x.cast("double") * 20) + 12).cast("int"))
+    return e.select("vec_id", (F.col("label") % 2).alias("label"), "embedding", toks.alias("tokens"))
+
+
+def embedding_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """T-17, T-18, T-21 ... T-24, R-11 on token arrays."""
+    t = _tokens(spark, sf)
+    padded, att = S.pad_truncate("tokens", 80, PAD)
+    pa, _ = P.softmax2(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double"))
+    return r6(
+        t.select(
+            "vec_id",
+            F.array_join(S.left_truncate("tokens", 16), ",").alias("left16"),
+            F.array_join(padded, ",").alias("padded"),
+            F.aggregate(att, F.lit(0), lambda a, x: a + x).alias("n_attended"),
+            F.array_join(S.find_all("tokens", TAG), ",").alias("tag_positions"),
+            S.find_subsequence("tokens", [TAG, TAG + 1]).alias("first_pair"),
+            S.last_non_pad("tokens", PAD).alias("last_real"),
+            F.aggregate(S.eos_mask("tokens", EOS), F.lit(0), lambda a, x: a + x).alias("eos_kept"),
+            pa.alias("p_first"),
+        )
+    )
+
+
+def embedding_step_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """T-20: step-token labels at tag positions."""
+    t = _tokens(spark, sf)
+    labels = F.transform(S.find_all("tokens", TAG), lambda i, k: (F.col("vec_id") + k) % 2)
+    lbl, att = S.step_token_labels("tokens", TAG, labels, 100, 200)
+    return t.select("vec_id", F.array_join(lbl, ",").alias("labels"), F.array_join(att, ",").alias("attention"))
+
+
+def embedding_token_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """E-13: AUC, log-loss and accuracy of a per-vector probability."""
+    t = _tokens(spark, sf).withColumn("prob", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("embedding")[1].cast("double") * 10)))
+    return r6(E.token_metrics(t, label="label", prob="prob"))
+
+
+def _token_rows(spark: SparkSession, sf: str) -> DataFrame:
+    t = _tokens(spark, sf)
+    x = t.select("vec_id", "label", S.last_non_pad("tokens", PAD).alias("last_pos"), F.posexplode("embedding").alias("pos", "x"))
+    return x.withColumn("x", F.col("x").cast("double"))
+
+
+def sequence_logprobs(spark: SparkSession, sf: str) -> DataFrame:
+    """L-19: sequence log-prob up to the last real token and mean entropy."""
+    x = _token_rows(spark, sf).withColumn("logp", -F.abs("x")).withColumn("entropy", F.col("x") * F.col("x"))
+    return r6(L.sequence_logp(x, seq="vec_id"))
+
+
+def grpo_token_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """L-15 ... L-18: token-masked policy loss, KL to reference, group policy loss, lengths."""
+    x = _token_rows(spark, sf)
+    x = (
+        x.withColumn("advantage", (F.col("label") * 2 - 1) * F.lit(0.5))
+        .withColumn("logp", -F.abs("x"))
+        .withColumn("ref_logp", -F.abs("x") - F.col("pos") / F.lit(1000.0))
+        .withColumn("mask", (F.col("pos") <= F.col("last_pos")).cast("int"))
+        .withColumn("entropy", F.col("x") * F.col("x"))
+    )
+    g = L.grpo_loss(x, seq="vec_id", beta=0.001)
+    p = L.policy_losses(x, logp_new="logp", logp_old="ref_logp", mask="mask")
+    return r6(g.crossJoin(p))
+
+
+def token_gae(spark: SparkSession, sf: str) -> DataFrame:
+    """L-09: token-level GAE; step t has (event_id % 3) + 1 tokens, token values v + k / 100."""
+    t = X.trajectories(spark, sf)
+    tok = t.select("*", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int"))).alias("token")).withColumn(
+        "v", F.col("v") + F.col("token") / F.lit(100.0)
+    )
+    g = L.gae_tokens(tok.drop("next_value"), gamma=0.95, lam=0.95)
+    return r6(g.select("traj_id", "step", "token", "advantage", "ret"))
+
+
+def batch_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    """M-11 + L-11: GAE advantages normalised inside contiguous mini-batches of 32."""
+    g = L.gae(X.trajectories(spark, sf))
+    b = M.minibatches(g, 32, ["traj_id", "step"])
+    return r6(L.normalize_batch(b, adv="advantage", batch="batch").select("traj_id", "step", "batch", "adv_norm"))
+
+
+def continuation(spark: SparkSession, sf: str) -> DataFrame:
+    """L-22: mask 0 for an order (step) whose lines (agents) are all done (returned)."""
+    li = X.load(spark, sf, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").alias("done"))
+    return L.continuation_mask(li, ["l_orderkey"])
