@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,11 @@ def _ranged(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n:
         # position inside the sorted partition: the low 33 bits of the monotonically increasing id
         .withColumn(_LOCAL, F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33))
     )
-    return numbered.checkpoint(eager=True)
+    # persisted first so that the checkpoint job does not compute the rows a second time
+    numbered = numbered.persist(StorageLevel.MEMORY_AND_DISK)
+    out = numbered.checkpoint(eager=True)
+    numbered.unpersist()
+    return out
 
 
 def _offsets(ranged: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:

@@ -672,3 +672,8 @@ st AS (SELECT batch, avg(advantage) AS m, stddev_samp(advantage) AS s FROM b GRO
 SELECT traj_id, step, batch, round((advantage - m) / (s + 1e-8), 6) AS adv_norm FROM b JOIN st USING (batch)"""
 
 Q["continuation"] = """SELECT l_orderkey, CASE WHEN bool_and(l_returnflag = 'R') THEN 0.0e0 ELSE 1.0e0 END AS mask FROM lineitem GROUP BY l_orderkey"""
+
+Q["formula_accuracy"] = f"""WITH {LOANS},
+s AS (SELECT CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS label,
+             1 / (1 + exp(-(0.05e0 * int_rate - 0.01e0 * (fico_range_low - 650) + 0.2e0 * delinq_2yrs - 0.5e0))) AS score FROM final)
+SELECT round(avg(CASE WHEN (CASE WHEN score > 0.5 THEN 1 ELSE 0 END) = label THEN 1.0e0 ELSE 0.0e0 END), 6) AS accuracy, count(*) AS n FROM s"""

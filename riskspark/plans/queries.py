@@ -571,3 +571,172 @@ def continuation(spark: SparkSession, sf: str) -> DataFrame:
     """L-22: mask 0 for an order (step) whose lines (agents) are all done (returned)."""
     li = X.load(spark, sf, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").alias("done"))
     return L.continuation_mask(li, ["l_orderkey"])
+
+
+# ----------------------------------------------------------------------------- models, explanations (rows-only checks)
+
+from ..operators import explain as A  # noqa: E402
+from ..operators import models as ML  # noqa: E402
+
+_NUM = ["int_rate", "loan_amnt", "revol_util", "annual_inc", "fico_range_low", "delinq_2yrs", "inq_last_6mths", "open_acc"]
+
+
+def _model_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    split = loan_split(spark, sf)
+    d = _final_loans(spark, sf).join(split, "id")
+    d = d.select("id", "split", *_NUM, "grade", F.when(F.col("loan_status") == "Charged Off", 1).otherwise(0).alias("label"))
+    tr, te, _ = FE.encode_categories(d.filter("split = 'train'").drop("split"), d.filter("split = 'test'").drop("split"), threshold=20, label="_none")
+    return tr, te
+
+
+def model_benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    """F-10, A-01 ... A-07: logistic regression, random forest, boosted trees, naive Bayes with
+    3-fold grid search; metric row per model on the test split."""
+    tr, te = _model_tables(spark, sf)
+    m, _ = ML.benchmark_models(tr, te, label="label")
+    return r6(m)
+
+
+def posterior_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A-07, A-08, A-09, M-03: the best model by ROC-AUC scores the test split; every positive
+    plus md5-sampled negatives up to 1000 rows (unguarded form). Prompt text: ``posterior_prompts``."""
+    tr, te = _model_tables(spark, sf)
+    from ..operators.features import assemble
+
+    models = {"Logistic Regression": (ML.logistic(1.0, "l2", 1000), {}), "Naive Bayes": (ML.naive_bayes(), {})}
+    m, fitted = ML.benchmark_models(tr, te, label="label", models=models)
+    name, best = ML.refit_best(m, fitted)
+    # model outputs are a materialisation point: written once to the shared checkpoint folder
+    scored = ML.predict_proba(best, assemble(te, exclude=["label", "id"])).select("id", "label", "good_prob", "bad_prob").checkpoint()
+    out = M.balance_to_total(scored, "label", 1, total=1000, key="id", seed=SEED, guard=False)
+    return r6(out.withColumn("model", F.lit(name)))
+
+
+def _explain_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tr, te = _model_tables(spark, sf)
+    rows = M.stratified_sample(te, "label", 0.002, key="id", seed=SEED)
+    background = M.few_shot(tr, 50, key="id", seed=SEED)
+    return tr, rows, background
+
+
+def linear_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """A-10 (exact for linear models), A-11, A-12 over the whole test split."""
+    from ..operators.features import assemble
+
+    tr, te = _model_tables(spark, sf)
+    feats = [c for c in tr.columns if c not in ("id", "label")]
+    lr = ML.logistic(1.0, "l2", 1000).fit(assemble(tr, exclude=["id", "label"]))
+    w = [float(x) for x in lr.coefficients.toArray()]  # one weight per feature
+    attr = A.linear_attributions(te, feats, w, tr)
+    imp = A.importance(attr)
+    dep = A.dependence_table(attr, imp).groupBy("feature").agg(F.count(F.lit(1)).alias("n_points"), F.avg("attribution").alias("mean_attr"))
+    return r6(imp.join(dep, "feature", "left"))
+
+
+def shapley_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A-10 (sampled Shapley, any model) for a 0.2 % stratified sample of test rows."""
+    from ..operators.features import assemble
+
+    tr, rows, background = _explain_rows(spark, sf)
+    feats = [c for c in tr.columns if c not in ("id", "label")]
+    rf = ML.forest(20, 5).fit(assemble(tr, exclude=["id", "label"]))
+    return r6(A.sampled_shapley(rf, rows, feats, background, n_perm=4, key="id"))
+
+
+def lime_surrogate(spark: SparkSession, sf: str) -> DataFrame:
+    """A-13: local weighted ridge surrogate (200 perturbations) of the random forest."""
+    from ..operators.features import assemble
+
+    tr, rows, _ = _explain_rows(spark, sf)
+    feats = [c for c in tr.columns if c not in ("id", "label")]
+    rf = ML.forest(20, 5).fit(assemble(tr, exclude=["id", "label"]))
+    stats = tr.agg(*[F.avg(f).alias(f"mean_{f}") for f in feats], *[F.coalesce(F.stddev_samp(f), F.lit(0.0)).alias(f"std_{f}") for f in feats])
+    return r6(A.local_surrogate(rf, rows, stats, feats, n_samples=200, key="id"))
+
+
+FORMULA = "1 / (1 + exp(-(0.05 * int_rate - 0.01 * (fico_range_low - 650) + 0.2 * delinq_2yrs - 0.5)))"
+
+
+def formula_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """A-14: closed-form score and its accuracy on the final-status loans."""
+    d = _final_loans(spark, sf).withColumn("label", F.when(F.col("loan_status") == "Charged Off", 1).otherwise(0))
+    return r6(A.score_formula(d, FORMULA))
+
+
+# ----------------------------------------------------------------------------- user functions, streaming, files (rows-only)
+
+from ..operators import udf as U  # noqa: E402
+
+
+def _keyword_scorer():
+    def score(pdf):
+        import pandas as pd
+
+        low = pdf["response"].str.lower()
+        seg = low.str.rsplit("final assessment", n=1).str[-1]
+        label = seg.map(lambda s: 0 if "good" in s else (1 if "bad" in s else None))
+        return pd.DataFrame({"prompt_id": pdf["prompt_id"], "pos": pdf["pos"], "pred_label": label.astype("Int32")})
+
+    return score
+
+
+def batch_scorer(spark: SparkSession, sf: str) -> DataFrame:
+    """U-01: a user scorer applied in Arrow batches of 64 (one load per task)."""
+    c = X.candidates(spark, sf).select("prompt_id", "pos", "response")
+    return U.score_partitions(c, _keyword_scorer, "prompt_id long, pos int, pred_label int", batch_size=64)
+
+
+def _step_scorer():
+    def score(texts):
+        return texts.map(lambda t: [round((len(s) % 10) / 10.0, 6) for s in t.split("\n\n")])
+
+    return score
+
+
+def step_scorer(spark: SparkSession, sf: str) -> DataFrame:
+    """U-03 + V-01 + L-20: user step scores -> min score and last-step reward per candidate."""
+    from ..operators.rerank import solution_score
+
+    c = X.candidates(spark, sf).select("prompt_id", "pos", "response")
+    s = U.score_steps(c, _step_scorer, text="response", out="step_probs")
+    return r6(s.select("prompt_id", "pos", solution_score("step_probs", "min").alias("score"), L.last_step_reward("step_probs").alias("last_reward")))
+
+
+def stream_rewards(spark: SparkSession, sf: str) -> DataFrame:
+    """K-01: answers written as completion logs, streamed through the reward expressions
+    (available-now trigger) into a parquet sink, read back."""
+    import uuid
+
+    from ..session import checkpoint_path
+    from ..streaming.rewards import run_reward_stream
+
+    base = checkpoint_path(spark, f"stream-{uuid.uuid4().hex}")
+    logs = X.answers(spark, sf).select(F.array("response").alias("completions"), F.array("expected").alias("label"))
+    logs.write.mode("overwrite").json(f"{base}/logs")
+    q = run_reward_stream(spark, f"{base}/logs", f"{base}/out", f"{base}/ckpt", available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def io_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """S-01 ... S-12: loans through CSV, parquet and JSON-lines sinks and sources."""
+    import uuid
+
+    from ..session import checkpoint_path
+    from ..sources import files as IO
+
+    base = checkpoint_path(spark, f"io-{uuid.uuid4().hex}")
+    loans = X.loans(spark, sf)
+    loans.write.mode("overwrite").option("header", True).csv(f"{base}/csv")
+    back = IO.read_loans(spark, f"{base}/csv")
+    IO.write_parquet(back, f"{base}/parquet", partition_by=["grade"])
+    pq = IO.read_parquet(spark, f"{base}/parquet")
+    parts = M.split_chunks(pq.select("loan_status", "loan_amnt", "grade", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("installment", "purpose", "loan_amnt")])).alias("rid")), 10000, ["rid"])
+    IO.write_parts(parts, f"{base}/parts")
+    IO.append_records(parts.filter(F.col("loan_status") == "Current"), f"{base}/extra.jsonl")
+    existed = IO.write_once(parts, f"{base}/once")
+    ids = IO.passed_ids(parts.withColumn("passed", F.col("loan_status") != "Current"), key="rid")
+    IO.write_records(ids, f"{base}/ids.jsonl")
+    merged = IO.read_parts(spark, [f"{base}/parts"])
+    n_ids = IO.read_records(spark, f"{base}/ids.jsonl").count()
+    return merged.groupBy("part", "loan_status").agg(F.count(F.lit(1)).alias("n")).withColumn("ids", F.lit(n_ids)).withColumn("existed", F.lit(existed))
