@@ -677,3 +677,14 @@ Q["formula_accuracy"] = f"""WITH {LOANS},
 s AS (SELECT CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS label,
              1 / (1 + exp(-(0.05e0 * int_rate - 0.01e0 * (fico_range_low - 650) + 0.2e0 * delinq_2yrs - 0.5e0))) AS score FROM final)
 SELECT round(avg(CASE WHEN (CASE WHEN score > 0.5 THEN 1 ELSE 0 END) = label THEN 1.0e0 ELSE 0.0e0 END), 6) AS accuracy, count(*) AS n FROM s"""
+
+Q["episode_done"] = """WITH
+e AS (SELECT conv_id AS traj_id, turn AS step,
+             CASE WHEN turn % 4 = 3 THEN text || chr(10) || 'Final assessment: good' ELSE text END AS action FROM conversations),
+w AS (SELECT traj_id, step,
+             sum(length(action)) OVER (PARTITION BY traj_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+             lower(right(chr(10) || array_to_string(list(action) OVER (PARTITION BY traj_id ORDER BY step ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), ''), 1000)) AS tail
+      FROM e)
+SELECT traj_id, step,
+       (cum > 3000 AND (contains(tail, 'final assessment: good') OR contains(tail, 'final assessment: bad'))) OR step + 1 >= 30 AS done
+FROM w"""

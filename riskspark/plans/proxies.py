@@ -200,3 +200,11 @@ def doc_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("solution_prefix"),
         ((F.col("doc_id") % 9) / F.lit(8.0)).alias("mc_value"),
     )
+
+
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasoning episodes: one per conversation, one action per turn in turn order; every fourth
+    turn ends with a verdict line."""
+    c = load(spark, sf_dir, "conversations")
+    action = F.when(F.col("turn") % 4 == 3, F.concat(F.col("text"), F.lit("\nFinal assessment: good"))).otherwise(F.col("text"))
+    return c.select(F.col("conv_id").alias("traj_id"), F.col("turn").alias("step"), action.alias("action"))

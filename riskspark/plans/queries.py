@@ -740,3 +740,8 @@ def io_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     merged = IO.read_parts(spark, [f"{base}/parts"])
     n_ids = IO.read_records(spark, f"{base}/ids.jsonl").count()
     return merged.groupBy("part", "loan_status").agg(F.count(F.lit(1)).alias("n")).withColumn("ids", F.lit(n_ids)).withColumn("existed", F.lit(existed))
+
+
+def episode_done(spark: SparkSession, sf: str) -> DataFrame:
+    """R-12: done flags of reasoning episodes (length window + verdict, or 30 steps)."""
+    return L.flag_done(X.episodes(spark, sf)).select("traj_id", "step", "done")
