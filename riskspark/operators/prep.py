@@ -92,12 +92,14 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[clean(c) for c in df.columns])
 
 
-def coerce_numeric(df: DataFrame) -> DataFrame:
+def coerce_numeric(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """P-13: booleans -> int, strings -> double (NULL when not a number), numbers kept."""
     out = []
     for f in df.schema.fields:
         t = f.dataType.typeName()
-        if t == "boolean":
+        if f.name in exclude:
+            out.append(F.col(f"`{f.name}`"))
+        elif t == "boolean":
             out.append(F.col(f.name).cast("int").alias(f.name))
         elif t == "string":
             out.append(F.expr(f"try_cast(`{f.name}` AS DOUBLE)").alias(f.name))
@@ -191,16 +193,18 @@ VERDICT_TRAILING = ["", " ", "  "]
 
 
 def verdict_variants(words: DataFrame, word: str = "word") -> DataFrame:
-    """J-09: 27 spellings per verdict word (cross join of three 3-row tables, all broadcast)."""
-    spark = words.sparkSession
-    cases = spark.createDataFrame([(c,) for c in VERDICT_CASES], ["case"])
-    lead = spark.createDataFrame([(s,) for s in VERDICT_LEADING], ["lead"])
-    trail = spark.createDataFrame([(s,) for s in VERDICT_TRAILING], ["trail"])
-    combos = cases.crossJoin(lead).crossJoin(trail)
+    """J-09: 27 spellings per verdict word (cross join with a 27-row literal table, broadcast)."""
+    combos = F.inline(
+        F.array(*[
+            F.struct(F.lit(c).alias("case"), F.lit(l).alias("lead"), F.lit(t).alias("trail"))
+            for c in VERDICT_CASES for l in VERDICT_LEADING for t in VERDICT_TRAILING
+        ])
+    )
+    table = words.sparkSession.range(1).select(combos)
     w = F.col(word)
     cased = (
         F.when(F.col("case") == "lower", F.lower(w))
-        .when(F.col("case") == "capitalized", F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20))))
+        .when(F.col("case") == "capitalized", F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
         .otherwise(F.upper(w))
     )
-    return words.crossJoin(F.broadcast(combos)).select("*", F.concat("lead", cased, "trail").alias("variant"))
+    return words.crossJoin(F.broadcast(table)).select("*", F.concat("lead", cased, "trail").alias("variant"))

@@ -688,3 +688,14 @@ w AS (SELECT traj_id, step,
 SELECT traj_id, step,
        (cum > 3000 AND (contains(tail, 'final assessment: good') OR contains(tail, 'final assessment: bad'))) OR step + 1 >= 30 AS done
 FROM w"""
+
+Q["prediction_records"] = f"""WITH {CANDIDATES}
+SELECT prompt_id, pos, pred_label, label, round(good_prob, 6) AS good_prob, round(bad_prob, 6) AS bad_prob, o_orderpriority AS priority
+FROM candidates JOIN orders ON prompt_id = o_orderkey"""
+
+Q["nested_candidates"] = f"""WITH {CANDIDATES}
+SELECT prompt_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR) || ':' || coalesce(CAST(pred_label AS VARCHAR), 'miss'), ',' ORDER BY pos) AS cands
+FROM candidates GROUP BY prompt_id"""
+
+Q["clean_coerce"] = f"""WITH {LOANS}
+SELECT id, loan_amnt AS "Loan Amount _USD_", TRY_CAST(grade AS DOUBLE) AS "_Grade_", TRY_CAST(emp_length AS DOUBLE) AS "Employment Length" FROM final"""

@@ -745,3 +745,38 @@ def io_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def episode_done(spark: SparkSession, sf: str) -> DataFrame:
     """R-12: done flags of reasoning episodes (length window + verdict, or 30 steps)."""
     return L.flag_done(X.episodes(spark, sf)).select("traj_id", "step", "done")
+
+
+def prediction_records(spark: SparkSession, sf: str) -> DataFrame:
+    """P-14, J-05, J-06: raw prediction records ('miss' labels, [good, bad] probability pairs,
+    truth under gold_label) normalised, attached to their prompts and prompt attributes."""
+    c = X.candidates(spark, sf)
+    raw = c.select(
+        "prompt_id",
+        "pos",
+        F.coalesce(F.col("pred_label").cast("string"), F.lit("miss")).alias("pred_label"),
+        F.array("good_prob", "bad_prob").alias("pred_prob"),
+        F.col("label").alias("gold_label"),
+    )
+    norm = PR.normalize_predictions(raw)
+    prompts = X.load(spark, sf, "orders").select(F.col("o_orderkey").alias("prompt_id"), F.col("o_orderpriority").alias("priority"))
+    return r6(PR.with_prompt_attrs(norm, prompts, on="prompt_id").select("prompt_id", "pos", "pred_label", "label", "good_prob", "bad_prob", "priority"))
+
+
+def nested_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """V-03: candidates nested back per prompt in position order."""
+    c = X.candidates(spark, sf).select("prompt_id", "pos", "pred_label")
+    n = V.nest_candidates(c, name="cands")
+    return n.select(
+        "prompt_id",
+        F.size("cands").alias("n"),
+        F.array_join(F.transform("cands", lambda x: F.concat_ws(":", x["pos"].cast("string"), F.coalesce(x["pred_label"].cast("string"), F.lit("miss")))), ",").alias("cands"),
+    )
+
+
+def clean_coerce(spark: SparkSession, sf: str) -> DataFrame:
+    """P-12, P-13: bracket characters in names become '_', text columns become numbers or NULL."""
+    d = _final_loans(spark, sf).select(
+        "id", F.col("loan_amnt").alias("Loan Amount [USD]"), F.col("grade").alias("<Grade>"), F.col("emp_length").alias("Employment Length")
+    )
+    return PR.coerce_numeric(PR.clean_names(d), exclude=["id"])
