@@ -252,3 +252,18 @@ def test_step_functions(spark):
     lbl, att = S.step_token_labels("toks", 9, F.array(F.lit(1), F.lit(0), F.lit(1)), 100, 200)
     r2 = df.select(lbl.alias("l"), att.alias("a")).first()
     assert r2["l"] == [-100, 100, -100, 200, 100] and r2["a"] == [1, 0, 1, 0, 0]
+
+
+def test_flag_done(spark):
+    long = "x" * 2000
+    rows_in = [
+        (1, 0, long),
+        (1, 1, long + "\nFinal assessment: bad"),  # > 3000 chars and verdict in the last 1000
+        (2, 0, "Final assessment: good" + "y" * 3500),  # verdict too far back
+        (3, 0, "a"),
+    ] + [(3, s, "b") for s in range(1, 31)]
+    df = spark.createDataFrame(rows_in, "traj_id long, step long, action string")
+    got = {(r[0], r[1]): r[2] for r in L.flag_done(df).select("traj_id", "step", "done").collect()}
+    assert got[(1, 0)] is False and got[(1, 1)] is True
+    assert got[(2, 0)] is False
+    assert got[(3, 28)] is False and got[(3, 29)] is True and got[(3, 30)] is True  # 30th step ends the episode
