@@ -62,19 +62,18 @@ def _nz(c: Column) -> Column:
 
 def parse_strict(response) -> tuple[Column, Column]:
     """R-04: (verdict, risk) of the strict tail pattern; NULLs when absent."""
+    # group 1 is never empty in a match, so '' means no match (one regex scan per column)
     r = _c(response)
-    ok = r.rlike(STRICT_PATTERN)
-    verdict = F.when(ok, F.regexp_extract(r, STRICT_PATTERN, 1))
-    risk = F.when(ok, F.regexp_extract(r, STRICT_PATTERN, 2).cast("int"))
+    verdict = _nz(F.regexp_extract(r, STRICT_PATTERN, 1))
+    risk = F.when(verdict.isNotNull(), F.regexp_extract(r, STRICT_PATTERN, 2).cast("int"))
     return verdict, risk
 
 
 def parse_loose(response) -> tuple[Column, Column]:
     """R-05: first match of the loose pattern (text may follow)."""
     r = _c(response)
-    ok = r.rlike(LOOSE_PATTERN)
-    verdict = F.when(ok, F.regexp_extract(r, LOOSE_PATTERN, 1))
-    risk = F.when(ok, F.regexp_extract(r, LOOSE_PATTERN, 2).cast("int"))
+    verdict = _nz(F.regexp_extract(r, LOOSE_PATTERN, 1))
+    risk = F.when(verdict.isNotNull(), F.regexp_extract(r, LOOSE_PATTERN, 2).cast("int"))
     return verdict, risk
 
 

@@ -4,8 +4,6 @@ A user's model (scorer, step scorer) runs inside ``mapInPandas``: Spark hands ea
 batches of ``batch_size`` rows, the model is loaded once per Python worker by the factory, and
 outputs come back as columns. Reward functions are Column expressions (or pandas UDFs)."""
 
-from __future__ import annotations
-
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -58,4 +56,8 @@ def map_rows(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def pandas_reward(fn: Callable[[pd.Series, pd.Series], pd.Series]):
     """U-02: wrap a vectorised Python reward (completion, label) -> score as a pandas UDF."""
-    return F.pandas_udf(fn, "double")
+
+    def reward(completion: pd.Series, label: pd.Series) -> pd.Series:
+        return pd.Series(fn(completion, label), index=completion.index, dtype="float64")
+
+    return F.pandas_udf(reward, "double")

@@ -699,3 +699,9 @@ FROM candidates GROUP BY prompt_id"""
 
 Q["clean_coerce"] = f"""WITH {LOANS}
 SELECT id, loan_amnt AS "Loan Amount _USD_", TRY_CAST(grade AS DOUBLE) AS "_Grade_", TRY_CAST(emp_length AS DOUBLE) AS "Employment Length" FROM final"""
+
+Q["shuffled_rewards"] = f"""WITH {ANSWERS}
+SELECT {KEY}, md5(response) AS response, CASE WHEN contains(lower(response), expected) THEN 1.0e0 ELSE 0.0e0 END AS r_user FROM answers"""
+
+Q["class_balance"] = f"""WITH {LOANS}
+SELECT loan_status, count(*) AS n, round(avg(int_rate), 6) AS mean_int_rate FROM loans GROUP BY loan_status"""

@@ -780,3 +780,24 @@ def clean_coerce(spark: SparkSession, sf: str) -> DataFrame:
         "id", F.col("loan_amnt").alias("Loan Amount [USD]"), F.col("grade").alias("<Grade>"), F.col("emp_length").alias("Employment Length")
     )
     return PR.coerce_numeric(PR.clean_names(d), exclude=["id"])
+
+
+def shuffled_rewards(spark: SparkSession, sf: str) -> DataFrame:
+    """M-06, U-02, U-04: answers in md5 order (hash-spread, sorted inside partitions), a
+    vectorised Python reward (pandas UDF) added by a row map."""
+    import pandas as pd
+
+    def contains_label(c: pd.Series, lab: pd.Series) -> pd.Series:
+        return pd.Series([1.0 if b in a.lower() else 0.0 for a, b in zip(c, lab)])
+
+    reward = U.pandas_reward(contains_label)
+    a = M.shuffle(X.answers(spark, sf), key=X.LINE_KEY[:4], seed=SEED)
+    return U.map_rows(a.select(*X.LINE_KEY, "response", "expected"), {"response": F.md5("response"), "r_user": reward("response", "expected")}).drop("expected")
+
+
+def class_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """F-07 and E-14: rows per loan status and the mean of a per-loan metric history."""
+    loans = X.loans(spark, sf)
+    counts = M.class_counts(loans, "loan_status")
+    hist = E.mean_history(loans, "int_rate", by=["loan_status"])
+    return r6(counts.join(hist, "loan_status"))
