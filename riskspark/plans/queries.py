@@ -599,7 +599,7 @@ def model_benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 def posterior_scores(spark: SparkSession, sf: str) -> DataFrame:
     """A-07, A-08, A-09, M-03: the best model by ROC-AUC scores the test split; every positive
-    plus md5-sampled negatives up to 1000 rows (unguarded form). Prompt text: ``posterior_prompts``."""
+    plus md5-sampled negatives up to 1000 rows (unguarded form), with their posterior prompts."""
     tr, te = _model_tables(spark, sf)
     from ..operators.features import assemble
 
@@ -609,7 +609,14 @@ def posterior_scores(spark: SparkSession, sf: str) -> DataFrame:
     # model outputs are a materialisation point: written once to the shared checkpoint folder
     scored = ML.predict_proba(best, assemble(te, exclude=["label", "id"])).select("id", "label", "good_prob", "bad_prob").checkpoint()
     out = M.balance_to_total(scored, "label", 1, total=1000, key="id", seed=SEED, guard=False)
-    return r6(out.withColumn("model", F.lit(name)))
+    # posterior prompts (T-03 / T-04) of the selected rows. The text comes from the final loans
+    # without a NULL filter over all 22 columns: that filter's constraints make Catalyst's
+    # constraint propagation blow up on this join (measured: planning never finished).
+    feats = PR.select_loan_features(_final_loans(spark, sf), keep=["id"])
+    texts = feats.select("id", T.render_posterior_text(feats, PR.DISPLAY_NAMES[:-1]).alias("text"))
+    q, qc = T.render_posterior_query(F.col("text"), name, "good_prob", "bad_prob")
+    j = out.join(texts, "id").select("id", "label", "good_prob", "bad_prob", F.md5(q).alias("query_md5"), F.md5(qc).alias("query_cot_md5"))
+    return r6(j.withColumn("model", F.lit(name)))
 
 
 def _explain_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
