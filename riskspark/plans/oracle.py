@@ -275,7 +275,8 @@ SELECT traj_id, round(avg(surr) - 0.01 * avg(entropy), 6) AS policy_loss, round(
 FROM hub GROUP BY traj_id"""
 
 Q["episode_summary"] = f"""WITH {TRAJ}
-SELECT traj_id, round(avg(reward), 6) AS mean_step_reward, round(avg(CASE WHEN done THEN reward END), 6) AS mean_episode_return
+SELECT traj_id, round(avg(round(reward * 100)) / 100.0e0, 6) AS mean_step_reward,
+       round(avg(CASE WHEN done THEN round(reward * 100) END) / 100.0e0, 6) AS mean_episode_return
 FROM trajectories GROUP BY traj_id"""
 
 

@@ -177,8 +177,13 @@ def ppo_losses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def episode_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """L-21: mean step reward and mean reward of finishing steps per trajectory."""
-    return r6(L.episode_stats(X.trajectories(spark, sf), by=["traj_id"]))
+    """L-21: mean step reward and mean reward of finishing steps per trajectory. Rewards are taken
+    in integer cents (event values have two decimals) so every engine sums them exactly in any
+    order; a mean of two-decimal values over a power-of-two count is otherwise an exact decimal
+    tie at the 6th decimal that float summation order decides."""
+    t = X.trajectories(spark, sf).withColumn("reward", F.round(F.col("reward") * 100))
+    st = L.episode_stats(t, by=["traj_id"])
+    return r6(st.select("traj_id", *[(F.col(c) / F.lit(100.0)).alias(c) for c in ("mean_step_reward", "mean_episode_return")]))
 
 
 # ----------------------------------------------------------------------------- loans: prep, sampling, encoding

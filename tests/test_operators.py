@@ -267,3 +267,16 @@ def test_flag_done(spark):
     assert got[(1, 0)] is False and got[(1, 1)] is True
     assert got[(2, 0)] is False
     assert got[(3, 28)] is False and got[(3, 29)] is True and got[(3, 30)] is True  # 30th step ends the episode
+
+
+def test_hot_group_is_spread_over_partitions(spark):
+    # one group holds 90 % of the rows: its numbering must still be exact and its rows must sit
+    # in several range partitions (no single task holds the whole group)
+    n = 5000
+    df = spark.range(n).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("g"), F.col("id").alias("k"))
+    r = O._ranged(df, ["g"], ["k"], 8)
+    parts = r.filter(F.col("g") == 99).select(O._PID).distinct().count()
+    assert parts >= 4
+    idx = O.row_index(df, ["k"], by=["g"], name="i", num_partitions=8)
+    hot = idx.filter(F.col("g") == 99).agg(F.min("i"), F.max("i"), F.countDistinct("i"), F.count("*")).first()
+    assert hot[0] == 0 and hot[1] == hot[3] - 1 and hot[2] == hot[3]
