@@ -10,6 +10,15 @@ from ..functions import parse as P
 from ..operators import metrics as E
 from ..operators import rerank as V
 from ..operators import rl as L
+from ..functions import prompts as T
+from ..functions import steps as S
+from ..operators import explain as A
+from ..operators import features as FE
+from ..operators import models as ML
+from ..operators import prep as PR
+from ..operators import process_reward as G
+from ..operators import sampling as M
+from ..operators import udf as U
 from . import proxies as X
 
 
@@ -188,9 +197,6 @@ def episode_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- loans: prep, sampling, encoding
 
-from ..operators import features as FE  # noqa: E402
-from ..operators import prep as PR  # noqa: E402
-from ..operators import sampling as M  # noqa: E402
 
 SEED = 10086
 
@@ -302,8 +308,6 @@ def loan_standardized(spark: SparkSession, sf: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- prompts
 
-from ..functions import prompts as T  # noqa: E402
-from ..functions import steps as S  # noqa: E402
 
 
 def prior_prompts(spark: SparkSession, sf: str) -> DataFrame:
@@ -385,7 +389,6 @@ def doc_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- process-reward data
 
-from ..operators import process_reward as G  # noqa: E402
 
 
 def question_mixed(spark: SparkSession, sf: str) -> DataFrame:
@@ -580,8 +583,6 @@ def continuation(spark: SparkSession, sf: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- models, explanations (rows-only checks)
 
-from ..operators import explain as A  # noqa: E402
-from ..operators import models as ML  # noqa: E402
 
 _NUM = ["int_rate", "loan_amnt", "revol_util", "annual_inc", "fico_range_low", "delinq_2yrs", "inq_last_6mths", "open_acc"]
 
@@ -677,7 +678,6 @@ def formula_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------- user functions, streaming, files (rows-only)
 
-from ..operators import udf as U  # noqa: E402
 
 
 def _keyword_scorer():
