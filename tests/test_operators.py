@@ -280,3 +280,28 @@ def test_hot_group_is_spread_over_partitions(spark):
     idx = O.row_index(df, ["k"], by=["g"], name="i", num_partitions=8)
     hot = idx.filter(F.col("g") == 99).agg(F.min("i"), F.max("i"), F.countDistinct("i"), F.count("*")).first()
     assert hot[0] == 0 and hot[1] == hot[3] - 1 and hot[2] == hot[3]
+
+
+def test_sampled_shapley_telescopes(spark):
+    # for every permutation draw the contributions telescope to f(x) - f(background row), so per
+    # row the attributions sum to f(x) minus the mean model output over the drawn background rows
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from riskspark.operators import explain as A
+
+    data = [(i, float(i % 7), float((i * 3) % 5), float(i % 2), int((i % 7) + (i % 2) > 4)) for i in range(200)]
+    df = spark.createDataFrame(data, "id long, a double, b double, c double, label int")
+    feats = ["a", "b", "c"]
+    train = VectorAssembler(inputCols=feats, outputCol="features").transform(df)
+    model = LogisticRegression(maxIter=50).fit(train)
+    rows = df.filter("id < 5")
+    bg = df.filter("id >= 100 and id < 101")  # a single background row: f(b) is one number
+    phi = A.sampled_shapley(model, rows, feats, bg, n_perm=3, key="id")
+    total = {r[0]: r[1] for r in phi.groupBy("id").agg(F.sum("attribution")).collect()}
+    fx = {r[0]: r[1] for r in model.transform(VectorAssembler(inputCols=feats, outputCol="features").transform(rows))
+          .select("id", vector_to_array("probability")[1]).collect()}
+    fb = model.transform(VectorAssembler(inputCols=feats, outputCol="features").transform(bg)).select(vector_to_array("probability")[1]).first()[0]
+    for k in fx:
+        assert math.isclose(total[k], fx[k] - fb, abs_tol=1e-9)
