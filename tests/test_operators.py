@@ -305,3 +305,14 @@ def test_sampled_shapley_telescopes(spark):
     fb = model.transform(VectorAssembler(inputCols=feats, outputCol="features").transform(bg)).select(vector_to_array("probability")[1]).first()[0]
     for k in fx:
         assert math.isclose(total[k], fx[k] - fb, abs_tol=1e-9)
+
+
+def test_stream_equals_batch(spark):
+    # K-01: the streaming job (available-now trigger) yields the batch rewards of the same logs
+    from riskspark.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    s = Q.stream_rewards(spark, sf).select("r_format", "r_accuracy", "r_risk")
+    b = Q.answer_rewards(spark, sf).select("r_format", "r_accuracy", "r_risk")
+    assert s.count() == b.count()
+    assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
