@@ -316,3 +316,13 @@ def test_stream_equals_batch(spark):
     b = Q.answer_rewards(spark, sf).select("r_format", "r_accuracy", "r_risk")
     assert s.count() == b.count()
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_parts_and_batches(spark):
+    df = spark.range(10).select(F.col("id").cast("string").alias("id"), F.col("id").alias("k"))
+    even = dict(rows(M.split_even(df, 4, ["k"]).groupBy("part").count(), "part", "count"))
+    assert even == {1: 3, 2: 3, 3: 3, 4: 1}  # ceil(10 / 4) = 3 per part, short tail part
+    chunks = dict(rows(M.split_chunks(df, 4, ["k"]).groupBy("part").count(), "part", "count"))
+    assert chunks == {1: 4, 2: 4, 3: 2}
+    shuffled = M.minibatches(df, 4, ["k"], shuffled=True, key="id", seed=1)
+    assert sorted(r[1] for r in rows(shuffled.groupBy("batch").count(), "batch", "count")) == [4, 4]  # remainder dropped
