@@ -326,3 +326,14 @@ def test_parts_and_batches(spark):
     assert chunks == {1: 4, 2: 4, 3: 2}
     shuffled = M.minibatches(df, 4, ["k"], shuffled=True, key="id", seed=1)
     assert sorted(r[1] for r in rows(shuffled.groupBy("batch").count(), "batch", "count")) == [4, 4]  # remainder dropped
+
+
+def test_holdout_and_few_shot(spark):
+    df = spark.range(25).select(F.col("id").cast("string").alias("id"), F.col("id").alias("k"))
+    first = dict(rows(M.holdout(df, "first_frac", 0.1, key="id").groupBy("split").count(), "split", "count"))
+    assert first == {"eval": 3, "train": 22}  # ceil(25 * 0.1)
+    last = M.holdout(df, "last_n", 5, order=["k"]).filter("split = 'eval'")
+    assert sorted(r[0] for r in rows(last, "k")) == [20, 21, 22, 23, 24]
+    assert M.few_shot(df, 100, key="id").count() == 25  # min(k, n)
+    with pytest.raises(ValueError):
+        M.holdout(df, "bogus", 1)
