@@ -337,3 +337,18 @@ def test_holdout_and_few_shot(spark):
     assert M.few_shot(df, 100, key="id").count() == 25  # min(k, n)
     with pytest.raises(ValueError):
         M.holdout(df, "bogus", 1)
+
+
+def test_encode_categories_threshold(spark):
+    from riskspark.operators import features as FE
+
+    tr = spark.createDataFrame([("1", "x", "a", "Fully Paid"), ("2", None, "b", "Charged Off"), ("3", "y", "c", "Fully Paid")],
+                               "id string, small string, big string, `Loan Status` string")
+    te = spark.createDataFrame([("4", "x", "d", "Charged Off")], "id string, small string, big string, `Loan Status` string")
+    a, b, mapping = FE.encode_categories(tr, te, threshold=2)
+    assert {"small_x", "small_y"} <= set(a.columns) and "small" not in a.columns  # 2 values -> one-hot
+    codes = dict(rows(a.unionByName(b), "id", "big"))
+    assert codes == {"1": 0, "2": 1, "3": 2, "4": 3}  # 4 values -> label codes, fitted on train and test
+    assert dict(rows(a, "id", "small_x"))["2"] == 0  # NULL -> all zero
+    m = dict(rows(FE.label_mapping(tr, ["small"]), "value", "code"))
+    assert m == {"x": 0, "y": 1, None: 2}  # NULL is the last code
