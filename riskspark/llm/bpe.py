@@ -1,13 +1,20 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a linked list of byte runs. Every neighbouring pair whose joined bytes are a
-vocabulary entry waits in the bucket of that entry's rank. A two-level bitmap marks the non-empty
-buckets, so find-first-set gives the lowest waiting rank in constant time; inside a bucket the
-leftmost position goes first. Entries that an earlier merge has changed are recognised by the rank
-remembered per position and skipped. A pre-token of n bytes takes O(n log n) steps, however long.
+vocabulary entry waits under that entry's merge rank. The queue is a two-level bitmap: a summary
+word marks the blocks of 256 ranks in which anything waits, and find-first-set gives the lowest one.
+Entries that an earlier merge has changed are recognised by the rank remembered per position and
+skipped.
+
+* ``merge`` (pre-tokens of more than ``LONG_BYTES``) keeps one bucket, a heap of positions, per
+  rank and a second bitmap inside the block: find-first-set twice, then the leftmost position.
+  n bytes take O(n log n) steps, however long the pre-token.
+* ``merge_many`` lays thousands of short pre-tokens in one buffer and advances them together: each
+  pre-token takes, from the lowest block, its own lowest rank and leftmost position. Pre-tokens
+  don't touch, so every one sees exactly the order of ``merge``.
 
 Texts are cut at single spaces between two non-blank characters, where no match of the split
-pattern can cross, and each distinct cut is encoded once per Python worker (a memo of bounded size).
+pattern can cross, and each distinct cut is encoded once per Python worker (memos of bounded size).
 
 Defined cases: NULL text counts as empty; the empty text has no ids and decodes to no bytes.
 """
@@ -21,51 +28,25 @@ from array import array
 from collections.abc import Iterable
 from functools import cache
 from heapq import heappop, heappush
+from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import map_rows
+from riskspark.llm.common import groups_of, map_rows
 
-WORD_BITS = 8  # ranks per bitmap word: 2 ** WORD_BITS
+WORD_BITS = 8  # ranks per block of the bitmap: 2 ** WORD_BITS
 WORD_MASK = (1 << WORD_BITS) - 1
-MEMO_ENTRIES = 1 << 20  # distinct cuts remembered per worker; the memo starts anew beyond it
+LONG_BYTES = 64  # longer pre-tokens are merged one by one
+TOGETHER = 1 << 16  # pre-tokens merged together at most
+CHARS_AT_ONCE = 1 << 22  # of the texts that are cut together (one text at least)
+MEMO_CUTS, MEMO_TOKENS = 1 << 19, 1 << 18  # distinct ones remembered per worker
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 BLANK_AFTER, BLANK_BEFORE = re.compile(r" \s"), re.compile(r"[^\S ] ")
 
 
-class _Memo(dict):
-    """Cut -> ids as native unsigned 32-bit bytes, filled on demand."""
-
-    def __init__(self, codec: BpeCodec, lead: str) -> None:
-        super().__init__()
-        self.codec, self.lead = codec, lead
-
-    def __missing__(self, cut: str) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        got = self[cut] = self.codec.encode_plain(self.lead + cut)
-        return got
-
-
-class _Tokens(dict):
-    """Pre-token -> ids as native unsigned 32-bit bytes."""
-
-    def __init__(self, codec: BpeCodec) -> None:
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, token: str) -> bytes:
-        piece = token.encode("utf-8", "surrogatepass")
-        whole = self.codec.ranks.get(piece)
-        ids = array("I", self.codec.merge(piece) if whole is None else [whole]).tobytes()
-        if len(self) >= MEMO_ENTRIES // 2:
-            self.clear()
-        self[token] = ids
-        return ids
-
-
 class BpeCodec:
     """Encoder and decoder over a rank file (base64 bytes and rank a line) and a split pattern."""
 
@@ -78,8 +59,23 @@ class BpeCodec:
             self.bytes_of[rank] = piece
         self.decimals = [str(rank) for rank in range(len(self.bytes_of))]
         self.words = [0] * ((len(self.bytes_of) >> WORD_BITS) + 1)
-        self.spaced, self.first = _Memo(self, " "), _Memo(self, "")
-        self.tokens = _Tokens(self)
+        pairs = {}
+        for piece, rank in self.ranks.items():
+            for i in range(1, len(piece)):
+                left, right = self.ranks.get(piece[:i]), self.ranks.get(piece[i:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.pair_keys = np.array(sorted(pairs) or [-1], np.int64)
+        self.pair_ranks = np.array([pairs.get(k, -1) for k in self.pair_keys.tolist()], np.int64)
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.tokens: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each joined pair, -1 where it isn't in the vocabulary."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token.
@@ -135,19 +131,119 @@ class BpeCodec:
             i = after[i]
         return ids
 
-    def encode_plain(self, text: str) -> bytes:
-        """Ids (unsigned 32-bit bytes) of a text, pre-token by pre-token."""
-        return b"".join(map(self.tokens.__getitem__, self.split.findall(text)))
-
-    def encode(self, text: str | None) -> array:
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (unsigned 32-bit bytes) of each of many short, non-empty pre-tokens."""
+        if not pieces:
+            return []
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        n = len(ids)
+        owner = np.repeat(np.arange(len(pieces)), lengths)
+        ends = np.cumsum(lengths)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends - lengths] = -1
+        waiting = np.full(n, -1, np.int64)
+        starts = np.flatnonzero(after >= 0)
+        waiting[starts] = self.joined(ids[starts], ids[starts + 1])
+        alive = np.ones(n, bool)
+        blocks: dict[int, list[np.ndarray]] = {}
+        summary = 0
+        added = starts
+        while True:
+            added = added[waiting[added] >= 0]
+            if len(added):
+                block = waiting[added] >> WORD_BITS
+                order = np.argsort(block, kind="stable")
+                added, block = added[order], block[order]
+                cuts = np.flatnonzero(np.diff(block)) + 1
+                for word, part in zip(block[np.r_[0, cuts]].tolist(), np.split(added, cuts), strict=True):
+                    blocks.setdefault(word, []).append(part)
+                    summary |= 1 << word
+            if not summary:
+                break
+            word = (summary & -summary).bit_length() - 1
+            at = np.concatenate(blocks.pop(word))
+            summary &= summary - 1
+            at = at[waiting[at] >> WORD_BITS == word]  # what stays behind is stale
+            if not len(at):
+                added = at
+                continue
+            key = np.sort(owner[at] << 40 | (waiting[at] & WORD_MASK) << 32 | at)
+            first = np.r_[True, np.diff(key >> 40) > 0]
+            at = key & 0xFFFFFFFF
+            if not first.all():
+                blocks[word] = [at[~first]]
+                summary |= 1 << word
+            at = at[first]  # one pair of each pre-token
+            gone = after[at]
+            end = after[gone]
+            ids[at] = waiting[at]
+            alive[gone] = False
+            waiting[gone] = waiting[at] = -1
+            after[at] = end
+            right = end >= 0
+            before[end[right]] = at[right]
+            waiting[at[right]] = self.joined(ids[at[right]], ids[end[right]])
+            left = before[at]
+            at_left = at[left >= 0]
+            left = left[left >= 0]
+            waiting[left] = self.joined(ids[left], ids[at_left])
+            added = np.concatenate([at[right], left])
+        found = ids[alive].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(np.bincount(owner[alive], minlength=len(pieces)))).tolist()
+        return [found[a:b] for a, b in zip([0, *stops], stops)]
+
+    def learn(self, cuts: set[str]) -> dict[str, bytes]:
+        """Ids (unsigned 32-bit bytes) of each cut; new pre-tokens are merged together."""
+        found = {cut: self.split.findall(cut) for cut in cuts}
+        tokens = self.tokens
+        if len(tokens) > MEMO_TOKENS:
+            tokens.clear()
+        short = []
+        for token in set(chain.from_iterable(found.values())).difference(tokens):
+            piece = token.encode("utf-8", "surrogatepass")
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                tokens[token] = array("I", [whole]).tobytes()
+            elif len(piece) > LONG_BYTES:
+                tokens[token] = array("I", self.merge(piece)).tobytes()
+            else:
+                short.append((token, piece))
+        for i in range(0, len(short), TOGETHER):
+            part = short[i : i + TOGETHER]
+            tokens.update(zip((t for t, _ in part), self.merge_many([p for _, p in part])))
+        return {cut: b"".join(map(tokens.__getitem__, parts)) for cut, parts in found.items()}
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, each as unsigned 32-bit bytes."""
+        groups = groups_of(texts, len(texts), CHARS_AT_ONCE)
+        return [ids for i, j in groups for ids in self._encode_together(texts[i:j])]
+
+    def _encode_together(self, texts: list[str | None]) -> list[bytes]:
+        cuts = []
+        for text in texts:
+            if not text:
+                cuts.append([""])
+            elif text[0] == " " or text[-1] == " " or BLANK_AFTER.search(text) or BLANK_BEFORE.search(text):
+                cuts.append(SAFE_SPACE.split(text))
+            else:
+                cuts.append(text.split(" "))
+        spaced, first = self.spaced, [c.pop(0) for c in cuts]
+        if len(spaced) > MEMO_CUTS:
+            spaced.clear()
+        parts = [list(map(spaced.get, c)) for c in cuts]
+        lacking = [i for i, p in enumerate(parts) if None in p]
+        new = {cut for i in lacking for cut, ids in zip(cuts[i], parts[i]) if ids is None}
+        got = self.learn({" " + cut for cut in new}.union(first))
+        spaced.update((cut, got[" " + cut]) for cut in new)
+        for i in lacking:
+            parts[i] = map(spaced.__getitem__, cuts[i])
+        return [got[head] + b"".join(rest) for head, rest in zip(first, parts)]
+
+    def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text."""
-        ids = array("I")
-        if text:
-            spaced = text[0] == " " or text[-1] == " " or BLANK_AFTER.search(text) or BLANK_BEFORE.search(text)
-            cuts = SAFE_SPACE.split(text) if spaced else text.split(" ")
-            ids.frombytes(self.first[cuts[0]])
-            ids.frombytes(b"".join(map(self.spaced.__getitem__, cuts[1:])))
-        return ids
+        return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -164,7 +260,7 @@ def codec(rank_path: str, pattern: str) -> BpeCodec:
 
 OUTPUTS = {
     "n_tokens": ("long", lambda ids, decoded, c: len(ids)),
-    "ids": ("array<int>", lambda ids, decoded, c: ids.tolist()),
+    "ids": ("array<int>", lambda ids, decoded, c: ids),
     "decoded": ("binary", lambda ids, decoded, c: decoded),
     "ids_sha256": ("string", lambda ids, decoded, c: hashlib.sha256(c.decimal(ids)).hexdigest()),
     "decoded_sha256": ("string", lambda ids, decoded, c: hashlib.sha256(decoded).hexdigest()),
@@ -181,8 +277,8 @@ def round_trip(
     def batch(cols: dict[str, list]) -> dict[str, list]:
         c = codec(rank_path, pattern)
         out: dict[str, list] = {"id": cols["id"], **{name: [] for name in outputs}}
-        for text in cols["text"]:
-            ids = c.encode(text)
+        for raw in c.encode_batch(cols["text"]):
+            ids = np.frombuffer(raw, "<u4").tolist()
             decoded = c.decode(ids)
             for name in outputs:
                 out[name].append(OUTPUTS[name][1](ids, decoded, c))

@@ -60,3 +60,15 @@ def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def groups_of(texts: list[str | None], most: int, chars: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of at most ``most`` texts and about ``chars`` characters (one text at least)."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        if i > first and (i - first >= most or held + len(t or "") > chars):
+            yield first, i
+            first, held = i, 0
+        held += len(t or "")
+    if texts:
+        yield first, len(texts)
