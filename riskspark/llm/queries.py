@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskspark.llm import bpe
-from riskspark.llm.common import table
+from riskspark.llm import bpe, fingerprint, html_extract, langid, packing, quality, sharding, topk
+from riskspark.llm.common import id_remainder, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
@@ -21,5 +22,79 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, capacity=2048)
+
+
+def language_prototypes(docs: DataFrame) -> dict:
+    """Learned from the rows with a language whose id remainder by 4 isn't 2."""
+    return langid.learn(docs.where(id_remainder(F.col("doc_id"), 4) != 2))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> tuple:
+    """Learned from the labelled rows whose id remainder by 3 isn't 1."""
+    known = labels.select("doc_id", "quality").where(id_remainder(F.col("doc_id"), 3) != 1)
+    return quality.learn(docs, known, "doc_id", "text", "quality")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, language_prototypes(docs))
+    return found.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of eight and its slot there."""
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op6_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, of its edited text, and their likeness."""
+    docs = table(spark, sf_dir, "documents")
+    return fingerprint.edited_likeness(docs, fingerprint.build_lexicon(docs))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality.predict(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return found.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op9_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    found = html_extract.extract(pages, html_extract.learn(pages))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every 50th vector, by integer inner product."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_language_id": op4_language_id,
+    "op5_sampled_splitters": op5_sampled_splitters,
+    "op6_i_match": op6_i_match,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_block_labeller": op9_block_labeller,
+    "op10_exact_top_k": op10_exact_top_k,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_top_k": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+  FROM e q JOIN e d ON d.vec_id <> q.vec_id AND len(d.v) = len(q.v) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+}
