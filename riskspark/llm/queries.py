@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, fingerprint, html_extract, langid, packing, quality, sharding, topk
+from riskspark.llm import bpe, fingerprint, html_extract, langid, near_dedup, packing, quality, sharding, topk
 from riskspark.llm.common import id_remainder, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -38,6 +38,11 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> tuple:
     return quality.learn(docs, known, "doc_id", "text", "quality")
 
 
+def op3_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, on 4-word shingles."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -79,6 +84,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_minhash_hamming": op3_minhash_hamming,
     "op4_language_id": op4_language_id,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_i_match": op6_i_match,
