@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, fingerprint, html_extract, langid, near_dedup, packing, quality, sharding, topk
+from riskspark.llm import bpe, fingerprint, html_extract, langid, near_dedup, packing, quality, repeats, sharding, topk
 from riskspark.llm.common import id_remainder, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -69,6 +69,14 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op8_prefix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that start earlier."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])
+    spans = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", lost.alias("n_removed"), spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages")
@@ -89,6 +97,7 @@ QUERIES = {
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_i_match": op6_i_match,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_prefix_intervals": op8_prefix_intervals,
     "op9_block_labeller": op9_block_labeller,
     "op10_exact_top_k": op10_exact_top_k,
 }
