@@ -37,6 +37,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from riskspark.llm.common import materialize, pa_schema
 from riskspark.llm.shingles import PRIME, powers, scrambled
@@ -412,14 +414,19 @@ def removed_ranges(size: int, first: np.ndarray, stop: np.ndarray) -> tuple[np.n
     return first[new], np.minimum(stop[np.r_[new[1:], True]], size)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "repeats") -> DataFrame:
-    """All columns of ``docs`` but the text, then (n_bytes, spans, kept): size, removed runs, remaining bytes."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "repeats", as_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` but the text, then (n_bytes, spans, kept): size, removed runs, remaining bytes.
+
+    With ``as_text`` the last is a string: a character of which only a part is left goes whole, and
+    NULL texts are NULL again. A column of ``docs`` with one of these names gives way."""
     spark = docs.sparkSession
     schema = pa_schema(spark, DDL)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    rest = F.struct(F.lit(0).alias("_"), F.col(text_col).isNull().alias("_null"), *[F.col(c) for c in docs.columns if c != text_col])
+    names = [c for c in docs.columns if c not in (text_col, "n_bytes", "spans", "kept")]
+    others = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in names])  # never an empty struct
+    rest = F.struct(F.col(text_col).isNull().alias("no_text"), others.alias("others"))
     rows = docs.select(doc.alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"), rest.alias("rest"))
     rows = rows.withColumn("home", F.pmod(F.xxhash64("doc", "mark"), F.lit(buckets)).cast("int"))
 
@@ -431,15 +438,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def beside_texts(parts: DataFrame, source: DataFrame, columns: list[str]) -> DataFrame:
         """Rows of ``parts`` and compressed texts of ``source``, by home bucket, the texts last."""
-        ddl = "doc long, mark long, bucket int, payload binary" + "".join(f", `{c}` {source.schema[c].dataType.simpleString()}" for c in columns)
-        out = pa_schema(spark, ddl)
+        form = StructType([*StructType.fromDDL("doc long, mark long, bucket int, payload binary"), *(source.schema[c] for c in columns)])
+        out = to_arrow_schema(form)
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 packed = [zlib.compress(x, 1) for x in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("mark"), b.column("home"), pa.array(packed, pa.binary()), *(b.column(c) for c in columns)], schema=out)
 
-        texts = source.mapInArrow(pack, ddl).withColumn("kind", F.lit(TEXT))
+        texts = source.mapInArrow(pack, form).withColumn("kind", F.lit(TEXT))
         whole = parts.unionByName(texts, allowMissingColumns=True)
         return whole.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
@@ -448,8 +455,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     opened = materialize(opened, f"{label}-open")
     ranges = classes.where(F.col("kind") == COVERED).union(opened)
 
-    ddl = f"rest {rows.schema['rest'].dataType.simpleString()}, n_bytes long, spans array<struct<first:bigint,stop:bigint>>, kept binary"
-    result = pa_schema(spark, ddl)
+    kind = rows.schema["rest"].dataType
+    form = StructType([StructField("rest", kind), *StructType.fromDDL(f"n_bytes long, spans array<struct<first:bigint,stop:bigint>>, kept {'string' if as_text else 'binary'}")])
+    result = to_arrow_schema(form)
 
     def cut(found: Columns, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sizes, spans, kept = [], [], []
@@ -458,9 +466,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             a, b = removed_ranges(len(text), found["first"][own], found["stop"][own]) if own.start < own.stop else ([], [])
             sizes.append(len(text))
             spans.append([{"first": int(x), "stop": int(y)} for x, y in zip(a, b)])
-            kept.append(b"".join(text[int(x) : int(y)] for x, y in zip([0, *b], [*a, len(text)])))
-        yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(sizes, pa.int64()), pa.array(spans, result.field("spans").type), pa.array(kept, pa.binary())], schema=result)
+            left = b"".join(text[int(x) : int(y)] for x, y in zip([0, *b], [*a, len(text)]))
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
+        yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(sizes, pa.int64()), pa.array(spans, result.field("spans").type), pa.array(kept, result.field("kept").type)], schema=result)
 
-    found = beside_texts(ranges, rows, ["rest"]).mapInArrow(by_document(cut, result), ddl)
-    others = [F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c != text_col]
-    return found.select(*others, F.col("rest._null").alias("_null"), "n_bytes", "spans", "kept")
+    found = beside_texts(ranges, rows, ["rest"]).mapInArrow(by_document(cut, result), form)
+    kept = F.when(~F.col("rest.no_text"), F.col("kept")).alias("kept") if as_text else F.col("kept")
+    return found.select(*[F.col(f"rest.others.`{c}`").alias(c) for c in names], "n_bytes", "spans", kept)
