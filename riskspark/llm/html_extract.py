@@ -35,6 +35,7 @@ from riskspark.llm.common import groups_of, map_rows, pa_schema
 TRAIN_PAGES = 300
 BUCKETS, EMBED, HIDDEN, SCALARS = 4096, 12, 12, 4
 EPOCHS, MINIBATCH, RATE = 6, 16, 0.01
+FEWEST_EXAMPLES = 400  # small samples are dressed more often
 PAGES_AT_ONCE, CHARS_AT_ONCE = 128, 1 << 21
 
 #: Names of containers (tags, or words of class, id and role), by kind; fixed values.
@@ -58,6 +59,7 @@ TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?=[\s>/])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+OPENED = re.compile(r"<[a-zA-Z/!?]")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -87,7 +89,7 @@ def read_blocks(html: str | None) -> list[Block]:
         linked = 0
 
     page, last, tail = (html or "").rpartition(">")
-    for m in TOKEN.finditer(page + last + tail.partition("<")[0]):  # a tag that the page's end cuts off is no text
+    for m in TOKEN.finditer(page + last + OPENED.split(tail, maxsplit=1)[0]):  # a tag that the page's end cuts off is no text
         text = m["text"]
         if text is not None:
             parts.append(text)
@@ -162,10 +164,11 @@ def dressed(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block],
     out: list[tuple[Block, int]] = []
     for path, text, links in blocks:
         out.append(((tuple(t for token in path for t in rename(token)), text, links), silver(path)))
-    for _ in range(rng.integers(1, 4)):
+    for _ in range(rng.integers(2, 6)):
         at = rng.integers(len(out) + 1)
         tag = ("div", "section", "ul")[rng.integers(3)]
-        path = ("html", "body", *(out[at - 1][0][0][2:-1] if at and rng.random() < 0.5 else ()), *pick(SIDE, tag), ("p", "div", "li")[rng.integers(3)])
+        named = (SIDE_TAGS[rng.integers(len(SIDE_TAGS))],) if rng.random() < 0.4 else pick(SIDE, tag)
+        path = ("html", "body", *(out[at - 1][0][0][2:-1] if at and rng.random() < 0.5 else ()), *named, ("p", "div", "li")[rng.integers(3)])
         added = [((path, texts[rng.integers(len(texts))], float(rng.random() < 0.2)), 0) for _ in range(rng.integers(1, 5))]
         out[at:at] = added
     return [b for b, _ in out], [y for _, y in out]
@@ -333,7 +336,7 @@ def train(pages: list[str | None], seed: int = 3) -> dict[str, np.ndarray]:
     examples = []
     for blocks in read:
         examples.append((blocks, [silver(p) for p, _, _ in blocks]))
-        examples += [dressed(blocks, rng), dressed(blocks, rng)]
+        examples += [dressed(blocks, rng) for _ in range(max(2, -(-FEWEST_EXAMPLES // len(read))))]
     labeller = Labeller()
     labeller.fit(examples)
     return labeller.p

@@ -31,6 +31,7 @@ TRAIN_ROWS = 6_000
 BUCKETS = 1 << 17
 DIMENSIONS = 16
 EPOCHS, MINIBATCH, RATE = 4, 32, 4.0
+FEWEST_STEPS = 600  # small samples take more epochs
 GRAMS = (3, 4)
 REPEATED = BUCKETS  # the feature of a word that repeats its predecessor
 MEMO_WORDS = 1 << 19
@@ -79,9 +80,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS + 1, DIMENSIONS))
     output, bias = np.zeros((DIMENSIONS, 2)), np.log(np.bincount(y, minlength=2) / len(y))
     features = [text_features(t) for t in texts]
-    steps = EPOCHS * -(-len(y) // MINIBATCH)
-    step = 0
-    for _ in range(EPOCHS):
+    each = -(-len(y) // MINIBATCH)
+    epochs = max(EPOCHS, -(-FEWEST_STEPS // each))
+    steps, step = epochs * each, 0
+    for _ in range(epochs):
         order = rng.permutation(len(y))
         for a in range(0, len(y), MINIBATCH):
             rows = [r for r in order[a : a + MINIBATCH].tolist() if len(features[r][0])]

@@ -200,7 +200,7 @@ def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict
             yield kind, bucket, pickle.loads(payload.as_buffer())
 
 
-def reduce_classes(schema: pa.Schema) -> Callable:
+def reduce_classes(hot_spans: int, schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for kind, bucket, rows in payloads(batches):
@@ -217,7 +217,7 @@ def reduce_classes(schema: pa.Schema) -> Callable:
         rows = select(rows, np.argsort(rows["anchor"], kind="stable"))
         group = np.cumsum(np.r_[True, rows["anchor"][1:] != rows["anchor"][:-1]]) - 1
         spans = np.bincount(group)[group]
-        rows["hot"] = spans > HOT_SPANS
+        rows["hot"] = spans > hot_spans
         rows = select(rows, spans > 1)
         yield from dealt(OPEN, rows, rows["home"], schema)
 
@@ -414,7 +414,7 @@ def removed_ranges(size: int, first: np.ndarray, stop: np.ndarray) -> tuple[np.n
     return first[new], np.minimum(stop[np.r_[new[1:], True]], size)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "repeats", as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "repeats", as_text: bool = False, hot_spans: int = HOT_SPANS) -> DataFrame:
     """All columns of ``docs`` but the text, then (n_bytes, spans, kept): size, removed runs, remaining bytes.
 
     With ``as_text`` the last is a string: a character of which only a part is left goes whole, and
@@ -433,7 +433,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition(buckets, "bucket")
 
-    classes = by_bucket(rows.select(*ROW_ID, "text").mapInArrow(find_classes(buckets, schema), DDL)).mapInArrow(reduce_classes(schema), DDL)
+    classes = by_bucket(rows.select(*ROW_ID, "text").mapInArrow(find_classes(buckets, schema), DDL)).mapInArrow(reduce_classes(hot_spans, schema), DDL)
     classes = materialize(classes, f"{label}-classes")
 
     def beside_texts(parts: DataFrame, source: DataFrame, columns: list[str]) -> DataFrame:
