@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .text import py_strip
 
 # Fixed values that must equal the reference's behaviour: split phrase, verdict words,
-# the three verdict patterns and the think-format pattern.
+# the verdict and risk patterns and the think tags.
 SPLIT_TOKEN = "Final assessment"
 RISK_TOKEN = "Default risk"
 GOOD, BAD = "good", "bad"
@@ -19,7 +19,7 @@ VERDICT_PATTERN = r"\s*\*?\*?Final\s*[Aa]ssessment\*?\*?\s*:\s*(good|bad)\*?\*?"
 RISK_PATTERN = r"\s*\*?\*?Default\s*[Rr]isk\*?\*?\s*:\s*((?:[1-9]|[1-9][0-9]|100))\b\*?\*?"
 STRICT_PATTERN = r"Final assessment: (good|bad)\s*\nDefault risk: (100|[1-9][0-9]|[1-9])\s*$"
 LOOSE_PATTERN = r"Final assessment: (good|bad)\s*\nDefault risk: (100|[1-9][0-9]|[1-9])"
-THINK_PATTERN = r"(?s)^(?=(?:(?!<think>).)*<think>(?:(?!<think>).)*$)<think>\n([^<]*(?:<(?!/?think>)[^<]*)*)</think>\n"
+THINK_OPEN, THINK_CLOSE = "<think>", "</think>"
 STEP_TAG = "\n\n"
 
 
@@ -106,12 +106,18 @@ def parse_answer(response, good: str = GOOD, bad: str = BAD) -> dict[str, Column
 def is_correct(response, expected) -> Column:
     """R-09: the expected word occurs after the last split phrase (lower-cased)."""
     seg = F.substring_index(F.lower(_c(response)), SPLIT_TOKEN.lower(), -1)
-    return seg.contains(F.lower(_c(expected)))
+    return seg.contains(F.lower(py_strip(_c(expected))))
 
 
 def has_think_format(response) -> Column:
-    """R-10: exactly one <think>, text starts with '<think>\\n', first </think> followed by a newline."""
-    return F.coalesce(_c(response).rlike(THINK_PATTERN), F.lit(False))
+    """R-10: exactly one <think>, text starts with '<think>\\n', first </think> followed by a newline.
+
+    Plain string functions: a pattern with look-aheads recurses once per character."""
+    t = _c(response)
+    opened = F.length(t) - F.length(F.replace(t, F.lit(THINK_OPEN), F.lit("")))
+    rest = F.substr(t, F.instr(t, THINK_CLOSE) + F.lit(len(THINK_CLOSE)))
+    ok = (opened == len(THINK_OPEN)) & t.startswith(THINK_OPEN + "\n") & t.contains(THINK_CLOSE) & rest.startswith("\n")
+    return F.coalesce(ok, F.lit(False))
 
 
 def softmax2(a, b) -> tuple[Column, Column]:

@@ -56,9 +56,9 @@ def split_observation(obs) -> tuple[Column, Column]:
 
 
 def new_text(child_prefix, parent_prefix) -> Column:
-    """T-13: text a node adds to its parent's prefix, stripped."""
+    """T-13: text a node adds to its parent's prefix (what stands behind the prefix's length), stripped."""
     c, p = _c(child_prefix), _c(parent_prefix)
-    return py_strip(F.when(p.isNull(), c).when(c.startswith(p), F.substr(c, F.length(p) + F.lit(1))).otherwise(c))
+    return py_strip(F.when(p.isNull(), c).otherwise(F.substr(c, F.length(p) + F.lit(1))))
 
 
 def strip_question(solution, question) -> Column:
@@ -81,10 +81,14 @@ def pad_truncate(arr, n: int, pad) -> tuple[Column, Column]:
     return padded, attention
 
 
+def positions(arr: Column, last: int = 1) -> Column:
+    """0-based positions up to ``size - last``; none where the array is shorter."""
+    return F.when(F.size(arr) >= last, F.sequence(F.lit(0), F.size(arr) - last)).otherwise(F.array().cast("array<int>"))
+
+
 def find_all(arr, x) -> Column:
     """T-21: 0-based positions of ``x``."""
-    a = _c(arr)
-    return F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.element_at(a, i + 1) == F.lit(x))
+    return F.filter(positions(_c(arr)), lambda i: F.element_at(_c(arr), i + 1) == F.lit(x))
 
 
 def find_subsequence(arr, pattern: list) -> Column:
@@ -92,14 +96,14 @@ def find_subsequence(arr, pattern: list) -> Column:
     a = _c(arr)
     m = len(pattern)
     pat = F.array(*[F.lit(p) for p in pattern])
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(a) - m, F.lit(-1))), lambda i: F.slice(a, i + 1, m) == pat)
+    starts = F.filter(positions(a, m), lambda i: F.slice(a, i + 1, m) == pat)
     return F.try_element_at(starts, F.lit(1))
 
 
 def last_non_pad(arr, pad) -> Column:
     """T-23: 0-based position of the last element that is not ``pad`` (-1 when none)."""
     a = _c(arr)
-    pos = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.element_at(a, i + 1) != F.lit(pad))
+    pos = F.filter(positions(a), lambda i: F.element_at(a, i + 1) != F.lit(pad))
     return F.coalesce(F.array_max(pos), F.lit(-1))
 
 
@@ -112,14 +116,15 @@ def eos_mask(arr, eos) -> Column:
 
 def step_token_labels(arr, tag_id, labels, good_id, bad_id, ignore: int = -100) -> tuple[Column, Column]:
     """T-20: at the k-th tag position put good_id / bad_id from labels[k], elsewhere ``ignore``;
-    attention 0 at tags. A label other than 0/1 gives NULL (caller raises)."""
+    attention 0 at tags. A tag without a label of 0 or 1 is an error."""
     a, lab = _c(arr), _c(labels)
     tags = find_all(a, tag_id)  # positions of the tags, in order
 
     def at_tag(i):
         k = F.array_position(tags, i)  # 1-based rank of this tag
         v = F.try_element_at(lab, k.cast("int"))
-        return F.when(v == 1, F.lit(good_id)).when(v == 0, F.lit(bad_id))
+        wrong = F.raise_error(F.concat(F.lit("a step label must be 0 or 1, not "), F.coalesce(v.cast("string"), F.lit("NULL"))))
+        return F.when(v == 1, F.lit(good_id)).when(v == 0, F.lit(bad_id)).otherwise(wrong.cast("int"))
 
     lbl = F.transform(a, lambda x, i: F.when(x == F.lit(tag_id), at_tag(i)).otherwise(F.lit(ignore)))
     att = F.transform(a, lambda x: F.when(x == F.lit(tag_id), F.lit(0)).otherwise(F.lit(1)))

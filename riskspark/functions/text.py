@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes all ASCII whitespace, Spark's trim only blanks.
-PY_WHITESPACE = " \t\n\r\f\u000b"
+# Every character that Python's str.strip() and str.split() take for white space.
+PY_WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _c(x) -> Column:
@@ -17,20 +17,54 @@ def py_strip(x) -> Column:
     return F.btrim(_c(x), F.lit(PY_WHITESPACE))
 
 
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once: nested text expressions stay small in generated code."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def fmt2(x) -> Column:
-    """``f"{x:.2f}"`` for the values used in prompts (half-up on the decimal value)."""
-    # equal to Python except on exact binary ties (x.xx5), which inputs built from integers avoid
-    return F.format_string("%.2f", _c(x).cast("double"))
+    """``f"{x:.2f}"``: the exact binary value rounded half to even.
+
+    x * 200 is taken as two exact products (x split into a 24-bit part and the rest), so its side of
+    the midpoint between two cents is decided without rounding."""
+
+    def rounded(a: Column, cents: Column) -> Column:
+        high = a.cast("float").cast("double")
+        side = (high * F.lit(200.0) - (cents * 2 + 1).cast("double")) + (a - high) * F.lit(200.0)
+        return cents + ((side > 0) | ((side == 0) & (cents % 2 == 1))).cast("long")
+
+    def shown(n: Column) -> Column:
+        return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+    c = _c(x).cast("double")
+    exact = _let(F.abs(c), lambda a: _let(F.floor(a * F.lit(100.0)), lambda cents: _let(rounded(a, cents), shown)))
+    return F.when(F.abs(c) < F.lit(1e13), F.concat(F.when(c < 0, "-").otherwise(""), exact)).otherwise(F.format_string("%.2f", c))
 
 
 def fmt_num(x) -> Column:
-    """``str(x)`` of a Python float: '1.0', '12.5', '66925700.0' (no exponent below 1e16)."""
+    """``str(x)`` of a Python float: shortest digits, an exponent below 1e-4 and from 1e16 on."""
+
+    def placed(text: Column) -> Column:
+        """Spark's digits with an exponent (outside 1e-3 ... 1e7), the point put where Python has it."""
+        power = F.substring_index(text, "E", -1).cast("int")
+        return _let(power, lambda e: _let(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), lambda m: written(m, e)))
+
+    def written(mantissa: Column, power: Column) -> Column:
+        digits = F.replace(mantissa, F.lit("."), F.lit(""))
+        behind = F.substr(digits, power + 2)
+        large = F.concat(F.substr(F.rpad(digits, 17, "0"), F.lit(1), power + 1), F.lit("."), F.when(F.length(behind) > 0, behind).otherwise("0"))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        size = F.abs(power).cast("string")
+        other = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.length(size), F.lit(2)), F.lit("0")))
+        return F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(other)
+
     c = _c(x).cast("double")
-    plain = c.cast("string")
-    big = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,6)").cast("string"), "0+$", ""), r"\.$", ".0")
-    return F.when(F.abs(c) >= F.lit(1e7), big).otherwise(plain)
+    text = c.cast("string")
+    special = F.when(F.isnan(c), "nan").when(F.abs(c) == F.lit(float("inf")), F.when(c > 0, "inf").otherwise("-inf"))
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    return F.coalesce(special, F.when(text.contains("E"), F.concat(sign, _let(F.regexp_replace(text, "^-", ""), placed))).otherwise(text))
 
 
 def word_count(x) -> Column:
-    """T-16: number of whitespace separated words."""
-    return F.size(F.filter(F.split(py_strip(x), r"\s+"), lambda w: w != ""))
+    """T-16: Python ``len(text.split())``."""
+    return F.size(F.filter(F.split(_c(x), f"[{PY_WHITESPACE}]+"), lambda w: w != ""))

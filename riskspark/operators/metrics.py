@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import threshold_label
-from .ordered import running_totals
+from .ordered import join_groups, running_totals
 
 
 def _c(x) -> Column:
@@ -29,14 +29,21 @@ def _div(a: Column, b: Column) -> Column:
 def curve_points(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """E-04 / E-06: one row per (keys, distinct score) in descending score order with
     tpr, fpr, precision of the point and of the previous point (origin / (0, 1) first)."""
-    by = list(by)
+    return _points(df, label, score, list(by), {})
+
+
+def _points(df: DataFrame, label: str, score: str, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """The curve points, with further ``sums`` per (keys, score) carried along."""
     pts = df.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("neg"),
+        *[F.sum(c).alias(k) for k, c in sums.items()],
     )
-    tot = pts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    # the running totals store their input, so the rows of ``df`` are read once
     cum = running_totals(pts, [F.col("score").desc()], {"cum_pos": "pos", "cum_neg": "neg"}, by=by)
-    cum = cum.join(tot, on=by, how="inner") if by else cum.crossJoin(F.broadcast(tot))  # tot: one row
+    # the last point of a group holds its totals
+    tot = cum.groupBy(*by).agg(F.max("cum_pos").alias("P"), F.max("cum_neg").alias("N"))
+    cum = join_groups(cum, tot, by)
     prev_pos = F.col("cum_pos") - F.col("pos")
     prev_neg = F.col("cum_neg") - F.col("neg")
     return cum.select(
@@ -54,44 +61,57 @@ def curve_points(df: DataFrame, label: str = "label", score: str = "score", by:
         _div(prev_pos.cast("double"), F.col("P")).alias("prev_tpr"),
         _div(prev_neg.cast("double"), F.col("N")).alias("prev_fpr"),
         F.coalesce(_div(prev_pos.cast("double"), prev_pos + prev_neg), F.lit(1.0)).alias("prev_precision"),
+        *sums,
     )
 
 
 def curve_metrics(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """E-05 ROC-AUC (ties = 1/2), E-07 PR-AUC (trapezoid from (0, 1)), E-08 KS signed, E-09 KS absolute."""
     by = list(by)
-    pts = curve_points(df, label, score, by)
-    return pts.groupBy(*by).agg(
+    return curve_points(df, label, score, by).groupBy(*by).agg(*_curve_aggregates())
+
+
+def _curve_aggregates() -> list[Column]:
+    return [
         F.sum((F.col("fpr") - F.col("prev_fpr")) * (F.col("tpr") + F.col("prev_tpr")) / 2).alias("roc_auc"),
         F.sum((F.col("tpr") - F.col("prev_tpr")) * (F.col("precision") + F.col("prev_precision")) / 2).alias("pr_auc"),
         F.greatest(F.lit(0.0), F.max(F.col("tpr") - F.col("fpr"))).alias("ks_signed"),
         F.max(F.abs(F.col("tpr") - F.col("fpr"))).alias("ks"),
-    )
+    ]
 
 
 def label_metrics(df: DataFrame, label: str = "label", pred: str = "pred_label", by: Sequence[str] = ()) -> DataFrame:
     """E-02 accuracy and E-03 F1 over non-miss rows, E-10 miss share and counts."""
     by = list(by)
+    agg = df.groupBy(*by).agg(*[F.sum(c).alias(k) for k, c in _label_terms(label, pred).items()])
+    return agg.select(*by, *_label_columns())
+
+
+def _label_terms(label: str, pred: str) -> dict[str, Column]:
+    """Per-row 0/1 terms of the label metrics."""
     valid = F.col(pred).isNotNull()
-    tp = F.sum(F.when(valid & (F.col(pred) == 1) & (F.col(label) == 1), 1).otherwise(0))
-    fp = F.sum(F.when(valid & (F.col(pred) == 1) & (F.col(label) != 1), 1).otherwise(0))
-    fn = F.sum(F.when(valid & (F.col(pred) != 1) & (F.col(label) == 1), 1).otherwise(0))
-    agg = df.groupBy(*by).agg(
-        F.sum(F.when(valid & (F.col(pred) == F.col(label)), 1).otherwise(0)).alias("_correct"),
-        F.sum(F.when(valid, 1).otherwise(0)).cast("long").alias("num_valid"),
-        F.count(F.lit(1)).alias("num_total"),
-        tp.alias("_tp"),
-        fp.alias("_fp"),
-        fn.alias("_fn"),
-    )
-    return agg.select(
-        *by,
+
+    def one(cond: Column) -> Column:
+        return F.when(valid & cond, 1).otherwise(0)
+
+    return {
+        "_correct": one(F.col(pred) == F.col(label)),
+        "_tp": one((F.col(pred) == 1) & (F.col(label) == 1)),
+        "_fp": one((F.col(pred) == 1) & (F.col(label) != 1)),
+        "_fn": one((F.col(pred) != 1) & (F.col(label) == 1)),
+        "num_valid": one(F.lit(True)).cast("long"),
+        "num_total": F.lit(1).cast("long"),
+    }
+
+
+def _label_columns() -> list[Column]:
+    return [
         _div(F.col("_correct").cast("double"), F.col("num_valid")).alias("accuracy"),
         F.coalesce(_div((2 * F.col("_tp")).cast("double"), 2 * F.col("_tp") + F.col("_fp") + F.col("_fn")), F.lit(0.0)).alias("f1"),
         _div((F.col("num_total") - F.col("num_valid")).cast("double"), F.col("num_total")).alias("miss_pct"),
-        "num_valid",
-        "num_total",
-    )
+        F.col("num_valid"),
+        F.col("num_total"),
+    ]
 
 
 def evaluate(
@@ -107,14 +127,16 @@ def evaluate(
     if pred is None:
         df = df.withColumn("_pred", threshold_label(F.col(score)))
         pred = "_pred"
-    lm = label_metrics(df, label, pred, by)
-    cm = curve_metrics(df, label, score, by)
-    return lm.join(cm, on=by, how="inner") if by else lm.crossJoin(cm)
+    terms = _label_terms(label, pred)
+    points = _points(df, label, score, by, terms)
+    agg = points.groupBy(*by).agg(*[F.sum(k).alias(k) for k in terms], *_curve_aggregates())
+    return agg.select(*by, *_label_columns(), "roc_auc", "pr_auc", "ks_signed", "ks")
 
 
 def select_best(metrics: DataFrame, metric: str, order: str = "model", by: Sequence[str] = ()) -> DataFrame:
     """E-12: the row with the highest ``metric`` (NULL/NaN never wins; the smallest ``order``
-    value, i.e. the first listed, wins ties). A min over a struct: an ordinary partial aggregate."""
+    value wins ties: pass a position column for "the first listed"). A min over a struct: an ordinary
+    partial aggregate."""
     by = list(by)
     top = (
         metrics.filter(F.col(metric).isNotNull() & ~F.isnan(F.col(metric)))
@@ -122,7 +144,7 @@ def select_best(metrics: DataFrame, metric: str, order: str = "model", by: Seque
         .agg(F.min(F.struct((-F.col(metric)).alias("m"), F.col(order).alias("o"))).alias("_top"))
         .select(*by, F.col("_top.o").alias(order))
     )
-    return metrics.join(top, on=[*by, order], how="left_semi")
+    return join_groups(metrics, top, [*by, order], "left_semi")
 
 
 def token_metrics(df: DataFrame, label: str = "label", prob: str = "prob", by: Sequence[str] = ()) -> DataFrame:
@@ -136,7 +158,7 @@ def token_metrics(df: DataFrame, label: str = "label", prob: str = "prob", by: S
         F.avg(F.when((F.col(prob) > 0.5).cast("int") == F.col(label), 1.0).otherwise(0.0)).alias("accuracy"),
     )
     auc = curve_metrics(d, label, prob, by).select(*by, F.coalesce("roc_auc", F.lit(0.0)).alias("roc_auc"))
-    return base.join(auc, on=by, how="inner") if by else base.crossJoin(auc)
+    return join_groups(base, auc, by)
 
 
 def mean_history(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -13,9 +13,9 @@ its rows exactly as before.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,15 +34,14 @@ def _as_cols(xs: Sequence[str | Column]) -> list[Column]:
 
 
 def _ranged(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:
-    """Range-partition, sort inside partitions and number rows; then checkpoint.
+    """Range-partition, sort inside partitions, number rows, and store the table as Parquet.
 
     The partition id and in-partition position are read twice (per-partition totals and the rows
     themselves). Two plan branches over a range exchange are not guaranteed to see the same
     partitioning, and a lost executor would renumber recomputed rows, so the numbered table is
-    written once to the shared checkpoint folder and both branches read that."""
-    from ..session import ensure_checkpoint_dir
+    written once to the shared folder and both branches read the columns they need from it."""
+    from ..session import checkpoint_path
 
-    ensure_checkpoint_dir(df.sparkSession)
     keys = _as_cols(by) + _as_cols(order)
     numbered = (
         df.repartitionByRange(n, *keys)
@@ -51,11 +50,9 @@ def _ranged(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n:
         # position inside the sorted partition: the low 33 bits of the monotonically increasing id
         .withColumn(_LOCAL, F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33))
     )
-    # persisted first so that the checkpoint job does not compute the rows a second time
-    numbered = numbered.persist(StorageLevel.MEMORY_AND_DISK)
-    out = numbered.checkpoint(eager=True)
-    numbered.unpersist()
-    return out
+    path = checkpoint_path(df.sparkSession, f"ordered-{uuid.uuid4().hex}")
+    numbered.write.parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
 def _offsets(ranged: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
@@ -70,10 +67,23 @@ def _offsets(ranged: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> D
     )
 
 
+def join_groups(rows: DataFrame, per_group: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join one row per group to its rows; a NULL group is a group. Without groups ``per_group`` is one row."""
+    by = list(by)
+    if not by:
+        return rows.crossJoin(F.broadcast(per_group))
+    named = per_group.withColumnsRenamed({c: f"_rs_by_{i}" for i, c in enumerate(by)})
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_rs_by_{i}")) for i, c in enumerate(by)]
+    cond = same[0]
+    for s in same[1:]:
+        cond = cond & s
+    return rows.join(named, cond, how).drop(*[f"_rs_by_{i}" for i in range(len(by))])
+
+
 def _join_small(big: DataFrame, small: DataFrame, on: list[str], bounded: bool) -> DataFrame:
     # ``bounded``: the small side has at most one row per partition (no groups), a proven bound.
     # With groups its size grows with the number of groups, so AQE decides at runtime.
-    return big.join(F.broadcast(small) if bounded else small, on=on, how="inner")
+    return join_groups(big, F.broadcast(small) if bounded else small, on)
 
 
 def row_index(
@@ -137,7 +147,7 @@ def _fold_blocks(df: DataFrame, keys: list[str], step: str, a: str, b: str, bloc
         return F.struct(
             y.alias("y"),
             p.alias("p"),
-            F.concat(acc["out"], F.array(F.struct(x["s"].cast("long").alias("s"), y.alias("y"), p.alias("p")))).alias("out"),
+            F.array_append(acc["out"], F.struct(x["s"].cast("long").alias("s"), y.alias("y"), p.alias("p"))).alias("out"),
         )
 
     folded = grouped.select(*keys, "_rs_blk", F.aggregate("_rs_items", init, step_fn)["out"].alias("_rs_out"))
@@ -175,7 +185,7 @@ def suffix_scan(
         starts = suffix_scan(first, keys, "_rs_k", "_rs_P", "_rs_Y", "_rs_start", block, (max_len + block - 1) // block)
         carry = starts.select(*keys, (F.col("_rs_k") - 1).alias("_rs_blk"), F.col("_rs_start").alias("_rs_carry"))
         res = (
-            loc.join(carry, on=[*keys, "_rs_blk"], how="left")
+            join_groups(loc, carry, [*keys, "_rs_blk"], "left")
             .select(*keys, F.col("s").alias(step), (F.col("y") + F.col("p") * F.coalesce("_rs_carry", F.lit(0.0))).alias(out))
         )
-    return df.join(res, on=[*keys, step], how="inner")
+    return join_groups(df, res, [*keys, step])

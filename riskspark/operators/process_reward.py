@@ -8,14 +8,16 @@ grouped aggregation (partial, skew-safe); ordered cuts use ``running_totals``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.steps import STEP_TAG, new_text, split_steps, strip_question
-from ..functions.text import py_strip
-from .ordered import running_totals
+from ..functions.text import py_strip, word_count  # noqa: F401 - T-16 stands in functions.text
+from ..session import checkpoint_path
+from .ordered import join_groups, running_totals
 from .sampling import top_up
 
 # Fixed values of the reference's selection bands and search parameters.
@@ -71,11 +73,6 @@ def incorrect_rollouts(rollouts: DataFrame, keys: Sequence[str] = ("question_id"
     return rollouts.filter(~F.col("correct")).select(*keys, "rollout").dropDuplicates([*keys, "rollout"])
 
 
-def word_count(text) -> Column:
-    """T-16: Python ``len(text.split())``."""
-    return F.size(F.filter(F.split(py_strip(text), r"[ \t\n\r\f\u000b]+"), lambda w: w != ""))
-
-
 def q_value(mc, words, alpha: float = 0.5, beta: float = 0.9, length: int = 500) -> Column:
     """G-05: alpha^(1 - MC) * beta^(words / L)."""
     return F.pow(F.lit(alpha), F.lit(1.0) - _c(mc)) * F.pow(F.lit(beta), _c(words) / F.lit(float(length)))
@@ -86,7 +83,7 @@ def u_values(nodes: DataFrame, c_puct: float = 0.125, tree: str = "question_id",
     tot = nodes.groupBy(tree).agg(F.sum(visits).alias("_n_total"))
     n_total = F.when(F.col("_n_total") == 0, F.lit(1)).otherwise(F.col("_n_total"))
     return (
-        nodes.join(tot, tree, "inner")
+        join_groups(nodes, tot, [tree])
         .withColumn("u", F.lit(c_puct) * F.sqrt(n_total.cast("double")) / (F.lit(1.0) + F.col(visits)))
         .drop("_n_total")
     )
@@ -94,16 +91,15 @@ def u_values(nodes: DataFrame, c_puct: float = 0.125, tree: str = "question_id",
 
 def select_next(pool: DataFrame, score: str = "score", tree: str = "question_id", seq: str = "seq") -> DataFrame:
     """G-07: per tree the (node, rollout) with the highest score; the oldest entry wins ties.
-    A max over a struct, i.e. a partial aggregate."""
-    rest = [c for c in pool.columns if c != tree]
-    return pool.groupBy(tree).agg(F.max(F.struct(F.col(score).alias("_s"), (-F.col(seq)).alias("_o"), F.struct(*rest).alias("_r"))).alias("_m")).select(tree, "_m._r.*")
+    ``seq`` numbers a tree's entries: only (score, seq) is aggregated, the row is fetched by it."""
+    best = pool.groupBy(tree).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(seq)).alias("o"))).alias("_m")).select(tree, (-F.col("_m.o")).alias(seq))
+    return join_groups(pool, best, [tree, seq], "left_semi")
 
 
 def latest_priority(pool: DataFrame, keys: Sequence[str] = ("question_id", "node_id", "rollout"), seq: str = "seq") -> DataFrame:
     """G-08: the newest pool entry per (node, rollout): lazily deleted heap entries drop out."""
     keys = list(keys)
-    rest = [c for c in pool.columns if c not in keys]
-    return pool.groupBy(*keys).agg(F.max(F.struct(F.col(seq).alias("_q"), F.struct(*rest).alias("_r"))).alias("_m")).select(*keys, "_m._r.*")
+    return join_groups(pool, pool.groupBy(*keys).agg(F.max(seq).alias(seq)), [*keys, seq], "left_semi")
 
 
 def first_error_step(prefix_mc: DataFrame, solution: str = "solution_id", step: str = "step", mc: str = "mc") -> DataFrame:
@@ -117,9 +113,16 @@ def within_budget(events: DataFrame, cost: str, budget: int, tree: str = "questi
     return r.filter(F.col("_spent") <= F.lit(budget)).drop("_spent")
 
 
+def flatten_prefixes(records: DataFrame, nested: str = "reasoning_steps_text") -> DataFrame:
+    """P-15: one row per (solution_prefix, mc_value) of the nested list, with its position; records
+    with an empty or NULL list give none."""
+    rest = [F.col(f"`{c}`") for c in records.columns if c != nested]
+    return records.select(*rest, F.posexplode(nested).alias("pos", "_x")).select(*rest, "pos", "_x.solution_prefix", "_x.mc_value")
+
+
 def collect_prefixes(nodes: DataFrame, tree: str = "question_id", seq: str = "seq") -> DataFrame:
-    """G-11: per question the ordered list of (solution_prefix, mc_value). One tree is one unit
-    of export (bounded by the search budget)."""
+    """G-11: per question the ordered list of (solution_prefix, mc_value). One tree must fit in one
+    row (it is bounded by the search budget); the rows of ``nodes`` are the long form."""
     return nodes.groupBy(tree).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("prefix").alias("solution_prefix"), F.col("mc").alias("mc_value")))),
@@ -136,21 +139,24 @@ def tree_edges(nodes: DataFrame, tree: str = "question_id") -> DataFrame:
     )
 
 
-def full_paths(nodes: DataFrame, max_depth: int, tree: str = "question_id", sep: str = STEP_TAG) -> DataFrame:
-    """T-14: root-to-node path text by iterated join on the parent (one join per level; the depth
-    bound is the search depth). Lineage is cut every 8 levels with a checkpoint."""
+def full_paths(nodes: DataFrame, tree: str = "question_id", sep: str = STEP_TAG) -> DataFrame:
+    """T-14: root-to-node path text, of any depth.
+
+    Each round doubles the ancestors a path holds (its part is joined to the part that ends at its
+    upper end), so a tree of depth d takes about log2(d) rounds. A round is stored, and the loop
+    ends when no path has an upper end left that is a node."""
+    spark = nodes.sparkSession
     cur = nodes.select(tree, "node_id", "parent_id", F.col("text").alias("path"), F.col("parent_id").alias("_up"))
-    step_txt = nodes.select(tree, F.col("node_id").alias("_up"), F.col("parent_id").alias("_up2"), F.col("text").alias("_t"))
-    for level in range(max_depth):
-        nxt = cur.join(step_txt, [tree, "_up"], "left").select(
-            tree,
-            "node_id",
-            "parent_id",
-            F.when(F.col("_t").isNull(), F.col("path")).otherwise(F.concat(F.col("_t"), F.lit(sep), F.col("path"))).alias("path"),
-            F.col("_up2").alias("_up"),
-        )
-        cur = nxt.checkpoint() if level % 8 == 7 else nxt
-    return cur.drop("_up")
+    while True:
+        path = checkpoint_path(spark, f"paths-{uuid.uuid4().hex}")
+        cur.write.parquet(path)
+        cur = spark.read.schema(cur.schema).parquet(path)
+        above = cur.select(F.col(tree).alias("_t"), F.col("node_id").alias("_n"), F.col("path").alias("_p"), F.col("_up").alias("_up2"))
+        here = F.col(tree).eqNullSafe(F.col("_t")) & (F.col("_up") == F.col("_n"))
+        if cur.join(above, here, "left_semi").isEmpty():
+            return cur.drop("_up")
+        longer = F.when(F.col("_n").isNull(), F.col("path")).otherwise(F.concat(F.col("_p"), F.lit(sep), F.col("path")))
+        cur = cur.join(above, here, "left").select(tree, "node_id", "parent_id", longer.alias("path"), F.col("_up2").alias("_up"))
 
 
 def select_by_mc(steps: DataFrame, lo: float = INCORRECT_MC_BOUNDARY, hi: float = CORRECT_MC_BOUNDARY, mc: str = "mc_value") -> DataFrame:
@@ -182,13 +188,14 @@ def build_step_dataset(prefixes: DataFrame, target: int, key: str | Sequence[str
 
 
 def build_hard_subset(preds: DataFrame, key: str = "id", seed: int = 0, pred: str = "pred_label", truth: str = "label") -> DataFrame:
-    """G-15: equal numbers of correct (miss counts as correct) and incorrect rows, md5 order."""
+    """G-15: every incorrect row and as many correct ones (miss counts as correct), md5 order; an
+    error when there are fewer correct ones."""
     from .prep import split_by_correct
-    from .sampling import md5_rank
+    from .sampling import take_first
 
     ok, bad = split_by_correct(preds, pred, truth)
-    d = ok.withColumn("_ok", F.lit(1)).unionByName(bad.withColumn("_ok", F.lit(0)))
-    counts = d.groupBy("_ok").agg(F.count(F.lit(1)).alias("_n"))
-    m = counts.agg(F.min("_n").alias("_m"))
-    r = md5_rank(d, key, seed, by=["_ok"]).crossJoin(F.broadcast(m))  # one-row table
-    return r.filter(F.col("_rank") < F.col("_m")).drop("_rank", "_m")
+    n_ok, n_bad = ok.count(), bad.count()
+    if n_ok < n_bad:
+        raise ValueError(f"only {n_ok} correct rows, {n_bad} needed")
+    picked = take_first(ok, F.lit(n_bad), key, seed)
+    return picked.withColumn("_ok", F.lit(1)).unionByName(bad.withColumn("_ok", F.lit(0)))

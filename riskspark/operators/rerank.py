@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import join_groups
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -27,14 +29,10 @@ def solution_score(step_probs, method: str = "min") -> Column:
 def best_of_n(df: DataFrame, score: str = "score", prompt: str = "prompt_id", pos: str = "pos") -> DataFrame:
     """V-02: per prompt the candidate with the highest score; the first position wins ties.
     NULL scores rank below every number."""
-    rest = [c for c in df.columns if c not in (prompt,)]
-    key = F.struct(
-        F.col(score).isNotNull().alias("_has"),
-        F.col(score).alias("_s"),
-        (-F.col(pos)).alias("_p"),
-        F.struct(*rest).alias("_row"),
-    )
-    return df.groupBy(prompt).agg(F.max(key).alias("_b")).select(prompt, "_b._row.*")
+    # only (score, position) is aggregated; the row is fetched by its position
+    key = F.struct(F.col(score).isNotNull().alias("has"), F.col(score).alias("s"), (-F.col(pos)).alias("p"))
+    best = df.groupBy(prompt).agg(F.max(key).alias("_b")).select(prompt, (-F.col("_b.p")).alias(pos))
+    return join_groups(df, best, [prompt, pos], "left_semi")
 
 
 def nest_candidates(df: DataFrame, prompt: str = "prompt_id", pos: str = "pos", name: str = "candidates") -> DataFrame:
@@ -66,5 +64,5 @@ def vote_select(df: DataFrame, label: str = "pred_label", prompt: str = "prompt_
     """V-05: one pseudo-random candidate among those carrying the majority label.
     Prompts without candidates simply do not appear."""
     maj = majority_label(df, label, prompt, pos)
-    winners = df.join(maj, on=prompt, how="inner").filter(F.col(label).eqNullSafe(F.col("majority_label")))
+    winners = join_groups(df, maj, [prompt]).filter(F.col(label).eqNullSafe(F.col("majority_label")))
     return pick_one(winners, [prompt], [prompt, pos], seed)

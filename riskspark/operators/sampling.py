@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import row_index
+from .ordered import join_groups, row_index
+
+PREFIXES = 4096  # md5 prefixes that rows are counted by: three hexadecimal digits
 
 
 def md5_key(key: str | Sequence[str], seed: int) -> Column:
@@ -27,6 +29,36 @@ def md5_rank(df: DataFrame, key: str | Sequence[str], seed: int, by: Sequence[st
     return row_index(d, ["_h", *keys], by=by, name=name).drop("_h")
 
 
+def md5_parts(df: DataFrame, cuts: Sequence[Column], key: str | Sequence[str], seed: int, by: Sequence[str] = (), name: str = "_part") -> DataFrame:
+    """Add ``name``: how many of the ``cuts`` (expressions over ``_n``, the rows of the group) are at or
+    before the row's position in md5 order (within ``by``).
+
+    Rows are counted per md5 prefix (``PREFIXES`` counts per group). Only the prefixes in which a cut
+    falls are sorted, 1 / PREFIXES of a group's rows each; every other row is decided by its prefix."""
+    keys, by = [key] if isinstance(key, str) else list(key), list(by)
+    digits = len(f"{PREFIXES - 1:x}")
+    d = df.withColumn("_h", md5_key(keys, seed)).withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).withColumn("_n", F.sum("_c").over(group))
+
+    def passed(position: Column) -> Column:
+        return sum(((c <= position).cast("int") for c in cuts), F.lit(0))
+
+    counts = counts.withColumn("_first", passed(F.col("_before"))).withColumn("_last", passed(F.col("_before") + F.col("_c") - 1))
+    rows = join_groups(d, counts, [*by, "_b"])
+    known = rows.where("_first = _last").withColumn(name, F.col("_first"))
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *keys)) - 1
+    cut = rows.where("_first <> _last").withColumn("_place", F.col("_before") + place).withColumn(name, passed(F.col("_place"))).drop("_place")
+    return known.unionByName(cut).drop("_h", "_b", "_c", "_before", "_n", "_first", "_last")
+
+
+def take_first(df: DataFrame, cut: Column, key: str | Sequence[str], seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """The rows before ``cut`` in md5 order (within ``by``)."""
+    return md5_parts(df, [cut], key, seed, by).where("_part = 0").drop("_part")
+
+
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """F-07."""
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -34,53 +66,40 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 def stratified_sample(df: DataFrame, by: str, frac: float, key: str | Sequence[str] = "id", seed: int = 0) -> DataFrame:
     """M-01: per class keep the first round(frac * n_class) rows in md5 order."""
-    counts = class_counts(df, by)
-    r = md5_rank(df, key, seed, by=[by]).join(counts, on=by, how="inner")
-    return r.filter(F.col("_rank") < F.round(F.col("n") * F.lit(frac))).drop("_rank", "n")
+    return take_first(df, F.round(F.col("_n") * F.lit(frac)), key, seed, by=[by])
 
 
 def split_three(df: DataFrame, train: float, dev: float, key: str | Sequence[str] = "id", seed: int = 0) -> DataFrame:
     """M-02: tag rows 'train' / 'dev' / 'test' with exact counts int(n*train), int(n*dev), rest."""
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    r = md5_rank(df, key, seed).crossJoin(F.broadcast(total))  # one-row table
-    n_train = F.floor(F.col("_n") * F.lit(train))
-    n_dev = F.floor(F.col("_n") * F.lit(dev))
-    split = F.when(F.col("_rank") < n_train, "train").when(F.col("_rank") < n_train + n_dev, "dev").otherwise("test")
-    return r.withColumn("split", split).drop("_rank", "_n")
-
-
-def balance_to_total(
-    df: DataFrame, label: str, positive, total: int = 1000, key: str | Sequence[str] = "id", seed: int = 0, guard: bool = True
-) -> DataFrame:
-    """M-03: all positive rows plus md5-sampled negatives up to ``total`` rows. With ``guard``,
-    more than ``total`` positives is an error (a scalar check)."""
+    n_train, n_dev = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(dev))
+    parts = md5_parts(df, [n_train, n_train + n_dev], key, seed)
+    return parts.withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("dev"), F.lit("test")), F.col("_part") + 1)).drop("_part")
+
+
+def balance_to_total(df: DataFrame, label: str, positive, total: int = 1000, key: str | Sequence[str] = "id", seed: int = 0) -> DataFrame:
+    """M-03: all positive rows plus md5-sampled negatives up to ``total`` rows; more than ``total``
+    positives is an error (a scalar check)."""
     k = df.filter(F.col(label) == F.lit(positive)).count()
-    if guard and k > total:
+    if k > total:
         raise ValueError(f"too many positive rows ({k}) for a balanced set of {total}")
     pos = df.filter(F.col(label) == F.lit(positive))
-    neg = md5_rank(df.filter(F.col(label) != F.lit(positive)), key, seed).filter(F.col("_rank") < F.lit(max(total - k, 0)))
-    return pos.unionByName(neg.drop("_rank"))
+    return pos.unionByName(take_first(df.filter(F.col(label) != F.lit(positive)), F.lit(total - k), key, seed))
 
 
 def undersample(df: DataFrame, label: str, key: str | Sequence[str] = "id", seed: int = 0) -> DataFrame:
-    """M-04: every class cut to the size of the smallest class, md5 order."""
-    counts = class_counts(df, label)
-    m = counts.agg(F.min("n").alias("_m"))
-    r = md5_rank(df, key, seed, by=[label]).crossJoin(F.broadcast(m))  # one-row table
-    return r.filter(F.col("_rank") < F.col("_m")).drop("_rank", "_m")
+    """M-04: every class (NULL is one) cut to the size of the smallest class, md5 order."""
+    smallest = class_counts(df, label).agg(F.min("n")).first()[0] or 0
+    return take_first(df, F.lit(smallest), key, seed, by=[label])
 
 
 def top_up(df: DataFrame, is_negative: Column, target: int, key: str | Sequence[str] = "id", seed: int = 0) -> DataFrame:
     """M-05: keep all negatives, add md5-sampled positives up to ``target`` rows; error when there
-    are too few positives."""
+    are more negatives than that or too few positives."""
     d = df.withColumn("_neg", is_negative)
-    n_neg = d.filter("_neg").count()
-    need = max(target - n_neg, 0)
-    pos = d.filter(~F.col("_neg"))
-    n_pos = pos.count()
-    if n_pos < need:
-        raise ValueError(f"only {n_pos} positive rows, {need} needed")
-    picked = md5_rank(pos, key, seed).filter(F.col("_rank") < F.lit(need)).drop("_rank")
+    n_neg, n_pos = d.agg(F.count(F.when(F.col("_neg"), 1)), F.count(F.when(~F.col("_neg"), 1))).first()
+    if n_neg > target or n_neg + n_pos < target:
+        raise ValueError(f"{n_neg} negative and {n_pos} positive rows can't give {target}")
+    picked = take_first(d.filter(~F.col("_neg")), F.lit(target - n_neg), key, seed)
     return d.filter("_neg").unionByName(picked).drop("_neg")
 
 
@@ -95,22 +114,27 @@ def shuffle(df: DataFrame, key: str | Sequence[str] = "id", seed: int = 0, num_p
 
 def few_shot(df: DataFrame, k: int, key: str | Sequence[str] = "id", seed: int = 0) -> DataFrame:
     """M-07 / M-08: min(k, n) rows, the first k in md5 order (a top-k: partial top-k per task)."""
-    return df.withColumn("_h", md5_key(key, seed)).orderBy("_h").limit(k).drop("_h")
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.withColumn("_h", md5_key(keys, seed)).orderBy("_h", *keys).limit(k).drop("_h")
 
 
 def holdout(df: DataFrame, mode: str, size: float, key: str | Sequence[str] = "id", seed: int = 0, order: Sequence[str] = ()) -> DataFrame:
     """M-09: tag rows 'eval' / 'train'.
     mode 'first_frac': first ceil(n * size) rows in md5 order are eval;
     mode 'last_n': the last ``size`` rows in ``order`` are eval;
-    mode 'fraction': md5 bucket below ``size`` is eval (independent per row)."""
+    mode 'fraction': md5 bucket below ``size`` is eval (independent per row);
+    mode 'overlap': every row is train, and the first ``size`` rows in md5 order are eval as well."""
+    if mode == "overlap":
+        both = take_first(df, F.lit(int(size)), key, seed).withColumn("split", F.lit("eval"))
+        return df.withColumn("split", F.lit("train")).unionByName(both)
     if mode == "fraction":
         u = F.conv(F.substring(md5_key(key, seed), 1, 8), 16, 10).cast("double") / F.lit(float(16**8))
         return df.withColumn("split", F.when(u < F.lit(size), "eval").otherwise("train"))
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
     if mode == "first_frac":
-        r = md5_rank(df, key, seed).crossJoin(F.broadcast(total))
-        ev = F.col("_rank") < F.ceil(F.col("_n") * F.lit(size))
-    elif mode == "last_n":
+        parts = md5_parts(df, [F.ceil(F.col("_n") * F.lit(size))], key, seed)
+        return parts.withColumn("split", F.when(F.col("_part") == 0, "eval").otherwise("train")).drop("_part")
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    if mode == "last_n":
         r = row_index(df, list(order), name="_rank").crossJoin(F.broadcast(total))
         ev = F.col("_rank") >= F.col("_n") - F.lit(int(size))
     else:

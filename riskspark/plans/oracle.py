@@ -363,15 +363,23 @@ r AS (SELECT id, loan_status, row_number() OVER (PARTITION BY loan_status ORDER
              count(*) OVER (PARTITION BY loan_status) AS n FROM loans)
 SELECT id, loan_status FROM r WHERE rk < round(n * 0.01e0)"""
 
-Q["loan_balanced_test"] = f"""WITH {LOANS},
-r AS (SELECT id, loan_status, row_number() OVER (PARTITION BY loan_status ORDER BY md5(id || ':10086'), id) - 1 AS rk,
-             count(*) OVER (PARTITION BY loan_status) AS n FROM final),
-s AS (SELECT id, loan_status FROM r WHERE rk < round(n * 0.03e0)),
+Q["loan_balanced_test"] = f"""WITH {SPLIT},
+s AS (SELECT id, loan_status FROM final JOIN split USING (id) WHERE split = 'test'),
 k AS (SELECT count(*) AS k FROM s WHERE loan_status = 'Charged Off'),
 neg AS (SELECT id, loan_status, row_number() OVER (ORDER BY md5(id || ':10086'), id) - 1 AS rk FROM s WHERE loan_status <> 'Charged Off')
 SELECT id, loan_status FROM s WHERE loan_status = 'Charged Off'
 UNION ALL
-SELECT id, loan_status FROM neg, k WHERE rk < greatest(1000 - k.k, 0)"""
+SELECT id, loan_status FROM neg, k WHERE rk < k.k"""
+
+Q["loan_holdout_modes"] = f"""WITH {LOANS},
+r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rk, row_number() OVER (ORDER BY md5(id || ':10086'), id) - 1 AS mk, count(*) OVER () AS n FROM final)
+SELECT id, 'last_n' AS mode, CASE WHEN rk >= n - 100 THEN 'eval' ELSE 'train' END AS split FROM r
+UNION ALL
+SELECT id, 'fraction', CASE WHEN CAST('0x' || substr(md5(id || ':10086'), 1, 8) AS BIGINT) / 4294967296.0e0 < 0.1e0 THEN 'eval' ELSE 'train' END FROM final
+UNION ALL
+SELECT id, 'overlap', 'train' FROM final
+UNION ALL
+SELECT id, 'overlap', 'eval' FROM r WHERE mk < 100"""
 
 Q["loan_undersample"] = f"""WITH {LOANS},
 r AS (SELECT id, loan_status, row_number() OVER (PARTITION BY loan_status ORDER BY md5(id || ':10086'), id) - 1 AS rk FROM loans),
@@ -553,6 +561,10 @@ flat AS (SELECT question_id, count(*) AS n_prefixes,
 SELECT t.question_id, t.node_id, md5(t.prefix) AS prefix_md5, edge_md5, n_prefixes, export_md5
 FROM tree t JOIN edges e ON t.question_id = e.question_id AND t.node_id = e.node_id JOIN flat f ON f.question_id = t.question_id"""
 
+Q["flattened_prefixes"] = f"""WITH RECURSIVE {TREE},
+f AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY seq) - 1 AS pos FROM tree)
+SELECT question_id, CAST(pos AS INTEGER) AS pos, md5(prefix) AS prefix_md5, round(mc, 6) AS mc_value FROM f WHERE mc <= 0.125e0 OR mc >= 1.0e0"""
+
 Q["expanded_children"] = f"""WITH RECURSIVE {TREE}
 SELECT t.question_id, t.node_id AS parent_id, ro.pos,
   md5(CASE WHEN coalesce(length(t.prefix), 0) > 0 THEN {strip("t.prefix || chr(10) || chr(10) || ro.rollout")} ELSE ro.rollout END) AS prefix_md5, 1.0e0 AS mc
@@ -592,7 +604,7 @@ lab AS (SELECT doc_id, mc_value, len(string_split(rs, chr(10))) AS n,
            CASE WHEN suffix(rs, chr(10)) THEN rs ELSE rs || chr(10) END AS reasoning_steps FROM sel),
 neg AS (SELECT * FROM lab WHERE mc_value <> 1.0e0),
 pos AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1 AS rk FROM lab WHERE mc_value = 1.0e0),
-need AS (SELECT greatest(300 - count(*), 0) AS k FROM neg),
+need AS (SELECT count(*) // 2 AS k FROM pos),
 res AS (SELECT doc_id, mc_value, n, last_label, reasoning_steps FROM neg
         UNION ALL SELECT doc_id, mc_value, n, last_label, reasoning_steps FROM pos, need WHERE rk < need.k)
 SELECT doc_id, round(mc_value, 6) AS mc_value, n AS n_labels, last_label, len(string_split(reasoning_steps, chr(10))) AS n_parts,
@@ -600,7 +612,7 @@ SELECT doc_id, round(mc_value, 6) AS mc_value, n AS n_labels, last_label, len(st
 
 Q["hard_subset"] = f"""WITH {CANDIDATES},
 d AS (SELECT prompt_id, pos, pred_label, label, CASE WHEN pred_label IS NULL OR pred_label = label THEN 1 ELSE 0 END AS _ok FROM candidates),
-m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM d GROUP BY _ok)),
+m AS (SELECT count(*) AS m FROM d WHERE _ok = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY _ok ORDER BY md5(CAST(prompt_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) || ':3'), prompt_id, pos) - 1 AS rk FROM d)
 SELECT prompt_id, pos, _ok, CASE WHEN pred_label IS NOT NULL AND pred_label = label THEN 1 ELSE 0 END AS strict_ok FROM r, m WHERE rk < m.m"""
 

@@ -157,10 +157,19 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("home_ownership"),
         F.col("o_orderstatus").alias("verification_status"),
         (dbl(F.round(F.col("c_acctbal") * 100)) / 10).alias("annual_inc"),
-        F.when(F.col("l_returnflag") == "A", "Fully Paid").when(F.col("l_returnflag") == "R", "Charged Off").otherwise("Current").alias("loan_status"),
+        _status().alias("loan_status"),
     )
 
 
+def loan_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id and status of every loan: what the sampling operators need, from one table."""
+    return load(spark, sf_dir, "lineitem").select(_key_string().alias("id"), _status().alias("loan_status"))
+
+
+def _status() -> Column:
+    return F.when(F.col("l_returnflag") == "A", "Fully Paid").when(F.col("l_returnflag") == "R", "Charged Off").otherwise("Current")
+
+
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged rollouts: question = order, rollout = line; node = position // 2 (two rollouts per
     node); correct = returnflag 'R'. Text is built from integer columns."""

@@ -3,10 +3,11 @@ tables. Floating outputs are rounded to 6 decimals for the cross-engine check.""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
+from ..functions.text import word_count
 from ..operators import metrics as E
 from ..operators import rerank as V
 from ..operators import rl as L
@@ -22,7 +23,7 @@ from ..operators import udf as U
 from . import proxies as X
 
 
-HELPERS = {"r6", "round6"}
+HELPERS = {"r6", "round6", "word_count"}
 
 
 def round6(c) -> "F.Column":
@@ -64,9 +65,9 @@ def roc_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_model(spark: SparkSession, sf: str) -> DataFrame:
-    """E-12: model with the highest ROC-AUC (first listed on ties)."""
-    m = E.evaluate(X.predictions(spark, sf), by=["model"])
-    return r6(E.select_best(m, "roc_auc", order="model").select("model", "roc_auc", "accuracy"))
+    """E-12: model with the highest ROC-AUC (first listed, by first appearance in the predictions' order, on ties)."""
+    m = E.evaluate(X.predictions(spark, sf), by=["model"]).withColumn("pos", F.dense_rank().over(Window.orderBy("model")))  # one row per model
+    return r6(E.select_best(m, "roc_auc", order="pos").select("model", "roc_auc", "accuracy"))
 
 
 # ----------------------------------------------------------------------------- parsing and rewards
@@ -100,9 +101,12 @@ def answer_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def answer_rewards(spark: SparkSession, sf: str) -> DataFrame:
     """L-01 ... L-05: rule rewards per answer and their sum."""
-    a = X.answers(spark, sf)
-    out = L.with_rewards(
-        a,
+    return r6(_rewarded(spark, sf).select(*X.LINE_KEY, "r_format", "r_accuracy", "r_risk", "r_outcome", "reward"))
+
+
+def _rewarded(spark: SparkSession, sf: str) -> DataFrame:
+    return L.with_rewards(
+        X.answers(spark, sf),
         {
             "r_format": L.reward_format("response"),
             "r_accuracy": L.reward_accuracy("response", "expected"),
@@ -110,12 +114,11 @@ def answer_rewards(spark: SparkSession, sf: str) -> DataFrame:
             "r_outcome": L.reward_outcome("response", "expected"),
         },
     )
-    return r6(out.select(*X.LINE_KEY, "r_format", "r_accuracy", "r_risk", "r_outcome", "reward"))
 
 
 def reward_summary(spark: SparkSession, sf: str) -> DataFrame:
     """L-05: mean of each reward function per verdict label."""
-    a = answer_rewards(spark, sf).join(X.answers(spark, sf).select(*X.LINE_KEY, "expected"), X.LINE_KEY)
+    a = _rewarded(spark, sf)
     return r6(L.reward_means(a, ["r_format", "r_accuracy", "r_risk", "r_outcome", "reward"], by=["expected"]))
 
 
@@ -210,25 +213,30 @@ def loan_features(spark: SparkSession, sf: str) -> DataFrame:
     return PR.drop_incomplete(PR.select_loan_features(_final_loans(spark, sf), keep=["id"]))
 
 
+def _final_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    return PR.filter_status(X.loan_statuses(spark, sf), status="loan_status")
+
+
 def loan_split(spark: SparkSession, sf: str) -> DataFrame:
     """M-02 (with P-06): exact 70 / 10 / 20 split in md5 order."""
-    return M.split_three(_final_loans(spark, sf).select("id"), 0.7, 0.1, key="id", seed=SEED)
+    return M.split_three(_final_statuses(spark, sf).select("id"), 0.7, 0.1, key="id", seed=SEED)
 
 
 def loan_stratified(spark: SparkSession, sf: str) -> DataFrame:
     """M-01: 1 % per status, md5 order."""
-    return M.stratified_sample(X.loans(spark, sf).select("id", "loan_status"), "loan_status", 0.01, key="id", seed=SEED)
+    return M.stratified_sample(X.loan_statuses(spark, sf), "loan_status", 0.01, key="id", seed=SEED)
 
 
 def loan_balanced_test(spark: SparkSession, sf: str) -> DataFrame:
-    """M-03 (unguarded form): every 'Charged Off' row of a 3 % sample plus 'Fully Paid' rows to 1000."""
-    s = M.stratified_sample(_final_loans(spark, sf).select("id", "loan_status"), "loan_status", 0.03, key="id", seed=SEED)
-    return M.balance_to_total(s, "loan_status", "Charged Off", total=1000, key="id", seed=SEED, guard=False)
+    """M-03: every 'Charged Off' row of the test split and as many 'Fully Paid' rows."""
+    test = M.split_three(_final_statuses(spark, sf), 0.7, 0.1, key="id", seed=SEED).filter("split = 'test'").drop("split")
+    positives = test.filter("loan_status = 'Charged Off'").count()
+    return M.balance_to_total(test, "loan_status", "Charged Off", total=2 * positives, key="id", seed=SEED)
 
 
 def loan_undersample(spark: SparkSession, sf: str) -> DataFrame:
     """M-04: every status cut to the smallest status count."""
-    return M.undersample(X.loans(spark, sf).select("id", "loan_status"), "loan_status", key="id", seed=SEED)
+    return M.undersample(X.loan_statuses(spark, sf), "loan_status", key="id", seed=SEED)
 
 
 def loan_few_shot(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,13 +247,21 @@ def loan_few_shot(spark: SparkSession, sf: str) -> DataFrame:
 
 def loan_holdout(spark: SparkSession, sf: str) -> DataFrame:
     """M-09: first ceil(10 %) in md5 order is the evaluation part."""
-    return M.holdout(_final_loans(spark, sf).select("id"), "first_frac", 0.1, key="id", seed=SEED)
+    return M.holdout(_final_statuses(spark, sf).select("id"), "first_frac", 0.1, key="id", seed=SEED)
+
+
+def loan_holdout_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """M-09: the other modes: the last 100 in id order, an md5 fraction, an evaluation sample that overlaps train."""
+    ids = _final_statuses(spark, sf).select("id")
+    modes = [("last_n", 100, ["id"]), ("fraction", 0.1, ()), ("overlap", 100, ())]
+    parts = [M.holdout(ids, m, size, key="id", seed=SEED, order=order).withColumn("mode", F.lit(m)) for m, size, order in modes]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def loan_set_ops(spark: SparkSession, sf: str) -> DataFrame:
     """J-01, J-03, J-04: tagged union of train and the rest; rest = anti-join of train ids."""
     split = loan_split(spark, sf)
-    loans = _final_loans(spark, sf).select("id", "loan_status")
+    loans = _final_statuses(spark, sf)
     train_ids = split.filter(F.col("split") == "train").select("id")
     train = PR.semi_ids(loans, train_ids, "id")
     rest = PR.except_ids(loans, train_ids, "id")
@@ -370,8 +386,6 @@ def conversation_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_steps(spark: SparkSession, sf: str) -> DataFrame:
     """T-09, T-10, T-11, T-12, T-16 on whole documents (steps are lines)."""
-    from ..operators.process_reward import word_count
-
     d = X.load(spark, sf, "documents").select("doc_id", "text")
     first, rest = S.split_observation(F.col("text"))
     steps = S.split_steps("text", "\n")
@@ -406,7 +420,7 @@ def node_mc(spark: SparkSession, sf: str) -> DataFrame:
 
 def _tree(spark: SparkSession, sf: str) -> DataFrame:
     nodes = X.tree_nodes(spark, sf)
-    paths = G.full_paths(nodes, max_depth=3).select("question_id", "node_id", F.col("path").alias("prefix"))
+    paths = G.full_paths(nodes).select("question_id", "node_id", F.col("path").alias("prefix"))
     mc = G.mc_values(X.rollouts(spark, sf)).select("question_id", "node_id", "mc")
     return nodes.join(paths, ["question_id", "node_id"]).join(mc, ["question_id", "node_id"])
 
@@ -423,6 +437,12 @@ def tree_export(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("question_id", "node_id", F.md5("prefix").alias("prefix_md5")).join(edges, ["question_id", "node_id"]).join(flat, "question_id")
 
 
+def flattened_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """P-15, P-16: the nested export flattened again, inside the MC bands."""
+    flat = G.select_by_mc(G.flatten_prefixes(G.collect_prefixes(_tree(spark, sf))))
+    return r6(flat.select("question_id", "pos", F.md5("solution_prefix").alias("prefix_md5"), "mc_value"))
+
+
 def expanded_children(spark: SparkSession, sf: str) -> DataFrame:
     """G-03: correct rollouts of mixed nodes become children with MC 1."""
     t = _tree(spark, sf)
@@ -464,8 +484,10 @@ def budget_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def step_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    """P-15, P-16, T-15, G-13, G-14: labelled, balanced step records from document prefixes."""
-    d = G.build_step_dataset(X.doc_prefixes(spark, sf), 300, key="doc_id", seed=42, tag="\n")
+    """P-16, T-15, G-13, G-14: labelled step records from document prefixes: every negative and half of the positives."""
+    prefixes = X.doc_prefixes(spark, sf)
+    neg, pos = G.select_by_mc(prefixes).agg(F.count(F.when(F.col("mc_value") != 1.0, 1)), F.count(F.when(F.col("mc_value") == 1.0, 1))).first()
+    d = G.build_step_dataset(prefixes, neg + pos // 2, key="doc_id", seed=42, tag="\n")
     return r6(
         d.select(
             "doc_id",
@@ -479,7 +501,7 @@ def step_dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hard_subset(spark: SparkSession, sf: str) -> DataFrame:
-    """P-10, P-11, G-15: equal correct / incorrect candidates (miss counts as correct)."""
+    """P-10, P-11, G-15: every incorrect candidate and as many correct ones (miss counts as correct)."""
     c = X.candidates(spark, sf).select("prompt_id", "pos", "pred_label", "label")
     h = G.build_hard_subset(c, key=["prompt_id", "pos"], seed=3)
     kept = PR.keep_correct(c).select("prompt_id", "pos").withColumn("strict_ok", F.lit(1))
