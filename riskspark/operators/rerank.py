@@ -36,7 +36,8 @@ def best_of_n(df: DataFrame, score: str = "score", prompt: str = "prompt_id", po
 
 
 def nest_candidates(df: DataFrame, prompt: str = "prompt_id", pos: str = "pos", name: str = "candidates") -> DataFrame:
-    """V-03: candidates nested back into one ordered array per prompt (for small groups / export)."""
+    """V-03: candidates nested back into one ordered array per prompt. One prompt's candidates
+    must fit in one row; the candidate rows are the long form."""
     rest = [c for c in df.columns if c != prompt]
     return df.groupBy(prompt).agg(
         F.array_sort(F.collect_list(F.struct(F.col(pos), *[F.col(c) for c in rest if c != pos]))).alias(name)

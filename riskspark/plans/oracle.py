@@ -183,7 +183,7 @@ FROM answers"""
 
 REWARDS = f"""{ANSWERS},
 rewards AS (
-  SELECT {KEY}, expected,
+  SELECT {KEY}, expected, response,
     CASE WHEN {think_ok(_R)} AND regexp_matches({_R}, '{STRICT}') THEN 1.5e0 ELSE -1.5e0 END AS r_format,
     CASE WHEN {strict_v(_R)} IS NULL THEN -0.5e0 WHEN {strip(strict_v(_R))} = expected THEN 2.0e0 ELSE -2.0e0 END AS r_accuracy,
     CASE WHEN {strict_r(_R)} IS NULL THEN -0.5
@@ -718,3 +718,36 @@ SELECT {KEY}, md5(response) AS response, CASE WHEN contains(lower(response), exp
 
 Q["class_balance"] = f"""WITH {LOANS}
 SELECT loan_status, count(*) AS n, round(avg(int_rate), 6) AS mean_int_rate FROM loans GROUP BY loan_status"""
+
+
+# ============================================================================= user functions, streams, attributions, masks
+
+Q["batch_scorer"] = f"""WITH {CANDIDATES}, s AS (SELECT prompt_id, pos, string_split(lower(response), 'final assessment')[-1] AS seg FROM candidates)
+SELECT prompt_id, pos, {word_label('seg')} AS pred_label FROM s"""
+
+Q["step_scorer"] = f"""WITH {CANDIDATES},
+s AS (SELECT prompt_id, pos, list_transform(string_split(response, chr(10) || chr(10)), lambda x: (length(x) % 10) / 10.0e0) AS p FROM candidates)
+SELECT prompt_id, pos, round(list_min(p), 6) AS score, round(p[-1], 6) AS last_reward FROM s"""
+
+Q["stream_rewards"] = f"""WITH {REWARDS}
+SELECT response AS completion, expected AS label, r_format, r_accuracy, r_risk, r_format + r_accuracy + r_risk AS reward FROM rw"""
+
+_W = {"int_rate": 0.05, "fico_range_low": -0.01, "delinq_2yrs": 0.2, "revol_util": 0.015, "open_acc": -0.02}
+Q["linear_attribution_fixed"] = f"""WITH {LOANS},
+long AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, {w}e0 * ({f} - avg({f}) OVER ()) AS a FROM final" for f, w in _W.items())}),
+imp AS (SELECT feature, avg(abs(a)) AS mean_abs FROM long GROUP BY feature),
+ranked AS (SELECT feature, mean_abs, CAST(row_number() OVER (ORDER BY mean_abs DESC, feature) AS INTEGER) AS rank FROM imp),
+dep AS (SELECT feature, count(*) AS n_points, round(max(a), 6) AS max_attr FROM long JOIN ranked USING (feature) WHERE rank = 1 GROUP BY feature)
+SELECT feature, round(mean_abs, 6) AS mean_abs, rank, n_points, max_attr FROM ranked LEFT JOIN dep USING (feature)"""
+
+Q["conversation_masks"] = """WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
+kept AS (SELECT *, regexp_split_to_array(text, '\\s+') AS w FROM t WHERE k > 1 OR role = 'user'),
+given AS (SELECT conv_id, k, ['<|im_start|>', role, chr(10)] || w || ['<|im_end|>', chr(10)] AS a,
+                 ['<|im_start|>', '-100', '-100'] || CASE WHEN role = 'assistant' THEN w ELSE list_transform(w, lambda x: '-100') END || ['<|im_end|>', chr(10)] AS b FROM kept),
+head AS (SELECT ['<|im_start|>', 'system', chr(10), 'You', 'judge', 'credit', 'risk', '<|im_end|>', chr(10)] AS a,
+                ['<|im_start|>', '-100', '-100', '-100', '-100', '-100', '-100', '<|im_end|>', chr(10)] AS b),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+rows AS (SELECT ids.conv_id, any_value(head.a) || coalesce(flatten(list(given.a ORDER BY k) FILTER (WHERE k IS NOT NULL)), []) AS a,
+                any_value(head.b) || coalesce(flatten(list(given.b ORDER BY k) FILTER (WHERE k IS NOT NULL)), []) AS b
+         FROM ids CROSS JOIN head LEFT JOIN given ON given.conv_id = ids.conv_id GROUP BY ids.conv_id)
+SELECT conv_id, md5(array_to_string(list_resize(a, 256, '<pad>'), '|')) AS input_md5, md5(array_to_string(list_resize(b, 256, '-100'), '|')) AS target_md5 FROM rows"""

@@ -3,6 +3,8 @@ tables. Floating outputs are rounded to 6 decimals for the cross-engine check.""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,11 @@ from ..operators import prep as PR
 from ..operators import process_reward as G
 from ..operators import sampling as M
 from ..operators import udf as U
+from ..session import materialized
 from . import proxies as X
 
 
-HELPERS = {"r6", "round6", "word_count"}
+HELPERS = {"r6", "round6", "word_count", "materialized"}
 
 
 def round6(c) -> "F.Column":
@@ -384,6 +387,13 @@ def conversation_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def conversation_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """T-19: input and target arrays of every conversation, 256 places."""
+    c = T.to_conversations(X.load(spark, sf, "conversations"))
+    given, wanted = T.sft_arrays(T.trim_leading_turn("conversations"), "You judge credit risk", 256)
+    return c.select("conv_id", F.md5(F.array_join(given, "|")).alias("input_md5"), F.md5(F.array_join(wanted, "|")).alias("target_md5"))
+
+
 def doc_steps(spark: SparkSession, sf: str) -> DataFrame:
     """T-09, T-10, T-11, T-12, T-16 on whole documents (steps are lines)."""
     d = X.load(spark, sf, "documents").select("doc_id", "text")
@@ -606,61 +616,77 @@ def continuation(spark: SparkSession, sf: str) -> DataFrame:
 # ----------------------------------------------------------------------------- models, explanations (rows-only checks)
 
 
-_NUM = ["int_rate", "loan_amnt", "revol_util", "annual_inc", "fico_range_low", "delinq_2yrs", "inq_last_6mths", "open_acc"]
+#: The registered search: at least two values of every parameter (the default is the full reference grid).
+GRIDS = {
+    "Logistic Regression": {"C": [0.1, 1], "penalty": ["l1", "l2"]},
+    "Random Forest": {"n_estimators": [5, 10], "max_depth": [3, 5], "min_samples_split": [2, 10]},
+    "Boosted Trees": {"max_depth": [2, 3], "learning_rate": [0.1, 0.2], "n_estimators": [3, 5], "scale_pos_weight": [1, 5]},
+    "Naive Bayes": {},
+}
 
 
 def _model_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows with all 21 features encoded, complete rows only; stored once."""
     split = loan_split(spark, sf)
-    d = _final_loans(spark, sf).join(split, "id")
-    d = d.select("id", "split", *_NUM, "grade", F.when(F.col("loan_status") == "Charged Off", 1).otherwise(0).alias("label"))
-    tr, te, _ = FE.encode_categories(d.filter("split = 'train'").drop("split"), d.filter("split = 'test'").drop("split"), threshold=20, label="_none")
-    return tr, te
+    # stored before the join: the constraints of a NULL filter over 22 columns stall the planner there
+    complete = materialized(PR.drop_incomplete(PR.select_loan_features(_final_loans(spark, sf), keep=["id"])), "complete")
+    d = complete.join(split, "id")
+    tr, te, _ = FE.encode_categories(d.filter("split = 'train'").drop("split"), d.filter("split = 'test'").drop("split"), threshold=20)
+    tr, te = (x.withColumnRenamed("Loan Status", "label") for x in (tr, te))
+    return materialized(tr, "train"), materialized(te, "test")
+
+
+def _assembled(df: DataFrame) -> DataFrame:
+    return materialized(FE.assemble(df, exclude=["label", "id"]).select("id", "label", "features"), "features")
 
 
 def model_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """F-10, A-01 ... A-07: logistic regression, random forest, boosted trees, naive Bayes with
-    3-fold grid search; metric row per model on the test split."""
+    """F-10, J-08, A-01 ... A-07: logistic regression, random forest, boosted trees, naive Bayes with a
+    3-fold grid search; per model the metrics on the test split, the best parameters and their fold score."""
     tr, te = _model_tables(spark, sf)
-    m, _ = ML.benchmark_models(tr, te, label="label")
+    m, _ = ML.benchmark_models(_assembled(tr), _assembled(te), GRIDS)
     return r6(m)
 
 
 def posterior_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """A-07, A-08, A-09, M-03: the best model by ROC-AUC scores the test split; every positive
-    plus md5-sampled negatives up to 1000 rows (unguarded form), with their posterior prompts."""
+    """A-07, A-08, A-09, M-03: every model scores both splits, refitted from its stored parameters; of
+    the test split, every positive and as many md5-sampled negatives; with their posterior prompts."""
     tr, te = _model_tables(spark, sf)
-    from ..operators.features import assemble
-
-    models = {"Logistic Regression": (ML.logistic(1.0, "l2", 1000), {}), "Naive Bayes": (ML.naive_bayes(), {})}
-    m, fitted = ML.benchmark_models(tr, te, label="label", models=models)
-    name, best = ML.refit_best(m, fitted)
-    # model outputs are a materialisation point: written once to the shared checkpoint folder
-    scored = ML.predict_proba(best, assemble(te, exclude=["label", "id"])).select("id", "label", "good_prob", "bad_prob").checkpoint()
-    out = M.balance_to_total(scored, "label", 1, total=1000, key="id", seed=SEED, guard=False)
-    # posterior prompts (T-03 / T-04) of the selected rows. The text comes from the final loans
-    # without a NULL filter over all 22 columns: that filter's constraints make Catalyst's
-    # constraint propagation blow up on this join (measured: planning never finished).
+    trf, tef = _assembled(tr), _assembled(te)
+    grids = {"Logistic Regression": {"C": [0.1, 1], "penalty": ["l2"]}, "Naive Bayes": {}}
+    m, _ = ML.benchmark_models(trf, tef, grids)
+    n_rows, parts = trf.count(), []
+    for r in m.select("model", "best_params").collect():  # one row per model
+        model = ML.fit(r["model"], json.loads(r["best_params"]), trf.select("label", "features"), n_rows)
+        for side, df in (("train", trf), ("test", tef)):
+            scored = ML.predict_proba(model, df).select("id", "label", "good_prob", "bad_prob")
+            parts.append(scored.withColumn("model", F.lit(r["model"])).withColumn("side", F.lit(side)))
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    scored = materialized(scored, "posterior")
+    positives = tef.filter("label = 1").count()
+    chosen = M.balance_to_total(tef.select("id", "label"), "label", 1, total=2 * positives, key="id", seed=SEED).select("id")
+    out = scored.filter("side = 'train'").unionByName(scored.filter("side = 'test'").join(chosen, "id", "left_semi"))
+    # the text comes from the final loans without a NULL filter over all 22 columns: that filter's
+    # constraints make Catalyst's constraint propagation blow up on this join
     feats = PR.select_loan_features(_final_loans(spark, sf), keep=["id"])
     texts = feats.select("id", T.render_posterior_text(feats, PR.DISPLAY_NAMES[:-1]).alias("text"))
-    q, qc = T.render_posterior_query(F.col("text"), name, "good_prob", "bad_prob")
-    j = out.join(texts, "id").select("id", "label", "good_prob", "bad_prob", F.md5(q).alias("query_md5"), F.md5(qc).alias("query_cot_md5"))
-    return r6(j.withColumn("model", F.lit(name)))
+    q, qc = T.render_posterior_query(F.col("text"), F.col("model"), "good_prob", "bad_prob")
+    return r6(out.join(texts, "id").select("id", "side", "model", "label", "good_prob", "bad_prob", F.md5(q).alias("query_md5"), F.md5(qc).alias("query_cot_md5")))
 
 
 def _explain_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Train rows, the rows to explain (the whole test split) and 50 background rows."""
     tr, te = _model_tables(spark, sf)
-    rows = M.stratified_sample(te, "label", 0.002, key="id", seed=SEED)
-    background = M.few_shot(tr, 50, key="id", seed=SEED)
-    return tr, rows, background
+    return tr, te, M.few_shot(tr, 50, key="id", seed=SEED)
 
 
 def linear_attribution(spark: SparkSession, sf: str) -> DataFrame:
     """A-10 (exact for linear models), A-11, A-12 over the whole test split."""
-    from ..operators.features import assemble
-
     tr, te = _model_tables(spark, sf)
     feats = [c for c in tr.columns if c not in ("id", "label")]
-    lr = ML.logistic(1.0, "l2", 1000).fit(assemble(tr, exclude=["id", "label"]))
+    lr = ML.logistic(1.0, "l2", tr.count()).fit(_assembled(tr))
     w = [float(x) for x in lr.coefficients.toArray()]  # one weight per feature
     attr = A.linear_attributions(te, feats, w, tr)
     imp = A.importance(attr)
@@ -668,6 +694,18 @@ def linear_attribution(spark: SparkSession, sf: str) -> DataFrame:
     return r6(imp.join(dep, "feature", "left"))
 
 
+FIXED_WEIGHTS = {"int_rate": 0.05, "fico_range_low": -0.01, "delinq_2yrs": 0.2, "revol_util": 0.015, "open_acc": -0.02}
+
+
+def linear_attribution_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """A-10, A-11, A-12 of a linear score with given weights, over all final-status loans."""
+    d = _final_loans(spark, sf).select("id", *FIXED_WEIGHTS)
+    attr = A.linear_attributions(d, list(FIXED_WEIGHTS), list(FIXED_WEIGHTS.values()), d)
+    imp = A.importance(attr)
+    dep = A.dependence_table(attr, imp).groupBy("feature").agg(F.count(F.lit(1)).alias("n_points"), F.max("attribution").alias("max_attr"))
+    return r6(imp.join(dep, "feature", "left"))
+
+
 def shapley_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A-10 (sampled Shapley, any model) for a 0.2 % stratified sample of test rows."""
     from ..operators.features import assemble

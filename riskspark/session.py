@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this library relies on (AQE re-plans joins at runtime: it turns a join
 # into a broadcast only after measuring the small side, and splits skewed shuffle partitions).
@@ -26,14 +27,14 @@ RECOMMENDED_CONF = {
 }
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "riskspark") -> SparkSession:
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "riskspark", memory: str = "8g") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", memory)
         .config("spark.ui.showConsoleProgress", "false")
     )
     for k, v in RECOMMENDED_CONF.items():
@@ -65,6 +66,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet under the shared folder, and read back."""
+    path = checkpoint_path(df.sparkSession, f"{label}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for a written intermediate table."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
