@@ -28,6 +28,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STATE: dict[str, object] = {}
+
+
+def worker_state(key: str, build: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker between batches; only the last operator's is held, so that
+    the memos of earlier stages of a job don't add up."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = build()
+    return _STATE[key]
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (NULL id counts as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -7,14 +7,16 @@
    ``DISTANCE // CHUNKS`` = 1 of them (pigeonhole); so every chunk is indexed once for each place where its
    one error may be, with that place masked. All pairs within the distance share an index key.
    A pair at similarity 0.8 lies beyond the distance with a probability of about 2e-5.
-3. Each text is first confirmed on full sets against one text of its keys (the smallest id of the keys
-   it shares most), which joins groups of copies with as many checks as texts, not pairs.
-4. Then, in every key that still holds several components, texts of different components are compared by
-   signature; pairs within the distance are confirmed on full sets. Keys of more than ``TILE`` texts are split
-   into pairs of tiles, so no task holds a hot key. Pairs inside one component need no check.
-5. Components of all confirmed links.
-
-Full sets are computed again from the texts that step 3 and 4 need. Those texts are found by a Bloom
+3. Texts that share keys, directly or over other texts, form a family; all pairs within the distance lie inside
+   families. A family of at most ``FAMILY_DOCS`` texts and ``FAMILY_SHINGLES`` shingles is one unit of a task:
+   each text's signature is compared with those before it, and pairs within the distance that aren't yet in
+   one component are confirmed on full sets. A task returns one row per text, no pairs.
+4. Larger families are spread out: each text is first confirmed against one text of its keys, which joins
+   most copies; then, in every key that still holds several components, texts of different components are
+   compared. Keys of more than ``TILE`` texts are split into pairs of tiles. The confirmed links'
+   components are the families' components.
+
+Full sets are computed again from the texts that steps 3 and 4 need. Those texts are found by a Bloom
 filter of bounded size over their ids, so the texts are never shuffled.
 
 Defined cases: NULL text counts as empty; texts without words have no shingles, no links, and stand
@@ -31,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import groups_of, materialize, pa_schema
+from riskspark.llm.common import groups_of, materialize, pa_schema, worker_state
 from riskspark.llm.graph import connected_components
 from riskspark.llm.shingles import scrambled, shingle_sets
 
 POSITIONS, CHUNKS, DISTANCE = 80, 16, 31
 WIDTH = POSITIONS // CHUNKS
 TILE = 1024
+FAMILY_DOCS, FAMILY_SHINGLES = 8192, 1 << 23
 CHARS_AT_ONCE = 1 << 18
 FILTER_WORDS = 1 << 18  # 64-bit words of the Bloom filter at most
 FILTER_HASHES = 4
@@ -55,6 +58,7 @@ def signed_documents(docs: DataFrame, size: int, id_col: str, text_col: str) ->
     schema = pa_schema(docs.sparkSession, ddl)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near-duplicates", dict)
         for b in batches:
             texts = b.column("text").to_pylist()
             n, h1, h2, sigs = [], [], [], []
@@ -192,7 +196,78 @@ def close_pairs(members: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", label: str = "near") -> DataFrame:
+def family_components(family: list[tuple[int, np.ndarray]], percent: int) -> list[int]:
+    """Component (smallest id) of each (id, shingles) of one family."""
+    ids = [i for i, _ in family]
+    sets = [own for _, own in family]
+    sizes = np.array([len(own) for own in sets])
+    sigs = np.stack([signature(own) for own in sets])
+    starts = np.cumsum(sizes) - sizes
+    words, place = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(words), np.int64)
+    group = np.arange(len(ids))  # smallest position that each text is joined to
+    for i in range(1, len(ids)):
+        near = np.flatnonzero((sigs[:i] != sigs[i]).sum(axis=1) <= DISTANCE)
+        while len(near):
+            near = near[group[near] != group[i]]
+            some, near = near[:256], near[256:]  # a hit spares the rest of its component
+            if not len(some):
+                break
+            mark[place[starts[i] : starts[i] + sizes[i]]] = 1
+            members = np.concatenate([place[starts[j] : starts[j] + sizes[j]] for j in some.tolist()])
+            both = np.add.reduceat(mark[members], np.cumsum(sizes[some]) - sizes[some])
+            mark[place[starts[i] : starts[i] + sizes[i]]] = 0
+            for j in some[100 * both >= percent * (sizes[some] + sizes[i] - both)].tolist():
+                if group[j] != group[i]:
+                    low, high = sorted((group[i], group[j]))
+                    group[group == high] = low
+    smallest = {}
+    for i, g in zip(ids, group.tolist()):
+        smallest[g] = min(i, smallest.get(g, i))
+    return [smallest[g] for g in group.tolist()]
+
+
+def components_by_family(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of (family, id, shingles) rows; each family as a whole."""
+    ddl = "node long, component long"
+    schema = pa_schema(rows.sparkSession, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = [], None
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.int64()), pa.array(family_components(held, percent), pa.int64())], schema=schema)
+
+        for b in batches:
+            for family, i, own in zip(b.column("family").to_pylist(), b.column("id").to_pylist(), b.column("shingles").to_pylist()):
+                if held and family != name:
+                    yield close()
+                    held = []
+                name = family
+                held.append((i, np.frombuffer(own, np.uint64)))
+        if held:
+            yield close()
+
+    return rows.select("family", "id", "shingles").repartition("family").sortWithinPartitions("family", "id").mapInArrow(run, ddl)
+
+
+def components_by_keys(members: DataFrame, texts: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+    """(node, component) of texts in families of any size, spread over tasks by key."""
+    votes = members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    tried = votes.groupBy("id").agg(F.max(F.struct("n", -F.col("hub"))).alias("best")).select(F.col("id").alias("b"), (-F.col("best.col2")).alias("a"))
+    first = materialize(confirmed(tried, sets, percent), f"{label}-links")
+    groups = connected_components(first, f"{label}-groups")
+
+    placed = members.join(groups, F.col("id") == F.col("node"), "left").select("key", "size", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    open_keys = placed.join(mixed, "key").join(texts, "id").withColumn("tiles", F.ceil(F.col("size") / F.lit(TILE)).cast("int"))
+    second = materialize(confirmed(close_pairs(open_keys), sets, percent), f"{label}-more-links")
+    return connected_components(first.union(second), f"{label}-components")
+
+
+def near_duplicates(
+    docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", label: str = "near", family_docs: int = FAMILY_DOCS
+) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     signed = materialize(signed_documents(docs, size, id_col, text_col), f"{label}-signed")
     linked = signed.where("id is not null and n > 0")
@@ -203,18 +278,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(keys.join(shared, "key"), f"{label}-keys")
 
-    sets = materialize(full_sets(docs, members.select("id").distinct(), size, id_col, text_col).dropDuplicates(["id"]), f"{label}-sets")
-    votes = members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
-    tried = votes.groupBy("id").agg(F.max(F.struct("n", -F.col("hub"))).alias("best")).select(F.col("id").alias("b"), (-F.col("best.col2")).alias("a"))
-    first = materialize(confirmed(tried, sets, percent), f"{label}-links")
-    groups = connected_components(first, f"{label}-groups")
+    hubs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    families = connected_components(hubs, f"{label}-families").select(F.col("node").alias("id"), F.col("component").alias("family"))
+    sizes = families.join(classes.select(F.col("class_id").alias("id"), "n"), "id").groupBy("family").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+    is_small = (F.col("texts") <= family_docs) & (F.col("shingles") <= FAMILY_SHINGLES)
+    families = materialize(families.join(sizes.select("family", is_small.alias("small")), "family"), f"{label}-sized")
 
-    placed = members.join(groups, F.col("id") == F.col("node"), "left").select("key", "size", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_keys = placed.join(mixed, "key").join(texts, "id").withColumn("tiles", F.ceil(F.col("size") / F.lit(TILE)).cast("int"))
-    second = materialize(confirmed(close_pairs(open_keys), sets, percent), f"{label}-more-links")
+    sets = materialize(full_sets(docs, families.select("id"), size, id_col, text_col).dropDuplicates(["id"]), f"{label}-sets")
+    found = components_by_family(families.where("small").join(sets, "id"), percent)
+    large = families.where(~F.col("small")).select("id")
+    if not large.isEmpty():
+        found = found.union(components_by_keys(members.join(large, "id", "left_semi"), texts, sets, percent, label))
 
-    found = connected_components(first.union(second), f"{label}-components")
     whole = linked.select("h1", "h2", "n", "id").join(classes.select("h1", "h2", "n", "class_id"), ["h1", "h2", "n"])
     whole = whole.join(found, F.col("class_id") == F.col("node"), "left").select("id", F.col("n"), F.coalesce("component", "class_id").alias("component_id"))
     alone = signed.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"))

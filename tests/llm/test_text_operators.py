@@ -172,10 +172,11 @@ def components(nodes, links):
     return of
 
 
-def test_near_duplicates_equal_brute_force(spark, docs, empty):
+@pytest.mark.parametrize("family_docs", [near_dedup.FAMILY_DOCS, 2])
+def test_near_duplicates_equal_brute_force(spark, docs, empty, family_docs):
     extra = spark.createDataFrame([(100, "One two three"), (101, "one TWO\x0bthree"), (102, "one two three"), (None, "one two three")], "doc_id long, text string")
     table = docs.select("doc_id", "text").union(extra)
-    got = near_dedup.near_duplicates(table, size=4).collect()
+    got = near_dedup.near_duplicates(table, size=4, family_docs=family_docs).collect()
     sets = {i: shingles(t, 4) for i, t in texts_of(table).items() if i is not None}
     links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = components(sets, links)
@@ -184,7 +185,8 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_large_loose_group_is_one_component(spark):
+@pytest.mark.parametrize("family_docs", [near_dedup.FAMILY_DOCS, 2])
+def test_large_loose_group(spark, family_docs):
     """Copies with random edits: many pairs miss the threshold, but chains of links hold the group."""
     rng = random.Random(9)
     base = [f"w{i}" for i in range(100)]
@@ -196,7 +198,7 @@ def test_large_loose_group_is_one_component(spark):
         rows.append((i, " ".join(own)))
     sets = {i: shingles(t, 5) for i, t in rows}
     links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), family_docs=family_docs)
     assert {r.doc_id: r.component_id for r in got.collect()} == components(sets, links)
 
 
