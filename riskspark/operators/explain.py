@@ -2,8 +2,8 @@
 
 * Linear models: exact Shapley values in log-odds, w_j * (x_j - mean_j), as column arithmetic.
 * Other models: sampled Shapley values. Rows x permutations x positions are exploded, the two
-  hybrid vectors of every position are scored by the model's own ``transform`` (distributed), and
-  contributions are averaged per (row, feature).
+  hybrid vectors of every position are scored by the model's own ``transform`` (distributed; one
+  point serves both neighbouring features), and contributions are averaged per (row, feature).
 * Local linear surrogate: perturbations per explained row, scored in one ``transform``, then a
   weighted ridge fit per row inside ``applyInPandas`` (a group holds one row's perturbations,
   whose number is the ``n_samples`` parameter).
@@ -54,20 +54,20 @@ def sampled_shapley(model, df: DataFrame, features: Sequence[str], background: D
         F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(_u01(F.col(key), F.col("_p"), i, F.lit(seed)).alias("u"), i.alias("i")))),
         lambda s: s["i"],
     )
-    rows = rows.join(F.broadcast(bg) if n_bg <= 100_000 else bg, "_bn").withColumn("_perm", perm)
-    steps = rows.select(key, "_x", "_b", "_perm", F.posexplode("_perm").alias("_pos", "_feat"))
-
-    def hybrid(upto: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(k - 1)),
-            lambda i: F.when(F.array_position(F.col("_perm"), i) - 1 <= upto, F.col("_x")[i]).otherwise(F.col("_b")[i]),
-        )
-
-    both = steps.select(
-        key, "_feat", F.explode(F.array(F.struct(F.lit(1).alias("s"), hybrid(F.col("_pos")).alias("v")), F.struct(F.lit(-1).alias("s"), hybrid(F.col("_pos") - 1).alias("v")))).alias("h")
-    ).select(key, "_feat", F.col("h.s").alias("_s"), array_to_vector(F.col("h.v")).alias("features"))
-    scored = model.transform(both).select(key, "_feat", "_s", vector_to_array("probability")[1].alias("_p1"))
-    phi = scored.groupBy(key, "_feat").agg((F.sum(F.col("_s") * F.col("_p1")) / F.lit(float(n_perm))).alias("attribution"))
+    rows = rows.join(bg, "_bn").withColumn("_perm", perm)
+    # place of each feature in the permutation, once per draw
+    place = F.transform(F.array_sort(F.transform("_perm", lambda f, p: F.struct(f.alias("f"), p.alias("p")))), lambda s: s["p"])
+    rows = rows.withColumn("_place", place)
+    # k + 1 points from the background to the row; neighbours share one
+    points = rows.select(key, "_x", "_b", "_perm", "_place", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("_at"))
+    hybrid = F.transform("_place", lambda p, i: F.when(p < F.col("_at"), F.col("_x")[i]).otherwise(F.col("_b")[i]))
+    scored = model.transform(points.select(key, "_perm", "_at", array_to_vector(hybrid).alias("features")))
+    p1 = vector_to_array("probability")[1]
+    # a point ends the step of the feature before it and starts the step of the one after it
+    ends = F.when(F.col("_at") > 0, F.array(F.struct(F.get("_perm", F.col("_at") - 1).alias("f"), F.lit(1).alias("s")))).otherwise(F.array().cast("array<struct<f:int,s:int>>"))
+    starts = F.when(F.col("_at") < k, F.array(F.struct(F.get("_perm", F.col("_at")).alias("f"), F.lit(-1).alias("s")))).otherwise(F.array().cast("array<struct<f:int,s:int>>"))
+    steps = scored.select(key, p1.alias("_p1"), F.explode(F.concat(ends, starts)).alias("e")).select(key, F.col("e.f").alias("_feat"), (F.col("e.s") * F.col("_p1")).alias("_d"))
+    phi = steps.groupBy(key, "_feat").agg((F.sum("_d") / F.lit(float(n_perm))).alias("attribution"))
     names = F.array(*[F.lit(f) for f in features])
     return phi.select(key, F.element_at(names, F.col("_feat") + 1).alias("feature"), "attribution")
 

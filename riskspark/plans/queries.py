@@ -676,10 +676,14 @@ def posterior_scores(spark: SparkSession, sf: str) -> DataFrame:
     return r6(out.join(texts, "id").select("id", "side", "model", "label", "good_prob", "bad_prob", F.md5(q).alias("query_md5"), F.md5(qc).alias("query_cot_md5")))
 
 
+#: The rows to explain, as a user states them: defaults-prone loans at the top rate.
+EXPLAINED = "`Interest Rate` = 10 AND `Delinquency In 2 years` >= 5"
+
+
 def _explain_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Train rows, the rows to explain (the whole test split) and 50 background rows."""
+    """Train rows, the test rows to explain, and 50 background rows."""
     tr, te = _model_tables(spark, sf)
-    return tr, te, M.few_shot(tr, 50, key="id", seed=SEED)
+    return tr, te.filter(EXPLAINED), M.few_shot(tr, 50, key="id", seed=SEED)
 
 
 def linear_attribution(spark: SparkSession, sf: str) -> DataFrame:
@@ -707,23 +711,19 @@ def linear_attribution_fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shapley_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """A-10 (sampled Shapley, any model) for a 0.2 % stratified sample of test rows."""
-    from ..operators.features import assemble
-
+    """A-10 (sampled Shapley, any model) for the test rows of the stated filter."""
     tr, rows, background = _explain_rows(spark, sf)
     feats = [c for c in tr.columns if c not in ("id", "label")]
-    rf = ML.forest(20, 5).fit(assemble(tr, exclude=["id", "label"]))
+    rf = ML.forest(20, 5).fit(_assembled(tr))
     return r6(A.sampled_shapley(rf, rows, feats, background, n_perm=4, key="id"))
 
 
 def lime_surrogate(spark: SparkSession, sf: str) -> DataFrame:
-    """A-13: local weighted ridge surrogate (200 perturbations) of the random forest."""
-    from ..operators.features import assemble
-
+    """A-13: local weighted ridge surrogate (200 perturbations) of the random forest, same rows."""
     tr, rows, _ = _explain_rows(spark, sf)
     feats = [c for c in tr.columns if c not in ("id", "label")]
-    rf = ML.forest(20, 5).fit(assemble(tr, exclude=["id", "label"]))
-    stats = tr.agg(*[F.avg(f).alias(f"mean_{f}") for f in feats], *[F.coalesce(F.stddev_samp(f), F.lit(0.0)).alias(f"std_{f}") for f in feats])
+    rf = ML.forest(20, 5).fit(_assembled(tr))
+    stats = tr.agg(*[F.avg(FE.quoted(f)).alias(f"mean_{f}") for f in feats], *[F.coalesce(F.stddev_samp(FE.quoted(f)), F.lit(0.0)).alias(f"std_{f}") for f in feats])
     return r6(A.local_surrogate(rf, rows, stats, feats, n_samples=200, key="id"))
 
 

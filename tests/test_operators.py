@@ -352,3 +352,149 @@ def test_encode_categories_threshold(spark):
     assert dict(rows(a, "id", "small_x"))["2"] == 0  # NULL -> all zero
     m = dict(rows(FE.label_mapping(tr, ["small"]), "value", "code"))
     assert m == {"x": 0, "y": 1, None: 2}  # NULL is the last code
+
+
+# ----------------------------------------------------------------------------- NULL groups, deep trees, long texts
+
+
+def test_null_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, 0.1), (None, 2, 0.4), ("a", 3, 0.3), ("a", 4, 0.9)], "g string, id int, x double")
+    assert rows(O.row_index(df, ["id"], by=["g"]).orderBy("id"), "id", "row_idx") == [(1, 0), (2, 1), (3, 0), (4, 1)]
+    run = O.running_totals(df, ["id"], {"t": "id"}, by=["g"]).orderBy("id")
+    assert rows(run, "id", "t") == [(1, 1), (2, 3), (3, 3), (4, 7)]
+    scan = df.withColumn("step", (F.col("id") - 1) % 2).withColumn("a", F.lit(0.5)).withColumn("b", F.lit(1.0))
+    assert O.suffix_scan(scan, ["g"], "step", "a", "b", "y").count() == 4
+    assert L.group_advantage(df, "x", "g").count() == 4
+    assert L.global_advantage(df, "x", by=["g"]).count() == 4
+    assert L.normalize_nonzero(df, "x", by=["g"]).count() == 4
+    assert L.normalize_batch(df, "x", "g").count() == 4
+    assert M.stratified_sample(df, "g", 0.5).groupBy("g").count().count() == 2
+    assert M.undersample(df.union(df.limit(0)), "g").count() == 4
+    scores = df.withColumn("label", F.col("id") % 2).withColumn("pred_label", F.col("id") % 2)
+    assert E.evaluate(scores, score="x", by=["g"]).count() == 2
+    assert E.token_metrics(scores, prob="x", by=["g"]).count() == 2
+    best = V.best_of_n(df.withColumnsRenamed({"g": "prompt_id", "id": "pos", "x": "score"}))
+    assert sorted(r.pos for r in best.collect()) == [2, 4]
+    from riskspark.operators import process_reward as G
+
+    assert G.u_values(df.withColumnsRenamed({"g": "question_id", "id": "visits"})).count() == 4
+
+
+def test_paths_of_any_depth(spark):
+    from riskspark.operators import process_reward as G
+
+    nodes = [("q", i, i - 1 if i else None, f"s{i}") for i in range(9)] + [(None, 0, None, "r"), (None, 1, 0, "t")]
+    got = G.full_paths(spark.createDataFrame(nodes, "question_id string, node_id int, parent_id int, text string"), sep="/")
+    paths = {(r.question_id, r.node_id): r.path for r in got.collect()}
+    assert paths == {**{("q", i): "/".join(f"s{k}" for k in range(i + 1)) for i in range(9)}, (None, 0): "r", (None, 1): "r/t"}
+
+
+def test_samples_refuse_impossible_totals(spark):
+    df = spark.createDataFrame([(str(i), "bad" if i < 6 else "good") for i in range(10)], "id string, s string")
+    assert M.balance_to_total(df, "s", "bad", total=8).groupBy("s").count().orderBy("s").collect() == [("bad", 6), ("good", 2)]
+    with pytest.raises(ValueError):
+        M.balance_to_total(df, "s", "bad", total=5)
+    with pytest.raises(ValueError):
+        M.top_up(df, F.col("s") == "bad", 5)
+    with pytest.raises(ValueError):
+        M.top_up(df, F.col("s") == "bad", 11)
+    both = M.holdout(df, "overlap", 3)
+    assert both.filter("split = 'train'").count() == 10 and both.filter("split = 'eval'").count() == 3
+
+
+@pytest.mark.parametrize("prefixes", [1, 16, 4096])
+def test_md5_cuts_equal_the_full_order(spark, prefixes, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(M, "PREFIXES", prefixes)
+    df = spark.createDataFrame([(str(i), i % 3 or None) for i in range(200)], "id string, g int")
+    got = M.md5_parts(df, [F.floor(F.col("_n") * 0.5), F.col("_n") - 3], "id", 7, by=["g"]).collect()
+    for g in (None, 1, 2):
+        order = sorted((r.id for r in got if r.g == g), key=lambda i: hashlib.md5(f"{i}:7".encode()).hexdigest())
+        part = {r.id: r._part for r in got}
+        assert [part[i] for i in order] == [(k >= len(order) // 2) + (k >= len(order) - 3) for k in range(len(order))]
+
+
+def test_think_format_on_long_texts(spark):
+    good = "<think>\n" + "<" * 200_000 + "</think>\nrest"
+    cases = [(good, True), ("<" * 200_000, False), (good + "<think>", False), ("<think>\nx</think>y</think>\n", False), (None, False), ("", False)]
+    df = spark.createDataFrame([(t,) for t, _ in cases], "t string")
+    assert [r[0] for r in df.select(P.has_think_format("t")).collect()] == [w for _, w in cases]
+
+
+def test_python_number_and_blank_rules(spark):
+    from riskspark.functions import text as T
+
+    values = [0.0, -0.0, 1.0, 12.5, 1e-3, 1e-4, 1.5e-4, 1e-5, 1.25e-7, 0.125, 2.675, 1e7, 12345678.1234567, 1e15, 123456789012345.6,
+              1e16, 1.5e16, 1e22, 1e33, 0.1, -2.5e-9, 66925700.0, 0.005, 1.005, -2.675, 1234567.875, float("inf"), float("nan"), 0.015, 99.995]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(T.fmt_num("x"), T.fmt2("x")).collect()
+    assert [r[0] for r in got] == [str(v) for v in values]
+    assert [r[1] for r, v in zip(got, values) if abs(v) < 1e13 and v] == [f"{v:.2f}" for v in values if abs(v) < 1e13 and v]
+    texts = ["a b", "\u3000good\u00a0", "\x1c a\x85b ", "", "  ", "one\ttwo\nthree\u2003four"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.word_count("t"), T.py_strip("t")).collect()
+    assert [tuple(r) for r in got] == [(len(t.split()), t.strip()) for t in texts]
+    said = spark.createDataFrame([("Final assessment: good", " good ")], "t string, e string")
+    assert said.select(P.is_correct("t", "e")).first()[0] is True
+
+
+def test_empty_arrays_and_bad_labels(spark):
+    df = spark.createDataFrame([([],), ([1],), ([1, 2, 1, 2],)], "a array<int>")
+    assert rows(df.select(S.find_all("a", 1).alias("x")), "x") == [([],), ([0],), ([0, 2],)]
+    assert rows(df.select(S.find_subsequence("a", [1, 2]).alias("x")), "x") == [(None,), (None,), (0,)]
+    assert rows(df.select(S.last_non_pad("a", 2).alias("x")), "x") == [(-1,), (0,), (2,)]
+    with pytest.raises(Exception, match="step label"):
+        df.select(S.step_token_labels("a", 1, F.array(F.lit(0), F.lit(5)), 8, 9)[0]).collect()
+
+
+def test_huber_branches(spark):
+    errors = [-30.0, -10.0, -1.0, 0.0, 4.0, 10.0, 30.0]
+    df = spark.createDataFrame([(e,) for e in errors], "e double")
+
+    def want(e, faithful):
+        if abs(e) <= 10:
+            return e * e / 2
+        return 0.0 if faithful and e < 0 else 10 * (abs(e) - 5)
+
+    for faithful in (True, False):
+        assert rows(df.select(L.huber(F.col("e"), 10.0, faithful).alias("l")), "l") == [(want(e, faithful),) for e in errors]
+    v = spark.createDataFrame([(1.0, 0.0, 2.0, 1), (5.0, 5.0, 3.0, 0)], "v_new double, v double, ret double, m int")
+    assert L.value_loss(v, use_huber=False).first()[0] == pytest.approx((1.8**2 / 2 + 2.0) / 2)
+    assert L.value_loss(v, use_huber=False, mask="m").first()[0] == pytest.approx(1.8**2 / 2)
+
+
+def test_names_with_dots_and_missing_values(spark):
+    from riskspark.operators import features as FE
+
+    df = spark.createDataFrame([(1, "a.b", 1.0), (2, "c", 2.0), (3, None, 3.0)], "id int, `k.x` string, `v.y` double")
+    train, test, _ = FE.encode_categories(df, df.limit(0), label="none")
+    assert [tuple(r) for r in train.select("id", "`k.x_a.b`", "`k.x_c`").orderBy("id").collect()] == [(1, 1, 0), (2, 0, 1), (3, 0, 0)]
+    assert FE.assemble(train, exclude=["id"]).count() == 3
+
+
+def test_flattened_prefixes(spark):
+    from riskspark.operators import process_reward as G
+
+    df = spark.createDataFrame([("q", [("a", 0.5), ("b", 1.0)]), ("r", []), ("s", None)], "question_id string, reasoning_steps_text array<struct<solution_prefix:string,mc_value:double>>")
+    assert rows(G.flatten_prefixes(df), "question_id", "pos", "solution_prefix", "mc_value") == [("q", 0, "a", 0.5), ("q", 1, "b", 1.0)]
+
+
+def test_best_model_is_the_first_listed_on_ties(spark):
+    df = spark.createDataFrame([(1, "z", 0.7), (2, "a", 0.7), (0, "m", None)], "pos int, model string, roc_auc double")
+    assert [r.model for r in E.select_best(df, "roc_auc", order="pos").collect()] == ["z"]
+
+
+def test_grid_search_and_refit(spark):
+    from riskspark.operators import features as FE
+    from riskspark.operators import models as ML
+
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), int(i % 7 > 3)) for i in range(120)], "id int, x double, y double, label int")
+    table = FE.assemble(df, exclude=["id", "label"]).select("id", "label", "features")
+    grids = {"Logistic Regression": {"C": [0.1, 1], "penalty": ["l1", "l2"]}, "No such model": {}, "Boosted Trees": {"n_estimators": [2], "max_depth": [2], "scale_pos_weight": [1, 5]}}
+    metrics, fitted = ML.benchmark_models(table, table, grids)
+    got = {r.model: r for r in metrics.collect()}
+    assert set(got) == set(fitted) == {"Logistic Regression", "Boosted Trees"}
+    assert set(__import__("json").loads(got["Boosted Trees"].best_params)) == {"n_estimators", "max_depth", "scale_pos_weight"}
+    assert 0.5 < got["Logistic Regression"].fold_auc <= 1.0
+    name, model = ML.refit_best(metrics, table)
+    again = ML.predict_proba(model, table).select("bad_prob").collect()
+    assert name in got and again == ML.predict_proba(fitted[name], table).select("bad_prob").collect()
