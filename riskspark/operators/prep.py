@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import row_index
 
 # Raw loan columns, in the reference's order, and their display names.
 RAW_COLUMNS = [
@@ -48,11 +47,6 @@ def features_only(df: DataFrame, label: str = LABEL) -> DataFrame:
     return df.drop(label)
 
 
-def with_row_id(df: DataFrame, order: Sequence[str | Column], name: str = "id", by: Sequence[str] = ()) -> DataFrame:
-    """P-06: dense 0-based id in ``order`` (exact, no single-task sort)."""
-    return row_index(df, order, by=by, name=name)
-
-
 def with_gold(df: DataFrame, status: str = LABEL) -> DataFrame:
     """P-07 / P-08: answer word, gold class and the constant choice list from the status."""
     good = F.col(status) == GOOD_STATUS
@@ -110,14 +104,16 @@ def coerce_numeric(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 
 def normalize_predictions(df: DataFrame) -> DataFrame:
     """P-14: one schema for prediction records: label from ``label`` or ``gold_label``;
-    probabilities from ``pred_prob`` [good, bad]; ``pred_label`` 'miss' -> NULL."""
+    probabilities from ``pred_prob`` [good, bad]; ``pred_label`` 'miss' -> NULL, a number -> that label,
+    any other word is an error that names it."""
     cols = set(df.columns)
     label = F.coalesce(*[F.col(c).cast("int") for c in ("label", "gold_label", "gold") if c in cols])
     pred = F.col("pred_label").cast("string")
+    wrong = F.raise_error(F.concat(F.lit("pred_label must be a number or 'miss', not "), pred)).cast("int")
     out = df.select(
         "*",
         label.alias("_label"),
-        F.when(pred == "miss", F.lit(None).cast("int")).otherwise(pred.cast("int")).alias("_pred"),
+        F.when(pred.isNull() | (pred == "miss"), F.lit(None).cast("int")).otherwise(F.coalesce(pred.try_cast("int"), wrong)).alias("_pred"),
     )
     if "pred_prob" in cols:
         out = out.withColumn("good_prob", F.try_element_at("pred_prob", F.lit(1))).withColumn(
@@ -139,14 +135,6 @@ def split_tagged(df: DataFrame, tag: str = "_side") -> tuple[DataFrame, DataFram
     return df.filter(F.col(tag) == "train").drop(tag), df.filter(F.col(tag) == "test").drop(tag)
 
 
-def union_all(*dfs: DataFrame) -> DataFrame:
-    """J-02."""
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d, allowMissingColumns=True)
-    return out
-
-
 def except_ids(df: DataFrame, ids: DataFrame, on: str | list[str] = "id") -> DataFrame:
     """J-03: rows whose id is not in ``ids``."""
     return df.join(ids, on=on, how="left_anti")
@@ -176,22 +164,6 @@ def replicate(df: DataFrame, n: int, batch: int, name: str = "gen") -> DataFrame
     )
 
 
-def param_grid(spark, grid: dict[str, list]) -> DataFrame:
-    """J-08: Cartesian product of hyper-parameter lists (small by construction)."""
-    out = None
-    for k, vals in grid.items():
-        d = spark.createDataFrame([(v,) for v in vals], [k])
-        out = d if out is None else out.crossJoin(d)
-    return out
-
-
-# The verdict spellings are every combination of 3 letter cases x 3 leading
-# blanks x 3 trailing blanks.
-VERDICT_CASES = ["lower", "capitalized", "upper"]
-VERDICT_LEADING = ["", " ", "  "]
-VERDICT_TRAILING = ["", " ", "  "]
-
-
 def verdict_variants(words: DataFrame, word: str = "word") -> DataFrame:
     """J-09: 27 spellings per verdict word (cross join with a 27-row literal table, broadcast)."""
     combos = F.inline(

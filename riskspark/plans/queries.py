@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import parse as P
 from ..functions.text import word_count
@@ -806,12 +807,14 @@ def io_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     parts = M.split_chunks(pq.select("loan_status", "loan_amnt", "grade", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("installment", "purpose", "loan_amnt")])).alias("rid")), 10000, ["rid"])
     IO.write_parts(parts, f"{base}/parts")
     IO.append_records(parts.filter(F.col("loan_status") == "Current"), f"{base}/extra.jsonl")
-    existed = IO.write_once(parts, f"{base}/once")
+    IO.write_once(parts, f"{base}/once")
+    IO.write_once(parts.limit(0), f"{base}/once")  # the output is there: nothing changes
+    n_once = IO.read_parquet(spark, f"{base}/once").count()
     ids = IO.passed_ids(parts.withColumn("passed", F.col("loan_status") != "Current"), key="rid")
     IO.write_records(ids, f"{base}/ids.jsonl")
-    merged = IO.read_parts(spark, [f"{base}/parts"])
-    n_ids = IO.read_records(spark, f"{base}/ids.jsonl").count()
-    return merged.groupBy("part", "loan_status").agg(F.count(F.lit(1)).alias("n")).withColumn("ids", F.lit(n_ids)).withColumn("existed", F.lit(existed))
+    merged = IO.read_parts(spark, [f"{base}/parts"], T_.StructType.fromDDL("loan_status string, loan_amnt double, grade string, rid string, part int"))
+    n_ids = IO.read_records(spark, f"{base}/ids.jsonl", T_.StructType.fromDDL("rid string")).count()
+    return merged.groupBy("part", "loan_status").agg(F.count(F.lit(1)).alias("n")).withColumn("ids", F.lit(n_ids)).withColumn("once", F.lit(n_once))
 
 
 def episode_done(spark: SparkSession, sf: str) -> DataFrame:

@@ -36,14 +36,15 @@ COMPLETION_LOG_SCHEMA = T.StructType(
 )
 
 
-def read_loans(spark: SparkSession, path: str, extra_columns: bool = True) -> DataFrame:
+def read_loans(spark: SparkSession, path: str) -> DataFrame:
     """S-01: loans CSV with a header; the 22 used columns in fixed order (others pruned).
-    Columns are looked up by name, so a file with more columns in any order works."""
+    Columns are looked up by name, so a file with more columns in any order works. A cell that isn't of
+    its column's type is NULL, as in a lenient reader."""
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     missing = [c for c in RAW_COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"loans file lacks columns: {missing}")
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOAN_SCHEMA.fields])
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in LOAN_SCHEMA.fields])
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -92,16 +93,9 @@ def write_parts(df: DataFrame, path: str, part_col: str = "part") -> None:
     df.write.mode("overwrite").partitionBy(part_col).json(path)
 
 
-def write_once(df: DataFrame, path: str, fmt: str = "parquet") -> bool:
-    """S-11: write only when nothing is there yet (Spark's 'ignore' mode). Returns whether the
-    output already existed."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    existed = bool(fs.exists(hpath))
+def write_once(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """S-11: write only when nothing is there yet; an existing output stays as it is."""
     df.write.mode("ignore").format(fmt).save(path)
-    return existed
 
 
 def passed_ids(df: DataFrame, ok: str = "passed", key: str = "question_id") -> DataFrame:
