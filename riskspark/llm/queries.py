@@ -101,7 +101,22 @@ QUERIES = {
     "op9_block_labeller": op9_block_labeller,
     "op10_exact_top_k": op10_exact_top_k,
 }
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_hamming": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w
+), n AS (SELECT doc_id, len(g) AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, r.c FROM r JOIN links ON links.a = r.doc_id WHERE r.c < links.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+""",
     "op10_exact_top_k": """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
