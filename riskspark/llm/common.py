@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,6 +30,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 _STATE: dict[str, object] = {}
 
 
@@ -36,10 +39,20 @@ def worker_state(key: str, build: Callable[[], object]) -> object:
     the memos of earlier stages of a job don't add up."""
     if key not in _STATE:
         _STATE.clear()
+        release_memory()
         _STATE[key] = build()
     return _STATE[key]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Arrow's pool and the C library keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in the GNU C library
+    if trim:
+        trim(0)
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (NULL id counts as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -61,6 +74,8 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
 def keep_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """Rows of ``df`` (all columns, untouched) for which the batch predicate is true."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -70,9 +85,18 @@ def keep_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], list]) -> DataFram
 
 
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+    """Arrow schema of a mapInArrow result. Texts are long, so the session's Arrow batches are kept to
+    ``BATCH_ROWS`` rows: that bounds the memory of a worker and of its executor's buffers."""
+    bound_batches(spark)
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    rows = int(spark.conf.get(BATCH_CONF))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def groups_of(texts: list[str | None], most: int, chars: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of at most ``most`` texts and about ``chars`` characters (one text at least)."""
     first = held = 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import groups_of, map_rows, pa_schema
+from riskspark.llm.common import groups_of, map_rows, pa_schema, worker_state
 
 RAREST, COMMONEST = 0.001, 0.2
 FEWEST_DOCS = 2  # a lexicon term occurs in so many documents at least
@@ -138,15 +138,9 @@ class Lexicon:
         return "".join(digits[4 * s : 4 * s + 4] if f else EMPTY for s, f in enumerate(filled.tolist()))
 
 
-_LEXICONS: dict[str, Lexicon] = {}
-
-
 def lexicon_of(key: str, terms: list[str]) -> Lexicon:
-    """The worker's one copy of a lexicon (only the last one is kept)."""
-    if key not in _LEXICONS:
-        _LEXICONS.clear()
-        _LEXICONS[key] = Lexicon(terms)
-    return _LEXICONS[key]
+    """The worker's one copy of a lexicon."""
+    return worker_state(f"lexicon {key}", lambda: Lexicon(terms))
 
 
 def likeness(a: str, b: str) -> float:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import groups_of, map_rows, pa_schema
+from riskspark.llm.common import groups_of, map_rows, pa_schema, worker_state
 
 DIMENSIONS = 1024
 SEED = 20_011
@@ -135,6 +135,7 @@ def identify(texts: list[str | None], prototypes: dict[str, np.ndarray]) -> tupl
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if not prototypes:
         return langs, scores
+    worker_state("langid", dict)
     names = list(prototypes)
     unit = np.stack([p / (np.linalg.norm(p) or 1) for p in prototypes.values()]).astype(np.float32)
     known = [t or "" for t in texts]

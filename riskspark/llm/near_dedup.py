@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import groups_of, materialize, pa_schema, worker_state
+from riskspark.llm.common import groups_of, materialize, pa_schema, release_memory, worker_state
 from riskspark.llm.graph import connected_components
 from riskspark.llm.shingles import scrambled, shingle_sets
 
@@ -117,6 +117,7 @@ def full_sets(docs: DataFrame, needed: DataFrame, size: int, id_col: str, text_c
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -204,7 +205,8 @@ def family_components(family: list[tuple[int, np.ndarray]], percent: int) -> lis
     sigs = np.stack([signature(own) for own in sets])
     starts = np.cumsum(sizes) - sizes
     words, place = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(len(words), np.int64)
+    mark, place = np.zeros(len(words), np.int32), place.astype(np.int32)
+    del words
     group = np.arange(len(ids))  # smallest position that each text is joined to
     for i in range(1, len(ids)):
         near = np.flatnonzero((sigs[:i] != sigs[i]).sum(axis=1) <= DISTANCE)
@@ -233,6 +235,7 @@ def components_by_family(rows: DataFrame, percent: int) -> DataFrame:
     schema = pa_schema(rows.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         held, name = [], None
 
         def close() -> pa.RecordBatch:

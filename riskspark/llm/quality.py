@@ -25,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import groups_of, map_rows, pa_schema
+from riskspark.llm.common import groups_of, map_rows, pa_schema, worker_state
 
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 4_000
 BUCKETS = 1 << 17
 DIMENSIONS = 16
 EPOCHS, MINIBATCH, RATE = 4, 32, 4.0
 FEWEST_STEPS = 600  # small samples take more epochs
 GRAMS = (3, 4)
 REPEATED = BUCKETS  # the feature of a word that repeats its predecessor
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 18
 CHARS_AT_ONCE = 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,6 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     schema = pa_schema(spark, "weights binary, bias double")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality training", dict)
         texts, labels = [], []
         for b in batches:
             texts += b.column("text").to_pylist()
@@ -144,6 +145,10 @@ class Scorer:
         self.memo: dict[str, complex] = {}  # real: sum of weights, imaginary: number of features
 
     def scores(self, texts: list[str | None]) -> list[float]:
+        groups = groups_of(texts, len(texts), CHARS_AT_ONCE)
+        return [score for i, j in groups for score in self._scores(texts[i:j])]
+
+    def _scores(self, texts: list[str | None]) -> list[float]:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         known = self.memo.get
@@ -169,16 +174,17 @@ class Scorer:
         return out
 
 
+def scorer(model: tuple[np.ndarray, float]) -> Scorer:
+    """The worker's scorer for a model."""
+    weights, bias = model
+    return worker_state(f"quality {zlib.crc32(weights.tobytes())} {bias}", lambda: Scorer(weights, bias))
+
+
 def predict(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every text; no other column is read."""
-    scorers: list[Scorer] = []
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
-        if not scorers:
-            scorers.append(Scorer(*model))
-        texts = cols["text"]
-        parts = (scorers[0].scores(texts[i:j]) for i, j in groups_of(texts, len(texts), CHARS_AT_ONCE))
-        return {"id": cols["id"], "score": [score for part in parts for score in part]}
+        return {"id": cols["id"], "score": scorer(model).scores(cols["text"])}
 
     kind = docs.schema[id_col].dataType.simpleString()
     pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

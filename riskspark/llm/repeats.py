@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from riskspark.llm.common import materialize, pa_schema
+from riskspark.llm.common import materialize, pa_schema, worker_state
 from riskspark.llm.shingles import PRIME, powers, scrambled
 
 LENGTH, SEED = 100, 32
@@ -182,6 +182,7 @@ def document_anchors(b: pa.RecordBatch) -> Columns:
 
 def find_classes(buckets: int, schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("repeats", dict)
         for b in batches:
             rows = document_anchors(b)
             if not rows:
