@@ -31,12 +31,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.5 or more stay."""
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    scorers: list[quality.Scorer] = []
 
     def good(b) -> list[bool]:
-        if not scorers:
-            scorers.append(quality.Scorer(*model))
-        return [score >= 0.5 for score in scorers[0].scores(b.column("text").to_pylist())]
+        return [score >= 0.5 for score in quality.scorer(model).scores(b.column("text").to_pylist())]
 
     return keep_rows(docs, good)
 
