@@ -22,11 +22,11 @@ Defined cases: NULL text counts as empty; the empty text has no ids and decodes
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from array import array
 from collections.abc import Iterable
-from functools import cache
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -35,18 +35,35 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import groups_of, map_rows
+from riskspark.llm.common import groups_of, map_rows, worker_state
 
 WORD_BITS = 8  # ranks per block of the bitmap: 2 ** WORD_BITS
 WORD_MASK = (1 << WORD_BITS) - 1
 LONG_BYTES = 64  # longer pre-tokens are merged one by one
 TOGETHER = 1 << 16  # pre-tokens merged together at most
 CHARS_AT_ONCE = 1 << 22  # of the texts that are cut together (one text at least)
-MEMO_CUTS, MEMO_TOKENS = 1 << 19, 1 << 18  # distinct ones remembered per worker
+MEMO_CUTS, MEMO_TOKENS = 3 << 17, 1 << 17  # entries of one generation of a worker's memos
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 BLANK_AFTER, BLANK_BEFORE = re.compile(r" \s"), re.compile(r"[^\S ] ")
 
 
+class Memo:
+    """A bounded memo in two generations: a full one becomes the old one, whose entries return when used."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.now, self.old = most, {}, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Those of some keys outside the young generation that aren't in the old one either."""
+        back = self.old.keys() & keys
+        self.now.update((k, self.old[k]) for k in back)
+        return keys - back
+
+    def turn(self) -> None:
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+
+
 class BpeCodec:
     """Encoder and decoder over a rank file (base64 bytes and rank a line) and a split pattern."""
 
@@ -68,8 +85,7 @@ class BpeCodec:
         self.pair_keys = np.array(sorted(pairs) or [-1], np.int64)
         self.pair_ranks = np.array([pairs.get(k, -1) for k in self.pair_keys.tolist()], np.int64)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.tokens: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.tokens, self.spaced = Memo(MEMO_TOKENS), Memo(MEMO_CUTS)
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each joined pair, -1 where it isn't in the vocabulary."""
@@ -196,12 +212,12 @@ class BpeCodec:
 
     def learn(self, cuts: set[str]) -> dict[str, bytes]:
         """Ids (unsigned 32-bit bytes) of each cut; new pre-tokens are merged together."""
-        found = {cut: self.split.findall(cut) for cut in cuts}
-        tokens = self.tokens
-        if len(tokens) > MEMO_TOKENS:
-            tokens.clear()
+        # a blank and ASCII letters are one match of the pattern
+        found = {cut: (cut,) if (body := cut[cut[:1] == " " :]).isascii() and body.isalpha() else self.split.findall(cut) for cut in cuts}
+        self.tokens.turn()
+        tokens = self.tokens.now
         short = []
-        for token in set(chain.from_iterable(found.values())).difference(tokens):
+        for token in self.tokens.missing(set(chain.from_iterable(found.values())).difference(tokens)):
             piece = token.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(piece)
             if whole is not None:
@@ -217,8 +233,14 @@ class BpeCodec:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, each as unsigned 32-bit bytes."""
-        groups = groups_of(texts, len(texts), CHARS_AT_ONCE)
-        return [ids for i, j in groups for ids in self._encode_together(texts[i:j])]
+        out: list[bytes] = []
+        gc.disable()  # very many short lists and no cycles
+        try:
+            for i, j in groups_of(texts, len(texts), CHARS_AT_ONCE):
+                out += self._encode_together(texts[i:j])
+        finally:
+            gc.enable()
+        return out
 
     def _encode_together(self, texts: list[str | None]) -> list[bytes]:
         cuts = []
@@ -229,12 +251,11 @@ class BpeCodec:
                 cuts.append(SAFE_SPACE.split(text))
             else:
                 cuts.append(text.split(" "))
-        spaced, first = self.spaced, [c.pop(0) for c in cuts]
-        if len(spaced) > MEMO_CUTS:
-            spaced.clear()
+        self.spaced.turn()
+        spaced, first = self.spaced.now, [c.pop(0) for c in cuts]
         parts = [list(map(spaced.get, c)) for c in cuts]
         lacking = [i for i, p in enumerate(parts) if None in p]
-        new = {cut for i in lacking for cut, ids in zip(cuts[i], parts[i]) if ids is None}
+        new = self.spaced.missing({cut for i in lacking for cut, ids in zip(cuts[i], parts[i]) if ids is None})
         got = self.learn({" " + cut for cut in new}.union(first))
         spaced.update((cut, got[" " + cut]) for cut in new)
         for i in lacking:
@@ -253,9 +274,9 @@ class BpeCodec:
         return " ".join(map(self.decimals.__getitem__, ids)).encode()
 
 
-@cache
 def codec(rank_path: str, pattern: str) -> BpeCodec:
-    return BpeCodec(rank_path, pattern)
+    """The worker's codec."""
+    return worker_state(f"bpe {rank_path} {pattern}", lambda: BpeCodec(rank_path, pattern))
 
 
 OUTPUTS = {
