@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import groups_of, map_rows, pa_schema, worker_state
+from riskspark.llm.common import map_rows, pa_schema, worker_state
 
 RAREST, COMMONEST = 0.001, 0.2
 FEWEST_DOCS = 2  # a lexicon term occurs in so many documents at least
@@ -37,7 +37,6 @@ SUBSETS = 96  # a third of them in each density
 FEWEST_PARTS = 4  # a density with fewer filled parts counts as having so many
 SEED = b"lexicon"
 MEMO_TERMS = 1 << 19
-CHARS_AT_ONCE = 1 << 22
 EMPTY = "----"
 
 
@@ -54,14 +53,18 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     schema = pa_schema(docs.sparkSession, "term string, n long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, int] = {}
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in groups_of(texts, len(texts), 4 * CHARS_AT_ONCE):
-                total: dict[str, int] = {}
-                for text in texts[i:j]:
-                    for term in terms_of(text):
-                        total[term] = total.get(term, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], schema=schema)
+            for text in b.column(0).to_pylist():
+                for term in terms_of(text):
+                    total[term] = total.get(term, 0) + 1
+            if len(total) > MEMO_TERMS:
+                yield counted_terms(total)
+                total = {}
+        yield counted_terms(total)
+
+    def counted_terms(total: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], schema=schema)
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "term string, n long")
     return counted.groupBy("term").agg(F.sum("n").alias("n"))
