@@ -1,19 +1,21 @@
 """I-Match fingerprints with randomised lexicons.
 
 The lexicon holds the terms whose inverse document frequency lies in a band: they occur in at least
-``RAREST`` and at most ``COMMONEST`` of all documents. Its size has a bound that doesn't depend on the
-number of documents: (mean number of distinct terms per document) / ``RAREST``.
+``RAREST`` and at most ``COMMONEST`` of all distinct texts, so copies of a text never move a term out of
+the band. Its size has a bound that doesn't depend on the number of documents: (mean number of distinct
+terms per distinct text) / ``RAREST``.
 
 A text's fingerprint has ``SUBSETS`` parts. Each part belongs to a random subset of the lexicon;
 the text's distinct terms in the subset are sorted and hashed. Subsets come in several densities,
 so short texts have terms in the dense ones and long texts keep some sparse ones unchanged under edits.
-A part without terms is marked empty. The likeness of two fingerprints is the share of equal parts among
+A part without terms is marked empty; a text without any filled part has a hash of its exact text
+as its fingerprint instead. The likeness of two fingerprints is the share of equal parts among
 those that aren't empty in both, at the density where it is largest.
 
 A term is a lower-cased word between white space, without ASCII punctuation at its ends.
 
-Defined cases: NULL text counts as empty; fingerprints of texts without lexicon terms are all empty,
-and two such have likeness 1; equal texts have equal fingerprints; documents with equal ids are
+Defined cases: NULL text counts as empty; a fingerprint of an exact text has likeness 1 to that of an
+equal text and 0 to all others; equal texts have equal fingerprints; equal fingerprints have likeness 1; documents with equal ids are
 neighbours in the order of their texts; a single document is its own next one.
 """
 
@@ -28,16 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import map_rows, pa_schema, worker_state
+from riskspark.llm.common import map_rows, materialize, pa_schema, worker_state
 
 RAREST, COMMONEST = 0.001, 0.2
-FEWEST_DOCS = 2  # a lexicon term occurs in so many documents at least
+FEWEST_DOCS = 2  # a lexicon term occurs in so many distinct texts at least
 DENSITIES = (1 / 32, 1 / 128, 1 / 512)
 SUBSETS = 96  # a third of them in each density
 FEWEST_PARTS = 4  # a density with fewer filled parts counts as having so many
 SEED = b"lexicon"
 MEMO_TERMS = 1 << 19
 EMPTY = "----"
+EXACT = "="  # first character of the fingerprint of an exact text
+COPIED_TEXTS = 1 << 19  # more texts with copies than these are joined by a shuffle instead of a broadcast
 
 
 def bare(word: str) -> str:
@@ -48,33 +52,49 @@ def terms_of(text: str | None) -> set[str]:
     return {t for t in map(bare, set((text or "").lower().split())) if t}
 
 
-def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
-    """(term, n): in how many documents each term occurs; counted per task before the shuffle."""
-    schema = pa_schema(docs.sparkSession, "term string, n long")
+def with_copies(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """(text, copies) of every row, and the number of distinct texts; NULL counts as the empty text.
+
+    Only digests are shuffled, and the texts stay where they are unless very many of them have copies."""
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
+    counts = materialize(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "text-copies")
+    copied = counts.where("copies > 1")
+    few = copied.count() <= COPIED_TEXTS
+    found = texts.join(F.broadcast(copied) if few else copied, "digest", "left")
+    return found.select("text", F.coalesce("copies", F.lit(1)).alias("copies")), counts.count()
+
+
+def document_frequencies(rows: DataFrame) -> DataFrame:
+    """(term, n): in how many distinct texts each term occurs; counted per task before the shuffle.
+
+    ``rows`` are (text, copies). Each row counts as one part in ``copies``, so the copies of a text count as one
+    text together; rounding takes the sum back to the whole number that it stands for."""
+    schema = pa_schema(rows.sparkSession, "term string, n double")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, int] = {}
+        total: dict[str, float] = {}
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text, copies in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                share = 1 / copies
                 for term in terms_of(text):
-                    total[term] = total.get(term, 0) + 1
+                    total[term] = total.get(term, 0.0) + share
             if len(total) > MEMO_TERMS:
                 yield counted_terms(total)
                 total = {}
         yield counted_terms(total)
 
-    def counted_terms(total: dict[str, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], schema=schema)
+    def counted_terms(total: dict[str, float]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], schema=schema)
 
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "term string, n long")
-    return counted.groupBy("term").agg(F.sum("n").alias("n"))
+    counted = rows.select("text", "copies").mapInArrow(count, "term string, n double")
+    return counted.groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, text_col: str = "text") -> Lexicon:
-    """Terms inside the band, over all documents; bounded as the module's docstring says."""
-    n = docs.count()
+    """Terms inside the band, over all distinct texts; bounded as the module's docstring says."""
+    rows, n = with_copies(docs, text_col)
     band = F.col("n").between(max(FEWEST_DOCS, int(np.ceil(RAREST * n))), COMMONEST * n)
-    return Lexicon([r["term"] for r in document_frequencies(docs, text_col).where(band).select("term").collect()])
+    return Lexicon([r["term"] for r in document_frequencies(rows).where(band).select("term").collect()])
 
 
 def hash64(text: str) -> int:
@@ -128,16 +148,18 @@ class Lexicon:
         return np.array(sorted(got), np.int64)
 
     def fingerprint(self, text: str) -> str:
-        """Four hexadecimal digits a subset; ``EMPTY`` where the text has none of its terms."""
+        """Four hexadecimal digits a subset; ``EMPTY`` where the text has none of its terms. ``exact`` if all are empty."""
         at = self.places(text)
         if not len(at):
-            return EMPTY * SUBSETS
+            return exact(text)
         # an additive hash of the sorted distinct terms
         parts = scrambled(self.salted[at].sum(axis=0)) >> np.uint64(48)
         digits = parts.astype(">u2").tobytes().hex()
         filled = self.member[at].any(axis=0)
         if filled.all():
             return digits
+        if not filled.any():
+            return exact(text)
         return "".join(digits[4 * s : 4 * s + 4] if f else EMPTY for s, f in enumerate(filled.tolist()))
 
 
@@ -146,10 +168,18 @@ def lexicon_of(key: str, terms: list[str]) -> Lexicon:
     return worker_state(f"lexicon {key}", lambda: Lexicon(terms))
 
 
+def exact(text: str) -> str:
+    """The fingerprint of a text without filled parts: ``EXACT`` and a hash of the text, as long as any other."""
+    digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    return (EXACT + digest).ljust(len(EMPTY) * SUBSETS, EMPTY[0])
+
+
 def likeness(a: str, b: str) -> float:
     """Over the densities, the largest share of equal parts among those that aren't empty in both."""
     if a == b:
         return 1.0
+    if EXACT in (a[0], b[0]):
+        return 0.0
     x, y = (np.frombuffer(s.encode(), "S4").reshape(-1, len(DENSITIES)) for s in (a, b))
     counted = (x != EMPTY.encode()) | (y != EMPTY.encode())
     equal = ((x == y) & counted).sum(axis=0)

@@ -325,6 +325,37 @@ def test_lexicon_band(spark):
     assert lexicon.terms == sorted(f"mid{k}" for k in range(20))
 
 
+def test_lexicon_band_counts_copies_once(spark, monkeypatch):
+    """One text in a third of the rows, with terms that others have too; repeated and NULL ids."""
+    hot = " ".join(f"mid{k}" for k in range(20))
+    rows = [(i, f"common, rare{i} mid{i % 20}") for i in range(200)] + [(i % 3 or None, hot) for i in range(100)]
+    rows += [(i, f"twice{i % 50}") for i in range(150)] + [(7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = Counter(t for text in {t or "" for _, t in rows} for t in fingerprint.terms_of(text))
+    for few in (fingerprint.COPIED_TEXTS, 0):  # by a broadcast, by a shuffle
+        monkeypatch.setattr(fingerprint, "COPIED_TEXTS", few)
+        texts, n = fingerprint.with_copies(docs, "text")
+        assert n == 252 and {r.term: r.n for r in fingerprint.document_frequencies(texts).collect()} == want
+        assert fingerprint.build_lexicon(docs).terms == sorted(f"mid{k}" for k in range(20))
+
+
+def test_texts_without_filled_parts(spark):
+    """Different texts without lexicon terms, or whose terms no subset holds, aren't alike."""
+    lexicon = fingerprint.Lexicon([f"w{k}" for k in range(200)])
+    lexicon.prepare()
+    lone = [t for t, m in zip(lexicon.terms, lexicon.member) if not m.any()]
+    texts = ["alpha", "beta", "", " ", "w1 w2 w3 w4 w5 w6", *lone[:2]]
+    assert len(texts) == 7
+    marks = [lexicon.fingerprint(t) for t in texts]
+    assert {len(m) for m in marks} == {4 * fingerprint.SUBSETS}
+    for a, b in combinations(marks, 2):
+        assert fingerprint.likeness(a, b) == fingerprint.likeness(b, a) == 0.0
+    assert [fingerprint.likeness(m, lexicon.fingerprint(t)) for m, t in zip(marks, texts)] == [1.0] * 7
+    rows = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "beta"), (4, None), (5, "")], "doc_id long, text string")
+    got = fingerprint.edited_likeness(rows, fingerprint.Lexicon(["w"])).collect()
+    assert {r.doc_id: r.near_next for r in got} == {1: 0.0, 2: 1.0, 3: 0.0, 4: 1.0, 5: 0.0}
+
+
 # ---- repeated passages --------------------------------------------------------------------------
 
 
