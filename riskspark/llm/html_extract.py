@@ -13,8 +13,10 @@ blocks with running text (comments, notices, sidebars) are put between, so that
 the names of layouts that its sample doesn't show. The sample has at most ``TRAIN_PAGES`` pages
 (the smallest hashes of the page id), in one task. Extraction is one narrow pass over whole pages.
 
-Defined cases: NULL or empty html gives the empty text; an unclosed raw element or comment reaches to
-the page's end; wrong nesting never fails; without a training page that names its main
+Defined cases: NULL or empty html gives the empty text; an unclosed script, style, textarea, title or comment
+reaches to the page's end; the other dropped elements go with their content only if they have a closing tag of
+their own, else only the tag goes; head is no element of its own, as all that may stand in it is dropped
+anyway; wrong nesting never fails; without a training page that names its main
 container, the labeller trains on the built-in layouts alone.
 """
 
@@ -46,19 +48,26 @@ SIDE = (
     "comments", "comment", "replies", "discussion", "copyright", "widget", "toolbar",
 )
 SIDE_TAGS = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "label", "legend", "option")
-#: Elements whose content is never text of the page; fixed values.
-RAW = "script|style|template|noscript|iframe|svg|math|textarea|object|title|head"
+#: Elements whose content is never text of the page: those up to the next closing tag, or without one up to the
+#: page's end, and those that nest and need a closing tag; fixed values.
+RAW = "script|style|textarea|title"
+DROPPED = "template|noscript|iframe|svg|math|object"
+FOREIGN = ("svg", "math")  # "/>" closes these and what is in them
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul button label".split()
 )
+DROPPED_TAGS = frozenset(DROPPED.split("|"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An opening tag ends an open element of these; fixed values.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
+ATTRS = r"[^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?=[\s>/])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?=[\s>/])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{ATTRS})>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+HIDING = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?=[\s>/])[^>]*>|<(?P<end>/?)(?P<tag>{DROPPED})(?=[\s>/]){ATTRS}>", re.S | re.I)
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW.split("|")}
 OPENED = re.compile(r"<[a-zA-Z/!?]")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z0-9]+")
@@ -70,6 +79,44 @@ def named_words(attrs: str) -> tuple[str, ...]:
     return tuple("." + w for m in NAMES.finditer(attrs) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower()))
 
 
+def dropped_spans(page: str) -> dict[int, int]:
+    """Start and stop of every ``DROPPED`` element with a closing tag; nested ones of a name are counted."""
+    opened: dict[str, list[int]] = {tag: [] for tag in DROPPED.split("|")}
+    spans: dict[int, int] = {}
+    at = 0
+    while m := HIDING.search(page, at):
+        at = m.end()
+        foreign = any(opened[tag] for tag in FOREIGN)
+        if m["raw"]:
+            if not foreign:
+                closing = RAW_END[m["raw"].lower()].search(page, at)
+                at = closing.end() if closing else len(page)
+        elif m["tag"]:
+            tag = m["tag"].lower()
+            if m["end"]:
+                if opened[tag]:
+                    spans[opened[tag].pop()] = at
+            elif not ((foreign or tag in FOREIGN) and m[0].endswith("/>")):
+                opened[tag].append(m.start())
+    return spans
+
+
+def tokens(page: str) -> Iterator[re.Match | None]:
+    """Matches of ``TOKEN``; None for a ``DROPPED`` element with its content."""
+    spans: dict[int, int] | None = None
+    at: int | None = 0
+    while at is not None:
+        first, at = at, None
+        for m in TOKEN.finditer(page, first):
+            if m["tag"] and not m["end"] and m["tag"].lower() in DROPPED_TAGS:
+                spans = dropped_spans(page) if spans is None else spans
+                at = spans.get(m.start())
+                if at is not None:
+                    yield None
+                    break
+            yield m
+
+
 def read_blocks(html: str | None) -> list[Block]:
     """Leaf blocks of a page in order, with decoded, trimmed, single-spaced texts."""
     blocks: list[Block] = []
@@ -89,7 +136,10 @@ def read_blocks(html: str | None) -> list[Block]:
         linked = 0
 
     page, last, tail = (html or "").rpartition(">")
-    for m in TOKEN.finditer(page + last + OPENED.split(tail, maxsplit=1)[0]):  # a tag that the page's end cuts off is no text
+    for m in tokens(page + last + OPENED.split(tail, maxsplit=1)[0]):  # a tag that the page's end cuts off is no text
+        if m is None:
+            parts.append(" ")
+            continue
         text = m["text"]
         if text is not None:
             parts.append(text)

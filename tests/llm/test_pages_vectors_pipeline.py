@@ -27,6 +27,25 @@ def test_blocks():
     assert [t for _, t, _ in html_extract.read_blocks("<ul><li>a<li>b</ul>c < d &lt;e&gt; &#233;")] == ["a", "b", "c < d <e> é"]
 
 
+def test_unclosed_elements_keep_the_page():
+    """Optional, self-closed and missing closing tags of dropped elements lose no text; closed ones stay dropped."""
+
+    def texts(page):
+        return [t for _, t, _ in html_extract.read_blocks(page)]
+
+    tail = "<p>one</p><p>two</p></article>"
+    for opening in ("<svg viewBox='0 0 1 1'/>", "<math/>", "<SVG class=x />", "<svg>", "<object data=x>", "<iframe src='a>b'/>", "<noscript>", "<template>"):
+        assert texts(f"<article>{opening}{tail}") == ["one", "two"], opening
+    for closed in ("<svg><title/><path d=''/></svg>", "<svg>x<svg>y</svg>z</svg>", "<svg><svg/>x</svg>", "<object>x<object>y</object></object>", "<noscript><p>x</noscript>", "<template><div>x</template>", "<math><mi>x</math>", "<iframe>x</iframe >", "<svg><!-- </svg> -->x</svg>"):
+        assert texts(f"<article>{closed}{tail}") == ["one", "two"], closed
+        assert texts(f"<article><object><svg/>{tail}{closed}<p>three") == ["one", "two", "three"], closed
+    assert texts(f"<html><head><title>t</title><meta charset=x><style>s</style><body><article>{tail}") == ["one", "two"]
+    assert texts(f"<head><script>'<svg>'</script><noscript><link></noscript><article><svg>x</svg>{tail}") == ["one", "two"]
+    assert texts(f"<head><title>t</title></head><body><script>'</svg>'</script><article>{tail}<script>x") == ["one", "two"]
+    for bad in ('<svg "' * 2000, "<svg/" * 2000, "<svg><math>" * 2000, "<object><title>x"):
+        assert texts(bad) == []
+
+
 def test_extraction_on_layouts(spark):
     sample = table(spark, MIDDLE, "pages")
     params = html_extract.learn(sample)
