@@ -751,3 +751,15 @@ rows AS (SELECT ids.conv_id, any_value(head.a) || coalesce(flatten(list(given.a
                 any_value(head.b) || coalesce(flatten(list(given.b ORDER BY k) FILTER (WHERE k IS NOT NULL)), []) AS b
          FROM ids CROSS JOIN head LEFT JOIN given ON given.conv_id = ids.conv_id GROUP BY ids.conv_id)
 SELECT conv_id, md5(array_to_string(list_resize(a, 256, '<pad>'), '|')) AS input_md5, md5(array_to_string(list_resize(b, 256, '-100'), '|')) AS target_md5 FROM rows"""
+
+Q["conversation_masks_whole"] = """WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
+kept AS (SELECT *, regexp_split_to_array(text, '\\s+') AS w FROM t WHERE k > 1 OR role = 'user'),
+given AS (SELECT conv_id, k, ['<|im_start|>', role, chr(10)] || w || ['<|im_end|>', chr(10)] AS a,
+                 ['<|im_start|>', '-100', '-100'] || CASE WHEN role = 'assistant' THEN w ELSE list_transform(w, lambda x: '-100') END || ['<|im_end|>', chr(10)] AS b FROM kept),
+head AS (SELECT ['<|im_start|>', 'system', chr(10), 'You', 'judge', 'credit', 'risk', '<|im_end|>', chr(10)] AS a,
+                ['<|im_start|>', '-100', '-100', '-100', '-100', '-100', '-100', '<|im_end|>', chr(10)] AS b),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+rows AS (SELECT ids.conv_id, any_value(head.a) || coalesce(flatten(list(given.a ORDER BY k) FILTER (WHERE k IS NOT NULL)), []) AS a,
+                any_value(head.b) || coalesce(flatten(list(given.b ORDER BY k) FILTER (WHERE k IS NOT NULL)), []) AS b
+         FROM ids CROSS JOIN head LEFT JOIN given ON given.conv_id = ids.conv_id GROUP BY ids.conv_id)
+SELECT conv_id, CAST(len(a) AS INTEGER) AS n_places, md5(array_to_string(a, '|')) AS input_md5, md5(array_to_string(b, '|')) AS target_md5 FROM rows"""

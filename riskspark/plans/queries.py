@@ -389,12 +389,19 @@ def conversation_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversation_masks(spark: SparkSession, sf: str) -> DataFrame:
-    """T-19: input and target arrays of every conversation, 256 places."""
+    """T-19: input and target arrays of every conversation, cut to 256 places; ``conversation_masks_whole`` has all of them."""
     c = T.to_conversations(X.load(spark, sf, "conversations"))
     given, wanted = T.sft_arrays(T.trim_leading_turn("conversations"), "You judge credit risk", 256)
     return c.select("conv_id", F.md5(F.array_join(given, "|")).alias("input_md5"), F.md5(F.array_join(wanted, "|")).alias("target_md5"))
 
 
+def conversation_masks_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """T-19: input and target arrays of every whole conversation, with every turn, uncut and unpadded."""
+    c = T.to_conversations(X.load(spark, sf, "conversations"))
+    given, wanted = T.sft_arrays(T.trim_leading_turn("conversations"), "You judge credit risk", None)
+    return c.select("conv_id", F.size(given).alias("n_places"), F.md5(F.array_join(given, "|")).alias("input_md5"), F.md5(F.array_join(wanted, "|")).alias("target_md5"))
+
+
 def doc_steps(spark: SparkSession, sf: str) -> DataFrame:
     """T-09, T-10, T-11, T-12, T-16 on whole documents (steps are lines)."""
     d = X.load(spark, sf, "documents").select("doc_id", "text")

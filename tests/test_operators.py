@@ -254,6 +254,24 @@ def test_step_functions(spark):
     assert r2["l"] == [-100, 100, -100, 200, 100] and r2["a"] == [1, 0, 1, 0, 0]
 
 
+def test_whole_conversation_masks(spark, tmp_path):
+    """A conversation of over 256 places keeps its later turns and their loss masks."""
+    import hashlib
+
+    from riskspark.plans import queries as Q
+
+    said = " ".join(f"w{k}" for k in range(400))
+    turns = [("c", 0, "user", said), ("c", 1, "assistant", "yes no"), ("c", 2, "user", "x"), ("c", 3, "assistant", said)]
+    spark.createDataFrame(turns, "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    given, wanted = (["<|im_start|>", *a, "<|im_end|>", "\n"] for a in (["system", "\n", "You", "judge", "credit", "risk"], ["-100"] * 6))
+    for _, _, role, text in turns:
+        words = text.split()
+        given += ["<|im_start|>", role, "\n", *words, "<|im_end|>", "\n"]
+        wanted += ["<|im_start|>", "-100", "-100", *(words if role == "assistant" else ["-100"] * len(words)), "<|im_end|>", "\n"]
+    md5 = [hashlib.md5("|".join(a).encode()).hexdigest() for a in (given, wanted)]
+    assert [tuple(r) for r in Q.conversation_masks_whole(spark, str(tmp_path)).collect()] == [("c", len(given), *md5)]
+
+
 def test_flag_done(spark):
     long = "x" * 2000
     rows_in = [
