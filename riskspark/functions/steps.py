@@ -27,6 +27,11 @@ def split_steps(text, tag: str = STEP_TAG) -> Column:
     return F.split(_c(text), re.escape(tag))
 
 
+def steps_with_endings(text) -> Column:
+    """T-09: the lines of a text, each with its line end and the blank lines after it; nothing is lost."""
+    return F.regexp_extract_all(_c(text), F.lit(r"[^\n]*\n(?: *\n)*+|[^\n]+"), F.lit(0))
+
+
 def join_steps(steps, tag: str = STEP_TAG) -> Column:
     return F.array_join(_c(steps), tag)
 

@@ -524,6 +524,19 @@ SELECT doc_id, len(string_split(text, chr(10))) AS n_steps,
   CASE WHEN p > 0 THEN length(text) - p - 8 ELSE 0 END AS obs_tail_len
 FROM e"""
 
+_ENDINGS = [chr(10) + "   " + chr(10), chr(10) + "  " + chr(10), chr(10) + " " + chr(10), chr(10) * 2, "." + chr(10) * 2, ":" + chr(10) * 2, " " + chr(10) * 2]
+
+
+def _tagged(x: str) -> str:
+    cases = " ".join(f"WHEN ends_with({x}, {lit(e)}) THEN replace({x}, {lit(e)}, chr(10) || chr(10))" for e in _ENDINGS)
+    return f"CASE {cases} ELSE {x} || chr(10) || chr(10) END"
+
+
+Q["doc_step_tags"] = f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\n]*\\n(?: *\\n)*|[^\\n]+') AS steps FROM documents)
+SELECT doc_id, len(steps) AS n_steps, md5({_tagged('text')}) AS tagged_md5,
+  md5(array_to_string(list_transform(steps, lambda x: {_tagged('x')}), '')) AS step_tagged_md5
+FROM d"""
+
 
 # ============================================================================= process-reward, token arrays
 

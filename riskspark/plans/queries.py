@@ -403,7 +403,8 @@ def conversation_masks_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """T-09, T-10, T-11, T-12, T-16 on whole documents (steps are lines)."""
+    """T-09, T-11, T-12, T-16 on whole documents (steps are lines); T-10 on the first line with a fixed
+    ending, ``doc_step_tags`` has it on whole documents."""
     d = X.load(spark, sf, "documents").select("doc_id", "text")
     first, rest = S.split_observation(F.col("text"))
     steps = S.split_steps("text", "\n")
@@ -419,6 +420,18 @@ def doc_steps(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def doc_step_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """T-10 on every whole document, and on each of its steps (lines) with the ending that it has."""
+    d = X.load(spark, sf, "documents").select("doc_id", "text")
+    steps = S.steps_with_endings("text")
+    return d.select(
+        "doc_id",
+        F.size(steps).alias("n_steps"),
+        F.md5(S.ensure_step_tag("text")).alias("tagged_md5"),
+        F.md5(F.array_join(F.transform(steps, lambda x: S.ensure_step_tag(x)), "")).alias("step_tagged_md5"),
+    )
+
+
 # ----------------------------------------------------------------------------- process-reward data
 
 

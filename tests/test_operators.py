@@ -254,6 +254,24 @@ def test_step_functions(spark):
     assert r2["l"] == [-100, 100, -100, 200, 100] and r2["a"] == [1, 0, 1, 0, 0]
 
 
+def test_step_tags_of_whole_documents(spark, tmp_path):
+    """Later lines and the real endings count."""
+    import hashlib
+
+    from riskspark.plans import queries as Q
+
+    texts = ["one", "a\nb.\n\nc:\n   \nd", "a\n \nb\n \n", "x\n\n\ny \n\n", "\n\na\n", "", "a" + "\n" * 50_000 + "b"]
+    steps = [["one"], ["a\n", "b.\n\n", "c:\n   \n", "d"], ["a\n \n", "b\n \n"], ["x\n\n\n", "y \n\n"], ["\n\n", "a\n"], [], ["a" + "\n" * 50_000, "b"]]
+
+    def tagged(t):  # the reference's rule
+        end = next((e for e in S.END_TOKENS if t.endswith(e)), None)
+        return t.replace(end, "\n\n") if end else t + "\n\n"
+
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(k, len(s), *(hashlib.md5(x.encode()).hexdigest() for x in (tagged(t), "".join(map(tagged, s))))) for k, (t, s) in enumerate(zip(texts, steps))]
+    assert sorted(map(tuple, Q.doc_step_tags(spark, str(tmp_path)).collect())) == want
+
+
 def test_whole_conversation_masks(spark, tmp_path):
     """A conversation of over 256 places keeps its later turns and their loss masks."""
     import hashlib
