@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -164,19 +165,45 @@ def replicate(df: DataFrame, n: int, batch: int, name: str = "gen") -> DataFrame
     )
 
 
+# Letter cases and blanks of the verdict spellings; variants are numbered by
+# (leading blanks, case, trailing blanks), in this order.
+VERDICT_CASES = ["lower", "capitalized", "upper"]
+VERDICT_LEADING = ["", " ", "  "]
+VERDICT_TRAILING = ["", " ", "  "]
+
+
+def _spell(word: Column, case: str) -> Column:
+    if case == "capitalized":
+        return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2))))
+    return F.lower(word) if case == "lower" else F.upper(word)
+
+
+def _spellings(word: Column) -> Column:
+    """Array of (number, variant): the 27 spellings of a word in their fixed order."""
+    forms = itertools.product(VERDICT_LEADING, VERDICT_CASES, VERDICT_TRAILING)
+    return F.array(*[
+        F.struct(F.lit(n).alias("number"), F.concat(F.lit(lead), _spell(word, case), F.lit(trail)).alias("variant"))
+        for n, (lead, case, trail) in enumerate(forms)
+    ])
+
+
 def verdict_variants(words: DataFrame, word: str = "word") -> DataFrame:
-    """J-09: 27 spellings per verdict word (cross join with a 27-row literal table, broadcast)."""
-    combos = F.inline(
-        F.array(*[
-            F.struct(F.lit(c).alias("case"), F.lit(l).alias("lead"), F.lit(t).alias("trail"))
-            for c in VERDICT_CASES for l in VERDICT_LEADING for t in VERDICT_TRAILING
-        ])
+    """J-09: the numbered spellings (``number``, ``variant``) of every verdict word, as a literal array per row."""
+    return words.select("*", F.inline(_spellings(F.col(word))))
+
+
+def verdict_lookup(df: DataFrame, token: str, good: str = "good", bad: str = "bad") -> DataFrame:
+    """J-09: for a predicted token, the same spelling of both words (``good_token``, ``bad_token``) and the
+    word it spells; all NULL where no spelling fits (also for a NULL token). The lookup table has 27 rows a
+    word; where both words share a spelling the good word's comes first."""
+    table = df.sparkSession.range(1).select(F.explode(F.array(F.lit(good), F.lit(bad))).alias("word"))
+    both = F.arrays_zip(_spellings(F.lit(good)).alias("g"), _spellings(F.lit(bad)).alias("b"))
+    pairs = df.sparkSession.range(1).select(F.inline(both)).select(
+        F.col("g.number").alias("number"), F.col("g.variant").alias("good_token"), F.col("b.variant").alias("bad_token")
     )
-    table = words.sparkSession.range(1).select(combos)
-    w = F.col(word)
-    cased = (
-        F.when(F.col("case") == "lower", F.lower(w))
-        .when(F.col("case") == "capitalized", F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
-        .otherwise(F.upper(w))
+    known = verdict_variants(table).join(pairs, "number")
+    first = known.groupBy("variant").agg(
+        F.min_by(F.struct("word", "number", "good_token", "bad_token"), F.struct(F.col("word") != good, F.col("number"))).alias("_v")
     )
-    return words.crossJoin(F.broadcast(table)).select("*", F.concat("lead", cased, "trail").alias("variant"))
+    out = df.join(F.broadcast(first), df[token] == first["variant"], "left")  # at most 54 rows
+    return out.select(df["*"], F.col("_v.word").alias("verdict_word"), F.col("_v.number").alias("variant_number"), "_v.good_token", "_v.bad_token")

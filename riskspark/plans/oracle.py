@@ -407,13 +407,23 @@ SELECT o_orderkey, CAST(floor(rk / ceil(n / 7)) + 1 AS INTEGER) AS part_even, CA
 
 Q["replicated_prompts"] = """SELECT o_orderkey, CAST(g AS INTEGER) AS gen, CAST(floor(g / 4) AS INTEGER) AS batch FROM orders, range(10) t(g)"""
 
+_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+_SPELL = """c AS (SELECT * FROM (VALUES (0, 'lower'), (1, 'capitalized'), (2, 'upper')) t(ci, c)),
+l AS (SELECT * FROM (VALUES (0, ''), (1, ' '), (2, '  ')) t(li, l)),
+t AS (SELECT * FROM (VALUES (0, ''), (1, ' '), (2, '  ')) t(ti, t)),
+v AS (SELECT word, CAST(9 * li + 3 * ci + ti AS INTEGER) AS number,
+  l || CASE c WHEN 'lower' THEN lower(word) WHEN 'capitalized' THEN upper(substr(word, 1, 1)) || lower(substr(word, 2)) ELSE upper(word) END || t AS variant
+FROM w, c, l, t)"""
+
 Q["verdict_spellings"] = f"""WITH {ANSWERS},
-w AS (SELECT DISTINCT expected AS word FROM answers),
-c AS (SELECT * FROM (VALUES ('lower'), ('capitalized'), ('upper')) t(c)),
-l AS (SELECT * FROM (VALUES (''), (' '), ('  ')) t(l)),
-t AS (SELECT * FROM (VALUES (''), (' '), ('  ')) t(t))
-SELECT word, l || CASE c WHEN 'lower' THEN lower(word) WHEN 'capitalized' THEN upper(substr(word, 1, 1)) || lower(substr(word, 2)) ELSE upper(word) END || t AS variant
-FROM w, c, l, t"""
+w AS (SELECT DISTINCT expected AS word FROM answers), {_SPELL}
+SELECT word, number, variant FROM v"""
+
+Q["verdict_tokens"] = f"""WITH {ANSWERS},
+w AS (SELECT * FROM (VALUES ('good'), ('bad')) t(word)), {_SPELL},
+a AS (SELECT {_KEY}, regexp_extract(response, '(?i)assessment\\**:([^\\n]*)', 1) AS token FROM answers)
+SELECT {_KEY}, token, x.word AS verdict_word, x.number AS variant_number, g.variant AS good_token, b.variant AS bad_token
+FROM a LEFT JOIN v x ON x.variant = token LEFT JOIN v g ON g.word = 'good' AND g.number = x.number LEFT JOIN v b ON b.word = 'bad' AND b.number = x.number"""
 
 _CATS = ["Loan Purpose", "Loan Application Type", "Grade", "Address State", "Employment Length", "Home Ownership", "Verification Status"]
 Q["loan_cardinality"] = f"""WITH {LOANS}, d AS (SELECT {DISPLAY_SELECT} FROM final)

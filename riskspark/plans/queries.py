@@ -296,7 +296,13 @@ def replicated_prompts(spark: SparkSession, sf: str) -> DataFrame:
 def verdict_spellings(spark: SparkSession, sf: str) -> DataFrame:
     """J-09: 27 spellings of every verdict word found in the answers."""
     words = X.answers(spark, sf).select(F.col("expected").alias("word")).distinct()
-    return PR.verdict_variants(words).select("word", "variant")
+    return PR.verdict_variants(words).select("word", "number", "variant")
+
+
+def verdict_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """J-09: the raw verdict tail of every answer, looked up among the spellings of both words."""
+    a = X.answers(spark, sf).select(*X.LINE_KEY, F.regexp_extract("response", r"(?i)assessment\**:([^\n]*)", 1).alias("token"))
+    return PR.verdict_lookup(a, "token")
 
 
 def loan_cardinality(spark: SparkSession, sf: str) -> DataFrame:
