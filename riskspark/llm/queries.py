@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, fingerprint, html_extract, langid, near_dedup, packing, quality, repeats, sharding, topk
+from riskspark.llm import bpe, conversations, fingerprint, hard_negatives, html_extract, langid, near_dedup, packing, quality, repeats, sharding, token_store, topk
 from riskspark.llm.common import id_remainder, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
+WORD_FILE = "word_bpe_49k.json"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +90,22 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op11_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of the five best positives of every 100th vector; labels of every seventh id moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0, positives=5, negatives=5, least=80, most=100, scale=256)
+
+
+def op12_deepening_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to files and read back, as digests."""
+    return token_store.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE), end_id=1)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -100,6 +117,9 @@ QUERIES = {
     "op8_prefix_intervals": op8_prefix_intervals,
     "op9_block_labeller": op9_block_labeller,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_four_russians": op11_four_russians,
+    "op12_deepening_repair": op12_deepening_repair,
+    "op13_token_store": op13_token_store,
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ORACLE_SQL: dict[str, str] = {
@@ -126,5 +146,21 @@ WITH e AS (
   FROM e q JOIN e d ON d.vec_id <> q.vec_id AND len(d.v) = len(q.v) WHERE q.vec_id % 50 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op11_four_russians": """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, d.vec_id AS other_id, a.label = d.label AS same, CAST(list_dot_product(a.v, d.v) AS BIGINT) AS score
+  FROM e a JOIN e d ON d.vec_id <> a.vec_id AND len(d.v) = len(a.v) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)
+QUALIFY row_number() OVER w <= 5
 """,
 }
