@@ -298,7 +298,7 @@ def _folded(pdf: pd.DataFrame) -> pd.DataFrame:
         for e, way in enumerate(fold(_lists(pdf["costs"]), _lists(pdf["ranks"]), start)):
             if way is not None:
                 costs[4 * start + e], keys[4 * start + e] = way[0], way[1]
-    return pd.DataFrame({"conv": pdf["conv"].iloc[:1], "block": [int(pdf["block"].iloc[0]) // FOLD], "costs": [costs], "ranks": [ranked(costs, keys)]})
+    return pd.DataFrame({"conv": pdf["conv"].iloc[:1], "block": [int(pdf["group"].iloc[0])], "costs": [costs], "ranks": [ranked(costs, keys)]})
 
 
 def _assigned(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -323,7 +323,7 @@ def block_states(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     levels = [blocks.select("conv", "block", "costs", "ranks")]
     while levels[-1].agg(F.max("block")).first()[0]:
         group = levels[-1].withColumn("group", F.floor(F.col("block") / FOLD))
-        up = group.groupBy("conv", "group").applyInPandas(lambda pdf: _folded(pdf), f"conv {kind}, block long, costs array<long>, ranks array<int>")
+        up = group.groupBy("conv", "group").applyInPandas(_folded, f"conv {kind}, block long, costs array<long>, ranks array<int>")
         levels.append(materialize(up, "conversation-level"))
     top = levels[-1].groupBy("conv", "block").applyInPandas(_ends, f"conv {kind}, block long, before int, after int, cost long")
     whole = materialize(top, "conversation-ends")

@@ -7,19 +7,18 @@ File format, little-endian, one file a partition of the ascending document order
     frame offset u64, first id's place u64, key length u32, key                     index, one entry a document
     index offset u64, documents u64, ids u64, "TOKZ"                                footer
 
-Any document is read with the index and one frame (``read_documents`` with ``wanted``); small documents still
+Any document is read with the index and one frame (``read_documents`` with ``keys``); small documents still
 compress well, since the dictionary, trained once on serialised id arrays, holds what they have in common.
 The dictionary lies beside the files under its own hash, and a reader refuses one that differs.
 
-Documents are encoded where they are read, so the exchange into document order carries compressed
-frames. Files are written from the tasks, each to a name of its own, then renamed: a repeated
-task puts the same content under the same name. The driver sees one row a file. Places that count
+Texts are dealt to ranges of the document order first, so that encoding runs once, and each task encodes,
+compresses and writes its range as one stream. A task writes under a name of its own and renames the file when
+it is whole: a repeated task puts the same content under the same name. The driver sees one row a file. Places that count
 over all documents (``start``) are the files' id counts summed in order, plus the place in the file.
 
 Defined cases: NULL text counts as empty (the end id alone); documents are ordered by id, NULL ids first,
 equal ids by their text's hash; equal rows stay separate documents, and an id that many rows share is spread
-over files. A very long text is encoded word by word and never copied as a list of words. An empty table
-gives no documents. Other columns are ignored.
+over files. A very long text is encoded in parts that end at blanks. An empty table gives no documents. Other columns are ignored.
 
 Parameters that bound something: the dictionary is trained on ``SAMPLE_DOCS`` documents at most (those with
 the least hash of id and text), the first ``SAMPLE_IDS`` ids of each; it affects sizes, never ids.
@@ -29,13 +28,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 import struct
 import uuid
 from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -53,30 +52,20 @@ MAGIC, VERSION = b"TOKZ", 1
 HEADER, ENTRY, FOOTER = struct.Struct("<4sII32s"), struct.Struct("<QQI"), struct.Struct("<QQQ4s")
 NO_KEY = (1 << 32) - 1  # key length of a NULL id
 BATCH_BYTES = 8 << 20  # ids read at once
-PIECES = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
-LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-MEMO_WORDS, MEMO_BYTES = 400_000, 64  # words kept in a worker, and the longest of them
-WORDS_AT_ONCE = 1 << 20  # bytes of text split at once
-
-
-def word_pieces(word: bytes) -> list[bytes]:
-    """A word cut where the tokenizer cuts it in any case: letters, digits and marks of ASCII, or letters before ASCII marks. Words with an apostrophe or
-    a mark of special tokens, and all others, stay whole."""
-    if word.isalpha() or b"'" in word or b"<|" in word:
-        return [word]
-    if word.isascii():
-        return PIECES.findall(word)
-    found = LETTERS_MARKS.fullmatch(word.decode())
-    return [found[1].encode(), found[2].encode()] if found and found[1].isalpha() else [word]
+WHOLE_TEXTS = r"<\||[\x{0300}-\x{036f}]"  # special tokens; marks that may join an ASCII letter or mark
+LETTER_MARK = "([a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af])([!-&(-/:-@\\[-`{-~])"  # Latin; not the apostrophe, which may belong to letters
+MEMO_WORDS, MEMO_CHARS = 800_000, 40  # words kept in a worker at most, and the longest of them
+BYTES_AT_ONCE, PART_CHARS = 8 << 20, 1 << 20  # of texts handled together, of a longer text's parts
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space and never joins across it.
 
-    Each distinct word between ASCII blanks is encoded once and its serialised ids are kept. New words of a
-    megabyte of text go to the library together: a word of ASCII letters, digits and marks is cut
-    where letters meet marks, as the tokenizer does; pieces of letters only are joined by blanks, and their ids part at
-    the ids that end a word. Other words go there one by one."""
+    Texts of a few megabytes are taken together: ASCII letters in lower case (the tokenizer does so too), a blank put
+    between a letter or digit and an ASCII mark (it cuts there in any case), then cut at blanks and numbered by distinct
+    word, all by Arrow. Each distinct word's serialised ids are kept; new ones go to the library
+    together, words of letters joined by blanks, their ids parted again at the ids that end a word. The
+    texts' ids are then gathered by word number. Texts with special tokens or combining marks go to the library whole."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -86,86 +75,84 @@ class WordEncoder:
         self.ends_word = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends_word[i] = bool(suffix) and token.endswith(suffix)
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def _singly(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def _letters(self, words: list[bytes]) -> list[bytes]:
-        """Words of letters: one word end each, or else one by one."""
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters: each has one word end, or else all go one by one."""
         if not words:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
         stops = np.flatnonzero(self.ends_word[ids]) + 1
         if len(stops) != len(words) or stops[-1] != len(ids):
-            return self._singly(words)
+            return self._whole(words)
         raw, cuts = ids.tobytes(), (stops * self.kind.itemsize).tolist()
         return [raw[i:j] for i, j in zip([0, *cuts], cuts)]
 
-    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the memo hasn't."""
-        cut: dict[bytes, list[bytes]] = {}
-        letters, others = set(), set()
-        for w in words:
-            pieces = word_pieces(w)
-            if len(pieces) > 1:
-                cut[w] = pieces
-            for p in pieces:
-                if p not in self.memo:
-                    (letters if p.isalpha() or not p.isascii() and p.decode().isalpha() else others).add(p)
-        found = dict(zip(list(letters), self._letters(list(letters))))
-        found.update(zip(list(others), self._singly(list(others))))
-        for w, pieces in cut.items():
-            found[w] = b"".join([found[p] if p in found else self.memo[p] for p in pieces])
-        return found
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of every word, at least; short ones stay in the memo."""
-        fresh = [w for w in words if w not in self.memo]
-        if not fresh:
-            return self.memo
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; those of short ones are kept."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-            fresh = list(words)
-        found = self._new(fresh)
-        short = {w: ids for w, ids in found.items() if len(w) <= MEMO_BYTES}
-        self.memo.update(short)
-        return self.memo if len(short) == len(found) else {w: found[w] if w in found else self.memo[w] for w in words}
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Serialised ids of each UTF-8 text."""
+        known = list(map(self.memo.get, words))
+        fresh = [w for w, ids in zip(words, known) if ids is None]
+        if not fresh:
+            return known
+        letters = [w for w in fresh if w.isalpha()]
+        others = [w for w in fresh if not w.isalpha()]
+        found = dict(zip(letters, self._letters(letters)))
+        found.update(zip(others, self._whole(others)))
+        self.memo.update(found if max(map(len, fresh)) <= MEMO_CHARS else {w: i for w, i in found.items() if len(w) <= MEMO_CHARS})
+        return [found[w] if ids is None else ids for w, ids in zip(words, known)]
+
+    def _some(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of a few megabytes of texts."""
+        whole = pc.match_substring_regex(texts, WHOLE_TEXTS).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(plain), LETTER_MARK, r"\1 \2"))
+        numbered = pc.dictionary_encode(split.flatten())
+        words = numbered.dictionary.to_pylist()
+        if "" in words:  # the split leaves empty words at the ends
+            self.memo[""] = b""
+        ids = pa.array(self._ids_of(words), pa.large_binary()).take(numbered.indices)
+        if not len(ids):
+            out = [b""] * len(texts)
+        else:
+            place, data = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1], ids.buffers()[2]
+            cuts = place[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+            raw = memoryview(data) if data is not None else memoryview(b"")
+            out = [bytes(raw[i:j]) for i, j in zip(cuts, cuts[1:])]
+        for i, found in zip(np.flatnonzero(whole), self._whole(texts.filter(pa.array(whole)).to_pylist()) if whole.any() else ()):
+            out[i] = found
+        return out
+
+    def encode(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """Serialised ids of each text."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().tolist()
         first = held = 0
-        for i, text in enumerate(texts):
-            if len(text) > WORDS_AT_ONCE:
-                yield from self._short(texts[first:i])
-                yield b"".join(piece for part in self._parts(text) for piece in self._short([part]))
-                first, held = i + 1, 0
-            elif held + len(text) > WORDS_AT_ONCE:
-                yield from self._short(texts[first:i])
-                first, held = i, len(text)
-            else:
-                held += len(text)
-        yield from self._short(texts[first:])
-
-    def _short(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
-        ids = self._learn(set().union(*split)).__getitem__
-        for words in split:
-            yield b"".join(map(ids, words))
-
-    @staticmethod
-    def _parts(text: bytes) -> Iterator[bytes]:
-        """A long text in parts that end at a blank."""
-        at = 0
-        while len(text) - at > WORDS_AT_ONCE:
-            cut = max(text.rfind(b, at, at + WORDS_AT_ONCE) for b in (b" ", b"\n", b"\t"))
-            if cut < 0:
-                found = [p for b in (b" ", b"\n", b"\t") if (p := text.find(b, at + WORDS_AT_ONCE)) >= 0]
-                cut = min(found, default=len(text) - 1)
-            yield text[at : cut + 1]
-            at = cut + 1
-        yield text[at:]
+        for i, size in enumerate([*sizes, BYTES_AT_ONCE + 1]):
+            if held + size > BYTES_AT_ONCE:
+                if i > first:
+                    yield from self._some(texts.slice(first, i - first))
+                first, held = i, 0
+                if i < len(sizes) and size > BYTES_AT_ONCE:
+                    yield b"".join(ids for part in text_parts(texts[i].as_py()) for ids in self._some(pa.array([part], pa.string())))
+                    first, size = i + 1, 0
+            held += size
+
+
+def text_parts(text: str) -> Iterator[str]:
+    """A long text in parts that end at a blank, where no word and no special token goes on."""
+    at = 0
+    while len(text) - at > PART_CHARS:
+        cut = max(text.rfind(b, at, at + PART_CHARS) for b in " \n\t")
+        if cut < 0:
+            cut = min([p for b in " \n\t" if (p := text.find(b, at + PART_CHARS)) >= 0], default=len(text) - 1)
+        yield text[at : cut + 1]
+        at = cut + 1
+    yield text[at:]
 
 
 def word_encoder(tokenizer_path: str) -> WordEncoder:
@@ -174,7 +161,7 @@ def word_encoder(tokenizer_path: str) -> WordEncoder:
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     """A dictionary of the serialised ids of a bounded sample: the documents with the least hash."""
-    head = F.substring("text", 1, 8 * SAMPLE_IDS).cast("binary").alias("text")
+    head = F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")
     some = docs.select(F.xxhash64("key", "text").alias("draw"), head).orderBy("draw").limit(SAMPLE_DOCS).select("text")
     schema = pa_schema(docs.sparkSession, "ids binary")
 
@@ -182,7 +169,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
         encoder = word_encoder(tokenizer_path)
         most = SAMPLE_IDS * encoder.kind.itemsize
         for b in batches:
-            ids = [i[:most] for i in encoder.encode(b.column("text").to_pylist())]
+            ids = [i[:most] for i in encoder.encode(b.column("text"))]
             yield pa.RecordBatch.from_pydict({"ids": ids}, schema=schema)
 
     sample = [r["ids"] for r in some.mapInArrow(encode, "ids binary").collect() if r["ids"]]
@@ -273,50 +260,37 @@ def write_documents(docs: DataFrame, folder: str, tokenizer_path: str, end_id: i
     digest = hashlib.sha256(raw).hexdigest()
     with store.open_output_stream(f"{root}/{digest}.dictionary") as f:
         f.write(raw)
-    ddl = f"key {docs.schema['key'].dataType.simpleString()}, tie long, copy long, n long, frame binary"
-    schema = pa_schema(spark, ddl)
-
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer_path)
-        shared = _dictionary(folder, digest)
-        if shared:
-            shared.precompute_compress(level=LEVEL)
-        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
-        end = np.array([end_id], encoder.kind).tobytes()
-        for b in batches:
-            counts, frames = [], []
-            for ids in encoder.encode(b.column("text").to_pylist()):
-                counts.append(len(ids) // encoder.kind.itemsize + 1)
-                frames.append(compressor.compress(ids + end))
-            cols = [b.column("key"), b.column("tie"), b.column("copy"), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
-
     # equal ids are told apart by their text's hash and by the row's place, so no range holds a hot id whole
-    keyed = docs.select("key", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("copy"), F.col("text").cast("binary").alias("text"))
+    keyed = docs.select("key", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("copy"), "text")
     order = [F.col("key").asc_nulls_first(), F.col("tie"), F.col("copy")]
-    frames = keyed.mapInArrow(compress, ddl).repartitionByRange(*order).sortWithinPartitions(*order)
-    frames = frames.select(F.spark_partition_id().alias("file"), F.col("key").cast("string").alias("key"), "n", "frame")
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("file"), F.col("key").cast("string").alias("key"), "text")
     out_ddl = "file int, path string, documents long, ids long"
     out_schema = pa_schema(spark, out_ddl)
     run = uuid.uuid4().hex
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = filesystem(folder)
+        encoder, shared = word_encoder(tokenizer_path), _dictionary(folder, digest)
+        if shared:
+            shared.precompute_compress(level=LEVEL)
+        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
+        width, end = encoder.kind.itemsize, np.array([end_id], encoder.kind).tobytes()
         own = f"{root}/{run}-{uuid.uuid4().hex}.part"  # of this attempt of the task
         sink = writer = None
         for b in batches:
-            for file, key, n, frame in zip(*(c.to_pylist() for c in b.columns)):
-                if writer is None:
-                    sink = store.open_output_stream(own)
-                    writer, path = Writer(sink, word_encoder(tokenizer_path).kind.itemsize, digest), f"{root}/{run}-{file:06d}.tokz"
-                writer.add(key, frame, n)
+            if writer is None and b.num_rows:
+                file, sink = b.column("file")[0].as_py(), store.open_output_stream(own)
+                writer = Writer(sink, width, digest)
+            for key, ids in zip(b.column("key").to_pylist(), encoder.encode(b.column("text"))):
+                writer.add(key, compressor.compress(ids + end), len(ids) // width + 1)
         if writer is not None:
             writer.close()
             sink.close()
+            path = f"{root}/{run}-{file:06d}.tokz"
             store.move(own, path)
             yield pa.RecordBatch.from_pydict({"file": [file], "path": [path], "documents": [len(writer.index)], "ids": [writer.ids]}, schema=out_schema)
 
-    manifest = materialize(frames.mapInArrow(write, out_ddl), "token-files")  # the files are written here, once
+    manifest = materialize(ordered.mapInArrow(write, out_ddl), "token-files")  # the files are written here, once
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
