@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskspark.llm import langid, near_dedup, packing, quality, repeats
 from riskspark.llm.common import keep_rows, materialize, table
-from riskspark.llm.queries import RANK_FILE, language_prototypes, quality_model
+from riskspark.llm.queries import BYTE_FILE, RANK_FILE, language_prototypes, quality_model
 
 CAPACITY = 2048
 
@@ -54,7 +54,8 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of at most ``CAPACITY`` tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, CAPACITY, label="pipeline-pieces")
+    added = packing.added_tokens(public_tokenizers.path(BYTE_FILE))
+    return packing.pack_documents(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, CAPACITY, label="pipeline-pieces", added=added)
 
 
 STAGES = [

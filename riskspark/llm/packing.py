@@ -2,24 +2,35 @@
 
 Only the histogram of piece lengths (at most ``capacity`` rows) reaches the driver:
 
-1. The configuration LP over the histogram (fewest sequences that cover every length's count) is
-   solved by multiplicative weights. Each round prices a length by its weight, finds the most
-   valuable configuration by an unbounded-knapsack dynamic program over the capacity, and covers
-   with it; covered lengths lose weight.
-2. Whole multiples of the configurations are taken as far as the counts go (rounding down). What is
-   left is placed by best-fit decreasing over groups of equal sequences, so the work depends on
-   the number of distinct lengths and never on the number of documents.
+1. The configuration LP over the histogram (fewest sequences that cover every length's count) is solved by
+   multiplicative weights. A round prices a length by itself times a weight that falls exponentially with the share of its
+   count that is covered, and solves the unbounded knapsack over the capacity by dynamic programming. From
+   that one table every length that lags gets its best configuration and takes as much of it as it lacks,
+   unless another length in it would run more than ``SLACK`` ahead. Rounds go on until every length is
+   covered; prices scaled by the best configuration's value bound the LP from below.
+2. Configurations are taken in whole multiples, the most used first, then once more while the counts
+   last: most tokens go by configurations. What is left is placed by best-fit decreasing over groups
+   of equal sequences, so the work depends on the number of distinct lengths and never on the number of documents.
+   Configurations that leave room or hold many short pieces may be better left to best fit: of a few such
+   limits (``ROUNDINGS``) the one with the fewest sequences is taken, the widest on ties.
 3. Every piece gets its dense rank among the pieces of its length. Each length is split into salted
    groups of about ``GROUP_ROWS`` rows, so that a length held by a third of all rows is ranked in
    many tasks. (length, rank) then gives the sequence and the offset: a lookup in the plan, whose
    size is bounded by the capacity.
 
+Ids are those of the vocabulary's tokenizer: its added tokens are split off first, the rest is encoded by
+the library tiktoken; where its pattern engine gives up (a run of a million blanks) the byte-pair codec of ``bpe``
+takes over.
+
 Defined cases: NULL text counts as empty; an empty document is one piece that holds the end id only;
-documents with equal or NULL ids stay separate rows; an empty table gives no rows.
+documents with equal or NULL ids and repeated rows stay separate documents; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import base64
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -27,29 +38,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.bpe import codec
-from riskspark.llm.common import map_rows, materialize, pa_schema
+from riskspark.llm.bpe import BpeCodec
+from riskspark.llm.common import map_rows, materialize, pa_schema, worker_state
 
 GROUP_ROWS = 20_000  # rows ranked together
-ROUNDS = 600  # of the multiplicative weights at most
-STEP = 0.5  # share of a length's count that one round covers at most
-ETA = 4.0  # how fast a covered length loses weight
+STEPS = 20  # the goal that all lengths follow grows by 1 / STEPS of their counts a round, up to the whole
+SLACK = 0.01  # share of its count that a length may be covered beyond the goal
+ROUNDINGS = ((1.0, 1 << 30), (0.01, 8), (0.002, 8), (0.0, 8))  # configurations that are rounded: most room left (share), most pieces
+ETA = 1.0  # how fast a length loses weight with its cover
+
+
+class PieceEncoder:
+    """Ids of whole texts, ``added`` tokens (text to id) among them."""
+
+    def __init__(self, rank_path: str, pattern: str, added: dict[str, int]) -> None:
+        with open(rank_path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.rank_path, self.pattern, self.added = rank_path, pattern, added
+        self.encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        self.other: BpeCodec | None = None
+
+    def encode(self, text: str | None) -> np.ndarray:
+        try:
+            return self.encoding.encode_to_numpy(text or "", allowed_special="all")
+        except ValueError:  # the pattern engine's stack: runs of blanks too long for it
+            if self.other is None:
+                self.other = BpeCodec(self.rank_path, self.pattern)
+            parts = re.split("(" + "|".join(map(re.escape, self.added)) + ")", text) if self.added else [text]
+            return np.array([i for p in parts for i in ([self.added[p]] if p in self.added else self.other.encode(p))], np.uint32)
+
 
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer file."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return {t["content"]: int(t["id"]) for t in json.load(f)["added_tokens"]}
 
-def token_pieces(docs: DataFrame, rank_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def token_pieces(docs: DataFrame, rank_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+                 added: dict[str, int] | None = None) -> DataFrame:
     """Pieces of at most ``capacity`` ids: (id, piece, start, length, ids_crc32).
 
     A document is its ids and ``end_id``. A longer one is cut into full pieces after a first piece
     that takes the remainder."""
+    special = dict(added or {})
 
     def batch(cols: dict[str, list]) -> dict[str, list]:
+        encoder = worker_state(f"pieces {rank_path} {pattern} {sorted(special.items())}", lambda: PieceEncoder(rank_path, pattern, special))
         out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
-        end = int(end_id).to_bytes(4, "little")
-        for doc, raw in zip(cols["id"], codec(rank_path, pattern).encode_batch(cols["text"])):
-            view = memoryview(raw + end)
+        for doc, text in zip(cols["id"], cols["text"]):
+            view = memoryview(np.append(encoder.encode(text), np.uint32(end_id)).astype("<u4").tobytes())
             n = len(view) // 4
             cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
             for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -65,40 +106,72 @@ def token_pieces(docs: DataFrame, rank_path: str, pattern: str, capacity: int =
     return map_rows(pairs, batch, f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each length in the most valuable multiset that fits (lengths ascending)."""
-    best = np.zeros(capacity + 1)
-    chosen = np.full(capacity + 1, -1)
-    usable = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
-    for c in range(int(lengths[0]), capacity + 1):
-        k = usable[c]
-        values = best[c - lengths[:k]] + prices[:k]
-        j = int(values.argmax())
-        best[c], chosen[c] = values[j], j
-    copies = np.zeros(len(lengths), np.int64)
-    c = capacity
-    while c >= lengths[0] and chosen[c] >= 0:
-        copies[chosen[c]] += 1
-        c -= int(lengths[chosen[c]])
-    return copies
-
-
-def fractional_cover(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
-    """(configuration, multiplicity) pairs that cover about the whole histogram."""
-    covered = np.zeros(len(lengths))
-    cover: list[tuple[np.ndarray, float]] = []
-    for _ in range(ROUNDS):
-        if covered.min() >= 1:
-            break
-        weights = np.exp(-ETA * covered) * (covered < 1)
-        copies = best_configuration(lengths, weights * lengths, capacity)
-        used = copies > 0
-        if not used.any():
+class PriceTable:
+    """Unbounded knapsack over the capacity: ``best[c]`` is the most that prices give in c tokens. Of equal values the one
+    that ends with the longest piece is taken."""
+
+    def __init__(self, lengths: np.ndarray, prices: np.ndarray, capacity: int) -> None:
+        self.lengths, self.capacity = lengths.tolist(), capacity
+        self.best, self.last = np.zeros(capacity + 1), [-1] * (capacity + 1)  # last: piece put in; -1 for an empty token
+        usable = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
+        for c in range(1, capacity + 1):
+            self.best[c] = self.best[c - 1]
+            if k := usable[c]:
+                values = self.best[c - lengths[:k]] + prices[:k]
+                j = k - 1 - int(values[::-1].argmax())
+                if values[j] > self.best[c]:
+                    self.best[c], self.last[c] = values[j], j
+
+    def configuration(self, j: int) -> list[int]:
+        """The most valuable pieces (by place) beside one of length j."""
+        out, c = [j], self.capacity - self.lengths[j]
+        while c > 0:
+            if self.last[c] < 0:
+                c -= 1
+            else:
+                out.append(self.last[c])
+                c -= self.lengths[self.last[c]]
+        return out
+
+
+def fractional_cover(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], float]:
+    """(multiplicity of each configuration, lower bound of the LP): every length is covered by its count. A length that lags keeps
+    its price while the others' fall; at most ``STEPS`` rounds and two a distinct length."""
+    covered, cover = np.zeros(len(lengths)), defaultdict(float)
+    bound = float((lengths * counts).sum()) / capacity
+    for step in range(1, STEPS + 2 * len(lengths) + 1):
+        if covered.min() >= 1 - 1e-9:
             break
-        times = STEP * float((counts[used] / copies[used]).min())
-        covered[used] += times * copies[used] / counts[used]
-        cover.append((copies, times))
-    return cover
+        goal = min(1.0, step / STEPS)
+        prices = lengths * np.exp(-ETA * (covered - goal)) * (covered < goal + SLACK - 1e-9)
+        table = PriceTable(lengths, prices, capacity)
+        bound = max(bound, float((counts * prices).sum() / table.best[capacity]))
+        for j in range(len(lengths) - 1, -1, -1):  # the longest first, while what goes with them is there
+            if covered[j] >= goal - 1e-9:
+                continue
+            pieces = table.configuration(j)
+            used, copies = np.unique(pieces, return_counts=True)
+            lacking = (goal - covered[j]) * counts[j] / copies[np.searchsorted(used, j)]
+            times = min(lacking, float(((goal + SLACK - covered[used]) * counts[used] / copies).min()))
+            if times > 0:
+                covered[used] += times * copies / counts[used]
+                cover[tuple(pieces)] += times
+    return dict(cover), bound
+
+
+def whole_configurations(cover: dict[tuple[int, ...], float], lengths: np.ndarray, rest: np.ndarray) -> list[tuple[int, list[int]]]:
+    """Groups of sequences by configurations, rounded: whole multiples, the most used first, then one more of each while the counts
+    last. ``rest`` (counts) is reduced by what they hold."""
+    taken: dict[tuple[int, ...], int] = defaultdict(int)
+    order = sorted(cover, key=lambda c: (-cover[c], c))
+    for once_more in (False, True, True):
+        for pieces in order:
+            used, copies = np.unique(pieces, return_counts=True)
+            times = min(1 if once_more else int(cover[pieces]), int((rest[used] // copies).min()))
+            if times > 0:
+                rest[used] -= times * copies
+                taken[pieces] += times
+    return [(times, sorted((int(lengths[j]) for j in pieces), reverse=True)) for pieces, times in taken.items()]
 
 
 def best_fit_rest(lengths: list[int], counts: list[int], capacity: int, open_groups: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]]]:
@@ -149,13 +222,16 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[int,
         return groups
     lengths = np.array(sorted(left), np.int64)
     rest = np.array([left[k] for k in lengths.tolist()], np.int64)
-    for copies, times in fractional_cover(lengths, rest.astype(float), capacity):
-        used = copies > 0
-        whole = min(int(times), int((rest[used] // copies[used]).min()))
-        if whole > 0:
-            rest[used] -= whole * copies[used]
-            groups.append((whole, np.repeat(lengths, copies)[::-1].tolist()))
-    return best_fit_rest(lengths.tolist(), rest.tolist(), capacity, groups)
+    cover, _ = fractional_cover(lengths, rest.astype(float), capacity)
+    best: list[tuple[int, list[int]]] | None = None
+    for waste, pieces in ROUNDINGS:
+        some = {c: t for c, t in cover.items() if capacity - int(lengths[list(c)].sum()) <= waste * capacity and len(c) <= pieces}
+        odd = rest.copy()
+        held = whole_configurations(some, lengths, odd)
+        plan = best_fit_rest(lengths.tolist(), odd.tolist(), capacity, groups + held)
+        if best is None or sum(n for n, _ in plan) < sum(n for n, _ in best):
+            best = plan
+    return best
 
 
 def plan_runs(groups: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
@@ -205,6 +281,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> Dat
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, rank_path: str, pattern: str, capacity: int = 2048, label: str = "pieces") -> DataFrame:
+def pack_documents(docs: DataFrame, rank_path: str, pattern: str, capacity: int = 2048, label: str = "pieces", added: dict[str, int] | None = None) -> DataFrame:
     """Tokenise, store the narrow piece table once, and pack it."""
-    return pack(materialize(token_pieces(docs, rank_path, pattern, capacity), label), capacity)
+    return pack(materialize(token_pieces(docs, rank_path, pattern, capacity, added=added), label), capacity)

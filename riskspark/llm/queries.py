@@ -10,7 +10,7 @@ from riskspark.llm import bpe, conversations, fingerprint, hard_negatives, html_
 from riskspark.llm.common import id_remainder, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-WORD_FILE = "word_bpe_49k.json"
+BYTE_FILE, WORD_FILE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 2048 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, capacity=2048)
+    added = packing.added_tokens(public_tokenizers.path(BYTE_FILE))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, capacity=2048, added=added)
 
 
 def language_prototypes(docs: DataFrame) -> dict:
