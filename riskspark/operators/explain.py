@@ -4,23 +4,31 @@
 * Other models: sampled Shapley values. Rows x permutations x positions are exploded, the two
   hybrid vectors of every position are scored by the model's own ``transform`` (distributed; one
   point serves both neighbouring features), and contributions are averaged per (row, feature).
-* Local linear surrogate: perturbations per explained row, scored in one ``transform``, then a
-  weighted ridge fit per row inside ``applyInPandas`` (a group holds one row's perturbations,
-  whose number is the ``n_samples`` parameter).
+* Tree ensembles: exact values, see ``trees``.
+* Local linear surrogate: perturbations per explained row, scored in one pass, then a weighted ridge
+  fit per row from summed normal equations, solved by a Cholesky fold over arrays.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .features import quoted
 from .ordered import row_index
 
 
+def _bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row: a later reference reads the value, where the optimiser would otherwise repeat the
+    expression in every place that uses it."""
+    once = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(once)).alias("_once")).select(*df.columns, "_once.*")
+
+
 def _u01(*parts: Column) -> Column:
     """Deterministic uniform (0, 1) from an md5 of the parts."""
     h = F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("double")
@@ -86,47 +94,176 @@ def dependence_table(attr: DataFrame, imp: DataFrame) -> DataFrame:
     return attr.join(top, "feature", "left_semi")
 
 
-def local_surrogate(model, rows: DataFrame, train_stats: DataFrame, features: Sequence[str], n_samples: int = 500, key: str = "id", seed: int = 0, ridge: float = 1.0) -> DataFrame:
-    """A-13: weighted ridge fit of P(class 1) on Gaussian perturbations around each row
-    (per-feature mean / std from ``train_stats``: columns mean_<f>, std_<f>); kernel width
-    0.75 * sqrt(#features) on standardised distance. Output: key, feature, weight (plus intercept)."""
-    import numpy as np
-    import pandas as pd
+# ----------------------------------------------------------------------------- local surrogates
+
+
+def gaussian_stats(train: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row: arrays ``mean`` and ``scale`` (population deviation, 1 for a constant feature) over ``train``."""
+    row = train.agg(*[F.avg(quoted(f)).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(quoted(f)).alias(f"s{i}") for i, f in enumerate(features)])
+    scale = [F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0) for i in range(len(features))]
+    return row.select(F.array(*[F.coalesce(f"m{i}", F.lit(0.0)) for i in range(len(features))]).alias("mean"), F.array(*scale).alias("scale"))
+
+
+def quartile_stats(train: DataFrame, features: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+    """One row: for every feature its quartile cuts and, for the four buckets (value <= cut), cumulated share, mean, deviation, least
+    and greatest value over ``train``. Cuts are Spark's approximate percentiles (rank error at most 1 / accuracy)."""
+    values = F.array(*[quoted(f).cast("double") for f in features])
+    long = train.select(F.posexplode(values).alias("at", "v")).where(F.col("v").isNotNull())
+    cuts = long.groupBy("at").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], accuracy).alias("cuts"))
+    inside = long.join(F.broadcast(cuts), "at")  # one row a feature
+    one = inside.groupBy("at", bucket_of(F.col("v"), F.col("cuts")).alias("b")).agg(
+        F.first("cuts").alias("cuts"), F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.min("v").alias("l"), F.max("v").alias("h")
+    )
+    each = one.groupBy("at").agg(F.first("cuts").alias("cuts"), F.collect_list(F.struct("b", "n", "m", "s", "l", "h")).alias("all"))  # four at most
+    total = F.aggregate("all", F.lit(0).cast("long"), lambda t, x: t + x["n"])
+
+    def by_bucket(name: str) -> Column:
+        pick = lambda b: F.get(F.filter("all", lambda x: x["b"] == b), F.lit(0))[name]
+        return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.coalesce(pick(b), F.lit(0.0))).alias(name)
+
+    share = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.aggregate(F.filter("all", lambda x: x["b"] <= b), F.lit(0).cast("long"), lambda t, x: t + x["n"]) / total)
+    row = F.struct("at", "cuts", share.alias("share"), by_bucket("m").alias("mean"), by_bucket("s").alias("deviation"), by_bucket("l").alias("least"), by_bucket("h").alias("most"))
+    return each.select(row.alias("r")).agg(F.array_sort(F.collect_list("r")).alias("buckets"))
+
+
+def bucket_of(value: Column, cuts: Column) -> Column:
+    """Bucket 0 ... 3 of a value: the number of cuts below it."""
+    return F.aggregate(cuts, F.lit(0), lambda n, c: n + F.when(value > c, 1).otherwise(0))
+
+
+def model_score(model) -> Callable[[DataFrame], DataFrame]:
+    """P(class 1) of a fitted MLlib model as a scorer: takes rows with an array ``_v``, adds ``_y``."""
+
+    def score(df: DataFrame) -> DataFrame:
+        points = model.transform(df.withColumn("features", array_to_vector("_v")))
+        return points.withColumn("_y", vector_to_array("probability")[1]).select(*df.columns, "_y")
+
+    return score
+
+
+def _normal(*parts: Column) -> Column:
+    return F.sqrt(-2 * F.ln(_u01(*parts, F.lit("a")))) * F.cos(2 * math.pi * _u01(*parts, F.lit("b")))
+
+
+def perturbed(rows: DataFrame, stats: DataFrame, features: Sequence[str], n_samples: int, key: str, seed: int) -> DataFrame:
+    """(key, _z, _v, _d2): ``n_samples`` points a row, the row itself first; ``_z`` what the surrogate sees, ``_v`` what the model sees, ``_d2`` the
+    squared distance to the row.
+
+    With ``gaussian_stats``: normal draws by the train table's mean and scale, ``_z`` standardised. With ``quartile_stats``: a bucket
+    by its share and a normal draw of its mean and deviation, held between its least and greatest value; ``_z`` is 1 where the bucket is the row's."""
+    base = rows.select(F.col(key).alias("_key"), F.array(*[quoted(f).cast("double") for f in features]).alias("_x")).crossJoin(F.broadcast(stats))  # one row
+    s = base.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    draws = lambda what: F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda i: what(F.col("_key"), F.col("_s"), i, F.lit(seed)))
+    is_row = F.col("_s") == 0
+    if "buckets" not in stats.columns:
+        z0 = F.transform("_x", lambda x, i: (x - F.get("mean", i)) / F.get("scale", i))
+        s = _bound(s, _z0=z0, _n=draws(_normal)).withColumn("_z", F.when(is_row, F.col("_z0")).otherwise(F.col("_n")))
+        v = F.when(is_row, F.col("_x")).otherwise(F.transform("_z", lambda z, i: z * F.get("scale", i) + F.get("mean", i)))
+        d2 = F.aggregate(F.zip_with("_z", "_z0", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+        return s.select("_key", "_z", v.alias("_v"), d2.alias("_d2"))
+    of = lambda name, i: F.get("buckets", i)[name]
+    own = F.transform("_x", lambda x, i: bucket_of(x, of("cuts", i)))
+    s = _bound(s, _u=draws(lambda *p: _u01(*p, F.lit("u"))), _n=draws(_normal), _own=own)
+    drawn = F.transform("_u", lambda u, i: F.size(F.filter(F.slice(of("share", i), 1, 3), lambda c: u > c)))
+    s = _bound(s, _b=F.when(is_row, F.col("_own")).otherwise(drawn))
 
+    def value(n: Column, i: Column) -> Column:
+        at = lambda name: F.get(of(name, i), F.get("_b", i))
+        return F.least(F.greatest(at("mean") + at("deviation") * n, at("least")), at("most"))
+
+    v = F.when(is_row, F.col("_x")).otherwise(F.transform("_n", value))
+    s = s.withColumn("_v", v).withColumn("_z", F.zip_with("_b", "_own", lambda b, o: F.when(b == o, 1.0).otherwise(0.0)))
+    return s.select("_key", "_z", "_v", F.aggregate("_z", F.lit(0.0), lambda a, z: a + (1 - z)).alias("_d2"))
+
+
+def cholesky_solve(matrix: Column, right: Column, k: int) -> Column:
+    """x of ``A x = b`` as an array: A symmetric, its lower triangle packed by rows in ``matrix``; entries are NULL where A isn't positive definite.
+    The factor grows by one entry a step of a fold, then two folds substitute."""
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(k) for j in range(i + 1)])
+    first = lambda i: i * (i + 1) / 2
+    at = lambda i, j: (first(i) + j).cast("int")
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+    def entry(low: Column, p: Column) -> Column:
+        i, j = p["i"], p["j"]
+        left = F.get(matrix, at(i, j)) - dot(F.slice(low, at(i, F.lit(0)) + 1, j), F.slice(low, at(j, F.lit(0)) + 1, j))
+        return F.concat(low, F.array(F.when(i == j, F.when(left > 0, F.sqrt(left))).otherwise(left / F.get(low, at(j, j)))))
+
+    nothing = F.array().cast("array<double>")
+    low = F.aggregate(places, nothing, entry)
+    steps = F.array(*[F.lit(i) for i in range(k)])
+
+    def forward(low: Column) -> Column:
+        return F.aggregate(steps, nothing, lambda y, i: F.concat(y, F.array((F.get(right, i) - dot(F.slice(low, at(i, F.lit(0)) + 1, i), y)) / F.get(low, at(i, i)))))
+
+    def backward(low: Column, y: Column) -> Column:
+        def step(x: Column, r: Column) -> Column:  # x holds the last r solutions, the last first
+            i = F.lit(k - 1) - r
+            known = F.transform(x, lambda v, n: v * F.get(low, at(F.lit(k - 1) - n, i)))
+            return F.concat(x, F.array((F.get(y, i) - F.aggregate(known, F.lit(0.0), lambda t, v: t + v)) / F.get(low, at(i, i))))
+
+        return F.reverse(F.aggregate(steps, nothing, step))
+
+    # each stage is computed once: the transform of a one-element array gives it a name
+    return F.transform(F.array(low), lambda f: F.transform(F.array(forward(f)), lambda y: backward(f, y))[0])[0]
+
+
+def weighted_ridge(samples: DataFrame, k: int, ridge: float, top: int | None = None) -> DataFrame:
+    """(key, coef): intercept and k weights of a ridge fit for every ``_key`` of samples (``_z``, ``_y``, ``_w``), the intercept free.
+
+    The normal equations are grouped sums: every sample gives the packed lower triangle of ``w a a'`` and ``w y a`` (a: 1 and z), summed by (key, place)
+    with partial sums before the shuffle, so no group's samples meet in a task. With ``top`` only the features of the largest absolute weights (the
+    first listed on ties) stay: they are solved again from the same sums; the others get NULL."""
+    n = k + 1
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    with_one = samples.select("_key", F.concat(F.array(F.lit(1.0)), "_z").alias("_a"), "_y", "_w")
+    terms = F.concat(F.transform(places, lambda p: F.col("_w") * F.get("_a", p["i"]) * F.get("_a", p["j"])), F.transform("_a", lambda a: F.col("_w") * F.col("_y") * a))
+    sums = with_one.select("_key", F.posexplode(terms).alias("_at", "_t")).groupBy("_key", "_at").agg(F.sum("_t").alias("_t"))
+    packed = sums.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_t"))).alias("_s"))  # one entry a place
+    packed = _bound(packed, _all=F.transform("_s", lambda s: s["_t"]))
+    penalty = F.array(*[F.lit(ridge if i == j and i > 0 else 0.0) for i, j in pairs])
+    m = _bound(packed.select("_key", "_all"), _m=F.zip_with(F.slice("_all", 1, len(pairs)), penalty, lambda a, b: a + b), _b=F.slice("_all", len(pairs) + 1, n))
+    m = _bound(m, coef=cholesky_solve(F.col("_m"), F.col("_b"), n))
+    if top is None or top >= k:
+        return m.select(F.col("_key").alias("key"), "coef")
+    order = F.array_sort(F.transform(F.slice("coef", 2, k), lambda c, i: F.struct((-F.abs(c)).alias("c"), i.alias("i"))))
+    m = _bound(m, _top=F.transform(F.slice(order, 1, top), lambda s: s["i"] + 1))
+    stays = lambda i: (i == 0) | F.array_contains("_top", i)
+    # what goes keeps a diagonal of its own, so that its weight is 0 and the rest are solved without it
+    held = F.zip_with("_m", places, lambda a, p: F.when(stays(p["i"]) & stays(p["j"]), a).when(p["i"] == p["j"], F.lit(1.0)).otherwise(0.0))
+    m = _bound(m.select("_key", "_top", "_m", "_b"), _m2=held, _b2=F.transform("_b", lambda b, i: F.when(stays(i), b).otherwise(0.0)))
+    again = F.transform(cholesky_solve(F.col("_m2"), F.col("_b2"), n), lambda c, i: F.when(stays(i), c))
+    return m.select(F.col("_key").alias("key"), again.alias("coef"))
+
+
+def local_surrogate(score: Callable[[DataFrame], DataFrame], rows: DataFrame, stats: DataFrame, features: Sequence[str], n_samples: int = 500, key: str = "id", seed: int = 0,
+                    ridge: float = 1.0, top: int | None = None) -> DataFrame:
+    """A-13: (key, feature, weight) of a weighted ridge fit to the scores of points around each row, with the intercept; kernel
+    sqrt(exp(-d^2 / width^2)), width 0.75 * sqrt(features). ``stats`` is ``gaussian_stats`` or ``quartile_stats`` of the train
+    table, ``score`` adds ``_y`` to points ``_v`` (see ``model_score``). With ``top``, only the features of the largest weights."""
     k = len(features)
-    width = 0.75 * math.sqrt(k)
-    base = rows.select(key, *[F.col(f).cast("double").alias(f) for f in features]).crossJoin(F.broadcast(train_stats))
-    s = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_s"))
-    z = []
-    for i, f in enumerate(features):
-        u1 = _u01(F.col(key), F.col("_s"), F.lit(i), F.lit(seed), F.lit("a"))
-        u2 = _u01(F.col(key), F.col("_s"), F.lit(i), F.lit(seed), F.lit("b"))
-        z.append(F.sqrt(-2 * F.ln(u1)) * F.cos(2 * math.pi * u2))
-    zs = F.array(*[F.when(F.col("_s") == 0, F.lit(0.0)).otherwise(zi) for zi in z])  # sample 0 = the row itself
-    s = s.withColumn("_z", zs)
-    vec = F.array(*[F.col(f"mean_{f}") + F.col(f"std_{f}") * F.col("_z")[i] for i, f in enumerate(features)])
-    vec = F.when(F.col("_s") == 0, F.array(*[F.col(f) for f in features])).otherwise(vec)
-    s = s.withColumn("_v", vec).withColumn("features", array_to_vector("_v"))
-    scored = model.transform(s).select(key, "_z", vector_to_array("probability")[1].alias("_y"))
-    # distance of each standardised sample to the explained row's standardised value (= z of sample 0 = 0)
-    scored = scored.withColumn("_w", F.exp(-F.aggregate("_z", F.lit(0.0), lambda a, v: a + v * v) / F.lit(width * width)))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.vstack(pdf["_z"].to_numpy())
-        X = np.hstack([np.ones((X.shape[0], 1)), X])
-        w = pdf["_w"].to_numpy()
-        y = pdf["_y"].to_numpy()
-        A = X.T @ (X * w[:, None]) + ridge * np.diag([0.0] + [1.0] * k)
-        b = X.T @ (w * y)
-        coef = np.linalg.solve(A, b)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * (k + 1), "feature": ["intercept", *features], "weight": coef})
-
-    out_schema = f"{key} {dict(rows.dtypes)[key]}, feature string, weight double"
-    return scored.groupBy(key).applyInPandas(fit, schema=out_schema)
-
-
-def score_formula(df: DataFrame, formula: str, label: str = "label", threshold: float = 0.5) -> DataFrame:
-    """A-14: score rows with a closed-form expression (Spark SQL text) and report accuracy."""
-    s = df.withColumn("_score", F.expr(formula))
-    pred = F.when(F.col("_score") > F.lit(threshold), 1).otherwise(0)
+    points = score(perturbed(rows, stats, features, n_samples, key, seed))
+    samples = points.withColumn("_w", F.exp(-F.col("_d2") / F.lit(2 * 0.75**2 * k)))
+    names = F.array(*[F.lit(f) for f in ["intercept", *features]])
+    fits = weighted_ridge(samples, k, ridge, top)
+    out = fits.select("key", F.posexplode("coef").alias("at", "weight")).where(F.col("weight").isNotNull())
+    return out.select(F.col("key").alias(key), F.get(names, F.col("at")).alias("feature"), "weight")
+
+
+def score_formula(df: DataFrame, formula: str, label: str = "label", threshold: float | None = 0.5) -> DataFrame:
+    """A-14: score rows with a closed-form expression (Spark SQL text) and report accuracy. The class is score > threshold; with
+    ``threshold=None`` the score rounded half to even, where any other value than the label (2, -1, NULL) is wrong."""
+    s = df.withColumn("_score", F.expr(formula).cast("double"))
+    pred = F.rint("_score") if threshold is None else F.when(F.col("_score") > F.lit(threshold), 1).otherwise(0)
     return s.agg(F.avg(F.when(pred == F.col(label), 1.0).otherwise(0.0)).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def score_logits(df: DataFrame, formulas: Sequence[str], label: str = "label") -> DataFrame:
+    """A-14: one closed-form logit a class, scored together; the largest wins, the first listed on ties; a row with a NULL logit counts as wrong."""
+    logits = F.array(*[F.expr(f).cast("double") for f in formulas])
+    s = df.select(F.col(label).alias("_label"), logits.alias("_logits"))
+    pred = F.when(~F.exists("_logits", lambda v: v.isNull()), F.array_position("_logits", F.array_max("_logits")) - 1)
+    return s.agg(F.avg(F.when(pred == F.col("_label"), 1.0).otherwise(0.0)).alias("accuracy"), F.count(F.lit(1)).alias("n"))

@@ -432,25 +432,27 @@ Q["loan_cardinality"] = f"""WITH {LOANS}, d AS (SELECT {DISPLAY_SELECT} FROM fin
 Q["loan_label_map"] = f"""WITH {LOANS}, d AS (SELECT {DISPLAY_SELECT} FROM final)
 """ + "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS "column", v AS value, CAST(row_number() OVER (ORDER BY v NULLS LAST) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT "{c}" AS v FROM d)"""
-    for c in ["Loan Purpose", "Address State", "Employment Length"])
+    for c in _CATS)
 
+_ONE_HOT = {
+    "Loan Application Type": ["F", "O"], "Grade": [str(i) for i in range(1, 6)], "Employment Length": [f"{i} years" for i in range(10)],
+    "Home Ownership": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], "Verification Status": ["F", "O", "P"],
+}  # the values of the columns with at most 20
+_PLAIN = [d for d in DISPLAY if d not in _CATS and d != "Loan Status"]
 Q["loan_encoded"] = f"""WITH {SPLIT},
 d AS (SELECT id, {DISPLAY_SELECT}, split FROM final JOIN split USING (id) WHERE split IN ('train', 'test')),
 mp AS (SELECT v, row_number() OVER (ORDER BY v NULLS LAST) - 1 AS code FROM (SELECT DISTINCT "Loan Purpose" AS v FROM d)),
 ms AS (SELECT v, row_number() OVER (ORDER BY v NULLS LAST) - 1 AS code FROM (SELECT DISTINCT "Address State" AS v FROM d))
 SELECT id, CASE WHEN "Loan Status" = 'Fully Paid' THEN 0 ELSE 1 END AS "Loan Status",
-  CAST(mp.code AS INTEGER) AS "Loan Purpose", CAST(ms.code AS INTEGER) AS "Address State",
-  CASE WHEN "Grade" = '1' THEN 1 ELSE 0 END AS "Grade_1", CASE WHEN "Grade" = '5' THEN 1 ELSE 0 END AS "Grade_5",
-  CASE WHEN "Employment Length" = '0 years' THEN 1 ELSE 0 END AS "Employment Length_0 years",
-  CASE WHEN "Employment Length" = '9 years' THEN 1 ELSE 0 END AS "Employment Length_9 years",
+  CAST(mp.code AS INTEGER) AS "Loan Purpose", CAST(ms.code AS INTEGER) AS "Address State", {", ".join(f'"{c}"' for c in _PLAIN)},
+  {", ".join(f"""CASE WHEN "{c}" = '{v}' THEN 1 ELSE 0 END AS "{c}_{v}\"""" for c, vs in _ONE_HOT.items() for v in vs)},
   split AS side
 FROM d JOIN mp ON d."Loan Purpose" IS NOT DISTINCT FROM mp.v JOIN ms ON d."Address State" IS NOT DISTINCT FROM ms.v"""
 
+_NUMERIC = [r for r, d in zip(RAW, DISPLAY) if d in _PLAIN]
 Q["loan_standardized"] = f"""WITH {LOANS},
-st AS (SELECT avg(loan_amnt) ma, stddev_samp(loan_amnt) sa, avg(revol_util) mr, stddev_samp(revol_util) sr,
-              avg(annual_inc) mi, stddev_samp(annual_inc) si FROM final)
-SELECT id, round((loan_amnt - ma) / nullif(sa, 0), 6) AS loan_amnt_z, round((revol_util - mr) / nullif(sr, 0), 6) AS revol_util_z,
-       round((annual_inc - mi) / nullif(si, 0), 6) AS annual_inc_z FROM final, st"""
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in _NUMERIC)} FROM final)
+SELECT id, {", ".join(f"round(({c} - m_{c}) / nullif(s_{c}, 0), 6) AS {c}_z" for c in _NUMERIC)} FROM final, st"""
 
 
 def _v(name: str, typ: str) -> str:
@@ -786,3 +788,133 @@ rows AS (SELECT ids.conv_id, any_value(head.a) || coalesce(flatten(list(given.a
                 any_value(head.b) || coalesce(flatten(list(given.b ORDER BY k) FILTER (WHERE k IS NOT NULL)), []) AS b
          FROM ids CROSS JOIN head LEFT JOIN given ON given.conv_id = ids.conv_id GROUP BY ids.conv_id)
 SELECT conv_id, CAST(len(a) AS INTEGER) AS n_places, md5(array_to_string(a, '|')) AS input_md5, md5(array_to_string(b, '|')) AS target_md5 FROM rows"""
+
+# ============================================================================= models and explanations
+
+_LABELLED = "CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS label"
+
+Q["loan_folds"] = f"""WITH {LOANS}
+SELECT id, loan_status, CAST((row_number() OVER (PARTITION BY loan_status ORDER BY md5(id || ':10086'), id) - 1) % 3 AS INTEGER) AS fold FROM final"""
+
+Q["bayes_probabilities"] = f"""WITH {SPLIT},
+d AS (SELECT *, {_LABELLED} FROM final JOIN split USING (id)),
+tr AS (SELECT * FROM d WHERE split = 'train'),
+f AS (SELECT 1e-9 * greatest({", ".join(f"var_pop({c})" for c in _NUMERIC)}) AS more FROM tr),
+m AS (SELECT label, count(*) / sum(count(*)) OVER () AS prior, {", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in _NUMERIC)} FROM tr GROUP BY label),
+l AS (SELECT d.id, d.label, m.label AS class, ln(prior) - 0.5e0 * ({" + ".join(f"ln(2 * pi() * (v_{c} + more)) + pow({c} - m_{c}, 2) / (v_{c} + more)" for c in _NUMERIC)}) AS ll
+      FROM d, m, f WHERE d.split = 'test')
+SELECT a.id, a.label, round(1 / (1 + exp(a.ll - b.ll)), 6) AS bad_prob FROM l a JOIN l b ON a.id = b.id AND a.class = 0 AND b.class = 1"""
+
+Q["logistic_optimum"] = f"""SELECT CAST(c AS DOUBLE) AS c, penalty, feature, TRUE AS optimal
+FROM (VALUES (0.01), (0.1), (0.3), (1), (10)) t(c), (VALUES ('l1'), ('l2')) u(penalty), (VALUES ('intercept'), {", ".join(f"('{c}')" for c in _NUMERIC)}) v(feature)
+WHERE (SELECT count(*) FROM lineitem) > 0"""
+
+Q["tree_attribution"] = f"""WITH {SPLIT},
+features AS (SELECT id, {DISPLAY_SELECT} FROM final WHERE COLUMNS(*) IS NOT NULL)
+SELECT id, TRUE AS sums FROM features JOIN split USING (id) WHERE split = 'test'"""
+
+# the fixed forest, by the definition: a known feature decides, an unknown one weighs both sides by their rows
+_FOREST = [
+    (0, 5.0, (1, 700.0, (20, 0.5), (40, 0.1)), (2, 2.0, (0, 8.0, (10, 0.3), (20, 0.7)), (10, 0.9))),
+    (1, 650.0, (25, 0.8), (2, 4.0, (50, 0.2), (0, 3.0, (5, 0.35), (20, 0.6)))),
+]
+_FOREST_COLUMNS = ["int_rate", "fico_range_low", "delinq_2yrs"]
+
+
+def _rows_of(node: tuple) -> int:
+    return node[0] if len(node) == 2 else _rows_of(node[2]) + _rows_of(node[3])
+
+
+def _expected(node: tuple, known: frozenset) -> str:
+    if len(node) == 2:
+        return f"{node[1]}e0"
+    feature, cut, left, right = node
+    a, b = _expected(left, known), _expected(right, known)
+    if feature in known:
+        return f"(CASE WHEN {_FOREST_COLUMNS[feature]} <= {cut}e0 THEN {a} ELSE {b} END)"
+    return f"(({a} * {_rows_of(left)} + {b} * {_rows_of(right)}) / {_rows_of(left) + _rows_of(right)}e0)"
+
+
+def _shapley(feature: int) -> str:
+    others = [f for f in range(3) if f != feature]
+    terms = []
+    for mask in range(4):
+        known = frozenset(f for k, f in enumerate(others) if mask >> k & 1)
+        weight = {0: "2", 1: "1", 2: "2"}[len(known)]  # of 6 orders
+        for tree in _FOREST:
+            terms.append(f"{weight} * ({_expected(tree, known | {feature})} - {_expected(tree, known)})")
+    return f"({' + '.join(terms)}) / 6e0"
+
+
+Q["tree_attribution_fixed"] = f"""WITH {LOANS}
+""" + "\nUNION ALL\n".join(f"SELECT id, '{c}' AS feature, round({_shapley(i)}, 6) AS attribution FROM final" for i, c in enumerate(_FOREST_COLUMNS))
+
+Q["formula_logits"] = f"""WITH {LOANS},
+s AS (SELECT {_LABELLED}, 0.4e0 - 0.02e0 * int_rate + 0.01e0 * (fico_range_low - 700) AS l0, 0.05e0 * int_rate + 0.1e0 * delinq_2yrs - 0.3e0 AS l1 FROM final)
+SELECT round(avg(CASE WHEN (l1 > l0) = (label = 1) THEN 1.0e0 ELSE 0.0e0 END), 6) AS accuracy, count(*) AS n FROM s"""
+
+Q["formula_rounded"] = f"""WITH {LOANS},
+s AS (SELECT {_LABELLED}, round_even(0.25e0 * (int_rate - 4) + 0.5e0 * (delinq_2yrs - 2), 0) AS score FROM final)
+SELECT round(avg(CASE WHEN score = label THEN 1.0e0 ELSE 0.0e0 END), 6) AS accuracy, count(*) AS n FROM s"""
+
+_SURROGATE = ["int_rate", "delinq_2yrs"]
+
+
+def _uniform(*parts: str) -> str:
+    text = "concat_ws(':', id, s, " + ", ".join(parts) + ")"
+    return f"((CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT) + 0.5e0) / 281474976710656e0)"
+
+
+def _draw(i: int) -> str:
+    return f"sqrt(-2 * ln({_uniform(str(i), '0', quoted('a'))})) * cos(2 * pi() * {_uniform(str(i), '0', quoted('b'))})"
+
+
+def quoted(x: str) -> str:
+    return f"'{x}'"
+
+
+# weighted normal equations with a ridge of 1 on both weights
+_NORMAL = """n AS (SELECT id, sum(w) AS a, sum(w * z0) AS b, sum(w * z1) AS c, sum(w * z0 * z0) + 1 AS d, sum(w * z0 * z1) AS e, sum(w * z1 * z1) + 1 AS f,
+  sum(w * y) AS p, sum(w * z0 * y) AS q, sum(w * z1 * y) AS r FROM smp GROUP BY id),
+x AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM n),
+k AS (SELECT *, (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det AS k0,
+  (a * (q * f - e * r) - p * (b * f - e * c) + c * (b * r - q * c)) / det AS k1, (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / det AS k2 FROM x)"""
+_SCORE = "1 / (1 + exp(-(0.08e0 * v0 + 0.3e0 * v1 - 0.9e0)))"
+
+Q["lime_fixed"] = f"""WITH {LOANS},
+st AS (SELECT {", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(_SURROGATE))} FROM final),
+e AS (SELECT id, s, {", ".join(f"({c} - m{i}) / s{i} AS o{i}, {c} AS x{i}, m{i}, s{i}" for i, c in enumerate(_SURROGATE))} FROM final, st, range(40) g(s)
+      WHERE int_rate = 10 AND delinq_2yrs >= 5),
+z AS (SELECT *, {", ".join(f"CASE WHEN s = 0 THEN o{i} ELSE {_draw(i)} END AS z{i}" for i in range(2))} FROM e),
+v AS (SELECT *, {", ".join(f"CASE WHEN s = 0 THEN x{i} ELSE z{i} * s{i} + m{i} END AS v{i}" for i in range(2))} FROM z),
+smp AS (SELECT id, z0, z1, {_SCORE} AS y, exp(-(pow(z0 - o0, 2) + pow(z1 - o1, 2)) / 2.25e0) AS w FROM v),
+{_NORMAL}
+SELECT id, 'intercept' AS feature, round(k0, 6) AS weight FROM k UNION ALL SELECT id, 'int_rate', round(k1, 6) FROM k UNION ALL SELECT id, 'delinq_2yrs', round(k2, 6) FROM k"""
+
+
+def _bucket(c: str, i: int) -> str:
+    return f"(CAST({c} > qa{i} AS INTEGER) + CAST({c} > qb{i} AS INTEGER) + CAST({c} > qc{i} AS INTEGER))"
+
+
+def _pick(stat: str, i: int) -> str:
+    return f"(CASE b{i} " + " ".join(f"WHEN {b} THEN {stat}{i}{b}" for b in range(4)) + " END)"
+
+
+_BUCKETS = ", ".join(
+    f"count(*) FILTER (b{i} <= {b}) / count(*) AS u{i}{b}, " + ", ".join(f"coalesce({fn}({c}) FILTER (b{i} = {b}), 0) AS {k}{i}{b}" for k, fn in (("m", "avg"), ("d", "stddev_pop"), ("l", "min"), ("h", "max")))
+    for i, c in enumerate(_SURROGATE) for b in range(4)
+)
+Q["lime_quartiles"] = f"""WITH {LOANS},
+cuts AS (SELECT {", ".join(f"quantile_disc({c}, {q}) AS q{k}{i}" for i, c in enumerate(_SURROGATE) for k, q in (("a", 0.25), ("b", 0.5), ("c", 0.75)))} FROM final),
+t AS (SELECT id, int_rate, delinq_2yrs, {", ".join(f"{_bucket(c, i)} AS b{i}" for i, c in enumerate(_SURROGATE))} FROM final, cuts),
+st AS (SELECT {_BUCKETS} FROM t),
+e AS (SELECT id, s, int_rate AS x0, delinq_2yrs AS x1, b0 AS o0, b1 AS o1, st.* FROM t, st, range(40) g(s) WHERE int_rate = 10 AND delinq_2yrs >= 5),
+u AS (SELECT *, {", ".join(f"{_uniform(str(i), '0', quoted('u'))} AS u{i}, {_draw(i)} AS n{i}" for i in range(2))} FROM e),
+b AS (SELECT *, {", ".join(f"CASE WHEN s = 0 THEN o{i} WHEN u{i} <= u{i}0 THEN 0 WHEN u{i} <= u{i}1 THEN 1 WHEN u{i} <= u{i}2 THEN 2 ELSE 3 END AS b{i}" for i in range(2))} FROM u),
+v AS (SELECT *, {", ".join(f"CASE WHEN s = 0 THEN x{i} ELSE least(greatest({_pick('m', i)} + {_pick('d', i)} * n{i}, {_pick('l', i)}), {_pick('h', i)}) END AS v{i}, CAST(b{i} = o{i} AS DOUBLE) AS z{i}" for i in range(2))} FROM b),
+smp AS (SELECT id, z0, z1, {_SCORE} AS y, exp(-(2 - z0 - z1) / 2.25e0) AS w FROM v),
+{_NORMAL},
+one AS (SELECT id, abs(k1) >= abs(k2) AS first, a, p, CASE WHEN abs(k1) >= abs(k2) THEN b ELSE c END AS b, CASE WHEN abs(k1) >= abs(k2) THEN d ELSE f END AS d,
+  CASE WHEN abs(k1) >= abs(k2) THEN q ELSE r END AS q FROM k)
+SELECT id, 'intercept' AS feature, round((p * d - b * q) / (a * d - b * b), 6) AS weight FROM one
+UNION ALL SELECT id, CASE WHEN first THEN 'int_rate' ELSE 'delinq_2yrs' END, round((a * q - b * p) / (a * d - b * b), 6) FROM one"""

@@ -4,7 +4,9 @@ tables. Floating outputs are rounded to 6 decimals for the cross-engine check.""
 from __future__ import annotations
 
 import json
+from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -22,6 +24,7 @@ from ..operators import models as ML
 from ..operators import prep as PR
 from ..operators import process_reward as G
 from ..operators import sampling as M
+from ..operators import trees as TR
 from ..operators import udf as U
 from ..session import materialized
 from . import proxies as X
@@ -312,24 +315,30 @@ def loan_cardinality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def loan_label_map(spark: SparkSession, sf: str) -> DataFrame:
-    """F-05: value -> code tables (sorted values, NULL last)."""
+    """F-05, F-09: value -> code tables (sorted values, NULL last) of every category column."""
     d = PR.select_loan_features(_final_loans(spark, sf))
-    return FE.label_mapping(d, ["Loan Purpose", "Address State", "Employment Length"])
+    return FE.label_mapping(d, FE.category_columns(d))
 
 
 def loan_encoded(spark: SparkSession, sf: str) -> DataFrame:
-    """F-01, F-04, F-05, F-06 (threshold 20, fitted on train and test together)."""
+    """F-01, F-04, F-05, F-06 (threshold 20, fitted on train and test together): every column of both sides."""
     split = loan_split(spark, sf)
     d = PR.select_loan_features(_final_loans(spark, sf), keep=["id"]).join(split, "id")
     tr, te, _ = FE.encode_categories(d.filter("split = 'train'").drop("split"), d.filter("split = 'test'").drop("split"), threshold=20)
-    cols = ["id", "Loan Status", "Loan Purpose", "Address State", "Grade_1", "Grade_5", "Employment Length_0 years", "Employment Length_9 years"]
-    return tr.select(*cols).withColumn("side", F.lit("train")).unionByName(te.select(*cols).withColumn("side", F.lit("test")))
+    return tr.withColumn("side", F.lit("train")).unionByName(te.withColumn("side", F.lit("test")))
+
+
+#: The numeric raw columns.
+NUMERIC_FEATURES = [
+    "installment", "int_rate", "last_pymnt_amnt", "loan_amnt", "revol_bal", "delinq_2yrs", "inq_last_6mths", "mort_acc", "open_acc", "revol_util", "total_acc",
+    "fico_range_low", "fico_range_high", "annual_inc",
+]
 
 
 def loan_standardized(spark: SparkSession, sf: str) -> DataFrame:
-    """F-08: z-scores (sample std) of three float columns."""
-    d = _final_loans(spark, sf).select("id", "loan_amnt", "revol_util", "annual_inc")
-    return r6(FE.standardize(d, ["loan_amnt", "revol_util", "annual_inc"], suffix="_z").drop("loan_amnt", "revol_util", "annual_inc"))
+    """F-08: z-scores (sample std) of every numeric column."""
+    d = _final_loans(spark, sf).select("id", *NUMERIC_FEATURES)
+    return r6(FE.standardize(d, NUMERIC_FEATURES, suffix="_z").drop(*NUMERIC_FEATURES))
 
 
 # ----------------------------------------------------------------------------- prompts
@@ -750,13 +759,122 @@ def lime_surrogate(spark: SparkSession, sf: str) -> DataFrame:
     tr, rows, _ = _explain_rows(spark, sf)
     feats = [c for c in tr.columns if c not in ("id", "label")]
     rf = ML.forest(20, 5).fit(_assembled(tr))
-    stats = tr.agg(*[F.avg(FE.quoted(f)).alias(f"mean_{f}") for f in feats], *[F.coalesce(F.stddev_samp(FE.quoted(f)), F.lit(0.0)).alias(f"std_{f}") for f in feats])
-    return r6(A.local_surrogate(rf, rows, stats, feats, n_samples=200, key="id"))
+    return r6(A.local_surrogate(A.model_score(rf), rows, A.quartile_stats(tr, feats), feats, n_samples=200, key="id"))
+
+
+#: The logit of a fixed scorer, and the columns a surrogate sees.
+SURROGATE_LOGIT, SURROGATE_COLUMNS = (0.08, 0.3, -0.9), ["int_rate", "delinq_2yrs"]
+
+
+def _fixed_score(points: DataFrame) -> DataFrame:
+    a, b, c = SURROGATE_LOGIT
+    logit = F.lit(a) * F.col("_v")[0] + F.lit(b) * F.col("_v")[1] + F.lit(c)
+    return points.withColumn("_y", F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
+
+
+def _surrogate_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All final loans, and those to explain: the stated filter."""
+    d = _final_loans(spark, sf).select("id", *SURROGATE_COLUMNS)
+    return d, d.filter("int_rate = 10 AND delinq_2yrs >= 5")
+
+
+def lime_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """A-13: surrogate of a fixed scorer on normal draws around the stated rows; statistics over all final loans."""
+    d, rows = _surrogate_rows(spark, sf)
+    return r6(A.local_surrogate(_fixed_score, rows, A.gaussian_stats(d, SURROGATE_COLUMNS), SURROGATE_COLUMNS, n_samples=40, key="id"))
+
+
+def lime_quartiles(spark: SparkSession, sf: str) -> DataFrame:
+    """A-13: the same on quartile buckets, of the two features only the one of the larger weight."""
+    d, rows = _surrogate_rows(spark, sf)
+    return r6(A.local_surrogate(_fixed_score, rows, A.quartile_stats(d, SURROGATE_COLUMNS), SURROGATE_COLUMNS, n_samples=40, key="id", top=1))
+
+
+#: A small forest as a node table: (tree, id, left, right, feature, threshold, cover, value), features by their place in FOREST_COLUMNS.
+FOREST_COLUMNS = ["int_rate", "fico_range_low", "delinq_2yrs"]
+FIXED_FOREST = [
+    (0, 0, 1, 2, 0, 5.0, 100.0, None), (0, 1, 3, 4, 1, 700.0, 60.0, None), (0, 3, None, None, None, None, 20.0, 0.5), (0, 4, None, None, None, None, 40.0, 0.1),
+    (0, 2, 5, 6, 2, 2.0, 40.0, None), (0, 5, 7, 8, 0, 8.0, 30.0, None), (0, 7, None, None, None, None, 10.0, 0.3), (0, 8, None, None, None, None, 20.0, 0.7),
+    (0, 6, None, None, None, None, 10.0, 0.9),
+    (1, 0, 1, 2, 1, 650.0, 100.0, None), (1, 1, None, None, None, None, 25.0, 0.8), (1, 2, 3, 4, 2, 4.0, 75.0, None), (1, 3, None, None, None, None, 50.0, 0.2),
+    (1, 4, 5, 6, 0, 3.0, 25.0, None), (1, 5, None, None, None, None, 5.0, 0.35), (1, 6, None, None, None, None, 20.0, 0.6),
+]
+
+
+def tree_attribution_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """A-10 (tree-exact): Shapley values of a given forest for every final-status loan."""
+    nodes = spark.createDataFrame(FIXED_FOREST, "tree int, id int, left int, right int, feature int, threshold double, cover double, value double")
+    d = _final_loans(spark, sf)
+    return r6(TR.tree_attributions(TR.leaf_paths(nodes), d, FOREST_COLUMNS, F.array(*FOREST_COLUMNS), key="id"))
+
+
+def tree_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """A-10 (tree-exact): a random forest's exact attributions for every test row; whether they sum to the probability less the base."""
+    tr, te = _model_tables(spark, sf)
+    feats = [c for c in tr.columns if c not in ("id", "label")]
+    rf = ML.forest(10, 4).fit(_assembled(tr))
+    points = _assembled(te)
+    paths = TR.leaf_paths(TR.ensemble_nodes(rf))
+    attr = TR.tree_attributions(paths, points, feats, vector_to_array("features"), key="id")
+    total = attr.groupBy("id").agg(F.sum("attribution").alias("total"))
+    scored = ML.predict_proba(rf, points).select("id", "bad_prob").crossJoin(F.broadcast(TR.base_value(paths)))  # one row
+    return total.join(scored, "id").select("id", (F.abs(F.col("total") + F.col("base") - F.col("bad_prob")) < 1e-9).alias("sums"))
+
+
+def _split_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Id, split, label and the 14 numeric features of every final-status loan."""
+    return _final_loans(spark, sf).withColumn("label", F.when(F.col("loan_status") == "Charged Off", 1).otherwise(0)).join(loan_split(spark, sf), "id").select(
+        "id", "split", "label", *NUMERIC_FEATURES
+    )
+
+
+def bayes_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """A-04: closed-form Gaussian naive Bayes of the train split's numeric features; the probability of every test loan."""
+    d = _split_numbers(spark, sf)
+    moments = ML.class_moments(d.filter("split = 'train'"), NUMERIC_FEATURES)
+    scored = ML.gaussian_bayes(moments, d.filter("split = 'test'"), NUMERIC_FEATURES, ["id", "label"])
+    return r6(scored.select("id", "label", F.col("probabilities")[1].alias("bad_prob")))
+
+
+def loan_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """A-05: three folds, stratified by status, of every final-status loan."""
+    return ML.stratified_folds(_final_statuses(spark, sf), 3, key="id", label="loan_status", seed=SEED)
+
+
+def logistic_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """A-01: for every C and penalty of the grid, fitted to the standardised numeric features of the train split, whether each coefficient's slope is under 1e-3."""
+    train = _split_numbers(spark, sf).filter("split = 'train'")
+    scaled = FE.standardize(train.select("label", *NUMERIC_FEATURES), NUMERIC_FEATURES)
+    points = materialized(FE.assemble(scaled, exclude=["label"]).select("label", "features"), "scaled")
+    n, grid, out = points.count(), ML.REFERENCE_GRIDS["Logistic Regression"], []
+    for c in grid["C"]:
+        for penalty in grid["penalty"]:
+            model = ML.logistic(c, penalty, n, max_iter=300, tol=1e-9).fit(points)
+            found = ML.logistic_optimum(model, points, NUMERIC_FEATURES, c, penalty)
+            out.append(found.select(F.lit(float(c)).alias("c"), F.lit(penalty).alias("penalty"), "feature", (F.abs("slope") < 1e-3).alias("optimal")))
+    return reduce(DataFrame.unionByName, out)
 
 
 FORMULA = "1 / (1 + exp(-(0.05 * int_rate - 0.01 * (fico_range_low - 650) + 0.2 * delinq_2yrs - 0.5)))"
 
 
+#: Two logits of the classes, and a score that leaves 0 ... 1.
+LOGITS = ["0.4 - 0.02 * int_rate + 0.01 * (fico_range_low - 700)", "0.05 * int_rate + 0.1 * delinq_2yrs - 0.3"]
+ROUNDED = "0.25 * (int_rate - 4) + 0.5 * (delinq_2yrs - 2)"
+
+
+def formula_logits(spark: SparkSession, sf: str) -> DataFrame:
+    """A-14: two closed-form logits scored together; the larger is the class."""
+    d = _final_loans(spark, sf).withColumn("label", F.when(F.col("loan_status") == "Charged Off", 1).otherwise(0))
+    return r6(A.score_logits(d, LOGITS))
+
+
+def formula_rounded(spark: SparkSession, sf: str) -> DataFrame:
+    """A-14: a closed-form score rounded half to even; values other than 0 and 1 are wrong."""
+    d = _final_loans(spark, sf).withColumn("label", F.when(F.col("loan_status") == "Charged Off", 1).otherwise(0))
+    return r6(A.score_formula(d, ROUNDED, threshold=None))
+
+
 def formula_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """A-14: closed-form score and its accuracy on the final-status loans."""
     d = _final_loans(spark, sf).withColumn("label", F.when(F.col("loan_status") == "Charged Off", 1).otherwise(0))
