@@ -55,7 +55,7 @@ def expand_correct(nodes: DataFrame, rollouts: DataFrame, mc: DataFrame, keys: S
     prefix = (parent prefix + tag + rollout) stripped (the rollout alone under an empty prefix)."""
     keys = list(keys)
     mixed = mc.filter((F.col("mc") > 0) & (F.col("mc") < 1)).select(*keys)
-    ok = rollouts.filter(F.col("correct")).join(mixed, keys, "left_semi").join(nodes.select(*keys, "prefix"), keys, "inner")
+    ok = join_groups(join_groups(rollouts.filter(F.col("correct")), mixed, keys, "left_semi"), nodes.select(*keys, "prefix"), keys)
     child_prefix = F.when(
         F.coalesce(F.length("prefix"), F.lit(0)) > 0, py_strip(F.concat(F.col("prefix"), F.lit(tag), F.col("rollout")))
     ).otherwise(F.col("rollout"))
@@ -134,7 +134,7 @@ def collect_prefixes(nodes: DataFrame, tree: str = "question_id", seq: str = "se
 def tree_edges(nodes: DataFrame, tree: str = "question_id") -> DataFrame:
     """G-12: parent/child rows with the text the child adds (T-13) and its MC."""
     parents = nodes.select(tree, F.col("node_id").alias("parent_id"), F.col("prefix").alias("_parent_prefix"))
-    return nodes.join(parents, [tree, "parent_id"], "left").select(
+    return join_groups(nodes, parents, [tree, "parent_id"], "left").select(
         tree, "node_id", "parent_id", new_text("prefix", "_parent_prefix").alias("text"), "mc"
     )
 

@@ -2,7 +2,7 @@
 
 Group-wise top-1 is written as a max/min over a struct (score first, position as tie key): an
 ordinary aggregate with a map-side partial step, so a prompt with a huge candidate list never
-lands whole in one task, and no window sort is needed.
+lands whole in one task, and no window sort is needed. Rows are fetched by their key afterwards.
 """
 
 from __future__ import annotations
@@ -53,12 +53,13 @@ def majority_label(df: DataFrame, label: str = "pred_label", prompt: str = "prom
 
 
 def pick_one(df: DataFrame, group: list[str], key: list[str], seed: int = 0) -> DataFrame:
-    """M-10: one pseudo-random row per group: the smallest md5(key ':' seed)."""
-    rest = [c for c in df.columns if c not in group]
+    """M-10: one pseudo-random row per group: the smallest md5(key ':' seed), ties by the key itself; ``key`` tells a group's rows apart.
+    Only (hash, key) is aggregated; the row is fetched by its key."""
     h = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
-    return df.groupBy(*group).agg(F.min(F.struct(h.alias("_h"), F.struct(*rest).alias("_row"))).alias("_m")).select(
-        *group, "_m._row.*"
-    )
+    own = [k for k in key if k not in group]
+    picked = df.groupBy(*group).agg(F.min(F.struct(h.alias("_h"), *own)).alias("_m")).select(*group, *[F.col(f"_m.{k}").alias(k) for k in own])
+    out = join_groups(df, picked, [*group, *own], "left_semi")
+    return out.select(*group, *[c for c in df.columns if c not in group])
 
 
 def vote_select(df: DataFrame, label: str = "pred_label", prompt: str = "prompt_id", pos: str = "pos", seed: int = 0) -> DataFrame:

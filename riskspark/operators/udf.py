@@ -1,30 +1,65 @@
 """User-function surface (U-01 ... U-04).
 
 A user's model (scorer, step scorer) runs inside ``mapInPandas``: Spark hands each task Arrow
-batches of ``batch_size`` rows, the model is loaded once per Python worker by the factory, and
-outputs come back as columns. Reward functions are Column expressions (or pandas UDFs)."""
+batches, the factory loads the model once per Python worker and later tasks of the worker find it there,
+and outputs come back as columns. Reward functions are Column expressions (or pandas UDFs)."""
 
+import hashlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+KEPT_SCORERS = 2  # loaded scorers that a Python worker keeps, the last used
+_scorers: OrderedDict[str, Callable] = OrderedDict()
+
+
+def worker_scorer(key: str, load_fn: Callable[[], Callable]) -> Callable:
+    """The scorer of ``key``, loaded on first use in this worker; the one unused longest goes when there are more than ``KEPT_SCORERS``."""
+    if key not in _scorers:
+        while len(_scorers) >= KEPT_SCORERS:
+            _scorers.popitem(last=False)
+        _scorers[key] = load_fn()
+    _scorers.move_to_end(key)
+    return _scorers[key]
+
+
+def rebatched(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of ``size`` rows, across the edges of the given ones; the last may be short."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n >= size:
+            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            whole = n - n % size
+            for start in range(0, whole, size):
+                yield rows.iloc[start : start + size].reset_index(drop=True)
+            held, n = [rows.iloc[whole:]], n - whole
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
 
 def score_partitions(
     df: DataFrame,
     load_fn: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
     schema: str,
     batch_size: int = 64,
+    key: str | None = None,
 ) -> DataFrame:
-    """U-01: ``load_fn()`` builds the scorer once per task; the scorer maps a pandas batch to a
-    pandas frame with ``schema``. The last batch of a partition may be short."""
+    """U-01: ``load_fn()`` builds the scorer once per Python worker; the scorer maps a pandas batch to a
+    pandas frame with ``schema``. Batches have ``batch_size`` rows whatever the Arrow batches hold; only the last of a
+    partition may be short. ``key`` names the loaded scorer (default: a hash of the pickled factory)."""
+    name = key or hashlib.sha256(cloudpickle.dumps(load_fn)).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = load_fn()
-        for b in batches:
-            for start in range(0, len(b), batch_size):
-                yield scorer(b.iloc[start : start + batch_size])
+        scorer = worker_scorer(name, load_fn)
+        for b in rebatched(batches, batch_size):
+            yield scorer(b)
 
     return df.mapInPandas(run, schema=schema)
 

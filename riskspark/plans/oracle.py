@@ -525,16 +525,14 @@ SELECT conv_id, len(conv) AS n_turns, conv[1]."from" AS first_from,
 FROM t"""
 
 _WSRE = "[ \\t\\n\\r\\f\\v]+"
-Q["doc_steps"] = f"""WITH d AS (SELECT doc_id, text, strpos(text, chr(10) || 'Answer:' || chr(10)) AS p FROM documents),
-e AS (SELECT *, string_split(text, chr(10))[1] || '.' || chr(10) || chr(10) AS t0 FROM d)
+Q["doc_steps"] = f"""WITH d AS (SELECT doc_id, text, strpos(text, chr(10) || 'Answer:' || chr(10)) AS p FROM documents)
 SELECT doc_id, len(string_split(text, chr(10))) AS n_steps,
   len(list_filter(regexp_split_to_array({strip('text')}, '{_WSRE}'), lambda w: w <> '')) AS n_words,
   md5(array_to_string(string_split(text, chr(10)), chr(10) || chr(10))) AS joined_md5,
-  md5(t0) AS tagged_md5,
   md5(replace(text || chr(10), chr(10), 'ки')) AS marked_md5,
   CASE WHEN p > 0 THEN p - 1 ELSE length(text) END AS obs_head_len,
   CASE WHEN p > 0 THEN length(text) - p - 8 ELSE 0 END AS obs_tail_len
-FROM e"""
+FROM d"""
 
 _ENDINGS = [chr(10) + "   " + chr(10), chr(10) + "  " + chr(10), chr(10) + " " + chr(10), chr(10) * 2, "." + chr(10) * 2, ":" + chr(10) * 2, " " + chr(10) * 2]
 
@@ -775,7 +773,7 @@ ids AS (SELECT DISTINCT conv_id FROM conversations),
 rows AS (SELECT ids.conv_id, any_value(head.a) || coalesce(flatten(list(given.a ORDER BY k) FILTER (WHERE k IS NOT NULL)), []) AS a,
                 any_value(head.b) || coalesce(flatten(list(given.b ORDER BY k) FILTER (WHERE k IS NOT NULL)), []) AS b
          FROM ids CROSS JOIN head LEFT JOIN given ON given.conv_id = ids.conv_id GROUP BY ids.conv_id)
-SELECT conv_id, md5(array_to_string(list_resize(a, 256, '<pad>'), '|')) AS input_md5, md5(array_to_string(list_resize(b, 256, '-100'), '|')) AS target_md5 FROM rows"""
+SELECT conv_id, md5(array_to_string(list_resize(a, 2048, '<pad>'), '|')) AS input_md5, md5(array_to_string(list_resize(b, 2048, '-100'), '|')) AS target_md5 FROM rows"""
 
 Q["conversation_masks_whole"] = """WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations),
 kept AS (SELECT *, regexp_split_to_array(text, '\\s+') AS w FROM t WHERE k > 1 OR role = 'user'),
@@ -789,6 +787,16 @@ rows AS (SELECT ids.conv_id, any_value(head.a) || coalesce(flatten(list(given.a
          FROM ids CROSS JOIN head LEFT JOIN given ON given.conv_id = ids.conv_id GROUP BY ids.conv_id)
 SELECT conv_id, CAST(len(a) AS INTEGER) AS n_places, md5(array_to_string(a, '|')) AS input_md5, md5(array_to_string(b, '|')) AS target_md5 FROM rows"""
 
+Q["step_pipeline"] = Q["step_dataset"]
+
+Q["record_files"] = """WITH o AS (SELECT o_orderkey, o_custkey, substr(o_orderpriority, 1, 1) AS part, o_orderkey % 64 AS k FROM orders),
+f AS (SELECT part, k, count(*) AS n, sum(o_custkey) AS c FROM o GROUP BY part, k)
+SELECT 'lines' AS kind, part, CAST(count(*) FILTER (o_orderkey % 50 <> 0) AS BIGINT) AS records, CAST(count(*) FILTER (o_orderkey % 50 = 0) AS BIGINT) AS bad_records,
+  CAST(sum(o_custkey) FILTER (o_orderkey % 50 <> 0) AS BIGINT) AS customers FROM o GROUP BY part
+UNION ALL SELECT 'arrays.json', part, CAST(sum(n) FILTER (k % 16 <> 0) AS BIGINT), CAST(count(*) FILTER (k % 16 = 0) AS BIGINT), CAST(sum(c) FILTER (k % 16 <> 0) AS BIGINT) FROM f GROUP BY part"""
+
+Q["append_retry"] = """SELECT o_orderstatus AS batch, o_orderpriority, count(*) AS n, count(DISTINCT o_orderkey) AS n_units FROM orders GROUP BY ALL"""
+
 # ============================================================================= models and explanations
 
 _LABELLED = "CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS label"

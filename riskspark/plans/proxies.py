@@ -187,7 +187,11 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search-tree nodes: one per (question, node) of ``rollouts``; parent = (node - 1) // 2;
     own step text; visits = rollouts of the node; seq = node id."""
-    r = rollouts(spark, sf_dir)
+    return nodes_of(rollouts(spark, sf_dir))
+
+
+def nodes_of(r: DataFrame) -> DataFrame:
+    """``tree_nodes`` from a rollout table that is there already."""
     nodes = r.groupBy("question_id", "node_id").agg(F.count(F.lit(1)).alias("visits"), F.min("rollout").alias("_first"))
     return nodes.select(
         "question_id",

@@ -404,9 +404,9 @@ def conversation_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversation_masks(spark: SparkSession, sf: str) -> DataFrame:
-    """T-19: input and target arrays of every conversation, cut to 256 places; ``conversation_masks_whole`` has all of them."""
+    """T-19: input and target arrays of every conversation, padded or cut to the 2,048 places of the trainer; ``conversation_masks_whole`` has the whole ones."""
     c = T.to_conversations(X.load(spark, sf, "conversations"))
-    given, wanted = T.sft_arrays(T.trim_leading_turn("conversations"), "You judge credit risk", 256)
+    given, wanted = T.sft_arrays(T.trim_leading_turn("conversations"), "You judge credit risk", 2048)
     return c.select("conv_id", F.md5(F.array_join(given, "|")).alias("input_md5"), F.md5(F.array_join(wanted, "|")).alias("target_md5"))
 
 
@@ -418,8 +418,7 @@ def conversation_masks_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """T-09, T-11, T-12, T-16 on whole documents (steps are lines); T-10 on the first line with a fixed
-    ending, ``doc_step_tags`` has it on whole documents."""
+    """T-09, T-11, T-12, T-16 on whole documents (steps are lines); ``doc_step_tags`` has T-10."""
     d = X.load(spark, sf, "documents").select("doc_id", "text")
     first, rest = S.split_observation(F.col("text"))
     steps = S.split_steps("text", "\n")
@@ -428,7 +427,6 @@ def doc_steps(spark: SparkSession, sf: str) -> DataFrame:
         F.size(steps).alias("n_steps"),
         word_count("text").alias("n_words"),
         F.md5(S.join_steps(steps, S.STEP_TAG)).alias("joined_md5"),
-        F.md5(S.ensure_step_tag(F.concat(F.substring_index("text", "\n", 1), F.lit(".\n\n")))).alias("tagged_md5"),
         F.md5(S.mark_steps("text", "\n")).alias("marked_md5"),
         F.length(first).alias("obs_head_len"),
         F.length(rest).alias("obs_tail_len"),
@@ -464,10 +462,12 @@ def node_mc(spark: SparkSession, sf: str) -> DataFrame:
     return r6(mc.join(inc, ["question_id", "node_id"], "left").withColumn("n_incorrect", F.coalesce("n_incorrect", F.lit(0))))
 
 
-def _tree(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = X.tree_nodes(spark, sf)
+def _tree(spark: SparkSession, sf: str, rollouts: DataFrame | None = None) -> DataFrame:
+    """Nodes with prefix and MC; the numbered rollouts are made once."""
+    rollouts = X.rollouts(spark, sf) if rollouts is None else rollouts
+    nodes = X.nodes_of(rollouts)
     paths = G.full_paths(nodes).select("question_id", "node_id", F.col("path").alias("prefix"))
-    mc = G.mc_values(X.rollouts(spark, sf)).select("question_id", "node_id", "mc")
+    mc = G.mc_values(rollouts).select("question_id", "node_id", "mc")
     return nodes.join(paths, ["question_id", "node_id"]).join(mc, ["question_id", "node_id"])
 
 
@@ -491,17 +491,18 @@ def flattened_prefixes(spark: SparkSession, sf: str) -> DataFrame:
 
 def expanded_children(spark: SparkSession, sf: str) -> DataFrame:
     """G-03: correct rollouts of mixed nodes become children with MC 1."""
-    t = _tree(spark, sf)
     r = X.rollouts(spark, sf)
+    t = _tree(spark, sf, r)
     ch = G.expand_correct(t, r, G.mc_values(r))
     return ch.select("question_id", "parent_id", "pos", F.md5("prefix").alias("prefix_md5"), "mc")
 
 
 def next_selection(spark: SparkSession, sf: str) -> DataFrame:
     """T-16, G-05, G-06, G-07: Q + U score of every incorrect rollout; best per question."""
-    r = X.rollouts(spark, sf).filter(~F.col("correct"))
-    nodes = G.u_values(X.tree_nodes(spark, sf), c_puct=0.125)
-    mc = G.mc_values(X.rollouts(spark, sf)).select("question_id", "node_id", "mc")
+    every = X.rollouts(spark, sf)
+    r = every.filter(~F.col("correct"))
+    nodes = G.u_values(X.nodes_of(every), c_puct=0.125)
+    mc = G.mc_values(every).select("question_id", "node_id", "mc")
     pool = (
         r.join(mc, ["question_id", "node_id"])
         .join(nodes.select("question_id", "node_id", "u"), ["question_id", "node_id"])
@@ -546,6 +547,72 @@ def step_dataset(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def step_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """S-05, P-15, P-16, G-13, G-14, S-07 as one job: nested exports in part folders are merged and flattened, the step data is
+    built, saved as records and read back. The same rows as ``step_dataset``."""
+    import uuid
+
+    from ..session import checkpoint_path
+    from ..sources import files as IO
+
+    base = checkpoint_path(spark, f"steps-{uuid.uuid4().hex}")
+    item = F.struct("doc_id", "solution_prefix", "mc_value")
+    nested = X.doc_prefixes(spark, sf).groupBy("question").agg(F.collect_list(item).alias("reasoning_steps_text"))
+    IO.write_parts(nested.withColumn("part", F.pmod(F.xxhash64("question"), F.lit(4))), f"{base}/parts")
+    item_type = "struct<doc_id: bigint, solution_prefix: string, mc_value: double>"
+    merged = IO.read_parts(spark, [f"{base}/parts"], T_.StructType.fromDDL(f"question string, reasoning_steps_text array<{item_type}>"))
+    flat = merged.select("question", F.explode("reasoning_steps_text").alias("_x")).select("question", "_x.*")
+    flat = materialized(flat, "prefixes")
+    neg, pos = G.select_by_mc(flat).agg(F.count(F.when(F.col("mc_value") != 1.0, 1)), F.count(F.when(F.col("mc_value") == 1.0, 1))).first()
+    IO.write_records(G.build_step_dataset(flat, neg + pos // 2, key="doc_id", seed=42, tag="\n"), f"{base}/steps.jsonl")
+    saved = IO.read_records(spark, f"{base}/steps.jsonl", T_.StructType.fromDDL("doc_id bigint, mc_value double, reasoning_steps string, label array<int>"))
+    return r6(saved.select("doc_id", "mc_value", F.size("label").alias("n_labels"), F.element_at("label", -1).alias("last_label"),
+                           F.size(S.split_steps("reasoning_steps", "\n")).alias("n_parts"), F.md5("reasoning_steps").alias("steps_md5")))
+
+
+def record_files(spark: SparkSession, sf: str) -> DataFrame:
+    """S-03, S-04, S-05: orders as JSON lines in a folder a priority, some lines broken, and as one array a file; records, bad
+    records and the total of the good ones for every folder."""
+    import uuid
+
+    from ..session import checkpoint_path
+    from ..sources import files as IO
+
+    base = checkpoint_path(spark, f"records-{uuid.uuid4().hex}")
+    o = X.load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.substring("o_orderpriority", 1, 1).alias("part"))
+    line = F.to_json(F.struct("o_orderkey", "o_custkey"))
+    torn = F.when(F.col("o_orderkey") % 50 == 0, F.substring(line, 1, 12)).otherwise(line)
+    o.select(torn.alias("value"), "part").write.partitionBy("part").text(f"{base}/lines")
+    array = o.groupBy("part", F.pmod("o_orderkey", F.lit(64)).alias("k")).agg(F.to_json(F.collect_list(F.struct("o_orderkey", "o_custkey"))).alias("value"))
+    array.select(F.when(F.col("k") % 16 == 0, F.substr("value", F.lit(1), F.length("value") - 3)).otherwise(F.col("value")).alias("value"), F.concat("part", F.lit("-"), "k").alias("part")).write.partitionBy("part").text(f"{base}/arrays.json")
+    schema, out = T_.StructType.fromDDL("o_orderkey bigint, o_custkey bigint"), []
+    for kind in ("lines", "arrays.json"):
+        checked = materialized(IO.read_checked(spark, [f"{base}/{kind}"], schema), "checked")
+        folder = F.regexp_extract("source_file", "part=([0-9])", 1)
+        counts = IO.file_report(checked).groupBy(folder.alias("part")).agg(F.sum("records").alias("records"), F.sum("bad_records").alias("bad_records"))
+        totals = IO.good_records(checked).groupBy(folder.alias("part")).agg(F.sum("o_custkey").alias("customers"))
+        out.append(counts.join(totals, "part").withColumn("kind", F.lit(kind)))
+    return out[0].unionByName(out[1])
+
+
+def append_retry(spark: SparkSession, sf: str) -> DataFrame:
+    """S-08: finished units appended in three batches, one of them tried twice (first with half of its rows); what is there afterwards."""
+    import uuid
+
+    from ..session import checkpoint_path
+    from ..sources import files as IO
+
+    path = checkpoint_path(spark, f"append-{uuid.uuid4().hex}")
+    o = X.load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    for status in ("F", "O", "P"):
+        units = o.filter(F.col("o_orderstatus") == status)
+        if status == "O":
+            IO.append_batch(units.filter(F.col("o_orderkey") % 2 == 0), path, status)
+        IO.append_batch(units, path, status)
+    back = spark.read.schema("o_orderkey bigint, o_orderstatus string, o_orderpriority string, batch string").json(path)
+    return back.groupBy("batch", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("n_units"))
+
+
 def hard_subset(spark: SparkSession, sf: str) -> DataFrame:
     """P-10, P-11, G-15: every incorrect candidate and as many correct ones (miss counts as correct)."""
     c = X.candidates(spark, sf).select("prompt_id", "pos", "pred_label", "label")

@@ -70,6 +70,31 @@ def read_parts(spark: SparkSession, paths: Sequence[str], schema: T.StructType |
     return reader.json(list(paths)).withColumn("source_file", F.input_file_name())
 
 
+def read_checked(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:
+    """S-03 / S-04 / S-05: records of ``.json`` (one array or object a file) or JSONL files and folders, none of them lost: ``source_file``
+    names a record's file and ``bad_record`` holds the text that isn't a record of ``schema`` (its fields are NULL then)."""
+    several = {p.endswith(".json") for p in paths}
+    if len(several) != 1:
+        raise ValueError("give files of one kind: .json arrays, or JSON lines")
+    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField("bad_record", T.StringType())]))
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_record").option("multiLine", several.pop()).json(list(paths))
+    return rows.withColumn("source_file", F.input_file_name())
+
+
+def good_records(checked: DataFrame) -> DataFrame:
+    """The records of ``read_checked``, with their source file."""
+    return checked.where(F.col("bad_record").isNull()).drop("bad_record")
+
+
+def file_report(checked: DataFrame) -> DataFrame:
+    """Records and bad records of every file of ``read_checked``."""
+    field = next(c for c in checked.columns if c not in ("bad_record", "source_file"))
+    bad = F.col("bad_record").isNotNull()
+    # Spark reads no file for the bad-record column alone, so a field is looked at too
+    good = F.when(~bad, F.coalesce(F.col(f"`{field}`").cast("string"), F.lit("")))
+    return checked.groupBy("source_file").agg(F.count(good).alias("records"), F.count(F.when(bad, 1)).alias("bad_records"))
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
     """S-06."""
     w = df.write.mode(mode)
@@ -88,6 +113,14 @@ def append_records(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def append_batch(df: DataFrame, path: str, batch: str, fmt: str = "json") -> None:
+    """S-08, repeatable: the units of one batch, in a folder of the batch's own under ``path``. A retried job writes its batch
+    anew in place of what the first try left, so nothing is there twice; other batches stay. As a streaming sink: ``foreachBatch`` with
+    the batch id as ``batch``."""
+    rows = df.withColumn("batch", F.lit(str(batch)))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").format(fmt).save(path)
+
+
 def write_parts(df: DataFrame, path: str, part_col: str = "part") -> None:
     """S-09 / S-10 sink: one folder per part number."""
     df.write.mode("overwrite").partitionBy(part_col).json(path)

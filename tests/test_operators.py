@@ -13,6 +13,7 @@ from riskspark.operators import ordered as O
 from riskspark.operators import rerank as V
 from riskspark.operators import rl as L
 from riskspark.operators import sampling as M
+from riskspark.operators import udf as U
 from riskspark.operators.features import encode_label
 
 
@@ -534,3 +535,106 @@ def test_grid_search_and_refit(spark):
     name, model = ML.refit_best(metrics, table)
     again = ML.predict_proba(model, table).select("bad_prob").collect()
     assert name in got and again == ML.predict_proba(fitted[name], table).select("bad_prob").collect()
+
+
+def test_scorers_load_once_a_worker_and_keep_batch_sizes(spark, tmp_path):
+    """Batches hold ``batch_size`` rows across Arrow batches; a worker that is used again loads nothing."""
+    import os
+    import pandas as pd
+
+    folder = str(tmp_path)
+
+    def load():
+        open(os.path.join(folder, f"{os.getpid()}-{os.urandom(4).hex()}"), "w").close()
+        return lambda b: pd.DataFrame({"id": b["id"], "n": len(b), "pid": os.getpid()})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(0, 1000, 1, 20)
+        for _ in range(3):
+            rows = U.score_partitions(df, load, "id long, n int, pid long", batch_size=16).collect()
+            assert sorted(r.id for r in rows) == list(range(1000))
+            assert {r.n for r in rows} == {16, 50 % 16}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    loads = [f.split("-")[0] for f in os.listdir(folder)]
+    assert len(loads) == len(set(loads))  # one load a worker process, not one a task
+    other = U.score_partitions(spark.range(5), lambda: (lambda b: b.assign(n=-1)), "id long, n long", batch_size=2).collect()
+    assert {r.n for r in other} == {-1}
+
+
+def test_scorer_cache_is_bounded():
+    loaded = []
+    for k in ("a", "b", "a", "c", "a", "b"):
+        assert U.worker_scorer(f"t-{k}", lambda k=k: loaded.append(k) or k) == k
+    assert loaded == ["a", "b", "c", "b"] and len(U._scorers) == U.KEPT_SCORERS
+
+
+def test_checked_records_and_repeated_append(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from riskspark.sources import files as IO
+
+    schema = T.StructType.fromDDL("id bigint, name string")
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "name": "é"}\n{"id": 2, "na\n\n{"id": "x", "name": "n"}\n')
+    (tmp_path / "b.jsonl").write_text('{"id": 3}\n')
+    (tmp_path / "c.json").write_text('[{"id": 4, "name": "n"},\n {"id": 5}]')
+    (tmp_path / "d.json").write_text('[{"id": 6}, {"id"')
+    lines = IO.read_checked(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")], schema)
+    report = {r.source_file[-7:]: (r.records, r.bad_records) for r in IO.file_report(lines).collect()}
+    assert report == {"a.jsonl": (1, 2), "b.jsonl": (1, 0)}
+    assert sorted((r.id, r.name) for r in IO.good_records(lines.persist()).collect()) == [(1, "é"), (3, None)]
+    arrays = IO.read_checked(spark, [str(tmp_path / "c.json"), str(tmp_path / "d.json")], schema)
+    assert {r.source_file[-6:]: (r.records, r.bad_records) for r in IO.file_report(arrays).collect()} == {"c.json": (2, 0), "d.json": (0, 1)}
+    with pytest.raises(ValueError, match="one kind"):
+        IO.read_checked(spark, ["x.json", "y.jsonl"], schema)
+    path = str(tmp_path / "units")
+    df = spark.createDataFrame([(i, f"u{i}") for i in range(6)], schema)
+    for batch, rows in (("0", df.where("id < 3")), ("1", df.where("id = 3")), ("1", df.where("id >= 3")), ("1", df.where("id >= 3"))):
+        IO.append_batch(rows, path, batch)
+    assert sorted((r.batch, r.id) for r in spark.read.schema("id bigint, name string, batch string").json(path).collect()) == [("0", 0), ("0", 1), ("0", 2), ("1", 3), ("1", 4), ("1", 5)]
+
+
+def test_sft_arrays_of_tokens_and_unknown_roles(spark):
+    from riskspark.functions import prompts as T
+
+    turns = "array<struct<`from`: string, value: array<int>>>"
+    df = spark.createDataFrame([([("user", [5, 6]), ("assistant", [7, 8, 9])],), ([],)], f"c {turns}")
+    system = F.array(F.lit(40), F.lit(41))
+    given, wanted = T.sft_arrays("c", system, 24, start=1, end=2, newline=3, pad=0, ignore=-100, encode=lambda v: v, header=lambda r: F.array(*[F.lit(x) for x in {"system": [10], "user": [11], "assistant": [12, 13]}[r]]))
+    a, b = df.select(given, wanted).first()
+    assert a == [1, 10, 3, 40, 41, 2, 3, 1, 11, 3, 5, 6, 2, 3, 1, 12, 13, 3, 7, 8, 9, 2, 3, 0]
+    assert b == [1, -100, -100, -100, -100, 2, 3, 1, -100, -100, -100, -100, 2, 3, 1, -100, -100, -100, 7, 8, 9, 2, 3, -100]
+    odd = spark.createDataFrame([([("tool", "x")],)], "c array<struct<`from`: string, value: string>>")
+    with pytest.raises(Exception, match="unknown role in a conversation: tool"):
+        odd.select(*T.sft_arrays("c", "s", None)).collect()
+
+
+def test_verdict_lookup(spark):
+    from riskspark.operators import prep as PR
+
+    df = spark.createDataFrame([(" Good",), ("BAD  ",), ("bad",), ("gOOD",), ("",), (None,), ("  good  ",)], "token string")
+    got = {r.token: (r.verdict_word, r.variant_number, r.good_token, r.bad_token) for r in PR.verdict_lookup(df, "token").collect()}
+    none = (None, None, None, None)
+    assert got == {" Good": ("good", 12, " Good", " Bad"), "BAD  ": ("bad", 8, "GOOD  ", "BAD  "), "bad": ("bad", 0, "good", "bad"), "gOOD": none, "": none, None: none, "  good  ": ("good", 20, "  good  ", "  bad  ")}
+    same = PR.verdict_lookup(df, "token", "good", "GOOD").where("token = ' Good'").collect()
+    assert [(r.verdict_word, r.variant_number) for r in same] == [("good", 12)]
+
+
+def test_null_groups_keep_children_and_parents(spark):
+    from riskspark.operators import process_reward as G
+
+    nodes = spark.createDataFrame([(None, 0, None, "p"), (None, 1, 0, "p\n\nq"), (7, 0, None, "r")], "question_id long, node_id long, parent_id long, prefix string").withColumn("mc", F.lit(0.5))
+    edges = {(r.question_id, r.node_id): r.text for r in G.tree_edges(nodes).collect()}
+    assert len(edges) == 3 and edges[None, 1] == G.tree_edges(nodes.fillna({"question_id": 1})).where("node_id = 1").first().text
+    rollouts = spark.createDataFrame([(None, 0, 0, "x", True), (None, 0, 1, "y", False), (7, 0, 0, "z", True), (7, 0, 1, "w", False)], "question_id long, node_id long, pos int, rollout string, correct boolean")
+    assert G.expand_correct(nodes, rollouts, G.mc_values(rollouts)).count() == 2
+
+
+def test_word_count_splits_as_python(spark):
+    from riskspark.functions.text import word_count
+
+    texts = ["", " ", "a", " a  b\tc\n", "a\x1cb\x85c d e", "　x y ", None, "a​b"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", word_count("t").alias("n")).collect()
+    assert [r.n for r in got if r.t is not None] == [len(t.split()) for t in texts if t is not None]
