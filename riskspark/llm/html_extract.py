@@ -10,13 +10,16 @@ Training labels come from the pages themselves: on pages that mark their main co
 (``MAIN``), blocks inside it and outside the named side parts (``SIDE``) are main text. Each
 training page is also read in other dress: its containers get other names of their kind, and side
 blocks with running text (comments, notices, sidebars) are put between, so that the labeller learns
-the names of layouts that its sample doesn't show. The sample has at most ``TRAIN_PAGES`` pages
+the names of layouts that its sample doesn't show. And it is read bare: every name is a made-up one and the
+containers are plain ones, so that text, links, lengths and neighbours must decide. The sample has at most ``TRAIN_PAGES`` pages
 (the smallest hashes of the page id), in one task. Extraction is one narrow pass over whole pages.
 
 Defined cases: NULL or empty html gives the empty text; an unclosed script, style, textarea, title or comment
 reaches to the page's end; the other dropped elements go with their content only if they have a closing tag of
 their own, else only the tag goes; head is no element of its own, as all that may stand in it is dropped
-anyway; wrong nesting never fails; without a training page that names its main
+anyway; wrong nesting never fails; a page of any number of blocks is read whole, with memory in proportion to
+its blocks (pages are labelled together up to ``CELLS`` places, longer ones alone); repeated rows and rows of
+equal or NULL id are extracted one by one, and columns other than the ids and html are ignored; an empty table gives no rows; without a training page that names its main
 container, the labeller trains on the built-in layouts alone.
 """
 
@@ -38,7 +41,7 @@ TRAIN_PAGES = 300
 BUCKETS, EMBED, HIDDEN, SCALARS = 4096, 12, 12, 4
 EPOCHS, MINIBATCH, RATE = 6, 16, 0.01
 FEWEST_EXAMPLES = 400  # small samples are dressed more often
-PAGES_AT_ONCE, CHARS_AT_ONCE = 128, 1 << 21
+CELLS, CHARS_AT_ONCE = 1 << 14, 1 << 21  # places (longest page x pages) labelled together, characters read together
 
 #: Names of containers (tags, or words of class, id and role), by kind; fixed values.
 MAIN = ("article", "main", "content", "post", "entry", "story", "articlebody")
@@ -48,6 +51,7 @@ SIDE = (
     "comments", "comment", "replies", "discussion", "copyright", "widget", "toolbar",
 )
 SIDE_TAGS = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "label", "legend", "option")
+CONTAINERS = ("nav", "header", "footer", "aside", "menu", "dialog")  # of these, those that only group
 #: Elements whose content is never text of the page: those up to the next closing tag, or without one up to the
 #: page's end, and those that nest and need a closing tag; fixed values.
 RAW = "script|style|textarea|title"
@@ -224,6 +228,23 @@ def dressed(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block],
     return [b for b, _ in out], [y for _, y in out]
 
 
+def bare(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
+    """The page without names: words of class, id and role are made up, and tags that tell a container's kind are plain ones."""
+    made: dict[str, str] = {}
+
+    def other(token: str) -> str:
+        if token not in made:
+            if token[0] == ".":
+                made[token] = f".x{rng.integers(1 << 30)}"
+            elif token in MAIN or token in CONTAINERS:
+                made[token] = ("div", "section", "div")[rng.integers(3)]
+            else:
+                made[token] = token
+        return made[token]
+
+    return [(tuple(map(other, path)), text, links) for path, text, links in blocks], [silver(path) for path, _, _ in blocks]
+
+
 def bucket(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
 
@@ -283,8 +304,8 @@ class Labeller:
             means.append(np.add.reduceat(self.p[kind][f[f"{kind}_ids"]], starts) / f[f"{kind}_n"][:, None])
         return np.hstack([*means, f["scalars"]])
 
-    def run(self, x: np.ndarray, mask: np.ndarray, way: str) -> tuple[np.ndarray, list]:
-        """States (steps, pages, HIDDEN) of one direction; padded steps keep the state."""
+    def run(self, x: np.ndarray, mask: np.ndarray, way: str, traced: bool = True) -> tuple[np.ndarray, list]:
+        """States (steps, pages, HIDDEN) of one direction; padded steps keep the state. The trace for the gradients is kept only if asked for."""
         steps, n = mask.shape
         h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
         given = x @ self.p["x" + way] + self.p["b" + way]
@@ -296,7 +317,8 @@ class Labeller:
             m = mask[t][:, None]
             new = f * c + i * g
             squashed = np.tanh(new)
-            trace[t] = (i, f, g, o, c, h, squashed, m)
+            if traced:
+                trace[t] = (i, f, g, o, c, h, squashed, m)
             c = m * new + (1 - m) * c
             h = m * (o * squashed) + (1 - m) * h
             states[t] = h
@@ -321,14 +343,14 @@ class Labeller:
         grads["h" + way], grads["b" + way] = gh, dz_all.sum(axis=(0, 1))
         return dz_all @ self.p["x" + way].T
 
-    def forward(self, f: dict[str, np.ndarray], pages: int) -> tuple:
+    def forward(self, f: dict[str, np.ndarray], pages: int, traced: bool = True) -> tuple:
         flat = self.inputs(f)
         steps = int(f["step"].max()) + 1
         x, mask = np.zeros((steps, pages, flat.shape[1])), np.zeros((steps, pages))
         x[f["step"], f["page"]] = flat
         mask[f["step"], f["page"]] = 1
-        hf, tf = self.run(x, mask, "f")
-        hb, tb = self.run(x, mask, "b")
+        hf, tf = self.run(x, mask, "f", traced)
+        hb, tb = self.run(x, mask, "b", traced)
         both = np.concatenate([hf, hb], axis=2)[f["step"], f["page"]]
         chance = 1 / (1 + np.exp(-(both @ self.p["out"] + self.p["bias"])[:, 0]))
         return chance, both, x, tf, tb
@@ -337,12 +359,15 @@ class Labeller:
         """Probability of main text for each block of each page."""
         order = sorted((k for k, b in enumerate(pages) if b), key=lambda k: len(pages[k]))
         out = [np.zeros(0)] * len(pages)
-        for a in range(0, len(order), PAGES_AT_ONCE):
-            some = order[a : a + PAGES_AT_ONCE]
-            f = self.features([pages[k] for k in some])
-            chance = self.forward(f, len(some))[0]
-            for k, part in zip(some, np.split(chance, np.cumsum([len(pages[k]) for k in some])[:-1])):
-                out[k] = part
+        some: list[int] = []
+        for at, k in enumerate(order):
+            some.append(k)
+            if at + 1 < len(order) and len(pages[order[at + 1]]) * (len(some) + 1) <= CELLS:
+                continue
+            chance = self.forward(self.features([pages[j] for j in some]), len(some), traced=False)[0]
+            for j, part in zip(some, np.split(chance, np.cumsum([len(pages[j]) for j in some])[:-1])):
+                out[j] = part
+            some = []
         return out
 
     def fit(self, pages: list[tuple[list[Block], list[int]]], seed: int = 3) -> None:
@@ -386,7 +411,8 @@ def train(pages: list[str | None], seed: int = 3) -> dict[str, np.ndarray]:
     examples = []
     for blocks in read:
         examples.append((blocks, [silver(p) for p, _, _ in blocks]))
-        examples += [dressed(blocks, rng) for _ in range(max(2, -(-FEWEST_EXAMPLES // len(read))))]
+        times = max(2, -(-FEWEST_EXAMPLES // len(read)))
+        examples += [dressed(blocks, rng) for _ in range(times)] + [bare(blocks, rng) for _ in range(times // 2)]
     labeller = Labeller()
     labeller.fit(examples)
     return labeller.p
