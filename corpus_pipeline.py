@@ -2,7 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's result as Parquet
 to the shared folder and rereads it as the next one's docs. All stages but the last return the
-columns of ``docs``."""
+columns of ``docs``; other columns than doc_id, text, lang and n_chars pass through them untouched.
+
+Defined cases, for every stage: an empty table gives an empty result; NULL texts count as empty (language and quality decide on
+them as such); repeated rows and rows of equal or NULL id are separate documents, except where a stage says otherwise; the models
+learn from rows with an id as the operators do."""
 
 from __future__ import annotations
 
@@ -18,12 +22,13 @@ CAPACITY = 2048
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay; those without text or letters go."""
+    """Documents whose language can be told stay; those without text or letters go, and those that share no letter
+    sequence with any language (score 0)."""
     prototypes = language_prototypes(docs)
 
     def known(b) -> list[bool]:
-        langs, _ = langid.identify(b.column("text").to_pylist(), prototypes)
-        return [lang != langid.UNKNOWN for lang in langs]
+        langs, scores = langid.identify(b.column("text").to_pylist(), prototypes)
+        return [lang != langid.UNKNOWN and score > 0 for lang, score in zip(langs, scores)]
 
     return keep_rows(docs, known)
 
@@ -39,10 +44,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (5-word shingles, similarity 0.8)."""
-    found = near_dedup.near_duplicates(docs, size=5, percent=80, label="pipeline-near")
-    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near-duplicates stays (5-word shingles, similarity 0.8): the first row.
+
+    Rows are told apart by a number that is stored with them, so that of repeated rows, rows of equal id and rows without one
+    each group keeps one too. Documents without a word are in no group: all stay."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = near_dedup.near_duplicates(numbered.select("_row", "text"), size=5, percent=80, id_col="_row", label="pipeline-near")
+    return numbered.join(found.where(~F.col("kept")).select("_row"), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +74,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: The stages' models and searches have no SQL form; tests compare each stage with a brute-force version.
+#: The stages' models and searches have no SQL form; tests compare every stage's rows with a brute-force version.
 ORACLE_SQL = None
 
 

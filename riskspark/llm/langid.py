@@ -12,7 +12,8 @@ A trigram runs over lower-cased letters; every run of other characters counts as
 
 Defined cases: NULL text, the empty text and a text without letters are ``und`` with score 0, as is
 everything when no language was learned; rows with NULL text or language teach nothing; equal
-cosines go to the alphabetically first language.
+cosines go to the alphabetically first language. Very long texts are counted whole; repeated rows count and are
+predicted one by one, ids play no part; an empty table teaches nothing and gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from riskspark.llm.common import groups_of, map_rows, pa_schema, worker_state
 DIMENSIONS = 1024
 SEED = 20_011
 DOCS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 21
+FLUSH_GRAMS = 1 << 18  # counts that a task holds before it passes them on
 DENSE_GRAMS = 1 << 22  # trigram codes are indexed directly below, sorted above
 UNKNOWN = "und"
 POINTS = 0x110000
@@ -92,6 +94,10 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     gram_schema = pa_schema(spark, "lang string, gram string, n long")
 
+    def counts_of(total: dict[tuple[str, str], int]) -> pa.RecordBatch:
+        langs, grams = zip(*total) if total else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(list(total.values()), pa.int64())], schema=gram_schema)
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str], int] = {}
         for b in batches:
@@ -104,8 +110,10 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                     for g, n in zip(found.tolist(), counts.sum(axis=0).tolist()):
                         key = (lang, "".join(map(chr, g)))
                         total[key] = total.get(key, 0) + n
-        items = list(total.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in items], pa.string()), pa.array([k[1] for k, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], schema=gram_schema)
+                if len(total) > FLUSH_GRAMS:
+                    yield counts_of(total)
+                    total = {}
+        yield counts_of(total)
 
     counted = rows.mapInArrow(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     bundle_schema = pa_schema(spark, "lang string, d int, x double")

@@ -1,7 +1,7 @@
 """Near-duplicate detection: MinHash signatures and a multi-index Hamming join.
 
 1. Every text becomes its set of hashed word shingles and a signature of ``POSITIONS`` MinHash symbols of
-   16 bits. Texts with equal sets form a class; only the class's smallest id goes on.
+   16 bits. Texts with equal sets form a class, which gets a number; only the classes go on.
 2. Two signatures' distance is the number of positions that differ. The signature is split into
    ``CHUNKS`` chunks. If two signatures differ in at most ``DISTANCE`` positions, some chunk holds at most
    ``DISTANCE // CHUNKS`` = 1 of them (pigeonhole); so every chunk is indexed once for each place where its
@@ -17,10 +17,12 @@
    components are the families' components.
 
 Full sets are computed again from the texts that steps 3 and 4 need. Those texts are found by a Bloom
-filter of bounded size over their ids, so the texts are never shuffled.
+filter of bounded size over their classes' smallest ids, and told from other texts of such an id by their sets'
+hashes, so the texts are never shuffled.
 
 Defined cases: NULL text counts as empty; texts without words have no shingles, no links, and stand
-alone; a NULL id takes no part in links; rows of one id with different texts are separate nodes; an
+alone; a NULL id takes no part in links; rows of one id with different texts are separate nodes, each with the
+smallest id that it reaches; repeated rows get equal results; very long texts enter with all their shingles; an
 empty table gives no rows.
 """
 
@@ -65,9 +67,9 @@ def signed_documents(docs: DataFrame, size: int, id_col: str, text_col: str) ->
             for i, j in groups_of(texts, len(texts), CHARS_AT_ONCE):
                 for own in shingle_sets(texts[i:j], size):
                     n.append(len(own))
-                    mixed = scrambled(own)
-                    h1.append(int(mixed.sum(dtype=np.uint64).astype(np.int64)))
-                    h2.append(int(np.bitwise_xor.reduce(mixed * np.uint64(3), initial=np.uint64(0)).astype(np.int64)))
+                    first, second = set_hashes(own)
+                    h1.append(first)
+                    h2.append(second)
                     sigs.append(signature(own).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays([b.column("id"), *map(pa.array, (n, h1, h2)), pa.array(sigs, pa.binary())], schema=schema)
 
@@ -75,6 +77,12 @@ def signed_documents(docs: DataFrame, size: int, id_col: str, text_col: str) ->
     return rows.mapInArrow(sign, ddl)
 
 
+def set_hashes(own: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a whole set."""
+    mixed = scrambled(own)
+    return int(mixed.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mixed * np.uint64(3), initial=np.uint64(0)).astype(np.int64))
+
+
 def index_keys(classes: DataFrame) -> DataFrame:
     """(key, id): every chunk of a signature with each of its places masked in turn."""
     schema = pa_schema(classes.sparkSession, "key long, id long")
@@ -109,9 +117,11 @@ def id_filter(ids: DataFrame, n: int) -> tuple[int, np.ndarray]:
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles): the whole sets of the ``needed`` ids (distinct), and of a few more."""
-    bits, words = id_filter(needed, needed.count())
-    ddl = "id long, shingles binary"
+    """(id, shingles): the whole sets of ``needed`` classes (id, rep, n, h1, h2), each read from a row with the id ``rep``. Rows of one id may
+    hold several texts, so a row's class is told by its set's size and hashes."""
+    reps = needed.select(F.col("rep").alias("id")).distinct()
+    bits, words = id_filter(reps, needed.count())
+    ddl = "_rep long, _n long, _h1 long, _h2 long, shingles binary"
     schema = pa_schema(docs.sparkSession, ddl)
     probes = F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
@@ -125,10 +135,13 @@ def full_sets(docs: DataFrame, needed: DataFrame, size: int, id_col: str, text_c
             hit = (words[p >> 6] >> (p & 63) & 1).all(axis=1)
             ids = b.column("id").filter(pa.array(hit))
             texts = b.column("text").filter(pa.array(hit)).to_pylist()
-            found = [own.tobytes() for i, j in groups_of(texts, len(texts), CHARS_AT_ONCE) for own in shingle_sets(texts[i:j], size)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary())], schema=schema)
+            found = [(len(own), *set_hashes(own), own.tobytes()) for i, j in groups_of(texts, len(texts), CHARS_AT_ONCE) for own in shingle_sets(texts[i:j], size)]
+            n, h1, h2, own = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (n, h1, h2)), pa.array(own, pa.binary())], schema=schema)
 
-    return rows.withColumn("p", probes).mapInArrow(sets, ddl)
+    found = rows.withColumn("p", probes).mapInArrow(sets, ddl)
+    same = (F.col("rep") == F.col("_rep")) & (F.col("n") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    return needed.select("id", "rep", "n", "h1", "h2").join(found, same).select("id", "shingles").dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -274,27 +287,32 @@ def near_duplicates(
     """(id, n_shingles, component_id, kept) of every row."""
     signed = materialize(signed_documents(docs, size, id_col, text_col), f"{label}-signed")
     linked = signed.where("id is not null and n > 0")
-    classes = linked.groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id"), F.min("sig").alias("sig"))
-    classes = materialize(classes, f"{label}-classes")
-    texts = classes.select(F.col("class_id").alias("id"), "sig")
+    # a class is a text's set; it goes by a number, as rows of one id may be of several classes
+    classes = linked.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), f"{label}-classes")
+    texts = classes.select("id", "sig")
     keys = index_keys(texts)
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(keys.join(shared, "key"), f"{label}-keys")
 
     hubs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     families = connected_components(hubs, f"{label}-families").select(F.col("node").alias("id"), F.col("component").alias("family"))
-    sizes = families.join(classes.select(F.col("class_id").alias("id"), "n"), "id").groupBy("family").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+    families = families.join(classes.select("id", "rep", "n", "h1", "h2"), "id")
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
     is_small = (F.col("texts") <= family_docs) & (F.col("shingles") <= FAMILY_SHINGLES)
     families = materialize(families.join(sizes.select("family", is_small.alias("small")), "family"), f"{label}-sized")
 
-    sets = materialize(full_sets(docs, families.select("id"), size, id_col, text_col).dropDuplicates(["id"]), f"{label}-sets")
-    found = components_by_family(families.where("small").join(sets, "id"), percent)
+    sets = materialize(full_sets(docs, families, size, id_col, text_col), f"{label}-sets")
+    found = components_by_family(families.where("small").select("family", "id").join(sets, "id"), percent)
     large = families.where(~F.col("small")).select("id")
     if not large.isEmpty():
         found = found.union(components_by_keys(members.join(large, "id", "left_semi"), texts, sets, percent, label))
 
-    whole = linked.select("h1", "h2", "n", "id").join(classes.select("h1", "h2", "n", "class_id"), ["h1", "h2", "n"])
-    whole = whole.join(found, F.col("class_id") == F.col("node"), "left").select("id", F.col("n"), F.coalesce("component", "class_id").alias("component_id"))
+    group = classes.select("h1", "h2", "n", "rep", "id").join(found, F.col("id") == F.col("node"), "left").select("h1", "h2", "n", "rep", F.coalesce("component", "id").alias("group"))
+    group = materialize(group, f"{label}-groups-of-classes")
+    smallest = group.groupBy("group").agg(F.min("rep").alias("component_id"))
+    named = group.join(smallest, "group").select("h1", "h2", "n", "component_id")
+    whole = linked.select("h1", "h2", "n", "id").join(named, ["h1", "h2", "n"]).select("id", "n", "component_id")
     alone = signed.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"))
     every = whole.union(alone)
     return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -1,15 +1,19 @@
 """HTML extraction, exact search, the registered queries and the pipeline."""
 
+import itertools
 import random
+import re
 import zlib
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from riskspark.llm import html_extract, topk
-from riskspark.llm.common import table
-from riskspark.llm.queries import ORACLE_SQL, QUERIES
+from riskspark.llm import html_extract, langid, quality, topk
+from riskspark.llm.common import materialize, table
+from riskspark.llm.queries import ORACLE_SQL, QUERIES, language_prototypes, quality_model
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -139,6 +143,9 @@ CONTRACT = {
     8: "doc_id n_bytes n_removed n_spans kept_sha256",
     9: "page_id url text n_chars",
     10: "query_id rank vec_id score",
+    11: "anchor_id positive_id rank negative_id positive_score negative_score",
+    12: "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    13: "doc_id start n_tokens ids_crc32",
 }
 
 
@@ -150,7 +157,9 @@ def test_query_columns_and_rows(spark, name):
     rows = df.count()
     if n == 9:
         assert rows == table(spark, SMALL, "pages").count()
-    elif n not in (2, 10):
+    elif n == 12:
+        assert rows == table(spark, SMALL, "conversations").select("conv_id").distinct().count()
+    elif n not in (2, 10, 11):
         assert rows == table(spark, SMALL, "documents").count()
     assert set(ORACLE_SQL) <= set(QUERIES)
 
@@ -197,6 +206,101 @@ def test_pipeline(spark):
     assert set(packed.doc_id) == set(ids) and packed.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+
+
+def one_of_each_group(rows):
+    """Of near-duplicate rows (5-word shingles, 0.8) the first in the given order, by comparing every pair."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words_of(r.text)) else set() for r in rows]
+    group = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+    return [r for n, r in enumerate(rows) if group[n] == n]
+
+
+def cut_passages(rows):
+    """Texts without the bytes of 100-byte strings that start earlier, by looking up every window; NULL ids first."""
+    seen, out = set(), []
+    for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
+        data = (r.text or "").encode()
+        gone = bytearray(len(data))
+        for k in range(len(data) - 99):
+            if data[k : k + 100] in seen:
+                gone[k : k + 100] = b"\x01" * 100
+            seen.add(data[k : k + 100])
+        out.append((r.doc_id, bytes(x for x, g in zip(data, gone) if not g)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def messy_docs(spark):
+    """Some real documents, with repeated rows, rows that share an id, NULL ids and texts, and a shared passage."""
+    real = table(spark, SMALL, "documents").orderBy("doc_id").limit(70)
+    rows = [tuple(r) for r in real.collect()]
+    by_len = sorted((r for r in rows if r[1]), key=lambda r: len(r[1]))
+    a, b, c = by_len[20], by_len[30], by_len[40]
+    passage = " ".join(b[1].split()[:40])
+    rows += [a, a, (a[0], c[1] + " more words", "en", "s", 1), (None, b[1], "en", "s", 2), (None, b[1] + " end", None, "s", 3), (None, None, "fr", None, None)]
+    rows += [(20_000 + k, w[1] + " " + passage + " " + w[1][:50], w[2], "s", k) for k, w in enumerate(by_len[42:48])]
+    rows += [(30_000, "", "en", "s", 0), (30_001, "12 34", "en", "s", 5), (30_002, "x", "en", "s", 1), (30_003, None, None, None, None)]
+    return spark.createDataFrame(rows, real.schema).repartition(3).withColumn("extra", F.lit("kept")).cache()
+
+
+def test_every_stage_equals_brute_force(spark, messy_docs):
+    """Each stage on what its predecessor kept, row by row; the models of the first two are the operators' own."""
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = messy_docs
+    prototypes = language_prototypes(docs)
+    langs, scores = langid.identify([r.text for r in docs.collect()], prototypes)
+    want = [r for r, lang, score in zip(docs.collect(), langs, scores) if lang != "und" and score > 0]
+    docs = materialize(stages["language_id"](spark, docs, SMALL), "t")
+    assert sorted(docs.collect(), key=key) == sorted(want, key=key)
+    assert not {30_000, 30_001, 30_002, 30_003} & {r.doc_id for r in want} and len(want) > 60
+
+    model = quality_model(docs, table(spark, SMALL, "labels"))
+    rows = docs.collect()
+    want = [r for r, score in zip(rows, quality.scorer(model).scores([r.text for r in rows])) if score >= 0.5]
+    docs = materialize(stages["quality_classifier"](spark, docs, SMALL), "t")
+    assert sorted(docs.collect(), key=key) == sorted(want, key=key)
+
+    want = one_of_each_group(docs.collect())
+    assert len(want) < docs.count() - 2
+    kept = materialize(stages["minhash_near_dedup"](spark, docs, SMALL), "t")
+    left = kept.collect()
+    assert len(left) == len(want) and kept.columns == messy_docs.columns
+    # which row of a group stays may differ with its place; every group keeps exactly one
+    assert len(one_of_each_group(left)) == len(left)
+    assert sorted(r.text for r in left if r.text not in {w.text for w in want}) == [] or len(one_of_each_group([*want, *left])) == len(want)
+
+    want = sorted((d is not None, d or 0, t.decode()) for d, t in cut_passages(left))
+    docs = materialize(stages["suffix_array_dedup"](spark, kept, SMALL), "t")
+    rows = docs.collect()
+    assert sorted(key(r) for r in rows) == want and all(r.n_chars == len(r.text or "") and r.extra == "kept" for r in rows)
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = stages["best_fit_packing"](spark, docs, SMALL).toPandas()
+    got = sorted((i, n) for i, n in packed.assign(doc_id=packed.doc_id.fillna(-1)).groupby("doc_id").length.sum().items())
+    sizes = {}
+    for r in rows:
+        i = -1 if r.doc_id is None else r.doc_id
+        sizes[i] = sizes.get(i, 0) + len(t.encode(r.text or "", add_special_tokens=False).ids) + 1
+    assert got == sorted(sizes.items())
+    for _, sequence in packed.sort_values("offset").groupby("sequence_id"):
+        assert sequence.offset.tolist() == [0, *sequence.length.cumsum().tolist()[:-1]] and sequence.length.sum() <= 2048
+
+
+def test_stages_on_an_empty_table(spark, messy_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, messy_docs.limit(0), SMALL)
+        assert out.count() == 0
+        if name != "best_fit_packing":
+            assert out.columns == messy_docs.columns
+
+
 @pytest.fixture(scope="module")
 def fitted_labeller(spark):
     return html_extract.Labeller(html_extract.learn(table(spark, MIDDLE, "pages")))

@@ -220,6 +220,23 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty, family_docs):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("family_docs", [near_dedup.FAMILY_DOCS, 2])
+def test_near_duplicates_of_rows_that_share_an_id(spark, family_docs):
+    """Rows of one id with different texts are nodes of their own; repeated rows agree; a very long text keeps its links."""
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    long = prose(rng, 30_000)
+    rows = [(1, a), (1, b), (2, b + " word"), (3, a + " word"), (3, a + " word"), (5, c), (5, b + " other"), (7, c + " end"), (8, long), (9, long + " more"), (10, None), (10, "")]
+    nodes = list(enumerate(rows))
+    sets = {n: shingles(t, 4) for n, (_, t) in nodes}
+    links = [(m, n) for m, n in combinations(sets, 2) if sets[m] and 100 * len(sets[m] & sets[n]) >= 80 * len(sets[m] | sets[n])]
+    group = components(sets, links)
+    least = {g: min(rows[n][0] for n in sets if group[n] == g) for g in group.values()}
+    want = sorted((i, len(sets[n]), least[group[n]], least[group[n]] == i) for n, (i, _) in nodes)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=4, family_docs=family_docs)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 @pytest.mark.parametrize("family_docs", [near_dedup.FAMILY_DOCS, 2])
 def test_large_loose_group(spark, family_docs):
     """Copies with random edits: many pairs miss the threshold, but chains of links hold the group."""
@@ -259,6 +276,35 @@ def test_language_edge_cases(spark, docs, empty):
     assert langid.predict(empty, prototypes).count() == 0
 
 
+def test_language_prototypes_and_choice_by_hand(spark, docs, monkeypatch):
+    """Prototypes are the sums of all their texts' trigram vectors, a text goes to the largest cosine, score and ties included."""
+    monkeypatch.setattr(langid, "FLUSH_GRAMS", 40)
+    langs = ["aa", "bb", "cc"]
+    rows = [(i, t, langs[i % 3] if i % 5 else None) for i, t in enumerate(messy_texts() + ["漢字 text", "ÀÉ 12 àé", "zz"])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+
+    def bundle(text):
+        letters = re.sub(" +", " ", "".join(ch if ch.isalpha() else " " for ch in (text or "").lower()))
+        total = np.zeros(langid.DIMENSIONS)
+        grams = Counter(letters[k : k + 3] for k in range(len(letters) - 2))
+        if grams:
+            total = np.array(list(grams.values())) @ langid.gram_vectors(np.array([[ord(ch) for ch in g] for g in grams])).astype(float)
+        return total
+
+    want = {lang: sum(bundle(t) for _, t, own in rows if own == lang and t is not None) for lang in langs}
+    got = langid.learn(table)
+    assert list(got) == langs and all(np.allclose(got[lang], want[lang]) for lang in langs)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(table, got).collect()}
+    for i, text, _ in rows:
+        if not any(map(str.isalpha, text or "")):
+            assert found[i] == (langid.UNKNOWN, 0.0)
+            continue
+        own = bundle(text)
+        cosines = [own @ p / max(np.linalg.norm(own), 1e-9) / np.linalg.norm(p) for p in want.values()]
+        assert found[i][1] == pytest.approx(max(0.0, max(cosines)), abs=1e-5)
+        assert cosines[langs.index(found[i][0])] == pytest.approx(max(cosines), abs=1e-6)
+
+
 def test_language_bundle_by_hand():
     """The vector of a text is the sum of its trigrams' bound vectors."""
     v, r = langid.letter_vector, np.roll
