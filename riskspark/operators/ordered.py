@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialized
+
 _PID = "_rs_pid"
 _LOCAL = "_rs_local"
 
@@ -128,64 +130,37 @@ def running_totals(
     return out.drop(*drop)
 
 
-def _fold_blocks(df: DataFrame, keys: list[str], step: str, a: str, b: str, block: int) -> DataFrame:
-    """Within each block of ``block`` consecutive steps: local y (carry 0) and the product of a
-    from the row to the block end. One group holds at most ``block`` rows."""
-    blk = F.floor(F.col(step) / F.lit(block)).cast("long")
-    grouped = df.withColumn("_rs_blk", blk).groupBy(*keys, "_rs_blk").agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(a).alias("a"), F.col(b).alias("b"))))).alias("_rs_items")
-    )
-    init = F.struct(
-        F.lit(0.0).cast("double").alias("y"),
-        F.lit(1.0).cast("double").alias("p"),
-        F.array().cast("array<struct<s:long,y:double,p:double>>").alias("out"),
-    )
-
-    def step_fn(acc, x):
-        y = x["b"] + x["a"] * acc["y"]
-        p = x["a"] * acc["p"]
-        return F.struct(
-            y.alias("y"),
-            p.alias("p"),
-            F.array_append(acc["out"], F.struct(x["s"].cast("long").alias("s"), y.alias("y"), p.alias("p"))).alias("out"),
-        )
-
-    folded = grouped.select(*keys, "_rs_blk", F.aggregate("_rs_items", init, step_fn)["out"].alias("_rs_out"))
-    return folded.select(*keys, "_rs_blk", F.inline("_rs_out"))
-
-
-def suffix_scan(
-    df: DataFrame,
-    keys: Sequence[str],
-    step: str,
-    a: str,
-    b: str,
-    out: str,
-    block: int = 256,
-    max_len: int | None = None,
-) -> DataFrame:
-    """Add ``out`` with ``out_t = b_t + a_t * out_{t+1}`` (0 after the last step of each key).
+def suffix_scan(df: DataFrame, keys: Sequence[str], step: str, a: str, b: str, out: str, block: int = 256) -> DataFrame:
+    """Add ``out`` with ``out_t = b_t + a_t * out_{t+1}`` (0 after the last step of each key; a NULL key is a key).
 
     ``step`` must be the dense 0-based position within ``keys`` (see ``row_index``).
-    Blocks of ``block`` steps are folded in order; block boundaries are resolved by running the
-    same scan over the per-block summaries, so a key of any length never meets one task whole.
-    Up to ``block`` steps per key the result is the plain sequential fold, bit for bit.
-    """
-    keys = list(keys)
-    if max_len is None:
-        max_len = int(df.agg(F.max(F.col(step))).first()[0] or 0) + 1
-    loc = _fold_blocks(df, keys, step, a, b, block)  # keys, _rs_blk, s, y, p
-    if max_len <= block:
-        res = loc.select(*keys, F.col("s").alias(step), F.col("y").alias(out))
-    else:
-        # summary of block k: y_start(k) = Y_k + P_k * y_start(k+1)
-        first = loc.filter(F.col("s") == F.col("_rs_blk") * F.lit(block)).select(
-            *keys, F.col("_rs_blk").alias("_rs_k"), F.col("y").alias("_rs_Y"), F.col("p").alias("_rs_P")
-        )
-        starts = suffix_scan(first, keys, "_rs_k", "_rs_P", "_rs_Y", "_rs_start", block, (max_len + block - 1) // block)
-        carry = starts.select(*keys, (F.col("_rs_k") - 1).alias("_rs_blk"), F.col("_rs_start").alias("_rs_carry"))
-        res = (
-            join_groups(loc, carry, [*keys, "_rs_blk"], "left")
-            .select(*keys, F.col("s").alias(step), (F.col("y") + F.col("p") * F.coalesce("_rs_carry", F.lit(0.0))).alias(out))
-        )
-    return join_groups(df, res, [*keys, step])
+    Rows are grouped into blocks of ``block`` consecutive steps that carry their whole row, and a block is folded from its end:
+    each row's value for a carry of 0, and the product of ``a`` to the block's end. The blocks are stored once. What enters a
+    block from behind is the same recurrence over the blocks' first rows, one row a block, and so on until every key is one
+    block. So a key of any length never meets one task whole, rows are shuffled once, and only block rows are joined. Up to
+    ``block`` steps a key's result is the plain sequential fold, bit for bit."""
+    keys, names = list(keys), df.columns
+    row = F.struct(F.col(f"`{step}`").alias("s"), F.col(f"`{a}`").cast("double").alias("a"), F.col(f"`{b}`").cast("double").alias("b"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    blk = F.floor(F.col(f"`{step}`") / F.lit(block)).cast("long").alias("_rs_blk")
+    # steps are distinct within a key, so the order never looks at the rest of a row
+    grouped = df.groupBy(*[F.col(f"`{k}`").alias(f"_rs_key_{i}") for i, k in enumerate(keys)], blk).agg(F.collect_list(row).alias("_rs_rows"))
+    by = [f"_rs_key_{i}" for i in range(len(keys))]
+
+    def fold(acc: Column, x: Column) -> Column:
+        y, p = x["b"] + x["a"] * acc["y"], x["a"] * acc["p"]
+        return F.struct(y.alias("y"), p.alias("p"), F.array_append(acc["out"], F.struct(y.alias("y"), p.alias("p"))).alias("out"))
+
+    start = F.struct(F.lit(0.0).alias("y"), F.lit(1.0).alias("p"), F.array().cast("array<struct<y:double,p:double>>").alias("out"))
+    last_first = F.array_sort("_rs_rows", lambda x, z: (z["s"] - x["s"]).cast("int"))
+    folded = grouped.select(*by, "_rs_blk", last_first.alias("_rs_rows"))
+    folded = folded.select(*by, "_rs_blk", "_rs_rows", F.aggregate("_rs_rows", start, fold)["out"].alias("_rs_done"))
+    blocks = materialized(folded, "scan-blocks")
+    carried = blocks.withColumn("_rs_carry", F.lit(0.0))
+    if blocks.agg(F.max("_rs_blk")).first()[0]:  # a look at one stored column
+        # a block's first step is the last of its array
+        firsts = blocks.select(*by, "_rs_blk", F.element_at("_rs_done", -1)["y"].alias("_rs_y"), F.element_at("_rs_done", -1)["p"].alias("_rs_p"))
+        behind = suffix_scan(firsts, by, "_rs_blk", "_rs_p", "_rs_y", "_rs_carry", block).select(*by, (F.col("_rs_blk") - 1).alias("_rs_blk"), "_rs_carry")
+        carried = join_groups(blocks, behind, [*by, "_rs_blk"], "left").withColumn("_rs_carry", F.coalesce("_rs_carry", F.lit(0.0)))
+    rows = carried.select("_rs_carry", F.explode(F.arrays_zip("_rs_rows", "_rs_done")).alias("_rs_x"))
+    value = F.col("_rs_x._rs_done.y") + F.col("_rs_x._rs_done.p") * F.col("_rs_carry")
+    return rows.select(*[F.col(f"_rs_x._rs_rows.row.`{c}`").alias(c) for c in names if c != out], value.alias(out))

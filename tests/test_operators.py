@@ -638,3 +638,22 @@ def test_word_count_splits_as_python(spark):
     texts = ["", " ", "a", " a  b\tc\n", "a\x1cb\x85c d e", "　x y ", None, "a​b"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", word_count("t").alias("n")).collect()
     assert [r.n for r in got if r.t is not None] == [len(t.split()) for t in texts if t is not None]
+
+
+def test_scan_keeps_rows_and_agrees_for_any_block(spark):
+    """NULL keys, odd column names and payloads; every block size gives the plain recursion."""
+    rows = [(k, t, f"p{t}", 0.5 if t % 3 else 0.0, float(t)) for k, n in (("x", 130), ("y", 4), (None, 33), ("z", 1)) for t in range(n)]
+    df = spark.createDataFrame(rows, "k string, t int, `a.b` string, c double, d double").repartition(7)
+    want = {}
+    for k, n in (("x", 130), ("y", 4), (None, 33), ("z", 1)):
+        y = 0.0
+        for t in reversed(range(n)):
+            y = float(t) + (0.5 if t % 3 else 0.0) * y
+            want[k, t] = (f"p{t}", y)
+    for block in (2, 4, 32, 256):
+        out = O.suffix_scan(df, ["k"], "t", "c", "d", "y", block=block)
+        assert out.columns == [*df.columns, "y"]
+        got = {(r.k, r.t): (r["a.b"], r.y) for r in out.collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i][0] == want[i][0] and math.isclose(got[i][1], want[i][1], rel_tol=1e-12) for i in want)
+    assert O.suffix_scan(df.limit(0), ["k"], "t", "c", "d", "y").count() == 0
