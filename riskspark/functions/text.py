@@ -37,8 +37,17 @@ def fmt2(x) -> Column:
         return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
 
     c = _c(x).cast("double")
-    exact = _let(F.abs(c), lambda a: _let(F.floor(a * F.lit(100.0)), lambda cents: _let(rounded(a, cents), shown)))
-    return F.when(F.abs(c) < F.lit(1e13), F.concat(F.when(c < 0, "-").otherwise(""), exact)).otherwise(F.format_string("%.2f", c))
+    a, sign = F.abs(c), F.when(c < 0, "-").otherwise("")
+    exact = _let(a, lambda a: _let(F.floor(a * F.lit(100.0)), lambda cents: _let(rounded(a, cents), shown)))
+    # far from the middle of two cents the product's own rounding can't change the side: no exact arithmetic
+    cents = a * F.lit(100.0)
+    clear = (a < F.lit(1e9)) & (F.abs(cents - F.floor(cents) - F.lit(0.5)) > F.lit(1e-3))
+    whole = F.rint(cents).cast("long")
+    return (
+        F.when(clear, F.concat(sign, shown(whole)))
+        .when(a < F.lit(1e13), F.concat(sign, exact))
+        .otherwise(F.format_string("%.2f", c))
+    )
 
 
 def fmt_num(x) -> Column:
@@ -60,9 +69,10 @@ def fmt_num(x) -> Column:
 
     c = _c(x).cast("double")
     text = c.cast("string")
+    plain = (c == 0) | F.abs(c).between(F.lit(1e-3), F.lit(9_999_999.0))  # Spark writes these without an exponent
     special = F.when(F.isnan(c), "nan").when(F.abs(c) == F.lit(float("inf")), F.when(c > 0, "inf").otherwise("-inf"))
     sign = F.when(text.startswith("-"), "-").otherwise("")
-    return F.coalesce(special, F.when(text.contains("E"), F.concat(sign, _let(F.regexp_replace(text, "^-", ""), placed))).otherwise(text))
+    return F.when(plain, text).otherwise(F.coalesce(special, F.when(text.contains("E"), F.concat(sign, _let(F.regexp_replace(text, "^-", ""), placed))).otherwise(text)))
 
 
 def word_count(x) -> Column:

@@ -797,6 +797,12 @@ UNION ALL SELECT 'arrays.json', part, CAST(sum(n) FILTER (k % 16 <> 0) AS BIGINT
 
 Q["append_retry"] = """SELECT o_orderstatus AS batch, o_orderpriority, count(*) AS n, count(DISTINCT o_orderkey) AS n_units FROM orders GROUP BY ALL"""
 
+Q["loan_subset"] = f"""WITH {LOANS}, d AS (SELECT id, emp_length, {DISPLAY_SELECT} FROM final)
+SELECT * EXCLUDE (emp_length, "Loan Status") FROM d WHERE emp_length IS NOT NULL"""
+
+Q["attached_outputs"] = f"""WITH {CANDIDATES}
+SELECT prompt_id, o_orderpriority, o_custkey, pos, pred_label, md5(response) AS response_md5 FROM candidates JOIN orders ON o_orderkey = prompt_id"""
+
 # ============================================================================= models and explanations
 
 _LABELLED = "CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS label"

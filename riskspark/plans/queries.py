@@ -314,6 +314,18 @@ def loan_cardinality(spark: SparkSession, sf: str) -> DataFrame:
     return FE.cardinalities(d, FE.category_columns(d))
 
 
+def loan_subset(spark: SparkSession, sf: str) -> DataFrame:
+    """P-04, P-05: final loans with an employment length, without the label."""
+    return PR.features_only(PR.drop_incomplete(PR.select_loan_features(_final_loans(spark, sf), keep=["id"]), cols=["Employment Length"]))
+
+
+def attached_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """J-05: every candidate answer with its prompt's columns."""
+    prompts = X.load(spark, sf, "orders").select(F.col("o_orderkey").alias("prompt_id"), "o_orderpriority", "o_custkey")
+    outputs = X.candidates(spark, sf).select("prompt_id", "pos", "pred_label", F.md5("response").alias("response_md5"))
+    return PR.attach(prompts, outputs, on="prompt_id")
+
+
 def loan_label_map(spark: SparkSession, sf: str) -> DataFrame:
     """F-05, F-09: value -> code tables (sorted values, NULL last) of every category column."""
     d = PR.select_loan_features(_final_loans(spark, sf))
@@ -751,23 +763,22 @@ def model_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     return r6(m)
 
 
+#: Parameters as a search has stored them, one set a model.
+STORED = {
+    "Logistic Regression": {"C": 1, "penalty": "l1"},
+    "Random Forest": {"n_estimators": 10, "max_depth": 5, "min_samples_split": 2},
+    "Boosted Trees": {"max_depth": 3, "learning_rate": 0.2, "n_estimators": 5, "scale_pos_weight": 1, "min_child_weight": 5, "subsample": 1.0},
+    "Leafwise Trees": {"num_leaves": 8, "learning_rate": 0.2, "n_estimators": 5, "min_child_samples": 20},
+    "Naive Bayes": {},
+}
+
+
 def posterior_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """A-07, A-08, A-09, M-03: every model scores both splits, refitted from its stored parameters; of
+    """A-07, A-08, A-09, M-03: all five models score both splits, fitted from their stored parameters; of
     the test split, every positive and as many md5-sampled negatives; with their posterior prompts."""
     tr, te = _model_tables(spark, sf)
     trf, tef = _assembled(tr), _assembled(te)
-    grids = {"Logistic Regression": {"C": [0.1, 1], "penalty": ["l2"]}, "Naive Bayes": {}}
-    m, _ = ML.benchmark_models(trf, tef, grids)
-    n_rows, parts = trf.count(), []
-    for r in m.select("model", "best_params").collect():  # one row per model
-        model = ML.fit(r["model"], json.loads(r["best_params"]), trf.select("label", "features"), n_rows)
-        for side, df in (("train", trf), ("test", tef)):
-            scored = ML.predict_proba(model, df).select("id", "label", "good_prob", "bad_prob")
-            parts.append(scored.withColumn("model", F.lit(r["model"])).withColumn("side", F.lit(side)))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    scored = materialized(scored, "posterior")
+    scored = ML.score_both(STORED, trf, tef)
     positives = tef.filter("label = 1").count()
     chosen = M.balance_to_total(tef.select("id", "label"), "label", 1, total=2 * positives, key="id", seed=SEED).select("id")
     out = scored.filter("side = 'train'").unionByName(scored.filter("side = 'test'").join(chosen, "id", "left_semi"))
