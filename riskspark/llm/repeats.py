@@ -20,7 +20,10 @@ document and earlier place). All strings are judged on the input.
    instead, with the same per-batch combination as in 2, so their work is spread.
 4. Ranges are dealt by document and the bytes removed.
 
-Texts are compressed for the two passes that bring them to their rows.
+Texts are compressed for the two passes that bring them to their rows. A task holds one bucket's rows; there are as
+many buckets as keep about ``BUCKET_BYTES`` of texts in each (the session's shuffle partitions at least), each a partition of its
+own, so a task's memory doesn't grow with the input. Beside that it holds the span rows of one anchor, up to
+``HOT_SPANS`` of them.
 
 Defined cases: NULL text counts as empty and stays NULL where texts are returned; documents under
 ``LENGTH`` bytes lose nothing; a NULL id counts as the smallest; rows of one id with different texts are ordered
@@ -46,6 +49,7 @@ from riskspark.llm.shingles import PRIME, powers, scrambled
 LENGTH, SEED = 100, 32
 PIECES = LENGTH - SEED + 1  # anchor places in a window
 BYTES_AT_ONCE = 1 << 17
+BUCKET_BYTES = 4 << 20  # of texts to a bucket, on average
 HOT_SPANS = 50_000
 ROWS_AT_ONCE = 1 << 21  # of the expanded interval tree
 NO_ID = -(1 << 63)
@@ -353,6 +357,8 @@ def repeated_windows(rows: Columns) -> Columns:
         before = LENGTH - (nodes[node, 3] + 1 + k // members)  # bytes of the window left of the anchor
         usable = before <= left[row]
         node, row, before = node[usable], row[usable], before[usable]
+        if not len(node):
+            return
         middle = begin[row] + left[row]
         beside = hashes.of(middle - before, middle)
         by = np.lexsort((rank[row], beside, before, node))
@@ -415,14 +421,16 @@ def removed_ranges(size: int, first: np.ndarray, stop: np.ndarray) -> tuple[np.n
     return first[new], np.minimum(stop[np.r_[new[1:], True]], size)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "repeats", as_text: bool = False, hot_spans: int = HOT_SPANS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "repeats", as_text: bool = False, hot_spans: int = HOT_SPANS,
+                   bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of ``docs`` but the text, then (n_bytes, spans, kept): size, removed runs, remaining bytes.
 
     With ``as_text`` the last is a string: a character of which only a part is left goes whole, and
     NULL texts are NULL again. A column of ``docs`` with one of these names gives way."""
     spark = docs.sparkSession
     schema = pa_schema(spark, DDL)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weight = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weight // bucket_bytes))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     names = [c for c in docs.columns if c not in (text_col, "n_bytes", "spans", "kept")]
@@ -432,7 +440,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("home", F.pmod(F.xxhash64("doc", "mark"), F.lit(buckets)).cast("int"))
 
     def by_bucket(df: DataFrame) -> DataFrame:
-        return df.repartition(buckets, "bucket")
+        return df.repartitionById(buckets, F.col("bucket").cast("int"))
 
     classes = by_bucket(rows.select(*ROW_ID, "text").mapInArrow(find_classes(buckets, schema), DDL)).mapInArrow(reduce_classes(hot_spans, schema), DDL)
     classes = materialize(classes, f"{label}-classes")
@@ -449,7 +457,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         texts = source.mapInArrow(pack, form).withColumn("kind", F.lit(TEXT))
         whole = parts.unionByName(texts, allowMissingColumns=True)
-        return whole.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+        return by_bucket(whole).sortWithinPartitions("bucket", "kind")
 
     opened = beside_texts(classes.where(F.col("kind") == OPEN), rows.select(*ROW_ID, "text").where(F.octet_length("text") >= LENGTH), [])
     opened = by_bucket(opened.mapInArrow(open_spans(buckets, schema), DDL)).mapInArrow(resolve_open(schema), DDL)

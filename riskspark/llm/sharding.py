@@ -1,11 +1,12 @@
 """Sharding by sampled splitters: near-equal bytes per shard, built-in DataFrame functions only.
 
-Records are ordered by (hash of the text, id), so records with equal texts stand side by side.
+Records are ordered by (hash of the text, id, copy), so records with equal texts stand side by side; ``copy`` is a
+number stored with each record, which tells repeated rows and rows without an id apart.
 
 1. A size-weighted sample of that order gives the quantile boundaries of many small ranges. A
    boundary inside a group of equal texts moves to the group's start; but where several boundaries
-   fall into one group, they stay, and this overfull range is subdivided by id. No range holds a
-   hot group whole.
+   fall into one group, they stay, and this overfull range is subdivided by id and copy. No range
+   holds a hot group whole, not even one of rows that are equal in all columns.
 2. Bytes and rows of each range are counted exactly, which gives each range its first byte and row.
 3. Inside its range each record gets its own first byte and row. A record goes to the shard in which
    the middle byte of its group of equal texts lies. Records of subdivided groups, and of groups
@@ -14,7 +15,7 @@ Records are ordered by (hash of the text, id), so records with equal texts stand
 The law is ``bytes``: a shard's size is off by at most about the largest group that is kept together.
 
 Defined cases: NULL text has size 1 and crc32 0, and stands apart from the empty text's group; NULL and
-repeated ids are separate records; an empty table gives no rows.
+repeated ids and repeated rows are separate records; very long texts weigh what they hold; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ NO_ID = -(1 << 63)
 
 
 def sized_records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, text_crc32, key): UTF-8 bytes plus one, checksum and hash of the text."""
+    """(id, size, text_crc32, key, rank_id, copy): UTF-8 bytes plus one, checksum and hash of the text, and what orders its group."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).alias("id"),
@@ -41,26 +42,28 @@ def sized_records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text, F.col(text_col).isNull()).alias("key"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rank_id"),
+        F.monotonically_increasing_id().alias("copy"),
     )
 
 
 def sampled_splitters(records: DataFrame, ranges: int, total: int) -> DataFrame:
-    """(key, rank_id, inside): boundaries of about equal bytes; ``inside`` counts those of one key.
+    """(key, rank_id, copy, inside): boundaries of about equal bytes; ``inside`` counts those of one key.
 
     The sample has about ``ranges * SAMPLE_PER_RANGE`` rows, bounded by the constants above, so that
     its windows may run in one task. The draw is a hash: a recomputed task draws the same records."""
     chance = F.col("size") * F.lit(ranges * SAMPLE_PER_RANGE / max(total, 1))
-    draw = F.pmod(F.xxhash64("key", "rank_id", F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = records.where(draw < chance).select("key", "rank_id", F.greatest(chance, F.lit(1.0)).alias("weight"))
-    order = Window.partitionBy(F.lit(0)).orderBy("key", "rank_id")
+    draw = F.pmod(F.xxhash64("key", "rank_id", "copy", F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = records.where(draw < chance).select("key", "rank_id", "copy", F.greatest(chance, F.lit(1.0)).alias("weight"))
+    order = Window.partitionBy(F.lit(0)).orderBy("key", "rank_id", "copy")
     upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
     quantile = F.floor(upto * ranges / F.sum("weight").over(Window.partitionBy(F.lit(0))))
     passed = sample.withColumn("quantile", quantile).withColumn("was", F.lag("quantile", 1, 0).over(order))
     cuts = passed.where((F.col("quantile") > F.col("was")) & (F.col("quantile") < ranges))
-    inside = cuts.groupBy("key").agg(F.count(F.lit(1)).alias("inside"), F.collect_set("rank_id").alias("ids"))
+    inside = cuts.groupBy("key").agg(F.count(F.lit(1)).alias("inside"), F.collect_list(F.struct("rank_id", "copy")).alias("ids"))
     # one boundary in a group: the group's start; several: where they are
-    at = F.explode(F.when(F.col("inside") > 1, F.col("ids")).otherwise(F.array(F.lit(NO_ID))))
-    return inside.select("key", at.alias("rank_id"), "inside")
+    start = F.array(F.struct(F.lit(NO_ID).alias("rank_id"), F.lit(-1).cast("long").alias("copy")))
+    at = F.explode(F.when(F.col("inside") > 1, F.col("ids")).otherwise(start))
+    return inside.select("key", at.alias("at"), "inside").select("key", "at.rank_id", "at.copy", "inside")
 
 
 def prefix(key: Column) -> Column:
@@ -71,16 +74,17 @@ def with_range(records: DataFrame, splitters: DataFrame) -> DataFrame:
     """Add ``range`` (number of boundaries at or before the record) and ``hot`` (its group is subdivided)."""
     spark = records.sparkSession
     half = 1 << (PREFIX_BITS - 1)
-    boundary = F.struct("key", "rank_id", "inside")
+    boundary = F.struct("key", "rank_id", "copy", "inside")
     by_prefix = splitters.groupBy(prefix(F.col("key")).alias("prefix")).agg(F.collect_list(boundary).alias("cuts"))
     every = spark.range(-half, half).withColumnRenamed("id", "prefix").join(by_prefix, "prefix", "left")
     before = Window.partitionBy(F.lit(0)).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    none = F.array().cast("array<struct<key:bigint,rank_id:bigint,inside:bigint>>")
+    none = F.array().cast("array<struct<key:bigint,rank_id:bigint,copy:bigint,inside:bigint>>")
     lookup = every.withColumn("cuts", F.coalesce("cuts", none)).withColumn("base", F.coalesce(F.sum(F.size("cuts")).over(before), F.lit(0)))
     # 2 ** PREFIX_BITS rows and at most MOST_RANGES boundaries in all: safe to broadcast
     found = records.withColumn("prefix", prefix(F.col("key"))).join(F.broadcast(lookup), "prefix")
-    key, rank_id = F.col("key"), F.col("rank_id")
-    passed = F.filter("cuts", lambda c: (c["key"] < key) | ((c["key"] == key) & (c["rank_id"] <= rank_id)))
+    key, rank_id, copy = F.col("key"), F.col("rank_id"), F.col("copy")
+    in_group = lambda c: (c["rank_id"] < rank_id) | ((c["rank_id"] == rank_id) & (c["copy"] <= copy))
+    passed = F.filter("cuts", lambda c: (c["key"] < key) | ((c["key"] == key) & in_group(c)))
     hot = F.exists("cuts", lambda c: (c["key"] == key) & (c["inside"] > 1))
     return found.select(*records.columns, (F.col("base") + F.size(passed)).alias("range"), hot.alias("hot"))
 
@@ -94,7 +98,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     starts = starts.select("range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"first_{c}") for c in ("bytes", "rows")))
-    order = Window.partitionBy("range").orderBy("key", "rank_id", "size")
+    order = Window.partitionBy("range").orderBy("key", "rank_id", "copy")
     group = Window.partitionBy("range", "key")
     own = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ranged.withColumn("own", own).withColumn("row", F.row_number().over(order) - 1)

@@ -365,6 +365,21 @@ def test_sharding_law(spark, docs, empty):
 # ---- fingerprints -------------------------------------------------------------------------------
 
 
+def test_sharding_divides_rows_equal_in_all_columns(spark):
+    """A third of all rows with one text and one id, and a third without an id: no range holds them whole, and shards stay even."""
+    rng = random.Random(14)
+    rows = [(7, "the same text " * 20)] * 2000 + [(None, "no id, one text " * 15)] * 2000 + [(100 + i, prose(rng, rng.randint(1, 60))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    records = sharding.sized_records(docs, "doc_id", "text").cache()
+    total = records.agg(F.sum("size")).first()[0]
+    ranged = sharding.with_range(records, sharding.sampled_splitters(records, 64, total))
+    assert max(r["count"] for r in ranged.groupBy("range").count().collect()) < 6000 / 64 * 6
+    got = sharding.shard(docs, shards=8).toPandas()
+    assert len(got) == 6000 and got.groupby("shard")["size"].sum().max() - got.groupby("shard")["size"].sum().min() < total * 0.01
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+
+
 def test_fingerprint_of_edited_texts(spark, docs, empty):
     lexicon = fingerprint.Lexicon(WORDS)
     rows = fingerprint.edited_likeness(docs, lexicon).collect()
@@ -466,6 +481,8 @@ def test_repeats_equal_brute_force(spark, docs, empty, hot_spans):
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash")).withColumn("bucket", F.lit(1)).repartition(4)
     got = {r.doc_id: (r.n_bytes, [(s.first, s.stop) for s in r.spans], bytes(r.kept)) for r in repeats.remove_repeats(table, hot_spans=hot_spans).collect()}
     assert got == cut_by_hand(rows)
+    small = {r.doc_id: (r.n_bytes, [(s.first, s.stop) for s in r.spans], bytes(r.kept)) for r in repeats.remove_repeats(table, hot_spans=hot_spans, bucket_bytes=3_000).collect()}
+    assert small == got
     assert repeats.remove_repeats(empty).count() == 0
 
 
