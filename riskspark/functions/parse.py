@@ -51,7 +51,8 @@ def parse_last_segment(response, good: str = GOOD, bad: str = BAD) -> Column:
 
 def parse_last_verdict(response) -> Column:
     """R-03: verdict word of the last decorated-verdict match, NULL when none."""
-    m = F.try_element_at(F.regexp_extract_all(_c(response), F.lit(VERDICT_PATTERN), 0), F.lit(-1))
+    r = _c(response)
+    m = F.when(r.contains("ssessment"), F.try_element_at(F.regexp_extract_all(r, F.lit(VERDICT_PATTERN), 0), F.lit(-1)))
     cleaned = F.replace(F.replace(F.replace(m, F.lit(STEP_TAG), F.lit("")), F.lit("\n"), F.lit("")), F.lit("*"), F.lit(""))
     return F.substring_index(cleaned, ":", -1)
 
@@ -60,26 +61,34 @@ def _nz(c: Column) -> Column:
     return F.when(c == "", F.lit(None)).otherwise(c)
 
 
+def _found(r: Column, pattern: str, needs: str) -> Column:
+    """The first match of a pattern, '' without one. The pattern is tried only on texts that hold a part every match has."""
+    return F.when(r.contains(needs), F.regexp_extract(r, pattern, 0)).otherwise(F.when(r.isNotNull(), ""))
+
+
+def _verdict_and_risk(match: Column) -> tuple[Column, Column]:
+    """Verdict word and risk of a match 'Final assessment: word ... Default risk: number', NULL for ''. What follows is read off the match: one scan
+    of the text for both."""
+    none = F.lit(None)
+    verdict = F.when(match != "", F.when(match.startswith(f"{SPLIT_TOKEN}: {GOOD}"), GOOD).otherwise(BAD)).otherwise(none)
+    risk = F.when(match != "", F.substring_index(py_strip(match), " ", -1).cast("int")).otherwise(none)
+    return verdict, risk
+
+
 def parse_strict(response) -> tuple[Column, Column]:
     """R-04: (verdict, risk) of the strict tail pattern; NULLs when absent."""
-    # group 1 is never empty in a match, so '' means no match (one regex scan per column)
-    r = _c(response)
-    verdict = _nz(F.regexp_extract(r, STRICT_PATTERN, 1))
-    risk = F.when(verdict.isNotNull(), F.regexp_extract(r, STRICT_PATTERN, 2).cast("int"))
-    return verdict, risk
+    return _verdict_and_risk(_found(_c(response), STRICT_PATTERN, f"{SPLIT_TOKEN}: "))
 
 
 def parse_loose(response) -> tuple[Column, Column]:
     """R-05: first match of the loose pattern (text may follow)."""
-    r = _c(response)
-    verdict = _nz(F.regexp_extract(r, LOOSE_PATTERN, 1))
-    risk = F.when(verdict.isNotNull(), F.regexp_extract(r, LOOSE_PATTERN, 2).cast("int"))
-    return verdict, risk
+    return _verdict_and_risk(_found(_c(response), LOOSE_PATTERN, f"{SPLIT_TOKEN}: "))
 
 
 def parse_risk(response) -> Column:
     """R-08: stand-alone risk pattern."""
-    return _nz(F.regexp_extract(_c(response), RISK_PATTERN, 1)).cast("int")
+    r = _c(response)
+    return F.when(r.contains("Default"), _nz(F.regexp_extract(r, RISK_PATTERN, 1)).cast("int"))
 
 
 def risk_to_prob(risk) -> tuple[Column, Column]:
