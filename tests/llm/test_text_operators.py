@@ -327,6 +327,45 @@ def test_quality_edge_cases(spark, docs, empty):
     assert scores[0] < 0.5 < scores[1] and scores[2] == scores[3]
 
 
+def test_quality_training_equals_plain_loops(monkeypatch):
+    """The batched gradients against one text, one feature at a time."""
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    monkeypatch.setattr(quality, "FEWEST_STEPS", 5)
+    rng = random.Random(15)
+    texts = [prose(rng, rng.randint(1, 25)) for _ in range(45)] + ["", "buy buy buy now", " "]
+    labels = [int("the" in t) for t in texts]
+    weights, bias = quality.train(texts, labels)
+
+    draw = np.random.default_rng(7)
+    vectors = draw.uniform(-1 / quality.DIMENSIONS, 1 / quality.DIMENSIONS, (quality.BUCKETS + 1, quality.DIMENSIONS))
+    output, free = np.zeros((quality.DIMENSIONS, 2)), np.log(np.bincount(labels) / len(labels))
+    each = -(-len(texts) // quality.MINIBATCH)
+    epochs = max(2, -(-5 // each))
+    step = 0
+    for _ in range(epochs):
+        order = draw.permutation(len(texts))
+        for a in range(0, len(texts), quality.MINIBATCH):
+            rows = [r for r in order[a : a + quality.MINIBATCH] if len(quality.text_features(texts[r])[0])]
+            rate = quality.RATE * (1 - step / (epochs * each))
+            step += 1
+            d_output, d_free, d_vectors = np.zeros_like(output), np.zeros(2), {}
+            for r in rows:
+                ids, shares = quality.text_features(texts[r])
+                mean = sum(vectors[i] * w for i, w in zip(ids, shares))
+                z = mean @ output + free
+                p = np.exp(z) / np.exp(z).sum()
+                p[labels[r]] -= 1
+                d_output += np.outer(mean, p) / len(rows)
+                d_free += p / len(rows)
+                for i, w in zip(ids, shares):
+                    d_vectors[i] = d_vectors.get(i, 0) + w * (output @ p) / len(rows)
+            output -= rate * d_output
+            free -= rate * 0.1 * d_free
+            for i, g in d_vectors.items():
+                vectors[i] -= rate * len(rows) * g
+    assert np.allclose(weights, vectors @ (output[:, 1] - output[:, 0]), atol=1e-9) and bias == pytest.approx(free[1] - free[0])
+
+
 def test_quality_score_is_the_trained_network():
     """The summed word shares equal the softmax over the mean of the feature vectors."""
     rng = np.random.default_rng(0)
