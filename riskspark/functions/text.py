@@ -51,7 +51,8 @@ def fmt2(x) -> Column:
 
 
 def fmt_num(x) -> Column:
-    """``str(x)`` of a Python float: shortest digits, an exponent below 1e-4 and from 1e16 on."""
+    """``str(x)`` of a Python float: shortest digits, an exponent below 1e-4 and from 1e16 on. The digits are Java's; before Java 19
+    some very large and very small values get a digit more than the shortest form, which reads back as the same value."""
 
     def placed(text: Column) -> Column:
         """Spark's digits with an exponent (outside 1e-3 ... 1e7), the point put where Python has it."""

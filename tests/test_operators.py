@@ -657,3 +657,19 @@ def test_scan_keeps_rows_and_agrees_for_any_block(spark):
         assert got.keys() == want.keys()
         assert all(got[i][0] == want[i][0] and math.isclose(got[i][1], want[i][1], rel_tol=1e-12) for i in want)
     assert O.suffix_scan(df.limit(0), ["k"], "t", "c", "d", "y").count() == 0
+
+
+def test_number_formats_equal_python_on_random_values(spark):
+    import random
+
+    from riskspark.functions.text import fmt2, fmt_num
+
+    rng = random.Random(21)
+    values = [0.0, -0.0, 0.005, 0.015, 0.125, 1.005, 2.675, -2.675, 0.995, 99.995, 1e-3, 9.99e-4, 9_999_999.0, 1e7, 123456789.125, 1e9 + 0.125, 1e9 + 0.375, 1e15, 1e16, 1e22, 1.7e308]
+    values += [rng.uniform(-200, 200) for _ in range(300)] + [round(rng.uniform(0, 1000), 3) for _ in range(300)] + [rng.randint(0, 10**6) / 200 for _ in range(300)]
+    values += [rng.uniform(1, 10) * 10.0 ** rng.randint(-12, 20) for _ in range(300)] + [rng.randint(1, 10**9) / 8 for _ in range(300)]
+    for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", fmt2("v").alias("two"), fmt_num("v").alias("num")).collect():
+        # outside these Java 17 may write a digit more than the shortest form
+        assert r.num == str(r.v) if r.v == 0 or 1e-3 <= abs(r.v) < 1e7 else float(r.num) == r.v
+        if abs(r.v) < 1e13 and not (r.v == 0 and str(r.v)[0] == "-"):
+            assert r.two == f"{r.v:.2f}", r.v
