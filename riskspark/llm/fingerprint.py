@@ -16,7 +16,8 @@ A term is a lower-cased word between white space, without ASCII punctuation at i
 
 Defined cases: NULL text counts as empty; a fingerprint of an exact text has likeness 1 to that of an
 equal text and 0 to all others; equal texts have equal fingerprints; equal fingerprints have likeness 1; documents with equal ids are
-neighbours in the order of their texts; a single document is its own next one.
+neighbours in the order of their texts' hashes; a single document is its own next one; NULL ids come first; very long
+texts enter whole; repeated rows each get their result, an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -194,34 +195,49 @@ def fingerprints(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
 
 
 DOCS_PER_RANGE = 4_000
+MOST_RANGES = 1 << 14
+SAMPLE_PER_RANGE = 32  # sampled rows behind each boundary
+SEARCHED = 128  # boundaries of a first, coarse look
 NO_ID = -(1 << 63)
 
 
 def ranges_with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(range, guest, id, text): documents in ranges of ascending ids, sorted within each.
+    """(range, guest, id, text): documents in ranges of ascending (id, hash of the text), sorted within each.
 
     The first document after a range also stands at its end as a guest (after the last range: the very
     first document), so every document finds its next one in its own range. One shuffle of the
-    texts; only the ids are read to choose the ranges."""
+    texts. Boundaries come from a bounded sample of (id, hash), so an id that many rows share, or rows
+    without one, are divided by their texts; only rows equal in both stay together, and a range is read as a stream."""
     spark: SparkSession = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"))
-    n = ids.count()
-    parts = max(1, min(1 << 14, n // DOCS_PER_RANGE))
-    cuts = sorted(set(ids.select(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100_000)).first()[0] or [])) if parts > 1 else []
-    boundaries = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-
-    def number(x: Column) -> Column:
-        return F.size(F.filter(boundaries, lambda c: c < x)) if cuts else F.lit(0)
-
-    firsts = sorted((r["range"], r["first"]) for r in ids.groupBy(number(F.col("id")).alias("range")).agg(F.min("id").alias("first")).collect())
-    hosts = [(firsts[i - 1][0], first) for i, (_, first) in enumerate(firsts)]  # the first one's host is the last range
-    guests = spark.createDataFrame(hosts, "host int, id long")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    placed = rows.join(F.broadcast(guests), "id", "left")  # at most 2 ** 14 rows
-    own = F.struct(number(F.col("id")).alias("range"), F.lit(0).alias("guest"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
+    keys = rows.select("id", "mark")
+    n = keys.count()
+    parts = max(1, min(MOST_RANGES, n // DOCS_PER_RANGE))
+    cuts: list[tuple[int, int]] = []
+    if parts > 1:  # at most about MOST_RANGES * SAMPLE_PER_RANGE pairs of numbers
+        drawn = sorted(map(tuple, keys.sample(min(1.0, parts * SAMPLE_PER_RANGE / n), seed=11).collect()))
+        cuts = sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}) if drawn else []
+    # two short looks in place of one through all boundaries
+    blocks = [cuts[i : i + SEARCHED] for i in range(0, len(cuts), SEARCHED)]
+    search = spark.createDataFrame([([b[0] for b in blocks], blocks or [[]])], "heads array<struct<id:bigint,mark:bigint>>, blocks array<array<struct<id:bigint,mark:bigint>>>")
+
+    def numbered(df: DataFrame) -> DataFrame:
+        before = lambda c: (c["id"] < F.col("id")) | ((c["id"] == F.col("id")) & (c["mark"] < F.col("mark")))
+        found = df.crossJoin(F.broadcast(search)).withColumn("_block", F.greatest(F.size(F.filter("heads", before)) - 1, F.lit(0)))  # one row
+        inside = F.size(F.filter(F.get("blocks", F.col("_block")), before))
+        return found.withColumn("range", (F.col("_block") * SEARCHED + inside).cast("int")).drop("heads", "blocks", "_block")
+
+    firsts = numbered(keys).groupBy("range").agg(F.min(F.struct("id", "mark")).alias("first")).collect()  # one row a range
+    firsts = sorted((r["range"], *r["first"]) for r in firsts)
+    hosts = [(firsts[i - 1][0], *first) for i, (_, *first) in enumerate(firsts)]  # the first one's host is the last range
+    guests = spark.createDataFrame(hosts, "host int, id long, mark long")
+    placed = numbered(rows).join(F.broadcast(guests), ["id", "mark"], "left")  # at most MOST_RANGES rows
+    own = F.struct(F.col("range"), F.lit(0).alias("guest"))
     visit = F.struct(F.col("host").alias("range"), F.lit(1).alias("guest"))
     placed = placed.withColumn("at", F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, visit))))
-    return placed.select("at.range", "at.guest", "id", "text").repartition("range").sortWithinPartitions("range", "guest", "id", "text")
+    placed = placed.select("at.range", "at.guest", "id", "text", "mark").repartition("range").sortWithinPartitions("range", "guest", "id", "mark", "text")
+    return placed.drop("mark")
 
 
 def edited_likeness(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

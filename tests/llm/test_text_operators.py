@@ -454,6 +454,21 @@ def test_next_document_across_ranges(spark, monkeypatch):
     assert Counter(r.edited_sha256 for r in got) == want
 
 
+def test_next_document_with_hot_ids(spark, monkeypatch):
+    """Rows without an id, and rows of one id, are divided by their texts; every row still meets its next one."""
+    monkeypatch.setattr(fingerprint, "DOCS_PER_RANGE", 50)
+    monkeypatch.setattr(fingerprint, "SEARCHED", 3)
+    rows = [(None, f"no id {i}") for i in range(500)] + [(7, f"one id {i}") for i in range(500)] + [(10 + i, f"text {i}") for i in range(500)] + [(9, "the same")] * 60
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    placed = fingerprint.ranges_with_next(table, "doc_id", "text").where("guest = 0").groupBy("range").count().collect()
+    assert sum(r["count"] for r in placed) == len(rows) and max(r["count"] for r in placed) < 250
+    marks = {t: h for t, h in spark.createDataFrame([(t,) for _, t in rows], "text string").distinct().select("text", F.xxhash64("text")).collect()}
+    ordered = [t for _, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], marks[r[1]]))]
+    want = Counter((t, hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()) for t, after in zip(ordered, ordered[1:] + ordered[:1]))
+    got = fingerprint.edited_likeness(table, fingerprint.Lexicon(["no", "one", "text"])).collect()
+    assert Counter(r.edited_sha256 for r in got) == Counter(h for _, h in want.elements())
+
+
 def test_lexicon_band(spark):
     rows = [(i, f"common, rare{i} mid{i % 20}") for i in range(200)]
     lexicon = fingerprint.build_lexicon(spark.createDataFrame(rows, "doc_id long, text string"))
