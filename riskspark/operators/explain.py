@@ -97,6 +97,9 @@ def dependence_table(attr: DataFrame, imp: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------- local surrogates
 
 
+SAMPLE_PARTS = 16  # a key's samples are summed in so many parts
+
+
 def gaussian_stats(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """One row: arrays ``mean`` and ``scale`` (population deviation, 1 for a constant feature) over ``train``."""
     row = train.agg(*[F.avg(quoted(f)).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(quoted(f)).alias(f"s{i}") for i, f in enumerate(features)])
@@ -213,15 +216,22 @@ def cholesky_solve(matrix: Column, right: Column, k: int) -> Column:
 def weighted_ridge(samples: DataFrame, k: int, ridge: float, top: int | None = None) -> DataFrame:
     """(key, coef): intercept and k weights of a ridge fit for every ``_key`` of samples (``_z``, ``_y``, ``_w``), the intercept free.
 
-    The normal equations are grouped sums: every sample gives the packed lower triangle of ``w a a'`` and ``w y a`` (a: 1 and z), summed by (key, place)
-    with partial sums before the shuffle, so no group's samples meet in a task. With ``top`` only the features of the largest absolute weights (the
+    The normal equations are sums of the packed lower triangle of ``w a a'`` and of ``w y a`` (a: 1 and z): first over each of ``SAMPLE_PARTS`` parts of
+    a key's samples, then by (key, place) with partial sums before the shuffle, so a key's samples never meet in one task. With ``top`` only the features of the largest absolute weights (the
     first listed on ties) stay: they are solved again from the same sums; the others get NULL."""
     n = k + 1
     pairs = [(i, j) for i in range(n) for j in range(i + 1)]
     places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    with_one = samples.select("_key", F.concat(F.array(F.lit(1.0)), "_z").alias("_a"), "_y", "_w")
-    terms = F.concat(F.transform(places, lambda p: F.col("_w") * F.get("_a", p["i"]) * F.get("_a", p["j"])), F.transform("_a", lambda a: F.col("_w") * F.col("_y") * a))
-    sums = with_one.select("_key", F.posexplode(terms).alias("_at", "_t")).groupBy("_key", "_at").agg(F.sum("_t").alias("_t"))
+    a = F.concat(F.array(F.lit(1.0)), "_z")
+    weighted = samples.select("_key", F.struct(a.alias("a"), F.transform(a, lambda v: v * F.col("_w")).alias("wa"), "_y").alias("_p"), F.pmod(F.xxhash64("_z"), F.lit(SAMPLE_PARTS)).alias("_part"))
+    parts = weighted.groupBy("_key", "_part").agg(F.collect_list("_p").alias("_c"))
+
+    def over(term: Callable[[Column], Column]) -> Column:
+        return F.aggregate("_c", F.lit(0.0), lambda t, s: t + term(s))
+
+    triangle = F.transform(places, lambda p: over(lambda s: F.get(s["wa"], p["i"]) * F.get(s["a"], p["j"])))
+    right = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: over(lambda s: F.get(s["wa"], i) * s["_y"]))
+    sums = parts.select("_key", F.posexplode(F.concat(triangle, right)).alias("_at", "_t")).groupBy("_key", "_at").agg(F.sum("_t").alias("_t"))
     packed = sums.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_t"))).alias("_s"))  # one entry a place
     packed = _bound(packed, _all=F.transform("_s", lambda s: s["_t"]))
     penalty = F.array(*[F.lit(ridge if i == j and i > 0 else 0.0) for i, j in pairs])
