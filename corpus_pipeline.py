@@ -43,12 +43,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_rows(docs, good)
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number of its own for every row: its file's number and its place there, the same in every run over the
+    files. What isn't a plain table of files is written as one first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.children().isEmpty() or not docs.inputFiles():
+        docs = materialize(docs, "pipeline-rows")
+    spark, path = docs.sparkSession, F.col("_metadata.file_path")
+    paths = sorted(r[0] for r in docs.select(path).distinct().collect())  # one a file
+    files = spark.createDataFrame(list(enumerate(paths)) or [(0, "")], "_file long, _path string")
+    placed = docs.withColumn("_place", F.col("_metadata.row_index")).withColumn("_at", path).join(F.broadcast(files), F.col("_at") == F.col("_path"))
+    return placed.withColumn("_row", F.shiftleft("_file", 36) + F.col("_place")).drop("_place", "_at", "_file", "_path")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (5-word shingles, similarity 0.8): the first row.
 
-    Rows are told apart by a number that is stored with them, so that of repeated rows, rows of equal id and rows without one
-    each group keeps one too. Documents without a word are in no group: all stay."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    Rows are told apart by a number, so that of repeated rows, rows of equal id and rows without one each group keeps
+    one too. Documents without a word are in no group: all stay."""
+    numbered = numbered_rows(docs)
     found = near_dedup.near_duplicates(numbered.select("_row", "text"), size=5, percent=80, id_col="_row", label="pipeline-near")
     return numbered.join(found.where(~F.col("kept")).select("_row"), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
