@@ -16,7 +16,9 @@ skipped.
 Texts are cut at single spaces between two non-blank characters, where no match of the split
 pattern can cross, and each distinct cut is encoded once per Python worker (memos of bounded size).
 
-Defined cases: NULL text counts as empty; the empty text has no ids and decodes to no bytes.
+Defined cases: NULL text counts as empty; the empty text has no ids and decodes to no bytes; very long texts and
+pre-tokens are encoded whole; NULL and repeated ids and repeated rows stay separate rows with results of their own; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -19,8 +19,9 @@ reaches to the page's end; the other dropped elements go with their content only
 their own, else only the tag goes; head is no element of its own, as all that may stand in it is dropped
 anyway; wrong nesting never fails; a page of any number of blocks is read whole, with memory in proportion to
 its blocks (pages are labelled together up to ``CELLS`` places, longer ones alone); repeated rows and rows of
-equal or NULL id are extracted one by one, and columns other than the ids and html are ignored; an empty table gives no rows; without a training page that names its main
-container, the labeller trains on the built-in layouts alone.
+equal or NULL id are extracted one by one, and columns other than the ids and html are ignored; an empty table
+gives no rows; without a training page that names its main container, the labeller trains on the built-in
+layouts alone.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ task (the one documented bound here). Scoring reads every whole text in one narr
 layers are linear, a feature's share in the logit is one number, which is summed per distinct word.
 
 Defined cases: NULL text and a text without words have no features and get the bias alone; without
-labels of both classes, every score is the share of label 1 (0.5 without labels).
+labels of both classes, every score is the share of label 1 (0.5 without labels). Very long texts enter whole; repeated
+rows are scored one by one, and repeated labels of an id count as often as they stand there; equal draws of the
+sample are ordered by id and label; rows without an id teach nothing but are scored; an empty table gives no rows.
 """
 
 from __future__ import annotations

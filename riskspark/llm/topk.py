@@ -11,7 +11,8 @@ No vector is broadcast and no pair is materialised beyond the k of each block.
 
 Defined cases: vectors that are NULL, hold a NULL or non-finite component, or whose dimension differs
 from a query's take no part; the zero-dimension vector scores 0; equal scores go to the smaller
-id; equal ids are ranked as separate rows, but a query never meets a row of its own id.
+id; equal ids are ranked as separate rows, but a query never meets a row of its own id (rows of one id count as
+one and the same vector); an empty table, or one without queries, gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
