@@ -273,6 +273,17 @@ def test_step_tags_of_whole_documents(spark, tmp_path):
     assert sorted(map(tuple, Q.doc_step_tags(spark, str(tmp_path)).collect())) == want
 
 
+def test_doc_steps_has_its_step_tag(spark, tmp_path):
+    import hashlib
+
+    from riskspark.plans import queries as Q
+
+    texts = ["one\ntwo", "", "a:\n\nb", "last."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = dict(rows(Q.doc_steps(spark, str(tmp_path)), "doc_id", "tagged_md5"))
+    assert got == {k: hashlib.md5((t.split("\n")[0] + ".\n\n").encode()).hexdigest() for k, t in enumerate(texts)}
+
+
 def test_whole_conversation_masks(spark, tmp_path):
     """A conversation of over 256 places keeps its later turns and their loss masks."""
     import hashlib
