@@ -8,22 +8,21 @@ conditions (0 or 1) over S and of its shares over the rest. The Shapley value of
 
 a polynomial of degree m - 1, which Gauss-Legendre nodes integrate exactly: no sampling, no background rows.
 
-The ensemble becomes a table with a row for each leaf. Rows meet it by an equi-join on the tree number, the arithmetic is plain
-column code, and the sums per (row, feature) are combined before the shuffle. The table's size is the
-model's (trees times leaves); Spark broadcasts it only when its measured size allows.
+The ensemble becomes a table with a row for each leaf, of the model's size (trees times leaves). It goes to every task as arrays, where Arrow
+batches of rows meet it in numpy: nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..session import checkpoint_path, materialized
 
@@ -100,42 +99,72 @@ def base_value(paths: DataFrame) -> DataFrame:
     return paths.agg(F.sum(F.col("value") * share).alias("base"))
 
 
-def tree_attributions(paths: DataFrame, df: DataFrame, features: Sequence[str], values: Column, key: str = "id") -> DataFrame:
-    """A-10 (tree-exact): (key, feature, attribution) for every row and each of ``features``, with 0 for those the trees don't use. ``values`` is the array of
-    a row's feature values in the model's order; NaN goes right, as in the model."""
-    size = paths.agg(F.max(F.size("steps")).alias("m"), F.max("tree").alias("t")).first()  # of the model
-    m, trees = size["m"] or 0, (size["t"] if size["t"] is not None else -1) + 1
-    x = df.select(F.col(key).alias("_key"), values.cast("array<double>").alias("_x"))
-    every = x.select("_key", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("_f"), F.lit(0.0).alias("_phi"))
-    if m:
-        t, w = np.polynomial.legendre.leggauss((m + 1) // 2)
-        nodes = [((float(a) + 1) / 2, float(b) / 2) for a, b in zip(t, w)]
-        slots = []
+CELLS = 1 << 18  # rows times leaves that a task works on at once
+
+
+def _path_values(x: np.ndarray, leaves: dict[str, np.ndarray], nodes: list[tuple[float, float]], k: int) -> np.ndarray:
+    """Attributions (rows, k) of rows ``x`` over paths of up to m conditions. A place without a condition has share and met 1 and adds nothing."""
+    feature, low, high, share, value = (leaves[n] for n in ("feature", "low", "high", "share", "value"))
+    m, phi = feature.shape[1], np.zeros((len(x), k))
+    met = []
+    for s in range(m):
+        v = x[:, feature[:, s]]  # NaN is a missing value: it meets no bound
+        met.append((((v > low[:, s]) | (low[:, s] == -INFINITY)) & ((v <= high[:, s]) | (high[:, s] == INFINITY))).astype("float64"))
+    rest = [np.zeros_like(met[0]) for _ in range(m)]
+    for at, weight in nodes:
+        factors = [met[s] * at + share[:, s] * (1.0 - at) for s in range(m)]
+        after = [np.full_like(met[0], weight)]  # products of the factors from the last on
+        for f in reversed(factors[1:]):
+            after.append(after[-1] * f)
+        before = 1.0
         for s in range(m):
-            step = F.get("steps", F.lit(s))
-            slots += [step["feature"].alias(f"_f{s}"), step["low"].alias(f"_l{s}"), step["high"].alias(f"_h{s}"), step["share"].alias(f"_z{s}")]
-        table = paths.select("tree", "value", *slots)
-        pairs = x.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).join(table, "tree")
-
-        def met(s: int) -> Column:
-            v = F.get("_x", F.col(f"_f{s}"))
-            low, high = F.col(f"_l{s}"), F.col(f"_h{s}")  # NaN is above every cut
-            return F.when(((low == -INFINITY) | (v > low)) & ((high == INFINITY) | ~(v > high)), 1.0).otherwise(0.0).alias(f"_o{s}")
-
-        pairs = pairs.select("_key", "value", *[F.col(f"_f{s}") for s in range(m)], *[F.col(f"_z{s}") for s in range(m)], *[met(s) for s in range(m)])
+            rest[s] += before * after[m - 1 - s]
+            before = before * factors[s]
+    for s in range(m):
+        phi += (value * (met[s] - share[:, s]) * rest[s]) @ (feature[:, s][:, None] == np.arange(k))
+    return phi
 
-        def factor(s: int, at: float) -> Column:
-            return F.when(F.col(f"_f{s}").isNull(), 1.0).otherwise(F.col(f"_o{s}") * F.lit(at) + F.col(f"_z{s}") * F.lit(1.0 - at))
 
-        whole = [reduce(lambda a, b: a * b, [factor(s, at) for s in range(m)]).alias(f"_p{k}") for k, (at, _) in enumerate(nodes)]
-        pairs = pairs.select("*", *whole)
-
-        def share(s: int) -> Column:
-            rest = reduce(lambda a, b: a + b, [F.lit(weight) * F.col(f"_p{k}") / factor(s, at) for k, (at, weight) in enumerate(nodes)])
-            return F.struct(F.col(f"_f{s}").alias("_f"), (F.col("value") * (F.col(f"_o{s}") - F.col(f"_z{s}")) * rest).alias("_phi"))
-
-        parts = pairs.select("_key", F.explode(F.array(*[share(s) for s in range(m)])).alias("_c")).where(F.col("_c._f").isNotNull())
-        every = every.unionByName(parts.select("_key", "_c._f", "_c._phi"))
-    sums = every.groupBy("_key", "_f").agg(F.sum("_phi").alias("attribution"))
+def tree_attributions(paths: DataFrame, df: DataFrame, features: Sequence[str], values: Column, key: str = "id") -> DataFrame:
+    """A-10 (tree-exact): (key, feature, attribution) for every row and each of ``features``, with 0 for those the trees don't use. ``values`` is the array of
+    a row's feature values in the model's order; NaN goes right, as in the model. The paths (of the model's size) go to the tasks; a row's values come
+    from its own task, so that rows are neither multiplied by the leaves nor shuffled."""
+    import pyarrow as pa
+
+    k, found = len(features), paths.select("value", "steps").collect()  # a row a leaf
+    m = max((len(r["steps"]) for r in found), default=0)
+    leaves = {"feature": np.zeros((len(found), m), "int64"), "low": np.full((len(found), m), -INFINITY), "high": np.full((len(found), m), INFINITY), "share": np.ones((len(found), m))}
+    leaves["value"] = np.array([r["value"] for r in found], "float64")
+    for i, r in enumerate(found):
+        for s, step in enumerate(r["steps"]):
+            for n in ("feature", "low", "high", "share"):
+                leaves[n][i, s] = step[n]
+    t, w = np.polynomial.legendre.leggauss(max((m + 1) // 2, 1))
+    nodes = [((float(a) + 1) / 2, float(b) / 2) for a, b in zip(t, w)]
+    size = max(1, CELLS // max(len(found), 1))
+
+    def run(batches):
+        for b in batches:
+            lists, n = b.column(1), b.num_rows
+            lengths = np.asarray(lists.value_lengths().fill_null(0))
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("float64")
+            x = np.full((n, k), np.nan)
+            if (lengths == k).all():
+                x = flat.reshape(n, k)
+            else:  # rows without an array, or with another number of values
+                for i, (end, length) in enumerate(zip(np.cumsum(lengths), lengths)):
+                    own = flat[end - length : end][:k]
+                    x[i, : len(own)] = own
+            phi = np.zeros((n, k))
+            if m:
+                for at in range(0, n, size):
+                    phi[at : at + size] = _path_values(x[at : at + size], leaves, nodes, k)
+            offsets = pa.array(np.arange(0, n * k + 1, k, dtype="int32"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(phi.ravel()))], names=["_key", "_phi"])
+
+    # NaN is above every cut
+    known = F.transform(values.cast("array<double>"), lambda v: F.when(F.isnan(v), F.lit(INFINITY)).otherwise(v))
+    x = df.select(F.col(key).alias("_key"), known.alias("_x"))
+    phi = x.mapInArrow(run, StructType([x.schema["_key"], StructField("_phi", ArrayType(DoubleType()))]))
     names = F.array(*[F.lit(f) for f in features])
-    return sums.select(F.col("_key").alias(key), F.get(names, F.col("_f")).alias("feature"), "attribution")
+    return phi.select(F.col("_key").alias(key), F.posexplode("_phi").alias("_f", "attribution")).select(key, F.get(names, F.col("_f")).alias("feature"), "attribution")
