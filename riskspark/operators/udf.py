@@ -13,6 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+OUT_ROWS = 10_000  # scored rows that go back to Spark together
 KEPT_SCORERS = 2  # loaded scorers that a Python worker keeps, the last used
 _scorers: OrderedDict[str, Callable] = OrderedDict()
 
@@ -38,12 +39,28 @@ def rebatched(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFram
             rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
             whole = n - n % size
             for start in range(0, whole, size):
-                yield rows.iloc[start : start + size].reset_index(drop=True)
+                part = rows.iloc[start : start + size]
+                part.index = pd.RangeIndex(len(part))
+                yield part
             held, n = [rows.iloc[whole:]], n - whole
     if n:
         yield pd.concat(held, ignore_index=True)
 
 
+def joined(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of the frames one after another. Frames without rows have no say in the types, and a column that has no value in some frame keeps the others' type."""
+    some = [f for f in frames if len(f)] or frames[:1]
+    if len(some) == 1:
+        return some[0]
+    return pd.DataFrame({c: _stacked([f[c] for f in some]) for c in some[0].columns})
+
+
+def _stacked(parts: list[pd.Series]) -> pd.Series:
+    if len({p.dtype for p in parts}) > 1:  # pandas would turn whole numbers into floats where a frame has none
+        parts = [p.astype(object).where(p.notna(), None) for p in parts]
+    return pd.concat(parts, ignore_index=True)
+
+
 def score_partitions(
     df: DataFrame,
     load_fn: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
@@ -53,13 +70,22 @@ def score_partitions(
 ) -> DataFrame:
     """U-01: ``load_fn()`` builds the scorer once per Python worker; the scorer maps a pandas batch to a
     pandas frame with ``schema``. Batches have ``batch_size`` rows whatever the Arrow batches hold; only the last of a
-    partition may be short. ``key`` names the loaded scorer (default: a hash of the pickled factory)."""
+    partition may be short. ``key`` names the loaded scorer (default: a hash of the pickled factory). Results go back in frames of about
+    ``OUT_ROWS`` rows, since a frame costs about as much to hand over as some thousand rows."""
     name = key or hashlib.sha256(cloudpickle.dumps(load_fn)).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = worker_scorer(name, load_fn)
+        held: list[pd.DataFrame] = []
+        n = 0
         for b in rebatched(batches, batch_size):
-            yield scorer(b)
+            held.append(scorer(b))
+            n += len(held[-1])
+            if n >= OUT_ROWS:
+                yield joined(held)
+                held, n = [], 0
+        if held:
+            yield joined(held)
 
     return df.mapInPandas(run, schema=schema)
 
