@@ -103,14 +103,15 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     w.parquet(path)
 
 
-def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """S-07: JSON lines, non-ASCII text kept as is (one part file per task; no single array file)."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+def write_records(df: DataFrame, path: str, mode: str = "overwrite", compression: str | None = None) -> None:
+    """S-07: JSON lines, non-ASCII text kept as is (one part file per task; no single array file). With ``compression`` (a codec of
+    Spark's text sources) the files are compressed; the readers here take both."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path, compression=compression)
 
 
-def append_records(df: DataFrame, path: str) -> None:
+def append_records(df: DataFrame, path: str, compression: str | None = None) -> None:
     """S-08: append finished units to a JSON-lines folder."""
-    df.write.mode("append").json(path)
+    df.write.mode("append").json(path, compression=compression)
 
 
 def append_batch(df: DataFrame, path: str, batch: str, fmt: str = "json") -> None:
@@ -121,9 +122,9 @@ def append_batch(df: DataFrame, path: str, batch: str, fmt: str = "json") -> Non
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").format(fmt).save(path)
 
 
-def write_parts(df: DataFrame, path: str, part_col: str = "part") -> None:
+def write_parts(df: DataFrame, path: str, part_col: str = "part", compression: str | None = None) -> None:
     """S-09 / S-10 sink: one folder per part number."""
-    df.write.mode("overwrite").partitionBy(part_col).json(path)
+    df.write.mode("overwrite").partitionBy(part_col).json(path, compression=compression)
 
 
 def write_once(df: DataFrame, path: str, fmt: str = "parquet") -> None:
