@@ -1,16 +1,21 @@
 """What keeps time, shuffles and files in proportion to the input: no shuffle or join where a row decides alone, few hand-overs to Python."""
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from riskspark.operators import explain as A
+from riskspark.operators import features as FE
+from riskspark.operators import models as ML
 from riskspark.operators import ordered as O
 from riskspark.operators import sampling as M
 from riskspark.operators import trees as TR
 from riskspark.operators import udf as U
+from riskspark.plans import proxies as X
 from riskspark.plans import queries as Q
-from riskspark.session import small_methods
+from riskspark.session import materialized, small_methods
 from riskspark.sources import files as IO
 
 
@@ -122,3 +127,38 @@ def test_large_methods_are_split_unless_the_user_says_otherwise(spark):
             assert spark.conf.get(name) == want
     finally:
         spark.conf.set(name, before)
+
+
+def test_stored_table_in_folders_reads_its_own_files(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("split"))
+    d = materialized(df, "folders", by="split")
+    assert d.filter("split = 'a'").count() == 34 and "PartitionFilters: [isnotnull(split" in d.filter("split = 'a'")._jdf.queryExecution().toString()
+    assert sorted(map(tuple, d.select("id", "split").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_categories_are_found_in_one_look(spark, monkeypatch):
+    """Cardinalities, values and codes come from the distinct values; a column without values is there too."""
+    df = spark.createDataFrame([("1", "x", "a", None), ("2", None, "b", None), ("3", "y", "c", None)], "id string, small string, big string, none string")
+    looks = []
+    with monkeypatch.context() as m:
+        m.setattr(FE, "category_values", lambda d, c, f=FE.category_values: looks.append(list(c)) or f(d, c))
+        tr, _, mapping = FE.encode_categories(df, df.limit(0), threshold=2, label="no label")
+    assert looks == [["small", "big", "none"]]
+    assert sorted(tr.columns) == ["big", "id", "small_x", "small_y"] and sorted(map(tuple, mapping.collect())) == [("big", "a", 0), ("big", "b", 1), ("big", "c", 2)]
+    values = FE.category_values(df, ["small", "big", "none"])
+    assert sorted(FE.cardinalities(df, ["small", "big", "none"]).collect()) == sorted(FE.cardinalities(df, ["small", "big", "none"], values=values).collect())
+
+
+def test_linear_attributions_carry_plain_numbers(spark):
+    df = spark.createDataFrame([(1, 2.0, 3), (2, None, 5)], "id long, `a.b` double, c int")
+    attr = A.linear_attributions(df, ["a.b", "c"], [0.5, -2.0], df)
+    assert "Join" not in plan(attr) and "posexplode" in plan(attr)
+    assert sorted(map(tuple, attr.filter("value is not null").collect())) == [(1, "a.b", 2.0, 0.0), (1, "c", 3.0, 2.0), (2, "c", 5.0, -2.0)]
+    assert attr.filter("value is null and attribution is null").count() == 1
+
+
+def test_whole_numbers_equal_round(spark):
+    values = [0.0, -0.0, 0.5, -0.5, 1.5, 2.5, 0.49999999999999994, -0.3, 123.5, -7.49999, 1e300, float("inf"), None, 4503599627370497.5, 5.000000000000001]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for r in df.select("x", X._whole(F.col("x")).alias("new"), F.round("x").alias("old")).collect():
+        assert repr(r.new) == repr(r.old), r
