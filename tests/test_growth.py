@@ -157,8 +157,25 @@ def test_linear_attributions_carry_plain_numbers(spark):
     assert attr.filter("value is null and attribution is null").count() == 1
 
 
+def _points(spark):
+    rows = [(i, float(i % 7), float(i * 13 % 11), int((i * 31 % 17) + i % 7 > 12)) for i in range(300)]
+    return FE.assemble(spark.createDataFrame(rows, "id long, x double, y double, label int"), exclude=["id", "label"])
+
+
 def test_whole_numbers_equal_round(spark):
     values = [0.0, -0.0, 0.5, -0.5, 1.5, 2.5, 0.49999999999999994, -0.3, 123.5, -7.49999, 1e300, float("inf"), None, 4503599627370497.5, 5.000000000000001]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for r in df.select("x", X._whole(F.col("x")).alias("new"), F.round("x").alias("old")).collect():
         assert repr(r.new) == repr(r.old), r
+
+
+def test_shapley_points_are_made_without_lambdas(spark):
+    """The hybrid vectors of the points are compiled place by place; a linear margin's values are exact whatever the draws."""
+    df = _points(spark)
+    model = ML.boosted(1, 0.3, 1).fit(df)
+    attr = A.sampled_shapley(model, df.where("id < 4"), ["x", "y"], df.where("id = 9"), n_perm=3)
+    made = next(line for line in attr._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_at" in line and "UDF" in line)
+    assert "lambdafunction(CASE WHEN" not in made
+    total = {r.id: r.t for r in attr.groupBy("id").agg(F.sum("attribution").alias("t")).collect()}
+    p = {r.id: r.bad_prob for r in ML.predict_proba(model, df).collect()}
+    assert total == pytest.approx({i: p[i] - p[9] for i in range(4)})
