@@ -162,6 +162,20 @@ def _points(spark):
     return FE.assemble(spark.createDataFrame(rows, "id long, x double, y double, label int"), exclude=["id", "label"])
 
 
+def test_all_models_score_a_row_in_one_look(spark):
+    """One read a side for all models, what is kept stays with its row, and the scores are those of the models alone."""
+    df = _points(spark).withColumn("text", F.concat(F.lit("t"), "id"))
+    stored = {"Logistic Regression": {"C": 1, "penalty": "l2"}, "Boosted Trees": {"max_depth": 2, "n_estimators": 2}, "Naive Bayes": {}}
+    both = ML.score_both(stored, df, df.where("id < 50"), keep=["text"])
+    assert plan(both).count("Scan ExistingRDD") == 2 and "Exchange" not in plan(both)
+    got = {(r.id, r.side, r.model): r for r in both.collect()}
+    assert len(got) == 3 * 350 and all(r.text == f"t{r.id}" for r in got.values())
+    for name, params in stored.items():
+        for r in ML.predict_proba(ML.fit(name, params, df.select("label", "features"), 300), df).collect():
+            assert got[r.id, "train", name].bad_prob == pytest.approx(r.bad_prob, abs=1e-9) and got[r.id, "train", name].label == r.label
+            assert r.id >= 50 or got[r.id, "test", name].good_prob == pytest.approx(r.good_prob, abs=1e-9)
+
+
 def test_whole_numbers_equal_round(spark):
     values = [0.0, -0.0, 0.5, -0.5, 1.5, 2.5, 0.49999999999999994, -0.3, 123.5, -7.49999, 1e300, float("inf"), None, 4503599627370497.5, 5.000000000000001]
     df = spark.createDataFrame([(v,) for v in values], "x double")
