@@ -162,6 +162,27 @@ def _points(spark):
     return FE.assemble(spark.createDataFrame(rows, "id long, x double, y double, label int"), exclude=["id", "label"])
 
 
+def test_all_fits_are_checked_in_one_look(spark):
+    """The slopes of several fits by their definition, each by its own C and penalty, a coefficient of 0 too."""
+    df = _points(spark)
+    fits = [(ML.logistic(c, p, 300).fit(df), c, p) for c in (0.01, 1.0) for p in ("l1", "l2")] + [(ML.logistic(0.0001, "l1", 300).fit(df), 1.0, "l1")]
+    optima = ML.logistic_optima(fits, df, ["x", "y"])
+    assert plan(optima).count("MapInArrow") == 1 and "Exchange" not in plan(optima)[plan(optima).index("MapInArrow") :]
+    told = [tuple(r) for r in optima.collect()]
+    data = df.collect()
+    x, y = np.array([r.features.toArray() for r in data]), np.array([r.label for r in data])
+    want = []
+    for m, c, p in fits:
+        w, miss = m.coefficients.toArray(), 1 / (1 + np.exp(-(x @ m.coefficients.toArray() + m.intercept))) - y
+        g, s = x.T @ miss / 300, 1 / (c * 300)
+        want.append((c, p, "intercept", m.intercept, miss.mean()))
+        for f, v, d in zip("xy", w, g):
+            want.append((c, p, f, v, d + v * s if p == "l2" else d + np.sign(v) * s if v else np.sign(d) * max(abs(d) - s, 0.0)))
+    assert any(r[3] == 0 for r in want)
+    for a, b in zip(sorted(told), sorted(want)):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-9)
+
+
 def test_all_models_score_a_row_in_one_look(spark):
     """One read a side for all models, what is kept stays with its row, and the scores are those of the models alone."""
     df = _points(spark).withColumn("text", F.concat(F.lit("t"), "id"))
