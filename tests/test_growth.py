@@ -183,6 +183,36 @@ def test_all_fits_are_checked_in_one_look(spark):
         assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-9)
 
 
+def test_a_longer_boosted_fit_holds_the_shorter(spark):
+    """The first trees of five are the fit of three, so one fit serves both grid points; the search finds what separate fits do."""
+    df = _points(spark).repartition(3).cache()
+    grid = {"max_depth": [2], "learning_rate": [0.1, 0.3], "n_estimators": [3, 5], "scale_pos_weight": [1, 5]}
+    runs = ML._runs("Boosted Trees", [dict(zip(grid, v)) for v in __import__("itertools").product(*grid.values())])
+    assert [[p["n_estimators"] for p in r] for r in runs] == [[3, 5]] * 4
+    assert len(ML._runs("Boosted Trees", [{"n_estimators": 3, "subsample": 0.5}, {"n_estimators": 5, "subsample": 0.5}])) == 2
+    for name, points in (("Boosted Trees", runs[1]), ("Leafwise Trees", [{"num_leaves": 4, "n_estimators": n, "min_child_samples": 5} for n in (3, 5)])):
+        short, long = (ML.fit(name, p, df, 300) for p in points)
+        a = {r.id: r.rawPrediction[1] for r in short.transform(df).collect()}
+        assert a == pytest.approx({r.id: r.rawPrediction for r in ML.first_trees(long, df, 3).collect()}, abs=1e-12)
+    folds = ML.stratified_folds(df.select("id", "label", "features"), 3).select("label", "features", "fold").cache()
+    params, score = ML.grid_search("Boosted Trees", grid, folds, 300)
+    auc = BinaryClassificationEvaluator(labelCol="label")
+    means = []
+    for p in (p for r in runs for p in r):
+        means.append((np.mean([auc.evaluate(ML.fit("Boosted Trees", p, folds.where(f"fold <> {f}"), 300).transform(folds.where(f"fold = {f}"))) for f in range(3)]), p))
+    assert score == pytest.approx(max(m for m, _ in means)) and score == pytest.approx(next(m for m, p in means if p == params))
+
+
+def test_search_fits_nothing_twice(spark, monkeypatch):
+    """A fit a run and fold, none on all rows, and no Python function over the rows."""
+    fits = []
+    monkeypatch.setattr(ML, "fit", lambda name, params, rows, *a, f=ML.fit: fits.append(plan(rows)) or f(name, params, rows, *a))
+    ML.grid_search("Boosted Trees", {"max_depth": [2], "n_estimators": [1, 2]}, ML.stratified_folds(_points(spark), 3).select("label", "features", "fold").cache(), 300)
+    assert len(fits) == 3 and not any("Python" in p for p in fits)
+    drawn = ML.grid_search("Naive Bayes", {}, _points(spark).select("label", "features"), 300)
+    assert drawn[0] == {} and 0.4 < drawn[1] <= 1.0
+
+
 def test_all_models_score_a_row_in_one_look(spark):
     """One read a side for all models, what is kept stays with its row, and the scores are those of the models alone."""
     df = _points(spark).withColumn("text", F.concat(F.lit("t"), "id"))
