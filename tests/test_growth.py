@@ -213,6 +213,25 @@ def test_search_fits_nothing_twice(spark, monkeypatch):
     assert drawn[0] == {} and 0.4 < drawn[1] <= 1.0
 
 
+def test_a_failing_model_is_no_result(spark, monkeypatch):
+    """The other models are still searched, then the error names the one that failed; only who asks for it gets the others' rows alone."""
+    searched = []
+
+    def search(name, *a, f=ML.grid_search):
+        searched.append(name)
+        if name == "Random Forest":
+            raise OSError("executor lost")
+        return f(name, *a)
+
+    monkeypatch.setattr(ML, "grid_search", search)
+    grids = {"Random Forest": {"n_estimators": [1]}, "Naive Bayes": {}}
+    with pytest.raises(RuntimeError, match="Random Forest") as error:
+        ML.benchmark_models(_points(spark), _points(spark), grids)
+    assert searched == list(grids) and isinstance(error.value.__cause__, OSError)
+    metrics, fitted = ML.benchmark_models(_points(spark), _points(spark), grids, skip_failing=True)
+    assert [r.model for r in metrics.collect()] == list(fitted) == ["Naive Bayes"]
+
+
 def test_all_models_score_a_row_in_one_look(spark):
     """One read a side for all models, what is kept stays with its row, and the scores are those of the models alone."""
     df = _points(spark).withColumn("text", F.concat(F.lit("t"), "id"))
