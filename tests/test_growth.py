@@ -76,6 +76,51 @@ def test_draws_are_the_md5_of_their_place(spark):
         assert r._n == pytest.approx([(-2 * __import__("math").log(a)) ** 0.5 * __import__("math").cos(2 * __import__("math").pi * b) for a, b in ((r.a0, r.b0), (r.a1, r.b1))])
 
 
+def test_bucket_points_are_made_without_lambdas(spark):
+    """Quartiles take one row a feature and no row a value, points no interpreted lambda; both are those of their definition, with a constant feature, a
+    missing value, NaN and a long key."""
+    import hashlib
+    import math
+
+    rng = np.random.default_rng(4)
+    train = [(float(a), 3.0, float(b)) for a, b in zip(rng.normal(size=300), rng.integers(0, 3, 300))]
+    df = spark.createDataFrame(train, "a double, `b.c` double, d double").repartition(3)
+    names, k = ["a", "b.c", "d"], 3
+    stats = A.quartile_stats(df, names)
+    assert "Generate" not in plan(stats) and "Aggregate" not in plan(stats)
+    buckets = stats.first().buckets
+    for i, b in enumerate(buckets):
+        v = np.array([r[i] for r in train])
+        at = sum((v > c).astype(int) for c in b.cuts)
+        assert b.at == i and b.cuts == [np.sort(v)[math.ceil(p * 300) - 1] for p in (0.25, 0.5, 0.75)]
+        for j in range(4):
+            own = v[at == j]
+            want = [own.mean(), own.std(), own.min(), own.max()] if len(own) else [0.0] * 4
+            assert [b.mean[j], b.deviation[j], b.least[j], b.most[j]] == pytest.approx(want, abs=1e-12) and b.share[j] == pytest.approx((at <= j).mean())
+    rows = [("r", 0.1, 3.0, None), (None, float("nan"), 2.0, 9.0), ("k" * 60, -5.0, 4.0, 1.0)]
+    made = A.perturbed(spark.createDataFrame(rows, "id string, a double, `b.c` double, d double"), stats, names, 70, "id", 5)
+    assert "lambda" not in plan(made) and "Generate" not in plan(made)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r._key, []).append(r)
+    for key, *x in rows:
+        own = [0 if v is None else sum(not v <= c for c in b.cuts) for v, b in zip(x, buckets)]
+        assert len(got[key]) == 70
+        for s, r in enumerate(got[key]):
+            def u(i, kind):
+                text = ":".join([*([key] if key else []), str(s), str(i), "5", kind])
+                return (int(hashlib.md5(text.encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+
+            at = own if s == 0 else [sum(u(i, "u") > c for c in b.share[:3]) for i, b in enumerate(buckets)]
+            n = [math.sqrt(-2 * math.log(u(i, "a"))) * math.cos(2 * math.pi * u(i, "b")) for i in range(k)]
+            v = x if s == 0 else [min(max(b.mean[j] + b.deviation[j] * d, b.least[j]), b.most[j]) for b, j, d in zip(buckets, at, n)]
+            assert r._z == [float(a == o) for a, o in zip(at, own)] and r._d2 == k - sum(r._z)
+            assert [m is None for m in r._v] == [w is None for w in v]
+            assert [m for m in r._v if m is not None] == pytest.approx([w for w in v if w is not None], nan_ok=True, abs=1e-12)
+    with pytest.raises(ValueError, match="d"):
+        A.quartile_stats(df.withColumn("d", F.lit(None).cast("double")), names)
+
+
 def test_scored_batches_go_back_together():
     """Batches of the stated size reach the scorer; their results are handed over in large frames, types and missing values kept."""
 
